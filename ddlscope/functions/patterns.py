@@ -10,6 +10,8 @@ from __future__ import annotations
 
 # A possibly schema-qualified, possibly quoted name; group = last name part.
 ID = r'(?:[\w"`\[\]]+\.)*["`\[]?(\w+)["`\]]?'
+# A name token: last part of a possibly qualified, possibly quoted name.
+NAME_TOKEN = r'^(?:[\w"`\[\]]+\.)*["`\[]?(\w+)'
 # ALTER TABLE prefix; group 1 = table.
 ALTER_T = r"(?is)^\s*ALTER\s+TABLE\s+(?:IF\s+EXISTS\s+)?(?:ONLY\s+)?" + ID + r"\s+"
 

@@ -119,7 +119,7 @@ def lookup_table(df: DataFrame, table_col: str, tables: DataFrame, out_col: str
 
     ``tables`` has unique ``table_name`` values, so neither join fans out.
     """
-    names = tables.select("table_name").distinct()
+    names = F.broadcast(tables.select("table_name").distinct())   # catalogue-sized
     exact = names.select(F.col("table_name").alias("_exact"))
     lower = names.select(F.col("table_name").alias("_lower"))
     j = df.join(exact, F.col(table_col) == F.col("_exact"), "left")

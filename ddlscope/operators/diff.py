@@ -39,12 +39,12 @@ def schema_changes(ops: DataFrame, catalog_columns: DataFrame, catalog_indexes:
                                         "ADD_CONSTRAINT", "ADD_FOREIGN_KEY"))
     o = lookup_table(o, "target_table", tables, "before_table")
     # D3: type of a dropped column, exact column name within the found table
-    cols = catalog_columns.select(F.col("table_name").alias("_ct"), F.col("column_name").alias("_cc"),
+    cols = F.broadcast(catalog_columns).select(F.col("table_name").alias("_ct"), F.col("column_name").alias("_cc"),
                                   F.col("data_type").alias("_ctype"))
     o = o.join(cols, (F.col("op_class") == "DROP_COLUMN") & (F.col("before_table") == F.col("_ct"))
                & (F.col("target_column") == F.col("_cc")), "left")
     # Columns of a dropped index, exact index name within the found table
-    idx = catalog_indexes.select(F.col("table_name").alias("_it"), F.col("index_name").alias("_in"),
+    idx = F.broadcast(catalog_indexes).select(F.col("table_name").alias("_it"), F.col("index_name").alias("_in"),
                                  F.col("columns").alias("_icols"))
     o = o.join(idx, (F.col("op_class") == "DROP_INDEX") & (F.col("before_table") == F.col("_it"))
                & (F.col("target_index") == F.col("_in")), "left")
@@ -96,7 +96,7 @@ def diff_summary(changes: DataFrame, migrations: DataFrame) -> DataFrame:
         F.count_if((F.col("object_kind") == "index") & (F.col("change_type") == "removed")).alias("removed_indexes"),
         F.count_if(is_col & (F.col("change_type") == "added") & F.col("breaking")).alias("added_not_null_columns"),
     )
-    m = migrations.select("migration_id").join(agg, "migration_id", "left")
+    m = migrations.select("migration_id").join(agg.hint("merge"), "migration_id", "left")
     counts = ["table_changes", "column_changes", "index_changes", "constraint_changes", "breaking_changes",
               "removed_columns", "removed_indexes", "added_not_null_columns"]
     out = m.select("migration_id", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in counts])

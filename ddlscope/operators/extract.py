@@ -43,9 +43,12 @@ def split_compound_alter(df: DataFrame) -> DataFrame:
     Commas inside quotes or up to three levels of parentheses do not split.
     Other statements pass through as action 0.
     """
-    prefix = F.regexp_extract("stmt", patterns.ALTER_PREFIX, 1)
+    # only an ALTER with a comma can hold several actions; everything else skips the regex
+    is_alter = (F.upper(F.substring("stmt", 1, 5)) == "ALTER") & F.col("stmt").contains(",")
+    prefix = F.when(is_alter, F.regexp_extract("stmt", patterns.ALTER_PREFIX, 1)).otherwise(F.lit(""))
     actions = F.regexp_extract_all(
-        F.regexp_extract("stmt", patterns.ALTER_PREFIX, 2), F.lit(patterns.ACTION), 0)
+        F.when(is_alter, F.regexp_extract("stmt", patterns.ALTER_PREFIX, 2)).otherwise(F.lit("")),
+        F.lit(patterns.ACTION), 0)
     rebuilt = F.filter(
         F.transform(actions, lambda a: F.concat(prefix, py_strip(a))),
         lambda s: F.length(s) > F.length(prefix),
@@ -54,64 +57,157 @@ def split_compound_alter(df: DataFrame) -> DataFrame:
     return df.select("*", F.posexplode(parts).alias("action_pos", "action_sql")).drop("stmt")
 
 
-def _chain(stmt: Column, rows) -> Column:
-    expr = None
-    for cls, pat, *_ in rows:
-        cond = stmt.rlike(pat)
-        expr = F.when(cond, F.lit(cls)) if expr is None else expr.when(cond, F.lit(cls))
-    return expr
-
-
-def classify(stmt: Column) -> Column:
-    """Statement -> operation class, or null for statements that are skipped."""
-    head = F.upper(F.regexp_extract(stmt, r"^\s*([A-Za-z]+)", 1))
-    other = F.when(stmt.rlike(patterns.OTHER_DDL), F.lit("UNKNOWN"))
-    return (
-        F.when(head == "ALTER", F.coalesce(_chain(stmt, patterns.ALTER_PATTERNS), other))
-        .when(head == "CREATE", F.coalesce(_chain(stmt, patterns.CREATE_PATTERNS), other))
-        .when(head == "DROP", F.coalesce(_chain(stmt, patterns.DROP_PATTERNS), other))
-        .when(head == "TRUNCATE",
-              F.when(stmt.rlike(patterns.TRUNCATE_PATTERN), F.lit("TRUNCATE_TABLE")))
-    )
+# Words that may stand between CREATE / DROP and the object keyword.
+_CREATE_MODIFIERS = ["OR", "REPLACE", "GLOBAL", "LOCAL", "TEMP", "TEMPORARY", "UNLOGGED", "UNIQUE", "MATERIALIZED"]
+_DROP_MODIFIERS = ["MATERIALIZED"]
+N_TOKENS = 16
+
+
+def tokens(stmt: Column) -> Column:
+    """First words of a statement (bounded split: cost does not grow with its length).
+
+    '(' is set apart so ``users(email)`` gives ``users``; the last element holds
+    the unsplit rest.
+    """
+    return F.split(F.replace(stmt, F.lit("("), F.lit(" ( ")), r"\s+", N_TOKENS)
+
 
+def _name(tok: Column) -> Column:
+    """Last part of a possibly qualified, possibly quoted name token."""
+    return F.regexp_extract(tok, patterns.NAME_TOKEN, 1)
 
-def _targets(stmt: Column, head: Column, op_class: Column):
-    """P5: (table, column, index) per class from the pattern that matched."""
-    table = col = idx = None
-
-    def add(current, cond, value):
-        return F.when(cond, value) if current is None else current.when(cond, value)
-
-    groups = []
-    for hd, rows in (("ALTER", patterns.ALTER_PATTERNS), ("CREATE", patterns.CREATE_PATTERNS),
-                     ("DROP", patterns.DROP_PATTERNS)):
-        seen = set()
-        for cls, pat, tg, cg, ig in rows:
-            if cls in seen:
-                continue
-            seen.add(cls)
-            groups.append(((head == hd) & (op_class == cls), pat, tg, cg, ig))
-    groups.append((op_class == "TRUNCATE_TABLE", patterns.TRUNCATE_PATTERN, 1, 0, 0))
-    # UNKNOWN from an ALTER TABLE prefix keeps its table; other UNKNOWNs take the object name
-    groups.append(((op_class == "UNKNOWN") & stmt.rlike(patterns.ALTER_T), patterns.ALTER_T, 1, 0, 0))
-    groups.append((op_class == "UNKNOWN", patterns.OTHER_DDL_NAME, 1, 0, 0))
-    for cond, pat, tg, cg, ig in groups:
-        if tg:
-            table = add(table, cond, F.regexp_extract(stmt, pat, tg))
-        if cg:
-            col = add(col, cond, F.regexp_extract(stmt, pat, cg))
-        if ig:
-            idx = add(idx, cond, F.regexp_extract(stmt, pat, ig))
-    return (F.coalesce(table, F.lit("")), null_if_empty(col), null_if_empty(idx))
-
-
-def parser_notes(op_class: Column, stmt: Column) -> tuple[Column, Column, Column, Column]:
-    """Clause flags and the notes the extraction attaches."""
-    has_not_null = stmt.rlike(patterns.NOT_NULL)
-    has_default = stmt.rlike(patterns.DEFAULT)
-    is_concurrent = stmt.rlike(patterns.CONCURRENTLY)
+
+def classify_tokens(df: DataFrame, toks_col: str = "_toks") -> DataFrame:
+    """Add op_class, target_table, target_column, target_index from the leading tokens.
+
+    Mirrors the class order of ``patterns`` (first match wins); statements
+    that are not CREATE / ALTER / DROP / TRUNCATE get a null class (P7).
+    Work is staged in successive projections (positions, then tokens, then
+    classes, then names) so no expression is inlined many times over.
+    """
+    toks = F.col(toks_col)
+    cols = [c for c in df.columns]
+    d = df.select(*cols, F.transform(toks, lambda x: F.upper(x)).alias("_up"))
+    up = F.col("_up")
+
+    def T(i):
+        return F.get(up, i)
+
+    # ---- stage 1: positions ------------------------------------------------
+    p0 = F.when((T(2) == "IF") & (T(3) == "EXISTS"), F.lit(4)).otherwise(F.lit(2))
+    rest = F.slice(up, 2, N_TOKENS - 1)
+    k = F.array_position(F.transform(rest, lambda x: x.isin(*_CREATE_MODIFIERS)), F.lit(False)).cast("int")
+    dk = F.when(T(1).isin(*_DROP_MODIFIERS), F.lit(2)).otherwise(F.lit(1))
+    t0 = F.when(T(1) == "TABLE", F.lit(2)).otherwise(F.lit(1))
+    o0 = F.when((T(1) == "OR") & (T(2) == "REPLACE"), F.lit(3)).otherwise(F.lit(1))
+    d = d.select("*", p0.alias("_p0"), k.alias("_k"), dk.alias("_dk"), t0.alias("_t0"), o0.alias("_o0"),
+                 (F.array_position(up, F.lit("ON")) - 1).cast("int").alias("_on"))
+    p0, k, dk, t0, o0, on = (F.col(c) for c in ("_p0", "_k", "_dk", "_t0", "_o0", "_on"))
+    p = F.when(F.get(up, p0) == "ONLY", p0 + 1).otherwise(p0)
+    n0 = F.when((F.get(up, k + 1) == "IF") & (F.get(up, k + 2) == "NOT") & (F.get(up, k + 3) == "EXISTS"),
+                k + 4).otherwise(k + 1)
+    dd0 = F.when(F.get(up, dk + 1) == "CONCURRENTLY", dk + 2).otherwise(dk + 1)
+    t1 = F.when(F.get(up, t0) == "ONLY", t0 + 1).otherwise(t0)
+    o1 = (F.when((F.get(up, o0 + 1) == "IF") & (F.get(up, o0 + 2) == "EXISTS"), o0 + 3)
+          .when((F.get(up, o0 + 1) == "IF") & (F.get(up, o0 + 2) == "NOT") & (F.get(up, o0 + 3) == "EXISTS"), o0 + 4)
+          .otherwise(o0 + 1))
+    d = d.select("*", p.alias("_p"), n0.alias("_n0"), dd0.alias("_d0"), t1.alias("_t1"), o1.alias("_o1"))
+    p, n0, d0 = F.col("_p"), F.col("_n0"), F.col("_d0")
+    d1 = F.when((F.get(up, d0) == "IF") & (F.get(up, d0 + 1) == "EXISTS"), d0 + 2).otherwise(d0)
+    d = d.select("*", d1.alias("_d1"))
+    d1 = F.col("_d1")
+
+    # ---- stage 2: the tokens that decide ------------------------------------
+    d = d.select(
+        "*", T(0).alias("_head"), T(1).alias("_w1"),
+        *[F.get(up, p + i).alias(f"_a{i}") for i in range(1, 6)],
+        *[F.get(toks, p + i).alias(f"_r{i}") for i in range(0, 7)],
+        F.get(up, k).alias("_obj"), F.get(toks, n0).alias("_cname"),
+        F.get(up, F.col("_dk")).alias("_dobj"), F.get(toks, d1).alias("_dname"),
+        F.get(up, d1 + 1).alias("_don"), F.get(toks, d1 + 2).alias("_dontbl"),
+        F.get(toks, F.col("_t1")).alias("_tname"), F.get(toks, F.col("_o1")).alias("_oname"),
+        F.when(F.get(up, on + 1) == "ONLY", F.get(toks, on + 2)).otherwise(F.get(toks, on + 1)).alias("_ontbl"),
+        F.when((on > k + 1) & ~F.get(up, on - 1).isin("INDEX", "CONCURRENTLY", "EXISTS"),
+               F.get(toks, on - 1)).alias("_idxname"),
+    )
+    a1, a2, a3, a4, a5 = (F.col(f"_a{i}") for i in range(1, 6))
+    r0, r1, r2, r3, r4, r5, r6 = (F.col(f"_r{i}") for i in range(0, 7))
+    head = F.col("_head")
+
+    # ---- stage 3: classes ---------------------------------------------------
+    is_alter_table = (head == "ALTER") & (F.col("_w1") == "TABLE") & r0.isNotNull() & a1.isNotNull()
+    alter_cls = (
+        F.when((a1 == "DROP") & (a2 == "FOREIGN") & (a3 == "KEY"), "DROP_FOREIGN_KEY")
+        .when((a1 == "DROP") & a2.isin("CONSTRAINT", "PRIMARY"), "DROP_CONSTRAINT")
+        .when((a1 == "DROP") & a2.isin("INDEX", "KEY") & a3.isNotNull(), "DROP_INDEX")
+        .when((a1 == "DROP") & a2.isNotNull(), "DROP_COLUMN")
+        .when((a1 == "RENAME") & (a2 == "TO") & a3.isNotNull(), "RENAME_TABLE")
+        .when((a1 == "RENAME") & (((a2 == "COLUMN") & (a4 == "TO")) | ((a2 != "COLUMN") & (a3 == "TO"))),
+              "RENAME_COLUMN")
+        .when(a1.isin("ALTER", "MODIFY", "CHANGE") & a2.isNotNull(), "ALTER_COLUMN")
+        .when((a1 == "ADD") & (((a2 == "FOREIGN") & (a3 == "KEY"))
+                               | ((a2 == "CONSTRAINT") & (a4 == "FOREIGN") & (a5 == "KEY"))), "ADD_FOREIGN_KEY")
+        .when((a1 == "ADD") & a2.isin("CONSTRAINT", "PRIMARY", "UNIQUE", "CHECK", "EXCLUDE"), "ADD_CONSTRAINT")
+        .when((a1 == "ADD") & a2.isin("INDEX", "KEY", "FULLTEXT", "SPATIAL"), "UNKNOWN")
+        .when((a1 == "ADD") & a2.isNotNull(), "ADD_COLUMN")
+        .otherwise("UNKNOWN")
+    )
+    obj, cname = F.col("_obj"), F.col("_cname")
+    create_cls = (F.when((obj == "TABLE") & cname.isNotNull(), "CREATE_TABLE")
+                  .when((obj == "INDEX") & (F.col("_on") > F.col("_k")), "CREATE_INDEX")
+                  .when((obj == "VIEW") & cname.isNotNull(), "CREATE_VIEW")
+                  .otherwise("UNKNOWN"))
+    dobj, dname = F.col("_dobj"), F.col("_dname")
+    drop_cls = (F.when((dobj == "TABLE") & dname.isNotNull(), "DROP_TABLE")
+                .when((dobj == "INDEX") & dname.isNotNull(), "DROP_INDEX")
+                .when((dobj == "VIEW") & dname.isNotNull(), "DROP_VIEW")
+                .otherwise("UNKNOWN"))
+    op_class = (F.when(is_alter_table, alter_cls)
+                .when(head == "CREATE", create_cls)
+                .when(head == "DROP", drop_cls)
+                .when((head == "TRUNCATE") & F.col("_tname").isNotNull(), "TRUNCATE_TABLE")
+                .when(head == "ALTER", "UNKNOWN"))
+    d = d.select("*", is_alter_table.alias("_is_at"), op_class.alias("op_class"))
+    cls, is_at = F.col("op_class"), F.col("_is_at")
+
+    # ---- stage 4: target tokens, then names ----------------------------------
+    drop_col = F.when(a2 == "COLUMN", F.when((a3 == "IF") & (a4 == "EXISTS"), r5).otherwise(r3)) \
+        .otherwise(F.when((a2 == "IF") & (a3 == "EXISTS"), r4).otherwise(r2))
+    add_col = F.when(a2 == "COLUMN", F.when((a3 == "IF") & (a4 == "NOT") & (a5 == "EXISTS"), r6).otherwise(r3)) \
+        .otherwise(F.when((a2 == "IF") & (a3 == "NOT") & (a4 == "EXISTS"), r5).otherwise(r2))
+    column = (F.when(is_at & (cls == "DROP_COLUMN"), drop_col)
+              .when(is_at & cls.isin("RENAME_COLUMN", "ALTER_COLUMN"), F.when(a2 == "COLUMN", r3).otherwise(r2))
+              .when(is_at & (cls == "ADD_COLUMN"), add_col))
+    table = (F.when(is_at, r0)
+             .when((head == "CREATE") & (cls == "CREATE_INDEX"), F.col("_ontbl"))
+             .when((head == "CREATE") & (cls != "UNKNOWN"), cname)
+             .when((head == "DROP") & (cls == "DROP_INDEX"), F.when(F.col("_don") == "ON", F.col("_dontbl")))
+             .when((head == "DROP") & (cls != "UNKNOWN"), dname)
+             .when(head == "TRUNCATE", F.col("_tname"))
+             .otherwise(F.col("_oname")))
+    index = (F.when(is_at & (cls == "DROP_INDEX"), r3)
+             .when(cls == "CREATE_INDEX", F.col("_idxname"))
+             .when((head == "DROP") & (cls == "DROP_INDEX"), dname))
+    d = d.filter(cls.isNotNull()).select(*cols, "op_class", table.alias("_tt"), column.alias("_tc"),
+                                         index.alias("_ti"))
+    return d.select(*cols, "op_class",
+                    F.coalesce(_name(F.col("_tt")), F.lit("")).alias("target_table"),
+                    null_if_empty(_name(F.col("_tc"))).alias("target_column"),
+                    null_if_empty(_name(F.col("_ti"))).alias("target_index"))
+
+
+def parser_notes(op_class: Column, stmt: Column, toks: Column) -> tuple[Column, Column, Column, Column]:
+    """Clause flags and the notes the extraction attaches.
+
+    The NOT NULL / DEFAULT scans only run on ADD_COLUMN statements.
+    """
+    is_add = op_class == "ADD_COLUMN"
+    has_not_null = F.when(is_add, stmt.rlike(patterns.NOT_NULL)).otherwise(F.lit(False))
+    has_default = F.when(is_add, stmt.rlike(patterns.DEFAULT)).otherwise(F.lit(False))
+    up = F.transform(F.slice(toks, 1, 4), lambda x: F.upper(x))
+    is_concurrent = (op_class == "CREATE_INDEX") & F.array_contains(up, "CONCURRENTLY")
     notes = F.filter(F.array(
-        F.when((op_class == "ADD_COLUMN") & has_not_null & ~has_default, F.lit(fixed.NOTE_NOT_NULL_NO_DEFAULT)),
+        F.when(is_add & has_not_null & ~has_default, F.lit(fixed.NOTE_NOT_NULL_NO_DEFAULT)),
         F.when(op_class == "CREATE_INDEX",
                F.when(is_concurrent, F.lit(fixed.NOTE_INDEX_CONCURRENT)).otherwise(F.lit(fixed.NOTE_INDEX_BLOCKING))),
         F.when(op_class == "DROP_TABLE", F.lit(fixed.NOTE_DROP_TABLE)),
@@ -131,15 +227,13 @@ def extract_operations(scripts: DataFrame, keep: list[str] | None = None) -> Dat
     base = scripts.select("migration_id", *keep, dialect.alias("dialect"),
                           strip_comment_lines(F.col("text")).alias("sql"))
     stmts = split_compound_alter(split_statements(base, "sql"))
-    stmt = F.col("action_sql")
-    head = F.upper(F.regexp_extract(stmt, r"^\s*([A-Za-z]+)", 1))
-    with_class = stmts.withColumn("op_class", classify(stmt)).filter(F.col("op_class").isNotNull())
-    table, col, idx = _targets(stmt, head, F.col("op_class"))
-    notes, nn, dflt, conc = parser_notes(F.col("op_class"), stmt)
-    return with_class.select(
-        "migration_id", *keep, "stmt_pos", "action_pos", "op_class",
-        table.alias("target_table"), col.alias("target_column"), idx.alias("target_index"),
-        "dialect", stmt.alias("raw_sql"), notes.alias("parser_notes"),
+    # tokens are computed once (a separate projection is not re-inlined)
+    tok = stmts.select("*", tokens(F.col("action_sql")).alias("_toks"))
+    classified = classify_tokens(tok, "_toks")
+    notes, nn, dflt, conc = parser_notes(F.col("op_class"), F.col("action_sql"), F.col("_toks"))
+    return classified.select(
+        "migration_id", *keep, "stmt_pos", "action_pos", "op_class", "target_table", "target_column",
+        "target_index", "dialect", F.col("action_sql").alias("raw_sql"), notes.alias("parser_notes"),
         nn.alias("has_not_null"), dflt.alias("has_default"), conc.alias("is_concurrent"),
     )
 
@@ -150,7 +244,8 @@ def resolve_index_tables(ops: DataFrame, catalog_indexes: DataFrame) -> DataFram
     The catalogue has one row per index name and schema, so the left join
     cannot fan out; it is pre-aggregated by name to make that explicit.
     """
-    owners = catalog_indexes.groupBy("index_name").agg(F.min("table_name").alias("_owner"))
+    # catalogue-sized (one row per index of the schema): broadcast
+    owners = F.broadcast(catalog_indexes.groupBy("index_name").agg(F.min("table_name").alias("_owner")))
     joined = ops.join(owners, (ops.op_class == "DROP_INDEX") & (ops.target_table == "")
                       & (ops.target_index == owners.index_name), "left")
     return joined.withColumn(

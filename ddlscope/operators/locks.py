@@ -77,7 +77,8 @@ def apply_lock_analysis(ops: DataFrame, table_stats: DataFrame, spark: SparkSess
     if "db_version" not in ops.columns:
         ops = ops.withColumn("db_version", F.lit(14 if db_version is None else db_version).cast("int"))
     # table_stats has one row per table name: the left join cannot fan out
-    stats = table_stats.select(F.col("table_name").alias("_tn"), F.col("row_count").alias("row_count"))
+    # one row per catalogue table: bounded by the schema, not by the data
+    stats = F.broadcast(table_stats.select(F.col("table_name").alias("_tn"), F.col("row_count").alias("row_count")))
     o = ops.join(stats, ops.target_table == stats._tn, "left").drop("_tn")
     o = clause_flags(o, flags).withColumn("_dg", dialect_group(F.col("dialect")))
     rules = F.broadcast(lock_rules(spark))   # fixed 20-row table

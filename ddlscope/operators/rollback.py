@@ -70,7 +70,8 @@ def rollback_summary(ops: DataFrame, migrations: DataFrame) -> DataFrame:
         F.bool_or("data_loss").alias("_loss"),
         F.count(F.lit(1)).alias("n_steps"),
     )
-    m = migrations.select("migration_id").join(agg, "migration_id", "left")
+    # both sides are partitioned by migration_id already: a merge join needs no exchange
+    m = migrations.select("migration_id").join(agg.hint("merge"), "migration_id", "left")
     worst = rank_to_complexity(F.coalesce(F.col("_worst"), F.lit(0)))
     loss = F.coalesce(F.col("_loss"), F.lit(False))
     minutes = None

@@ -51,7 +51,8 @@ def migration_scores(ops: DataFrame, migrations: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set(F.when(F.col("target_table") != "", F.col("target_table"))))
         .alias("affected_tables"),
     )
-    m = migrations.join(agg, "migration_id", "left")
+    # both sides are partitioned by migration_id already: a merge join needs no exchange
+    m = migrations.join(agg.hint("merge"), "migration_id", "left")
     score = F.when(F.col("_n").isNull(), F.lit(0)).otherwise(
         F.least(F.lit(100), F.col("_max") + (F.col("_pos") - 1) * fixed.EXTRA_OP_SCORE)).cast("int")
     out = m.select(

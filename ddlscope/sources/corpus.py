@@ -279,7 +279,10 @@ def migration_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("db/"), db_id.cast("string"), F.lit("/"), file_name).alias("path"),
         file_name.alias("file_name"),
     )
-    return migrations.join(texts, "migration_id", "left").select(
+    # Both sides grow with the data: sort-merge on the key, never a broadcast.
+    # The result is hash-partitioned by migration_id, which every later
+    # per-migration aggregate and join reuses.
+    return migrations.join(texts.hint("merge"), "migration_id", "left").select(
         "migration_id", "db_id", "db_version", "path", "file_name",
         F.concat(F.lit("-- Migration "), F.col("migration_id").cast("string"), F.lit("\n"),
                  F.coalesce(F.col("body"), F.lit(""))).alias("text"),
