@@ -84,6 +84,7 @@ STRING_LITERAL = r"'[^']*'"
 TABLE_REF = r"(?i)\b(?:FROM|JOIN|UPDATE|INTO)\s+([A-Za-z_]\w*)"
 ALIAS_REF = r"(?i)\b(?:FROM|JOIN|UPDATE)\s+[A-Za-z_]\w*\s+(?:AS\s+)?([A-Za-z_]\w*)"
 QUALIFIED_REF = r"\b([A-Za-z_]\w*)\.([A-Za-z_]\w*)\b"
+COLUMN_ALIAS = r"(?i)\bAS\s+([A-Za-z_]\w*)"
 FUNCTION_CALL = r"\b[A-Za-z_]\w*\s*\("
 IDENTIFIER = r"\b([A-Za-z_]\w*)\b"
 # words that are never column names in the logged queries

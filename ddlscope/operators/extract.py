@@ -188,12 +188,17 @@ def classify_tokens(df: DataFrame, toks_col: str = "_toks") -> DataFrame:
     index = (F.when(is_at & (cls == "DROP_INDEX"), r3)
              .when(cls == "CREATE_INDEX", F.col("_idxname"))
              .when((head == "DROP") & (cls == "DROP_INDEX"), dname))
-    d = d.filter(cls.isNotNull()).select(*cols, "op_class", table.alias("_tt"), column.alias("_tc"),
-                                         index.alias("_ti"))
-    return d.select(*cols, "op_class",
-                    F.coalesce(_name(F.col("_tt")), F.lit("")).alias("target_table"),
-                    null_if_empty(_name(F.col("_tc"))).alias("target_column"),
-                    null_if_empty(_name(F.col("_ti"))).alias("target_index"))
+    d = d.select(*cols, "op_class", table.alias("_tt"), column.alias("_tc"), index.alias("_ti"))
+    # Emit through a generator: predicates on the class (here and in every
+    # later stage) cannot be pushed below it, so the optimizer never inlines
+    # the classification into a filter again.
+    found = F.filter(F.array(F.struct(
+        F.col("op_class").alias("op_class"),
+        F.coalesce(_name(F.col("_tt")), F.lit("")).alias("target_table"),
+        null_if_empty(_name(F.col("_tc"))).alias("target_column"),
+        null_if_empty(_name(F.col("_ti"))).alias("target_index"),
+    )), lambda x: x["op_class"].isNotNull())
+    return d.select(*cols, F.inline(found))
 
 
 def parser_notes(op_class: Column, stmt: Column, toks: Column) -> tuple[Column, Column, Column, Column]:

@@ -21,7 +21,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ddlscope.operators import catalog, diff, extract, locks, rollback, scoring
+from ddlscope.operators import catalog, diff, extract, locks, querylog, rollback, scoring
 from ddlscope.sources import corpus
 
 
@@ -94,6 +94,23 @@ class Analysis:
     def diff_summary(self) -> DataFrame:
         return diff.diff_summary(self.changes, self.migrations)
 
+    # ---- query logs ------------------------------------------------------
+    @cached_property
+    def logged_queries(self) -> DataFrame:
+        return querylog.extract_queries(self.query_logs)
+
+    @cached_property
+    def query_refs(self) -> DataFrame:
+        return querylog.with_references(self.logged_queries)
+
+    @cached_property
+    def impacts(self) -> DataFrame:
+        return querylog.match_impacts(self.query_refs, self.changes, self.migrations)
+
+    @cached_property
+    def impact_summary(self) -> DataFrame:
+        return querylog.impact_summary(self.impacts, self.migrations)
+
     def summary(self) -> DataFrame:
         """One row per migration: scores, rollback and diff counts (K6 header)."""
         return (self.scores.join(self.rollback_summary, "migration_id", "left")

@@ -302,3 +302,101 @@ SELECT o.o_orderkey AS migration_id,
   CAST(coalesce(added_not_null_columns, 0) AS BIGINT) AS added_not_null_columns,
   coalesce(breaking_changes, 0) > 0 AS has_breaking_changes
 FROM orders o LEFT JOIN agg a ON a.migration_id = o.o_orderkey"""
+
+
+def _query_ctes() -> str:
+    return f"""
+eq AS ({corpus.expected_queries_sql()}),
+dq AS (
+  SELECT log_id, query, any_value(event_type) AS event_type,
+         arg_min(chunk_id, chunk_id * 1000000 + pos) AS first_chunk,
+         arg_min(pos, chunk_id * 1000000 + pos) AS first_pos, count(*) AS frequency
+  FROM eq GROUP BY log_id, query),
+rq AS (SELECT dq.log_id, dq.query, rv.table_key, rv.column_name
+       FROM dq JOIN (SELECT * FROM {corpus.expected_refs_values_sql()}) AS rv USING (event_type))"""
+
+
+def query_log_sql() -> str:
+    return f"""WITH {_query_ctes()}
+SELECT log_id, query, first_chunk, first_pos, frequency FROM dq"""
+
+
+def query_refs_sql() -> str:
+    return f"""WITH {_query_ctes()}
+SELECT log_id, query, table_key, column_name FROM rq"""
+
+
+def _impacts_cte() -> str:
+    lim = fixed.QUERY_TEXT_LIMIT
+
+    def desc(tpl, col, table):
+        return f"replace(replace({_q(tpl)}, '{{col}}', {col}), '{{table}}', {table})"
+
+    idx_desc = f"replace(replace({_q(fixed.IMPACT_INDEX_MISSING)}, '{{index}}', i.index_name), '{{table}}', k.key)"
+    return f"""
+keys AS (SELECT DISTINCT log_id, query, table_key FROM rq WHERE table_key <> '*'),
+colref AS (
+  SELECT log_id, query, lower(table_key) AS tkey, column_name AS col FROM rq
+  WHERE table_key <> '*' AND column_name IS NOT NULL
+  UNION ALL
+  SELECT s.log_id, s.query, lower(k.table_key) AS tkey, s.column_name AS col
+  FROM rq s JOIN keys k USING (log_id, query) WHERE s.table_key = '*'),
+chg AS (
+  SELECT DISTINCT e.migration_id, m.db_id,
+    CASE e.op_class WHEN 'DROP_COLUMN' THEN 'removed' WHEN 'RENAME_COLUMN' THEN 'renamed' ELSE 'type_changed' END
+      AS change_type,
+    lower(e.target_table) AS ctable, lower(coalesce(e.target_column, '')) AS ccol
+  FROM eops e JOIN mig m USING (migration_id)
+  WHERE e.op_class IN ('DROP_COLUMN', 'RENAME_COLUMN', 'ALTER_COLUMN')),
+ci AS (
+  SELECT c.migration_id, r.log_id, left(r.query, {lim}) AS query,
+    CASE c.change_type WHEN 'removed' THEN 'column_missing' WHEN 'renamed' THEN 'column_renamed'
+         ELSE 'type_mismatch' END AS impact_type,
+    CASE c.change_type WHEN 'removed' THEN 'critical' WHEN 'renamed' THEN 'high' ELSE 'medium' END AS severity,
+    CASE c.change_type WHEN 'removed' THEN {desc(fixed.IMPACT_COLUMN_MISSING, 'r.col', 'r.tkey')}
+         WHEN 'renamed' THEN {desc(fixed.IMPACT_COLUMN_RENAMED, 'r.col', 'r.tkey')}
+         ELSE {desc(fixed.IMPACT_TYPE_MISMATCH, 'r.col', 'r.tkey')} END AS description,
+    r.tkey AS affected_table, r.col AS affected_column
+  FROM colref r JOIN chg c ON c.db_id = r.log_id AND c.ctable = r.tkey AND c.ccol = lower(r.col)),
+idx AS (
+  SELECT e.migration_id, m.db_id, lower(e.target_table) AS itable, coalesce(e.target_index, '') AS index_name,
+         coalesce(lower(ic.cols), '') AS icols
+  FROM eops e JOIN mig m USING (migration_id)
+  LEFT JOIN {_index_values_sql()} ON ic.table_name = e.target_table AND ic.index_name = e.target_index
+  WHERE e.op_class = 'DROP_INDEX'),
+kc AS (
+  SELECT log_id, query, table_key AS key,
+         coalesce(list(column_name) FILTER (WHERE column_name IS NOT NULL), []) AS cols
+  FROM rq WHERE table_key <> '*' GROUP BY log_id, query, table_key),
+ii AS (
+  SELECT i.migration_id, k.log_id, left(k.query, {lim}) AS query, 'index_missing' AS impact_type,
+         'medium' AS severity, {idx_desc} AS description, k.key AS affected_table,
+         CAST(NULL AS VARCHAR) AS affected_column
+  FROM kc k JOIN idx i ON i.db_id = k.log_id AND i.itable = lower(k.key)
+  WHERE i.icols = '' OR len(k.cols) = 0 OR len(list_intersect(k.cols, string_split(i.icols, ','))) > 0),
+imp AS (SELECT * FROM ci UNION ALL SELECT * FROM ii)"""
+
+
+def query_impacts_sql() -> str:
+    return f"""WITH {base_ctes()}, {_query_ctes()}, {_impacts_cte()}
+SELECT * FROM imp"""
+
+
+def impact_summary_sql() -> str:
+    return f"""WITH {base_ctes()}, {_query_ctes()}, {_impacts_cte()},
+agg AS (
+  SELECT migration_id, count(*) AS n,
+    count(*) FILTER (WHERE impact_type = 'column_missing') AS column_missing,
+    count(*) FILTER (WHERE impact_type = 'column_renamed') AS column_renamed,
+    count(*) FILTER (WHERE impact_type = 'type_mismatch') AS type_mismatch,
+    count(*) FILTER (WHERE impact_type = 'index_missing') AS index_missing,
+    max(CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END)
+      AS worst
+  FROM imp GROUP BY migration_id)
+SELECT m.migration_id, CAST(coalesce(n, 0) AS BIGINT) AS n_impacts,
+  CAST(coalesce(column_missing, 0) AS BIGINT) AS column_missing,
+  CAST(coalesce(column_renamed, 0) AS BIGINT) AS column_renamed,
+  CAST(coalesce(type_mismatch, 0) AS BIGINT) AS type_mismatch,
+  CAST(coalesce(index_missing, 0) AS BIGINT) AS index_missing,
+  CASE worst WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' END AS worst_impact
+FROM mig m LEFT JOIN agg a USING (migration_id)"""

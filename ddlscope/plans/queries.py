@@ -87,6 +87,28 @@ def q_diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _a(spark, sf_dir).diff_summary
 
 
+def q_query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q1-Q4: distinct logged queries per log with first position and frequency."""
+    return _a(spark, sf_dir).logged_queries
+
+
+def q_query_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q5: table / column references of every distinct logged query."""
+    from ddlscope.operators.querylog import references_long
+
+    return references_long(_a(spark, sf_dir).query_refs, ["log_id", "query"])
+
+
+def q_query_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q6-Q11: queries each migration breaks or slows down."""
+    return _a(spark, sf_dir).impacts
+
+
+def q_impact_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Impact counts and worst severity per migration."""
+    return _a(spark, sf_dir).impact_summary
+
+
 def q_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every migration (the minimum end-to-end slice)."""
     s = _a(spark, sf_dir).scores
@@ -104,6 +126,10 @@ QUERIES = {
     "q_rewrite_worklist": q_rewrite_worklist,
     "q_schema_changes": q_schema_changes,
     "q_diff_summary": q_diff_summary,
+    "q_query_log": q_query_log,
+    "q_query_refs": q_query_refs,
+    "q_query_impacts": q_query_impacts,
+    "q_impact_summary": q_impact_summary,
 }
 
 
@@ -121,4 +147,8 @@ def oracle_sql() -> dict[str, str]:
         "q_rewrite_worklist": oracle.rewrite_worklist_sql(),
         "q_schema_changes": oracle.schema_changes_sql(),
         "q_diff_summary": oracle.diff_summary_sql(),
+        "q_query_log": oracle.query_log_sql(),
+        "q_query_refs": oracle.query_refs_sql(),
+        "q_query_impacts": oracle.query_impacts_sql(),
+        "q_impact_summary": oracle.impact_summary_sql(),
     }

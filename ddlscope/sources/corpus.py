@@ -145,7 +145,7 @@ VARIANTS = {
 }
 
 # ---------------------------------------------------------------------------
-# Logged query templates by event_type; {p} = cast(value as bigint) % 4.
+# Logged query templates by event_type; {p} = floor(value) % 4.
 # ``refs`` are the (table key, column) references a parser reports for the
 # query: table keys as written (aliases are keys too), None column = table
 # scanned, '*' = unqualified column.
@@ -291,7 +291,7 @@ def migration_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def query_sql(dialect: str = "spark") -> str:
     """CASE expression giving the logged query (no terminator) of an event."""
-    p = f"CAST(CAST(value AS BIGINT) % {QUERY_PARAM_MOD} AS {'STRING' if dialect == 'spark' else 'VARCHAR'})"
+    p = f"CAST(CAST(floor(value) AS BIGINT) % {QUERY_PARAM_MOD} AS {'STRING' if dialect == 'spark' else 'VARCHAR'})"
     whens = []
     for et, (text, _) in QUERY_TEMPLATES.items():
         pieces = re.split(r"(\{p\})", text)
