@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ddlscope.operators import catalog, diff, extract, locks, querylog, rollback, scoring
 from ddlscope.sources import corpus
+from ddlscope.sources.files import infer_dialect
 
 
 @dataclass
@@ -57,8 +58,11 @@ class Analysis:
     # ---- operations ----------------------------------------------------
     @cached_property
     def migrations(self) -> DataFrame:
-        keep = [c for c in ("db_id", "db_version", "file_name") if c in self.scripts.columns]
-        return self.scripts.select("migration_id", *keep)
+        keep = [c for c in ("db_id", "db_version", "file_name", "dialect") if c in self.scripts.columns]
+        m = self.scripts.select("migration_id", *keep)
+        if "dialect" not in m.columns and "file_name" in m.columns:
+            m = m.withColumn("dialect", infer_dialect(F.col("file_name")))
+        return m
 
     @cached_property
     def extracted(self) -> DataFrame:

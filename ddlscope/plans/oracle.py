@@ -400,3 +400,92 @@ SELECT m.migration_id, CAST(coalesce(n, 0) AS BIGINT) AS n_impacts,
   CAST(coalesce(index_missing, 0) AS BIGINT) AS index_missing,
   CASE worst WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' END AS worst_impact
 FROM mig m LEFT JOIN agg a USING (migration_id)"""
+
+
+def fk_orphans_sql() -> str:
+    parts = []
+    for child, col, parent, pcol in corpus.FOREIGN_KEYS:
+        parts.append(
+            f"SELECT '{child}.{col}->{parent}.{pcol}' AS fk_name, '{child}' AS child_table, '{col}' AS child_column, "
+            f"'{parent}' AS parent_table, count(*) AS child_rows, "
+            f"count(*) FILTER (WHERE c.{col} IS NOT NULL AND NOT EXISTS "
+            f"(SELECT 1 FROM {parent} p WHERE p.{pcol} = c.{col})) AS orphan_rows FROM {child} c")
+    return " UNION ALL ".join(parts)
+
+
+def constraint_violations_sql() -> str:
+    parts = []
+    for t, keys in corpus.PRIMARY_KEYS.items():
+        k = ", ".join(keys)
+        parts.append(
+            f"SELECT '{t}' AS table_name, 'primary_key({','.join(keys)})' AS check_name, "
+            f"CAST(coalesce(sum(n), 0) AS BIGINT) AS violating_rows, count(*) AS violating_keys "
+            f"FROM (SELECT {k}, count(*) AS n FROM {t} GROUP BY {k} HAVING count(*) > 1)")
+    for t, cols in corpus.NOT_NULL_COLUMNS.items():
+        for c in cols:
+            parts.append(
+                f"SELECT '{t}' AS table_name, 'not_null({c})' AS check_name, "
+                f"count(*) FILTER (WHERE {c} IS NULL) AS violating_rows, "
+                f"count(*) FILTER (WHERE {c} IS NULL) AS violating_keys FROM {t}")
+    return " UNION ALL ".join(parts)
+
+
+def cast_audit_sql() -> str:
+    parts = []
+    for t, cols in corpus.CATALOG_COLUMNS.items():
+        for c, cls in zip(cols, corpus.TYPE_CLASS[t]):
+            if cls == "num":
+                target = "NUMERIC(18,4)"
+                lossy = f"abs(CAST({c} AS DOUBLE)) >= 1e14 OR round(CAST({c} AS DOUBLE), 4) <> CAST({c} AS DOUBLE)"
+            elif cls == "str":
+                target, lossy = "VARCHAR(100)", f"length({c}) > 100"
+            else:
+                target, lossy = "DATE", f"date_trunc('day', {c}) <> {c}"
+            parts.append(
+                f"SELECT '{t}' AS table_name, '{c}' AS column_name, '{target}' AS target_type, "
+                f"count({c}) AS non_null_rows, count(*) FILTER (WHERE {c} IS NOT NULL AND ({lossy})) AS lossy_rows "
+                f"FROM {t}")
+    return " UNION ALL ".join(parts)
+
+
+def not_null_nonempty_sql() -> str:
+    return f"""WITH {base_ctes()}
+SELECT migration_id, stmt_pos, action_pos, target_table, target_column, row_count,
+       coalesce(row_count > 0, FALSE) AS will_fail
+FROM lk WHERE op_class = 'ADD_COLUMN' AND parser_notes = {_q(fixed.NOTE_NOT_NULL_NO_DEFAULT)}"""
+
+
+def file_names_sql() -> str:
+    names = "[" + ", ".join(_q(n) for n in corpus.DIALECT_FILES) + "]"
+    hints = " OR ".join(f"contains(lower(file_name), {_q(h)})" for h in fixed.MIGRATION_NAME_HINTS)
+
+    def infer(x):
+        whens = " ".join(f"WHEN contains(lower({x}), {_q(h)}) THEN {_q(d)}" for h, d in fixed.DIALECT_BY_NAME)
+        return f"CASE {whens} ELSE {_q(fixed.DEFAULT_DIALECT)} END"
+
+    return f"""WITH f AS (
+  SELECT o_orderkey AS migration_id, o_custkey // {corpus.DB_PER_CUSTOMER_DIV} AS db_id,
+         'V' || CAST(o_orderkey AS VARCHAR) || '__'
+           || list_extract({names}, CAST(o_orderkey % {len(corpus.DIALECT_FILES)} AS INTEGER) + 1) || '.sql' AS file_name
+  FROM orders)
+SELECT migration_id, 'db/' || CAST(db_id AS VARCHAR) || '/' || file_name AS path, file_name,
+       {infer('file_name')} AS dialect, {infer("'db/' || CAST(db_id AS VARCHAR) || '/' || file_name")} AS dialect_by_path,
+       ({hints}) AS is_migration_file
+FROM f"""
+
+
+def report_columns_sql() -> str:
+    risk = " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in fixed.RISK_EMOJI.items())
+    rbk = " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in fixed.ROLLBACK_EMOJI.items())
+    full = "CAST(floor(overall_score / 5) AS INTEGER)"
+    return f"""WITH {base_ctes()}
+SELECT sc.migration_id, stmt_pos, action_pos,
+  CASE WHEN dmin IS NOT NULL AND dmax IS NOT NULL THEN
+    CASE WHEN dmax < {fixed.INSTANT_BELOW_MINUTES} THEN {_q(fixed.INSTANT_DURATION)}
+         ELSE printf('%.1f–%.1f minutes', dmin, dmax) END END AS duration_label,
+  CASE risk_level {risk} ELSE {_q(fixed.UNKNOWN_EMOJI)} END AS risk_badge,
+  CASE rollback_complexity {rbk} ELSE {_q(fixed.UNKNOWN_EMOJI)} END AS rollback_badge,
+  '[' || repeat({_q(fixed.SCORE_BAR_FULL)}, greatest({full}, 0))
+      || repeat({_q(fixed.SCORE_BAR_EMPTY)}, greatest({fixed.SCORE_BAR_WIDTH} - {full}, 0))
+      || '] ' || CAST(overall_score AS VARCHAR) || '/100' AS score_bar
+FROM sc JOIN ms USING (migration_id)"""

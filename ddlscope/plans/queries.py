@@ -20,8 +20,15 @@ def _key():
             F.col("action_pos").cast("long").alias("action_pos")]
 
 
+_ANALYSES: dict = {}
+
+
 def _a(spark: SparkSession, sf_dir: str) -> Analysis:
-    return Analysis.from_tables(spark, sf_dir)
+    """One lazily built Analysis per (session, input folder); its DataFrames are reused."""
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir)
+    if key not in _ANALYSES:
+        _ANALYSES[key] = Analysis.from_tables(spark, sf_dir)
+    return _ANALYSES[key]
 
 
 def q_extract_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,6 +116,69 @@ def q_impact_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _a(spark, sf_dir).impact_summary
 
 
+def q_fk_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1: child rows without a parent for every declared foreign key."""
+    from ddlscope.operators.checks import fk_orphans
+    from ddlscope.sources.corpus import FOREIGN_KEYS
+
+    return fk_orphans(spark, sf_dir, FOREIGN_KEYS)
+
+
+def q_constraint_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V2: primary-key duplicates and NOT NULL violations of the catalogue tables."""
+    from ddlscope.operators.checks import constraint_violations
+    from ddlscope.sources.corpus import NOT_NULL_COLUMNS, PRIMARY_KEYS
+
+    return constraint_violations(spark, sf_dir, PRIMARY_KEYS, NOT_NULL_COLUMNS)
+
+
+def q_cast_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V3: values a type change would alter, per catalogue column."""
+    from ddlscope.operators.checks import cast_audit
+    from ddlscope.sources.corpus import CATALOG_COLUMNS
+
+    return cast_audit(spark, sf_dir, CATALOG_COLUMNS)
+
+
+def q_not_null_nonempty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V4: NOT NULL additions without DEFAULT on tables that have rows."""
+    from ddlscope.operators.checks import not_null_nonempty
+
+    return not_null_nonempty(_a(spark, sf_dir).ops)
+
+
+def q_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S2 + S3: dialect from the base name and from the whole path; migration-file test."""
+    from ddlscope.sources.files import infer_dialect, is_migration_file
+
+    s = _a(spark, sf_dir).scripts
+    return s.select("migration_id", "path", "file_name",
+                    infer_dialect(F.col("path"), scope="name").alias("dialect"),
+                    infer_dialect(F.col("path"), scope="path").alias("dialect_by_path"),
+                    is_migration_file(F.col("path")).alias("is_migration_file"))
+
+
+def q_report_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duration label, badges and score bar of every operation."""
+    from ddlscope.plans.report import report_columns
+
+    return report_columns(_a(spark, sf_dir))
+
+
+def q_markdown_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown report lines of every migration, with their order key."""
+    from ddlscope.plans.report import markdown_lines
+
+    return markdown_lines(_a(spark, sf_dir))
+
+
+def q_json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON records (report, operation, impact) of every migration, with their order key."""
+    from ddlscope.plans.report import json_records
+
+    return json_records(_a(spark, sf_dir))
+
+
 def q_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every migration (the minimum end-to-end slice)."""
     s = _a(spark, sf_dir).scores
@@ -130,6 +200,14 @@ QUERIES = {
     "q_query_refs": q_query_refs,
     "q_query_impacts": q_query_impacts,
     "q_impact_summary": q_impact_summary,
+    "q_fk_orphans": q_fk_orphans,
+    "q_constraint_violations": q_constraint_violations,
+    "q_cast_audit": q_cast_audit,
+    "q_not_null_nonempty": q_not_null_nonempty,
+    "q_file_names": q_file_names,
+    "q_report_columns": q_report_columns,
+    "q_markdown_report": q_markdown_report,
+    "q_json_report": q_json_report,
 }
 
 
@@ -151,4 +229,10 @@ def oracle_sql() -> dict[str, str]:
         "q_query_refs": oracle.query_refs_sql(),
         "q_query_impacts": oracle.query_impacts_sql(),
         "q_impact_summary": oracle.impact_summary_sql(),
+        "q_fk_orphans": oracle.fk_orphans_sql(),
+        "q_constraint_violations": oracle.constraint_violations_sql(),
+        "q_cast_audit": oracle.cast_audit_sql(),
+        "q_not_null_nonempty": oracle.not_null_nonempty_sql(),
+        "q_file_names": oracle.file_names_sql(),
+        "q_report_columns": oracle.report_columns_sql(),
     }

@@ -78,13 +78,28 @@ INDEXES = {
     "region": [("idx_region_name", ["r_name"])],
     "events": [("idx_events_user", ["user_id"]), ("idx_events_ts", ["ts"]), ("idx_events_type", ["event_type"])],
 }
+# columns declared NOT NULL in the schema dump: key and foreign-key columns
+NOT_NULL_COLUMNS = {t: [c for c in CATALOG_COLUMNS[t]
+                        if c in PRIMARY_KEYS[t] or any(fk[0] == t and fk[1] == c for fk in FOREIGN_KEYS)]
+                    for t in CATALOG_TABLES}
+# type class of each catalogue column in the driver's parquet files
+TYPE_CLASS = {
+    "orders": ["num", "num", "str", "num", "ts", "str"],
+    "lineitem": ["num", "num", "num", "num", "num", "num", "num", "num", "str", "str", "ts"],
+    "customer": ["num", "str", "num", "num", "str"],
+    "part": ["num", "str", "str", "str", "num", "num"],
+    "supplier": ["num", "str", "num", "num"],
+    "nation": ["num", "str", "num"],
+    "region": ["num", "str"],
+    "events": ["num", "ts", "num", "str", "num", "str"],
+}
 DEFAULTS = {"o_orderstatus": "'O'", "p_size": "0", "event_type": "'view'"}
 FK_PARENT = {"orders": "customer", "lineitem": "orders", "customer": "nation", "part": "supplier",
              "supplier": "nation", "nation": "region", "region": "nation", "events": "customer"}
 
 N_TEMPLATES = 17
 N_VARIANTS = 5
-DIALECT_FILES = ["migration", "mysql_migration", "sqlite_migration", "mssql_migration"]
+DIALECT_FILES = ["migration", "mysql_migration", "sqlite_changes", "mssql_migration"]
 DB_PER_CUSTOMER_DIV = 10
 LOG_CHUNK = 4096
 
