@@ -6,9 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+WHITESPACE = " \t\n\r\x0b\x0c"
+
+
 def py_strip(c: Column) -> Column:
-    """Remove leading/trailing whitespace of any kind (SQL trim only removes spaces)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Remove leading/trailing whitespace (space, tab, newline, CR, VT, FF — Java's \\s).
+
+    Plain SQL ``trim`` only removes spaces; a trim set keeps it a string scan.
+    """
+    return F.trim(c, F.lit(WHITESPACE))
 
 
 def null_if_empty(c: Column) -> Column:

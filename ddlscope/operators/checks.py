@@ -119,8 +119,7 @@ def not_null_nonempty(ops: DataFrame) -> DataFrame:
 
     ``ops`` must carry ``row_count`` (from the lock stage).
     """
-    danger = F.exists(F.coalesce("parser_notes", F.array().cast("array<string>")),
-                      lambda n: n == fixed.NOTE_NOT_NULL_NO_DEFAULT)
+    danger = F.coalesce(F.array_contains("parser_notes", fixed.NOTE_NOT_NULL_NO_DEFAULT), F.lit(False))
     return ops.filter((F.col("op_class") == "ADD_COLUMN") & danger).select(
         "migration_id", F.col("stmt_pos").cast("long").alias("stmt_pos"),
         F.col("action_pos").cast("long").alias("action_pos"), "target_table", "target_column", "row_count",

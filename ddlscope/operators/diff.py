@@ -51,8 +51,8 @@ def schema_changes(ops: DataFrame, catalog_columns: DataFrame, catalog_indexes:
 
     cls = F.col("op_class")
     col_or_empty = F.coalesce(F.col("target_column"), F.lit(""))
-    has_danger = F.exists(F.coalesce("parser_notes", F.array().cast("array<string>")),
-                          lambda n: n.contains("NOT NULL"))
+    has_danger = F.array_join(F.coalesce("parser_notes", F.array().cast("array<string>")), "\u0001") \
+        .contains("NOT NULL")
     kind = (F.when(cls.isin(*_COLUMN_CHANGE), "column").when(cls.isin(*_TABLE_CHANGE), "table")
             .when(cls.isin("CREATE_INDEX", "DROP_INDEX"), "index").otherwise("constraint"))
     change_type = F.coalesce(_case(cls, _COLUMN_CHANGE), _case(cls, _TABLE_CHANGE),

@@ -24,15 +24,16 @@ from ddlscope.sources.files import infer_dialect
 
 def strip_comment_lines(text: Column) -> Column:
     """Drop lines whose trimmed text starts with ``--``."""
-    return F.regexp_replace(text, patterns.COMMENT_LINE, "")
+    return F.when(text.contains("--"), F.regexp_replace(text, patterns.COMMENT_LINE, "")).otherwise(text)
 
 
 def split_statements(df: DataFrame, text_col: str = "sql") -> DataFrame:
     """One row per non-blank statement; ``;`` inside quotes does not split."""
-    out = df.select(
-        "*", F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(patterns.STATEMENT), 0))
-        .alias("stmt_pos", "stmt_raw"),
-    ).drop(text_col)
+    text = F.col(text_col)
+    # without quotes a plain split gives the same pieces as the quote-aware pattern
+    pieces = F.when(text.contains("'"), F.regexp_extract_all(text, F.lit(patterns.STATEMENT), 0)) \
+        .otherwise(F.array_remove(F.split(text, ";"), ""))
+    out = df.select("*", F.posexplode(pieces).alias("stmt_pos", "stmt_raw")).drop(text_col)
     out = out.withColumn("stmt", py_strip(F.col("stmt_raw"))).drop("stmt_raw")
     return out.filter(F.length("stmt") > 0)
 
@@ -86,17 +87,17 @@ def classify_tokens(df: DataFrame, toks_col: str = "_toks") -> DataFrame:
     classes, then names) so no expression is inlined many times over.
     """
     toks = F.col(toks_col)
-    cols = [c for c in df.columns]
-    d = df.select(*cols, F.transform(toks, lambda x: F.upper(x)).alias("_up"))
+    cols = [c for c in df.columns if c != "_up"]
     up = F.col("_up")
+    d = df
 
     def T(i):
         return F.get(up, i)
 
     # ---- stage 1: positions ------------------------------------------------
     p0 = F.when((T(2) == "IF") & (T(3) == "EXISTS"), F.lit(4)).otherwise(F.lit(2))
-    rest = F.slice(up, 2, N_TOKENS - 1)
-    k = F.array_position(F.transform(rest, lambda x: x.isin(*_CREATE_MODIFIERS)), F.lit(False)).cast("int")
+    first_obj = F.get(F.array_except(F.slice(up, 2, 6), F.array(*[F.lit(m) for m in _CREATE_MODIFIERS])), 0)
+    k = (F.array_position(up, first_obj) - 1).cast("int")
     dk = F.when(T(1).isin(*_DROP_MODIFIERS), F.lit(2)).otherwise(F.lit(1))
     t0 = F.when(T(1) == "TABLE", F.lit(2)).otherwise(F.lit(1))
     o0 = F.when((T(1) == "OR") & (T(2) == "REPLACE"), F.lit(3)).otherwise(F.lit(1))
@@ -188,20 +189,20 @@ def classify_tokens(df: DataFrame, toks_col: str = "_toks") -> DataFrame:
     index = (F.when(is_at & (cls == "DROP_INDEX"), r3)
              .when(cls == "CREATE_INDEX", F.col("_idxname"))
              .when((head == "DROP") & (cls == "DROP_INDEX"), dname))
-    d = d.select(*cols, "op_class", table.alias("_tt"), column.alias("_tc"), index.alias("_ti"))
+    d = d.select(*cols, "_up", "op_class", table.alias("_tt"), column.alias("_tc"), index.alias("_ti"))
     # Emit through a generator: predicates on the class (here and in every
     # later stage) cannot be pushed below it, so the optimizer never inlines
     # the classification into a filter again.
-    found = F.filter(F.array(F.struct(
+    found = F.array_compact(F.array(F.when(F.col("op_class").isNotNull(), F.struct(
         F.col("op_class").alias("op_class"),
         F.coalesce(_name(F.col("_tt")), F.lit("")).alias("target_table"),
         null_if_empty(_name(F.col("_tc"))).alias("target_column"),
         null_if_empty(_name(F.col("_ti"))).alias("target_index"),
-    )), lambda x: x["op_class"].isNotNull())
-    return d.select(*cols, F.inline(found))
+    ))))
+    return d.select(*cols, "_up", F.inline(found))
 
 
-def parser_notes(op_class: Column, stmt: Column, toks: Column) -> tuple[Column, Column, Column, Column]:
+def parser_notes(op_class: Column, stmt: Column, up: Column) -> tuple[Column, Column, Column, Column]:
     """Clause flags and the notes the extraction attaches.
 
     The NOT NULL / DEFAULT scans only run on ADD_COLUMN statements.
@@ -209,15 +210,14 @@ def parser_notes(op_class: Column, stmt: Column, toks: Column) -> tuple[Column,
     is_add = op_class == "ADD_COLUMN"
     has_not_null = F.when(is_add, stmt.rlike(patterns.NOT_NULL)).otherwise(F.lit(False))
     has_default = F.when(is_add, stmt.rlike(patterns.DEFAULT)).otherwise(F.lit(False))
-    up = F.transform(F.slice(toks, 1, 4), lambda x: F.upper(x))
-    is_concurrent = (op_class == "CREATE_INDEX") & F.array_contains(up, "CONCURRENTLY")
-    notes = F.filter(F.array(
+    is_concurrent = (op_class == "CREATE_INDEX") & F.array_contains(F.slice(up, 1, 4), "CONCURRENTLY")
+    notes = F.array_compact(F.array(
         F.when(is_add & has_not_null & ~has_default, F.lit(fixed.NOTE_NOT_NULL_NO_DEFAULT)),
         F.when(op_class == "CREATE_INDEX",
                F.when(is_concurrent, F.lit(fixed.NOTE_INDEX_CONCURRENT)).otherwise(F.lit(fixed.NOTE_INDEX_BLOCKING))),
         F.when(op_class == "DROP_TABLE", F.lit(fixed.NOTE_DROP_TABLE)),
         F.when(op_class == "TRUNCATE_TABLE", F.lit(fixed.NOTE_TRUNCATE)),
-    ), lambda x: x.isNotNull())
+    ))
     return notes, has_not_null, has_default, is_concurrent
 
 
@@ -233,9 +233,10 @@ def extract_operations(scripts: DataFrame, keep: list[str] | None = None) -> Dat
                           strip_comment_lines(F.col("text")).alias("sql"))
     stmts = split_compound_alter(split_statements(base, "sql"))
     # tokens are computed once (a separate projection is not re-inlined)
-    tok = stmts.select("*", tokens(F.col("action_sql")).alias("_toks"))
+    tok = stmts.select("*", tokens(F.col("action_sql")).alias("_toks"),
+                       tokens(F.upper(F.col("action_sql"))).alias("_up"))
     classified = classify_tokens(tok, "_toks")
-    notes, nn, dflt, conc = parser_notes(F.col("op_class"), F.col("action_sql"), F.col("_toks"))
+    notes, nn, dflt, conc = parser_notes(F.col("op_class"), F.col("action_sql"), F.col("_up"))
     return classified.select(
         "migration_id", *keep, "stmt_pos", "action_pos", "op_class", "target_table", "target_column",
         "target_index", "dialect", F.col("action_sql").alias("raw_sql"), notes.alias("parser_notes"),

@@ -43,9 +43,11 @@ def clause_flags(ops: DataFrame, flags: str = "notes") -> DataFrame:
     """
     notes = F.coalesce(F.col("parser_notes"), F.array().cast("array<string>"))
     if flags == "notes":
-        d = F.exists(notes, lambda n: F.lower(n).contains("default"))
-        n = F.exists(notes, lambda n: n.contains("NOT NULL"))
-        c = F.exists(notes, lambda n: F.upper(n).contains("CONCURRENTLY FLAG"))
+        # any note containing ...: the notes joined by a separator no pattern spans
+        joined = F.array_join(notes, "\u0001")
+        d = F.lower(joined).contains("default")
+        n = joined.contains("NOT NULL")
+        c = F.upper(joined).contains("CONCURRENTLY FLAG")
     elif flags == "clause":
         d, n, c = F.col("has_default"), F.col("has_not_null"), F.col("is_concurrent")
     else:
@@ -107,7 +109,7 @@ def apply_lock_analysis(ops: DataFrame, table_stats: DataFrame, spark: SparkSess
     )
     large_note = F.when(F.col("large_note") & (rows > fixed.LARGE_TABLE_ROWS),
                         fill(fixed.LOCK_NOTE_LARGE_TABLE, rows=F.format_number(rows, 0)))
-    lock_notes = F.when(matched, F.filter(F.array(rule_note, size_note, large_note), lambda x: x.isNotNull())) \
+    lock_notes = F.when(matched, F.array_compact(F.array(rule_note, size_note, large_note))) \
         .otherwise(F.array(F.lit(fixed.LOCK_NOTE_FALLBACK)))
     out = j.select(
         *[F.col(c) for c in o.columns if not c.startswith("_")],

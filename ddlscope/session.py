@@ -35,6 +35,10 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("DDLSCOPE_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # the JIT does not compile methods over 8 KB of bytecode; a whole-stage
+        # method that large (the wide CASE projections of the classifier) runs
+        # interpreted.  Past this limit Spark falls back to split expression code.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -64,5 +68,16 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
+_READS: dict = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str):
-    return spark.read.parquet(table_path(sf_dir, name))
+    """Parquet table as a DataFrame; one relation per (session, path) is reused.
+
+    Listing files and reading footers is driver work that every derived
+    input would otherwise repeat; the DataFrame itself is lazy.
+    """
+    key = (spark.sparkContext.applicationId, table_path(sf_dir, name))
+    if key not in _READS:
+        _READS[key] = spark.read.parquet(table_path(sf_dir, name))
+    return _READS[key]
