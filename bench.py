@@ -57,6 +57,7 @@ def main() -> None:
         runs = []
         for _ in range(repeat):
             Q._ANALYSES.clear()                # every run builds its plan from scratch
+            spark.catalog.clearCache()         # and reuses nothing a previous run persisted
             runs.append(_run(lambda: Q.QUERIES[name](spark, sf_dir)))
         times[name] = round(statistics.median(runs), 3)
 

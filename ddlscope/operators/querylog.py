@@ -20,6 +20,7 @@ boundary, so no log has to pass through one task.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -138,6 +139,9 @@ def match_impacts(refs: DataFrame, changes: DataFrame, migrations: DataFrame) ->
     impact_type, severity, description, affected_table, affected_column.
     """
     qid = ["log_id", "query"]
+    # column and index matching both read the changes: keep them once for the
+    # job (spillable; lost blocks are recomputed from lineage)
+    changes = changes.filter(F.col("object_kind").isin("column", "index")).persist(StorageLevel.MEMORY_AND_DISK)
     cols = expanded_column_refs(refs, qid)
     ck = column_change_keys(changes, migrations)
     j = cols.join(ck, (cols.log_id == ck.db_id) & (cols.tkey == ck.ctable) & (F.lower(cols.col) == ck.ccol))

@@ -34,6 +34,8 @@ class Analysis:
     schema_dumps: DataFrame       # schema_id, text
     query_logs: DataFrame | None = None   # log_id, chunk_id, text
     flags: str = "notes"
+    with_diff: bool = True        # the tool computes no diff (hence no impacts) without a schema
+    migration_rows: DataFrame | None = None   # one row per migration without its text (optional)
 
     @classmethod
     def from_tables(cls, spark: SparkSession, sf_dir: str, flags: str = "notes") -> "Analysis":
@@ -44,8 +46,31 @@ class Analysis:
             schema_dumps=corpus.schema_dumps(spark, sf_dir),
             query_logs=corpus.query_log_chunks(spark, sf_dir),
             flags=flags,
+            migration_rows=corpus.migration_rows(spark, sf_dir),
         )
 
+    @classmethod
+    def from_files(cls, spark: SparkSession, scripts: str | list[str], schema: str | list[str] | None = None,
+                   query_logs: str | list[str] | None = None, row_counts: dict[str, int] | None = None,
+                   db_version: int = 14, flags: str = "notes") -> "Analysis":
+        """The tool's own inputs: migration script files, a schema dump, query logs.
+
+        Every script is checked against every given log (one database);
+        dialects come from the script names; ``row_counts`` feeds the
+        duration estimates (none by default, as the tool's pipeline).
+        """
+        from ddlscope.sources import files
+
+        s = files.read_scripts(spark, scripts).withColumn("db_id", F.lit(0).cast("long")) \
+            .withColumn("db_version", F.lit(db_version).cast("int"))
+        dumps = (files.read_schema_dumps(spark, schema) if schema is not None
+                 else spark.createDataFrame([], "schema_id string, text string"))
+        logs = (files.read_query_logs(spark, query_logs).withColumn("log_id", F.lit(0).cast("long"))
+                if query_logs is not None else spark.createDataFrame([], "log_id long, chunk_id long, text string"))
+        stats = spark.createDataFrame(list((row_counts or {}).items()), "table_name string, row_count long")
+        return cls(spark=spark, scripts=s, table_stats=stats, schema_dumps=dumps, query_logs=logs, flags=flags,
+                   with_diff=schema is not None)
+
     # ---- catalogue -----------------------------------------------------
     @cached_property
     def catalog_columns(self) -> DataFrame:
@@ -58,8 +83,9 @@ class Analysis:
     # ---- operations ----------------------------------------------------
     @cached_property
     def migrations(self) -> DataFrame:
-        keep = [c for c in ("db_id", "db_version", "file_name", "dialect") if c in self.scripts.columns]
-        m = self.scripts.select("migration_id", *keep)
+        src = self.migration_rows if self.migration_rows is not None else self.scripts
+        keep = [c for c in ("db_id", "db_version", "file_name", "dialect") if c in src.columns]
+        m = src.select("migration_id", *keep)
         if "dialect" not in m.columns and "file_name" in m.columns:
             m = m.withColumn("dialect", infer_dialect(F.col("file_name")))
         return m
@@ -92,7 +118,8 @@ class Analysis:
 
     @cached_property
     def changes(self) -> DataFrame:
-        return diff.schema_changes(self.extracted, self.catalog_columns, self.catalog_indexes)
+        ch = diff.schema_changes(self.extracted, self.catalog_columns, self.catalog_indexes)
+        return ch if self.with_diff else ch.filter(F.lit(False))
 
     @cached_property
     def diff_summary(self) -> DataFrame:

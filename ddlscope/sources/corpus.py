@@ -269,6 +269,24 @@ def statement_rows(lineitem: DataFrame) -> DataFrame:
     )
 
 
+def _migration_columns(orders: DataFrame) -> DataFrame:
+    names = F.element_at(F.array(*[F.lit(n) for n in DIALECT_FILES]), F.expr(dialect_sql()) + 1)
+    file_name = F.concat(F.lit("V"), F.col("o_orderkey").cast("string"), F.lit("__"), names, F.lit(".sql"))
+    db_id = F.expr(f"o_custkey div {DB_PER_CUSTOMER_DIV}")
+    return orders.select(
+        F.col("o_orderkey").alias("migration_id"),
+        db_id.alias("db_id"),
+        (F.lit(9) + F.col("o_custkey") % 6).cast("int").alias("db_version"),
+        F.concat(F.lit("db/"), db_id.cast("string"), F.lit("/"), file_name).alias("path"),
+        file_name.alias("file_name"),
+    )
+
+
+def migration_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(migration_id, db_id, db_version, path, file_name) — from ``orders`` alone (no script text)."""
+    return _migration_columns(read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
+
+
 def migration_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(migration_id, db_id, db_version, path, file_name, text) — one row per order."""
     lineitem = read_table(spark, sf_dir, "lineitem")
@@ -284,16 +302,7 @@ def migration_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("migration_id"),
         F.array_join(F.transform("parts", lambda x: x["stmt_text"]), "\n").alias("body"),
     )
-    names = F.element_at(F.array(*[F.lit(n) for n in DIALECT_FILES]), F.expr(dialect_sql()) + 1)
-    file_name = F.concat(F.lit("V"), F.col("o_orderkey").cast("string"), F.lit("__"), names, F.lit(".sql"))
-    db_id = F.expr(f"o_custkey div {DB_PER_CUSTOMER_DIV}")
-    migrations = orders.select(
-        F.col("o_orderkey").alias("migration_id"),
-        db_id.alias("db_id"),
-        (F.lit(9) + F.col("o_custkey") % 6).cast("int").alias("db_version"),
-        F.concat(F.lit("db/"), db_id.cast("string"), F.lit("/"), file_name).alias("path"),
-        file_name.alias("file_name"),
-    )
+    migrations = _migration_columns(orders)
     # Both sides grow with the data: sort-merge on the key, never a broadcast.
     # The result is hash-partitioned by migration_id, which every later
     # per-migration aggregate and join reuses.

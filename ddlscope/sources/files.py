@@ -54,7 +54,7 @@ def read_query_logs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     so the replacement character is removed.
     """
     df = _read_whole(spark, paths)
-    return df.select(F.col("path").alias("log_id"), F.lit(0).cast("long").alias("chunk_id"),
+    return df.select(F.col("path").alias("log_id"), F.xxhash64("path").alias("chunk_id"),
                      F.regexp_replace("text", "�", "").alias("text"))
 
 
