@@ -32,6 +32,7 @@ HEADLINE = [
     "q_schema_changes",     # C + D
     "q_query_log",          # Q1-Q4
     "q_query_impacts",      # Q1-Q11 end to end
+    "q_report_header",      # K6: everything per migration (scores, rollback, diff, impacts)
 ]
 
 

@@ -15,9 +15,10 @@ until a sink or ``collect`` asks for a result.  The plan shape at scale:
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,7 @@ class Analysis:
     flags: str = "notes"
     with_diff: bool = True        # the tool computes no diff (hence no impacts) without a schema
     migration_rows: DataFrame | None = None   # one row per migration without its text (optional)
+    _shared_persisted: bool = field(default=False, repr=False)
 
     @classmethod
     def from_tables(cls, spark: SparkSession, sf_dir: str, flags: str = "notes") -> "Analysis":
@@ -142,6 +144,25 @@ class Analysis:
     def impact_summary(self) -> DataFrame:
         return querylog.impact_summary(self.impacts, self.migrations)
 
+    _DERIVED = ("ops", "scores", "rollback_summary", "rollback_steps", "changes", "diff_summary",
+                "impacts", "impact_summary")
+
+    def persist_shared(self) -> "Analysis":
+        """Keep the extracted operations once for outputs that read them in several branches.
+
+        Reports join scores, rollback, diff and impacts, which all derive from
+        the extraction; persisting it (memory, spilling to disk; lost blocks
+        are recomputed from lineage) makes one action extract once.
+        Dependent frames are rebuilt on top of the persisted one.
+        """
+        if not self._shared_persisted:
+            ext = self.extracted.persist(StorageLevel.MEMORY_AND_DISK)
+            for k in self._DERIVED:
+                self.__dict__.pop(k, None)
+            self.__dict__["extracted"] = ext
+            self._shared_persisted = True
+        return self
+
     def summary(self) -> DataFrame:
         """One row per migration: scores, rollback and diff counts (K6 header)."""
         return (self.scores.join(self.rollback_summary, "migration_id", "left")

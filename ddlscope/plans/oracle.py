@@ -489,3 +489,23 @@ SELECT sc.migration_id, stmt_pos, action_pos,
       || repeat({_q(fixed.SCORE_BAR_EMPTY)}, greatest({fixed.SCORE_BAR_WIDTH} - {full}, 0))
       || '] ' || CAST(overall_score AS VARCHAR) || '/100' AS score_bar
 FROM sc JOIN ms USING (migration_id)"""
+
+
+def report_header_sql() -> str:
+    names = "[" + ", ".join(_q(n) for n in corpus.DIALECT_FILES) + "]"
+    gate = ", ".join(_q(x) for x in fixed.BLOCKING_LEVELS)
+    return f"""WITH h AS ({migration_scores_sql()}),
+r AS ({rollback_summary_sql()}),
+d AS ({diff_summary_sql()}),
+i AS ({impact_summary_sql()}),
+f AS (
+  SELECT o_orderkey AS migration_id, CAST(9 + o_custkey % 6 AS INTEGER) AS db_version,
+         list_extract({_dialects_sql()}, CAST(o_orderkey % {len(corpus.DIALECT_FILES)} AS INTEGER) + 1) AS dialect,
+         'V' || CAST(o_orderkey AS VARCHAR) || '__'
+           || list_extract({names}, CAST(o_orderkey % {len(corpus.DIALECT_FILES)} AS INTEGER) + 1) || '.sql' AS file_name
+  FROM orders)
+SELECT f.migration_id, f.file_name, f.dialect, f.db_version, h.overall_score, h.overall_level, h.n_ops,
+       h.affected_tables, h.overall_level IN ({gate}) AS blocked, r.rollback_complexity, r.rollback_minutes,
+       r.data_loss_risk, d.breaking_changes, i.n_impacts, i.worst_impact
+FROM f JOIN h USING (migration_id) JOIN r USING (migration_id) JOIN d USING (migration_id)
+JOIN i USING (migration_id)"""

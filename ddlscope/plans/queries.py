@@ -179,6 +179,25 @@ def q_json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return json_records(_a(spark, sf_dir))
 
 
+def q_report_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K6: one header row per migration — scores, rollback, diff and impact counts."""
+    a = _a(spark, sf_dir).persist_shared()
+    h = (a.scores.join(a.rollback_summary, "migration_id", "left")
+         .join(a.diff_summary, "migration_id", "left")
+         .join(a.impact_summary, "migration_id", "left"))
+    return h.select("migration_id", "file_name", "dialect", "db_version", "overall_score", "overall_level",
+                    "n_ops", F.array_join("affected_tables", ",").alias("affected_tables"), "blocked",
+                    "rollback_complexity", "rollback_minutes", "data_loss_risk", "breaking_changes",
+                    "n_impacts", "worst_impact")
+
+
+def q_analysis_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K8: per-migration summary and per-operation findings as JSON (narration inputs)."""
+    from ddlscope.plans.report import analysis_payload
+
+    return analysis_payload(_a(spark, sf_dir))
+
+
 def q_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every migration (the minimum end-to-end slice)."""
     s = _a(spark, sf_dir).scores
@@ -208,6 +227,8 @@ QUERIES = {
     "q_report_columns": q_report_columns,
     "q_markdown_report": q_markdown_report,
     "q_json_report": q_json_report,
+    "q_report_header": q_report_header,
+    "q_analysis_payload": q_analysis_payload,
 }
 
 
@@ -235,4 +256,5 @@ def oracle_sql() -> dict[str, str]:
         "q_not_null_nonempty": oracle.not_null_nonempty_sql(),
         "q_file_names": oracle.file_names_sql(),
         "q_report_columns": oracle.report_columns_sql(),
+        "q_report_header": oracle.report_header_sql(),
     }

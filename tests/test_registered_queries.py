@@ -49,4 +49,4 @@ def test_query_matches_oracle(spark, duck, name):
 
 def test_every_query_has_rows_or_oracle():
     missing = set(E.queries()) - set(E.oracle_sql())
-    assert missing <= {"q_markdown_report", "q_json_report"}
+    assert missing <= {"q_markdown_report", "q_json_report", "q_analysis_payload"}
