@@ -100,3 +100,17 @@ def test_streamed_logs(spark, analysis, tmp_path):
     q.awaitTermination(120)
     rows = spark.read.parquet(out).collect()
     assert [(r.impact_type, r.affected_table) for r in rows] == [("index_missing", "users")]
+
+
+def test_write_reports(spark, analysis, tmp_path):
+    import glob
+
+    out = str(tmp_path / "reports")
+    report.write_reports(analysis, out)
+    md = "".join(open(p).read() for p in sorted(glob.glob(f"{out}/markdown/part-*")))
+    assert md.startswith("## Migration Risk Report — `0042_add_seen_at.sql`\n")
+    assert md.rstrip().endswith("*Generated • 1970-01-01 00:00 UTC*")
+    recs = [json.loads(x) for p in sorted(glob.glob(f"{out}/json/part-*")) for x in open(p) if x.strip()]
+    assert recs[0]["record"] == "report" and [r["stmt_pos"] for r in recs if r["record"] == "operation"] == [0, 1, 2]
+    s = spark.read.parquet(f"{out}/summary").collect()[0]
+    assert (s.overall_level, s.blocked, s.n_impacts) == ("low", False, 1)
