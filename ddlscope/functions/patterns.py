@@ -12,51 +12,27 @@ from __future__ import annotations
 ID = r'(?:[\w"`\[\]]+\.)*["`\[]?(\w+)["`\]]?'
 # A name token: last part of a possibly qualified, possibly quoted name.
 NAME_TOKEN = r'^(?:[\w"`\[\]]+\.)*["`\[]?(\w+)'
-# ALTER TABLE prefix; group 1 = table.
-ALTER_T = r"(?is)^\s*ALTER\s+TABLE\s+(?:IF\s+EXISTS\s+)?(?:ONLY\s+)?" + ID + r"\s+"
 
-# Statement classes, checked in this order.  (class, pattern, table group,
-# column group, index group); 0 = not captured.
-ALTER_PATTERNS = [
-    ("DROP_FOREIGN_KEY", ALTER_T + r"DROP\s+FOREIGN\s+KEY\b", 1, 0, 0),
-    ("DROP_CONSTRAINT", ALTER_T + r"DROP\s+(?:CONSTRAINT|PRIMARY)\b", 1, 0, 0),
-    ("DROP_INDEX", ALTER_T + r"DROP\s+(?:INDEX|KEY)\s+" + ID, 1, 0, 2),
-    ("DROP_COLUMN", ALTER_T + r"DROP\s+(?:COLUMN\s+)?(?:IF\s+EXISTS\s+)?" + ID, 1, 2, 0),
-    ("RENAME_TABLE", ALTER_T + r"RENAME\s+TO\s+" + ID, 1, 0, 0),
-    ("RENAME_COLUMN", ALTER_T + r"RENAME\s+(?:COLUMN\s+)?" + ID + r"\s+TO\b", 1, 2, 0),
-    ("ALTER_COLUMN", ALTER_T + r"(?:ALTER|MODIFY|CHANGE)\s+(?:COLUMN\s+)?" + ID, 1, 2, 0),
-    ("ADD_FOREIGN_KEY", ALTER_T + r"ADD\s+(?:CONSTRAINT\s+\S+\s+)?FOREIGN\s+KEY\b", 1, 0, 0),
-    ("ADD_CONSTRAINT", ALTER_T + r"ADD\s+(?:CONSTRAINT|PRIMARY|UNIQUE|CHECK|EXCLUDE)\b", 1, 0, 0),
-    # MySQL ADD INDEX / KEY is not a column
-    ("UNKNOWN", ALTER_T + r"ADD\s+(?:FULLTEXT\s+|SPATIAL\s+)?(?:INDEX|KEY)\b", 1, 0, 0),
-    ("ADD_COLUMN", ALTER_T + r"ADD\s+(?:COLUMN\s+)?(?:IF\s+NOT\s+EXISTS\s+)?" + ID, 1, 2, 0),
-    ("UNKNOWN", ALTER_T, 1, 0, 0),
-]
-CREATE_PATTERNS = [
-    ("CREATE_TABLE",
-     r"(?is)^\s*CREATE\s+(?:OR\s+REPLACE\s+)?(?:(?:GLOBAL|LOCAL)\s+)?(?:TEMP(?:ORARY)?\s+)?"
-     r"(?:UNLOGGED\s+)?TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?" + ID, 1, 0, 0),
-    ("CREATE_INDEX",
-     r"(?is)^\s*CREATE\s+(?:UNIQUE\s+)?INDEX\s+(?:CONCURRENTLY\s+)?(?:IF\s+NOT\s+EXISTS\s+)?"
-     r"(?:" + ID + r"\s+)?ON\s+(?:ONLY\s+)?" + ID, 2, 0, 1),
-    ("CREATE_VIEW",
-     r"(?is)^\s*CREATE\s+(?:OR\s+REPLACE\s+)?(?:(?:TEMP|TEMPORARY|MATERIALIZED)\s+)?VIEW\s+"
-     r"(?:IF\s+NOT\s+EXISTS\s+)?" + ID, 1, 0, 0),
-]
-DROP_PATTERNS = [
-    ("DROP_TABLE", r"(?is)^\s*DROP\s+TABLE\s+(?:IF\s+EXISTS\s+)?" + ID, 1, 0, 0),
-    ("DROP_INDEX",
-     r"(?is)^\s*DROP\s+INDEX\s+(?:CONCURRENTLY\s+)?(?:IF\s+EXISTS\s+)?" + ID
-     + r"(?:\s+ON\s+" + ID + r")?", 2, 0, 1),
-    ("DROP_VIEW", r"(?is)^\s*DROP\s+(?:MATERIALIZED\s+)?VIEW\s+(?:IF\s+EXISTS\s+)?" + ID, 1, 0, 0),
-]
-TRUNCATE_PATTERN = r"(?is)^\s*TRUNCATE\s+(?:TABLE\s+)?(?:ONLY\s+)?" + ID
-# CREATE / ALTER / DROP of anything else; group 1 = object name if present.
-OTHER_DDL = r"(?is)^\s*(?:CREATE|DROP|ALTER)\b"
-OTHER_DDL_NAME = (
-    r"(?is)^\s*(?:CREATE|DROP|ALTER)\s+(?:OR\s+REPLACE\s+)?[A-Za-z_]+\s+"
-    r"(?:IF\s+(?:NOT\s+)?EXISTS\s+)?" + ID
-)
+# DDL classes are decided on the leading words of a statement (see
+# operators/extract.py), first match wins:
+#   ALTER TABLE [IF EXISTS] [ONLY] t  DROP FOREIGN KEY .. -> DROP_FOREIGN_KEY
+#                                     DROP CONSTRAINT|PRIMARY .. -> DROP_CONSTRAINT
+#                                     DROP INDEX|KEY i -> DROP_INDEX
+#                                     DROP [COLUMN] [IF EXISTS] c -> DROP_COLUMN
+#                                     RENAME TO t2 -> RENAME_TABLE
+#                                     RENAME [COLUMN] c TO .. -> RENAME_COLUMN
+#                                     ALTER|MODIFY|CHANGE [COLUMN] c -> ALTER_COLUMN
+#                                     ADD [CONSTRAINT n] FOREIGN KEY -> ADD_FOREIGN_KEY
+#                                     ADD CONSTRAINT|PRIMARY|UNIQUE|CHECK|EXCLUDE -> ADD_CONSTRAINT
+#                                     ADD INDEX|KEY|FULLTEXT|SPATIAL -> UNKNOWN
+#                                     ADD [COLUMN] [IF NOT EXISTS] c -> ADD_COLUMN
+#                                     anything else -> UNKNOWN
+#   CREATE [modifiers] TABLE [IF NOT EXISTS] t -> CREATE_TABLE
+#   CREATE [UNIQUE] INDEX [CONCURRENTLY] [IF NOT EXISTS] [i] ON [ONLY] t -> CREATE_INDEX
+#   CREATE [OR REPLACE] [TEMP|MATERIALIZED] VIEW v -> CREATE_VIEW
+#   DROP [MATERIALIZED] TABLE|INDEX|VIEW [CONCURRENTLY] [IF EXISTS] n [ON t] -> DROP_*
+#   TRUNCATE [TABLE] [ONLY] t -> TRUNCATE_TABLE
+#   other CREATE / ALTER / DROP -> UNKNOWN (object name as table); anything else is skipped.
 
 # Statement splitting: runs of text outside quotes up to ';'.
 STATEMENT = r"(?s)(?:'[^']*'|[^;'])+"
@@ -69,7 +45,6 @@ ACTION = r"(?s)(?:'[^']*'|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)|[^,('])+"
 
 NOT_NULL = r"(?is)\bNOT\s+NULL\b"
 DEFAULT = r"(?is)\bDEFAULT\b"
-CONCURRENTLY = r"(?is)^\s*CREATE\s+(?:UNIQUE\s+)?INDEX\s+CONCURRENTLY\b"
 
 # ---- query logs ----------------------------------------------------------
 VERBS = "SELECT|INSERT|UPDATE|DELETE|WITH"

@@ -81,8 +81,9 @@ def _name(tok: Column) -> Column:
 def classify_tokens(df: DataFrame, toks_col: str = "_toks") -> DataFrame:
     """Add op_class, target_table, target_column, target_index from the leading tokens.
 
-    Mirrors the class order of ``patterns`` (first match wins); statements
-    that are not CREATE / ALTER / DROP / TRUNCATE get a null class (P7).
+    Follows the keyword grammar documented in ``functions/patterns.py``
+    (first match wins); statements that are not CREATE / ALTER / DROP /
+    TRUNCATE get a null class (P7).
     Work is staged in successive projections (positions, then tokens, then
     classes, then names) so no expression is inlined many times over.
     """
