@@ -38,6 +38,11 @@ NAME_TOKEN = r'^(?:[\w"`\[\]]+\.)*["`\[]?(\w+)'
 STATEMENT = r"(?s)(?:'[^']*'|[^;'])+"
 # Whole-line comments (trimmed line starts with --).
 COMMENT_LINE = r"(?m)^[ \t\x0B\f]*--[^\r\n]*"
+# Block comments, and a trailing -- comment on a line with no quote before it.
+BLOCK_COMMENT = r"(?s)/\*.*?\*/"
+TRAILING_COMMENT = r"(?m)^([^'\r\n]*?)--[^\r\n]*"
+# The table list of a TRUNCATE statement.
+TRUNCATE_LIST = r"(?is)^\s*TRUNCATE\s+(?:TABLE\s+)?(?:ONLY\s+)?(.*)$"
 # Compound ALTER TABLE: prefix (group 1) and action list (group 2).
 ALTER_PREFIX = r'(?is)^\s*(ALTER\s+TABLE\s+(?:IF\s+EXISTS\s+)?(?:ONLY\s+)?[\w"`\[\].]+\s+)(.*)$'
 # One action: quoted text, up to three levels of parentheses, anything but , ( '

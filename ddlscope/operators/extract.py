@@ -23,8 +23,12 @@ from ddlscope.sources.files import infer_dialect
 
 
 def strip_comment_lines(text: Column) -> Column:
-    """Drop lines whose trimmed text starts with ``--``."""
-    return F.when(text.contains("--"), F.regexp_replace(text, patterns.COMMENT_LINE, "")).otherwise(text)
+    """Drop whole-line ``--`` comments, ``/* */`` blocks and trailing ``--``
+    comments (on lines without a quote before them); scans only run when the
+    markers occur."""
+    t = F.when(text.contains("/*"), F.regexp_replace(text, patterns.BLOCK_COMMENT, " ")).otherwise(text)
+    return F.when(t.contains("--"), F.regexp_replace(F.regexp_replace(t, patterns.COMMENT_LINE, ""),
+                                                     patterns.TRAILING_COMMENT, "$1")).otherwise(t)
 
 
 def split_statements(df: DataFrame, text_col: str = "sql") -> DataFrame:
@@ -199,8 +203,19 @@ def classify_tokens(df: DataFrame, toks_col: str = "_toks") -> DataFrame:
         F.coalesce(_name(F.col("_tt")), F.lit("")).alias("target_table"),
         null_if_empty(_name(F.col("_tc"))).alias("target_column"),
         null_if_empty(_name(F.col("_ti"))).alias("target_index"),
+        F.lit(0).alias("_sub"),
     ))))
-    return d.select(*cols, "_up", F.inline(found))
+    # TRUNCATE a, b, c: one operation per table, numbered by action_pos (a
+    # TRUNCATE is never an ALTER action list, so its action_pos starts at 0)
+    names = F.split(F.regexp_extract(F.col("action_sql"), patterns.TRUNCATE_LIST, 1), ",")
+    per_table = F.transform(names, lambda n, i: F.struct(
+        F.lit("TRUNCATE_TABLE").alias("op_class"), F.coalesce(_name(py_strip(n)), F.lit("")).alias("target_table"),
+        F.lit(None).cast("string").alias("target_column"), F.lit(None).cast("string").alias("target_index"),
+        i.alias("_sub")))
+    found = F.when((F.col("op_class") == "TRUNCATE_TABLE") & F.col("action_sql").contains(","), per_table) \
+        .otherwise(found)
+    out = d.select(*cols, "_up", F.inline(found))
+    return out.withColumn("action_pos", F.col("action_pos") + F.col("_sub")).drop("_sub")
 
 
 def parser_notes(op_class: Column, stmt: Column, up: Column) -> tuple[Column, Column, Column, Column]:

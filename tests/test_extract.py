@@ -162,3 +162,20 @@ ALTER TABLE users RENAME COLUMN username TO display_name;
     ops = parse(spark, sql)
     assert [(o.op_class, o.target_column) for o in ops] == [
         ("DROP_COLUMN", "legacy_token"), ("DROP_COLUMN", "old_avatar_url"), ("RENAME_COLUMN", "username")]
+
+
+def test_block_and_trailing_comments(spark):
+    sql = ("ALTER TABLE t /* widen */ ADD COLUMN c INT; -- add c\n"
+           "/* multi\n line */ DROP TABLE u;\n"
+           "INSERT INTO t VALUES ('-- not a comment');")
+    ops = parse(spark, sql)
+    assert [(o.op_class, o.target_table, o.target_column) for o in ops] == [
+        ("ADD_COLUMN", "t", "c"), ("DROP_TABLE", "u", None)]
+
+
+def test_truncate_several_tables(spark):
+    ops = parse(spark, "TRUNCATE TABLE ONLY a, public.b, c RESTART IDENTITY;")
+    assert [(o.op_class, o.target_table) for o in ops] == [
+        ("TRUNCATE_TABLE", "a"), ("TRUNCATE_TABLE", "b"), ("TRUNCATE_TABLE", "c")]
+    assert all(o.parser_notes == [fixed.NOTE_TRUNCATE] for o in ops)
+    assert [(o.stmt_pos, o.action_pos) for o in ops] == [(0, 0), (0, 1), (0, 2)]
