@@ -27,8 +27,9 @@ def strip_comment_lines(text: Column) -> Column:
     comments (on lines without a quote before them); scans only run when the
     markers occur."""
     t = F.when(text.contains("/*"), F.regexp_replace(text, patterns.BLOCK_COMMENT, " ")).otherwise(text)
-    return F.when(t.contains("--"), F.regexp_replace(F.regexp_replace(t, patterns.COMMENT_LINE, ""),
-                                                     patterns.TRAILING_COMMENT, "$1")).otherwise(t)
+    t = F.when(t.contains("--"), F.regexp_replace(t, patterns.COMMENT_LINE, "")).otherwise(t)
+    # most scripts have whole-line comments only: the trailing scan runs when "--" is left
+    return F.when(t.contains("--"), F.regexp_replace(t, patterns.TRAILING_COMMENT, "$1")).otherwise(t)
 
 
 def split_statements(df: DataFrame, text_col: str = "sql") -> DataFrame:
