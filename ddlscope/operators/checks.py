@@ -1,7 +1,7 @@
 """Pre-flight data checks (V1-V4): what the lock notes only describe, run on the data.
 
 * V1 ``fk_orphans``: child rows whose foreign key has no parent — a left
-  anti join (Spark picks broadcast or shuffle by measured size).
+  join against the distinct parent keys (merge join).
 * V2 ``constraint_violations``: primary-key duplicates (``groupBy(key)``
   with map-side combined counts, so a hot key is reduced before the
   shuffle) and NOT NULL violations (``count_if``), one scan per table.
@@ -38,9 +38,8 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def fk_orphans(spark: SparkSession, sf_dir: str, foreign_keys) -> DataFrame:
     """V1: (fk_name, child_table, child_column, parent_table, child_rows, orphan_rows) per foreign key.
 
-    A left join against the distinct parent keys (an anti join in effect)
-    and one aggregate per key; the planner broadcasts the parent keys only
-    when their measured size is small.
+    A merge join against the distinct parent keys (an anti join in effect)
+    and one aggregate per key; a skewed child key is split by AQE.
     """
     parts = []
     for child, col, parent, pcol in foreign_keys:
@@ -48,7 +47,7 @@ def fk_orphans(spark: SparkSession, sf_dir: str, foreign_keys) -> DataFrame:
         # distinct parent keys: the join cannot fan out; a missing parent leaves _hit null
         p = read_table(spark, sf_dir, parent).select(F.col(pcol).alias("_k")).distinct() \
             .withColumn("_hit", F.lit(True))
-        j = c.join(p, "_k", "left")
+        j = c.join(p.hint("merge"), "_k", "left")   # parent keys grow with the data
         counts = j.groupBy().agg(F.count(F.lit(1)).alias("child_rows"),
                                  F.count_if(F.col("_k").isNotNull() & F.col("_hit").isNull()).alias("orphan_rows"))
         parts.append(counts.select(F.lit(f"{child}.{col}->{parent}.{pcol}").alias("fk_name"),

@@ -54,7 +54,8 @@ def extract_queries(logs: DataFrame) -> DataFrame:
     # Q4: exact-text dedupe, first appearance and frequency (partial aggregation)
     dedup = both.groupBy("log_id", "_terminated", "query").agg(
         F.min(F.struct("chunk_id", "pos")).alias("_first"), F.count(F.lit(1)).alias("frequency"))
-    kept = dedup.join(mode, ["log_id", "_terminated"], "left_semi")
+    # one row per log, but the number of logs grows with the data: no broadcast on an estimate
+    kept = dedup.join(mode.hint("merge"), ["log_id", "_terminated"], "left_semi")
     return kept.select("log_id", "query", F.col("_first.chunk_id").alias("first_chunk"),
                        F.col("_first.pos").cast("long").alias("first_pos"), "frequency")
 
@@ -144,7 +145,10 @@ def match_impacts(refs: DataFrame, changes: DataFrame, migrations: DataFrame) ->
     changes = changes.filter(F.col("object_kind").isin("column", "index")).persist(StorageLevel.MEMORY_AND_DISK)
     cols = expanded_column_refs(refs, qid)
     ck = column_change_keys(changes, migrations)
-    j = cols.join(ck, (cols.log_id == ck.db_id) & (cols.tkey == ck.ctable) & (F.lower(cols.col) == ck.ccol))
+    # both sides grow with the data (queries per log, changes per migration): merge join on
+    # (db, table, column); AQE splits a skewed key
+    j = cols.join(ck.hint("merge"), (cols.log_id == ck.db_id) & (cols.tkey == ck.ctable)
+                  & (F.lower(cols.col) == ck.ccol))
     ctype = F.col("change_type")
     impact_type = (F.when(ctype == "removed", "column_missing").when(ctype == "renamed", "column_renamed")
                    .otherwise("type_mismatch"))
@@ -166,7 +170,7 @@ def match_impacts(refs: DataFrame, changes: DataFrame, migrations: DataFrame) ->
     ).join(migrations.select("migration_id", "db_id"), "migration_id")
     cond = ((keys.log_id == idx.db_id) & (F.lower(keys.key) == idx.itable)
             & ((F.size(idx.icols) == 0) | F.arrays_overlap(keys.cols, idx.icols) | (F.size(keys.cols) == 0)))
-    ij = keys.join(idx, cond)
+    ij = keys.join(idx.hint("merge"), cond)
     idx_impacts = ij.select(
         "migration_id", "log_id", F.substring("query", 1, fixed.QUERY_TEXT_LIMIT).alias("query"),
         F.lit("index_missing").alias("impact_type"), F.lit("medium").alias("severity"),
