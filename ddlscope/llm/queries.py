@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from ddlscope.llm import line_dedup
+from ddlscope.llm import line_dedup, minhash
 
 QUERIES = {
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op9_minhash_dedup": minhash.op9_minhash_dedup,
 }
 
 #: Only where SQL can express the operator; tests/llm holds the others against brute force.
