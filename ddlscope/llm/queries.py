@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ddlscope.llm import line_dedup, minhash
+from ddlscope.llm import line_dedup, minhash, suffix_dedup
 
 QUERIES = {
+    "op2_suffix_array_dedup": suffix_dedup.op2_suffix_array_dedup,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op9_minhash_dedup": minhash.op9_minhash_dedup,
 }

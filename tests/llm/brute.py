@@ -46,3 +46,22 @@ def near_components(docs: list[tuple[int, str | None]], size: int, percent: int)
                     ra, rb = root(a), root(b)
                     parent[max(ra, rb)] = min(ra, rb)
     return {d: root(d) for d in sets}
+
+
+def repeated_bytes(docs: list[tuple[int, str | None]], length: int) -> list[tuple]:
+    """(doc_id, n_bytes, n_removed, n_spans, kept bytes) per row, in order."""
+    raw = [(t or "").encode() for _, t in docs]
+    places: dict[bytes, int] = {}
+    for b in raw:
+        for i in range(len(b) - length + 1):
+            k = hash(b[i:i + length])
+            places[k] = places.get(k, 0) + 1
+    out = []
+    for (d, _), b in zip(docs, raw):
+        gone = bytearray(len(b))
+        for i in range(len(b) - length + 1):
+            if places[hash(b[i:i + length])] > 1:
+                gone[i:i + length] = b"\1" * length
+        spans = sum(1 for i in range(len(b)) if gone[i] and (i == 0 or not gone[i - 1]))
+        out.append((d, len(b), sum(gone), spans, bytes(x for x, g in zip(b, gone) if not g)))
+    return out
