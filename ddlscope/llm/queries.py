@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from ddlscope.llm import line_dedup, minhash, suffix_dedup
+from ddlscope.llm import line_dedup, minhash, nearest, suffix_dedup
 
 QUERIES = {
     "op2_suffix_array_dedup": suffix_dedup.op2_suffix_array_dedup,
+    "op3_block_nearest": nearest.op3_block_nearest,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op9_minhash_dedup": minhash.op9_minhash_dedup,
 }
 
 #: Only where SQL can express the operator; tests/llm holds the others against brute force.
 ORACLE_SQL = {
+    "op3_block_nearest": nearest.ORACLE_SQL,
     "op5_line_dedup": line_dedup.ORACLE_SQL,
 }
