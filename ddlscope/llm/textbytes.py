@@ -53,8 +53,6 @@ class WordHasher:
         if n == 0:
             none = np.zeros(0, np.int64)
             return none, none, none.astype(np.uint64)
-        if n >= len(self.up):
-            self._grow(n + 1)
         inside = ~self.separator[buf]
         first = np.zeros(n + 1, bool)
         first[doc_start] = True
@@ -63,11 +61,18 @@ class WordHasher:
         closes = inside.copy()
         closes[:-1] &= ~inside[1:] | first[1:n]
         start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+        return start, end, self.between(buf, start, end)
+
+    def between(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the bytes between each start and end."""
+        n = len(buf)
+        if n >= len(self.up):
+            self._grow(n + 1)
         with np.errstate(over="ignore"):
             total = np.zeros(n + 1, np.uint64)
             np.cumsum(self.value[buf] * self.up[:n], out=total[1:])
             h = (total[end] - total[start]) * self.down[start]
-            return start, end, mix64(h + (end - start).astype(np.uint64))
+            return mix64(h + (end - start).astype(np.uint64))
 
     def prefix_hash(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, length: int) -> np.ndarray:
         """Hashes of the first ``length`` bytes of each word (of the whole word where it is shorter)."""
