@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from ddlscope.llm import line_dedup, minhash, nearest, suffix_dedup, token_files
+from ddlscope.llm import fingerprints, line_dedup, minhash, nearest, suffix_dedup, token_files
 
 QUERIES = {
     "op2_suffix_array_dedup": suffix_dedup.op2_suffix_array_dedup,
     "op3_block_nearest": nearest.op3_block_nearest,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_wavelet_tokens": token_files.op6_wavelet_tokens,
+    "op7_weighted_fingerprints": fingerprints.op7_weighted_fingerprints,
     "op9_minhash_dedup": minhash.op9_minhash_dedup,
 }
 
