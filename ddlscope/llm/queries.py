@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ddlscope.llm import fingerprints, line_dedup, minhash, nearest, suffix_dedup, token_files
+from ddlscope.llm import fingerprints, line_dedup, minhash, nearest, suffix_dedup, token_files, toxicity
 
 QUERIES = {
     "op2_suffix_array_dedup": suffix_dedup.op2_suffix_array_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_wavelet_tokens": token_files.op6_wavelet_tokens,
     "op7_weighted_fingerprints": fingerprints.op7_weighted_fingerprints,
+    "op8_counterfactual_toxicity": toxicity.op8_counterfactual_toxicity,
     "op9_minhash_dedup": minhash.op9_minhash_dedup,
 }
 
