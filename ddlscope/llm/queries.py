@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ddlscope.llm import fingerprints, line_dedup, minhash, nearest, suffix_dedup, token_files, toxicity
+from ddlscope.llm import fingerprints, html_extract, line_dedup, minhash, nearest, suffix_dedup, token_files, toxicity
 
 QUERIES = {
+    "op1_html_extraction": html_extract.op1_html_extraction,
     "op2_suffix_array_dedup": suffix_dedup.op2_suffix_array_dedup,
     "op3_block_nearest": nearest.op3_block_nearest,
     "op5_line_dedup": line_dedup.op5_line_dedup,
