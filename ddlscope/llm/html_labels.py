@@ -26,4 +26,8 @@ LABELLED = (
     """<article><p>+from sea the quick story of a</p></article>""", """<article><p><a>+river town</a></p><p><a>+and its bridge that</a></p></article>""",
     """<article><ul><li><a>+people built</a></li><li><a>+long</a></li></ul><p>+ago while</p></article>""",
     """<div>-waiting</div>""", """<p>-for boats</p><p><a>-to come</a></p>""", """<div><a>-back from</a></div><div>-sea the quick</div>""", """<p>-story of a</p><p>-river</p>""",
+    """<body><div><a>-the quick</a></div><p>+story of a river town and its bridge that people built long ago while waiting for boats to come back from sea the quick</p>
+    <p>+story of a river town and its bridge that people built long ago while waiting</p><div><a>-for boats</a> <a>to come</a></div><p>+back from sea the quick story of a river town and its bridge that people built long ago</p></body>""",
+    """<body><p><a>-while waiting for boats to come back from</a></p><p>+sea the quick story of a river town and its bridge that people built long ago while waiting for boats to come back</p>
+    <p><a>-from sea the quick story of a river town and</a></p><p>+its bridge that people built long ago while waiting for boats to come back from sea</p><p><a>-the quick</a></p></body>""",
 )
