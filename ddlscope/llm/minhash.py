@@ -12,12 +12,16 @@
    At similarity 0.85, 24 bands of 5 miss a pair with probability 8e-7 (at 0.8:
    7e-5).  A 4-bit signature compared by XOR drops pairs that are more than
    five standard deviations below the threshold.
-4. Links are confirmed on the full sets, first of every class with the member
-   of its buckets that shares buckets with the most others (a group of edited
-   copies has its original there), which joins most of a group with one
-   comparison a member.  Then all candidate pairs whose ends are still in
-   different components are confirmed.  No pair inside a component is built, and
-   no candidate pair across components is left out.
+4. Links are confirmed on the full sets.  Every class is compared with the
+   leaders of its buckets: a bucket's leader is the member that shares buckets
+   with the most others (a group of edited copies has its original there), so one
+   comparison a member joins most of a group.  A class that isn't linked to the
+   leader but to a linked member lies within twice the linking distance of the
+   leader; those are found from the differences to the leader's set alone, which
+   are small, in blocks of bounded size.  What is left are candidate pairs of
+   classes that aren't linked to their bucket's leader and are still in
+   different components: these are confirmed one by one.  So no pair inside a
+   component is built, and no candidate pair across components is left out.
 5. Star contractions group the confirmed links (components.py).
 
 Defined results: null text counts as empty; a document without words has no
@@ -162,22 +166,28 @@ def most_unequal(percent: int, places: int = PLACES) -> int:
     return int(places * p + 5 * (places * p * (1 - p)) ** 0.5) + 1
 
 
-def _confirmer(size: int, percent: int):
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _comparer(size: int, percent: int):
+    """(a, b, text_a, text_b) -> pairs at twice the linking distance at most: linked or not, size of b, difference of the sets."""
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         kept_id, kept = object(), None
         for batch in batches:
-            a, b, text_a, text_b = (batch.column(i).to_pylist() for i in range(4))
-            linked = []
+            a, b = (batch.column(i).to_pylist() for i in range(2))
+            rows = []
             for i in range(len(a)):
                 if kept_id != a[i]:
-                    kept_id, kept = a[i], _set_of(text_a[i], hasher, size)
-                other = _set_of(text_b[i], hasher, size)
+                    kept_id, kept = a[i], _set_of(batch.column(2)[i].as_py(), hasher, size)
+                other = _set_of(batch.column(3)[i].as_py(), hasher, size)
                 both = _common(kept, other)
-                linked.append(100 * both >= percent * (len(kept) + len(other) - both))
-            mask = pa.array(linked, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
-    return confirm
+                either = len(kept) + len(other) - both
+                if 100 * both >= (2 * percent - 100) * either:
+                    linked = 100 * both >= percent * either
+                    rows.append((a[i], b[i], linked, len(other), np.setxor1d(kept, other, assume_unique=True).view(np.int64)))
+            columns = list(zip(*rows)) or [()] * 5
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.bool_()),
+                 pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.list_(pa.int64()))], ["a", "b", "linked", "n", "unlike"])
+    return compare
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -193,12 +203,62 @@ def _set_of(text: str | None, hasher: WordHasher, size: int) -> np.ndarray:
     return shingles(words[0], size) if words else np.zeros(0, np.uint64)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of class holders whose full shingle sets are similar enough."""
+def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     texts = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")
     with_b = pairs.join(texts.toDF("b", "text_b"), "b")
-    with_a = with_b.join(texts.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
-    return with_a.mapInArrow(_confirmer(size, percent), "a long, b long")
+    return with_b.join(texts.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
+
+
+def _tile(percent: int):
+    """Strays of a leader against a block of its linked members; (leader, stray) where one is similar enough.
+
+    |x ^ y| of two sets is |X ^ Y| of their differences X, Y from the leader's set,
+    so the small differences are compared by way of an inverted index.
+    """
+    def settle(strays: pa.Table, core: pa.Table) -> pa.Table:
+        a, b = [], []
+        if strays.num_rows and core.num_rows:
+            n = core.column("n").to_numpy()
+            lists = core.column("unlike").combine_chunks()
+            size = np.diff(lists.offsets.to_numpy())
+            value = lists.flatten().to_numpy()
+            owner = np.repeat(np.arange(len(n)), size)
+            order = np.argsort(value, kind="stable")
+            value, owner = value[order], owner[order]
+            for leader, doc, m, unlike in zip(*(strays.column(c).to_pylist() for c in ("a", "b", "n", "unlike"))):
+                own = np.array(unlike, np.int64)
+                low, high = np.searchsorted(value, own, "left"), np.searchsorted(value, own, "right")
+                hits = np.concatenate([owner[i:j] for i, j in zip(low, high)]) if len(own) else owner[:0]
+                shared = np.bincount(hits, minlength=len(n))
+                both = (n + m - (size + len(own) - 2 * shared)) // 2
+                if (100 * both >= percent * (n + m - both)).any():
+                    a.append(leader)
+                    b.append(doc)
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    return settle
+
+
+def _linked_to_core(compared: DataFrame, percent: int, block: int = 4096) -> DataFrame:
+    """(leader, stray) where a class not linked to the leader is linked to a class that is.
+
+    By the triangle inequality of the Jaccard distance such a class is within
+    twice the linking distance of the leader, so ``compared`` has it.  Members and
+    strays of a leader meet in blocks of bounded size.
+    """
+    number = (compared.groupBy("a").agg(F.count_if("linked").alias("core"), F.count_if(~F.col("linked")).alias("strays"))
+              .filter("core > 0 and strays > 0")
+              .select("a", F.ceil(F.col("core") / block).alias("cores"), F.ceil(F.col("strays") / block).alias("others")))
+    rows = compared.join(number, "a")
+
+    def dealt(df, own, own_n, other, other_n):
+        return (df.withColumn(own, F.pmod(F.xxhash64("b"), F.col(own_n)))
+                .withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other_n) - 1)))
+                .select("a", "b", "n", "unlike", "cb", "sb").toDF("a", "b", "n", "unlike", "cb", "sb"))
+
+    strays = dealt(rows.filter(~F.col("linked")), "sb", "others", "cb", "cores")
+    core = dealt(rows.filter("linked"), "cb", "cores", "sb", "others")
+    keys = ["a", "cb", "sb"]
+    return strays.groupBy(*keys).cogroup(core.groupBy(*keys)).applyInArrow(_tile(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -225,37 +285,42 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     popular = members.groupBy("doc_id").agg(F.sum("n").alias("met"))
     leaders = (members.join(popular, "doc_id").groupBy("bucket")
                .agg(F.max(F.struct("met", (-F.col("doc_id")).alias("neg"))).alias("top"))
-               .select("bucket", (-F.col("top.neg")).alias("leader"), F.col("top.met").alias("met")))
+               .select("bucket", (-F.col("top.neg")).alias("leader")))
+    led = tables.written(members.select("bucket", "doc_id").join(leaders, "bucket").filter("leader <> doc_id"), "led")
     small = holders.select("doc_id", "small", "n_shingles")
 
-    # first links: each class with the one leader that meets the most others
-    own = (members.join(leaders, "bucket").filter("leader <> doc_id").groupBy("doc_id")
-           .agg(F.max(F.struct("met", (-F.col("leader")).alias("neg"))).alias("top"))
-           .select(F.col("doc_id").alias("b"), (-F.col("top.neg")).alias("a")))
-    first = _similar(own.join(small.toDF("b", "small_b", "n_b"), "b").join(small.toDF("a", "small_a", "n_a"), "a"),
-                     percent).select("a", "b")
-    links = tables.written(confirmed(first, docs, size, percent), "links")
+    # every class with the leaders of its buckets: links, and differences of those near enough to matter
+    stars = (led.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
+             .join(small.toDF("b", "small_b", "n_b"), "b").join(small.toDF("a", "small_a", "n_a"), "a")
+             .filter(unequal_places(F.col("small_a"), F.col("small_b")) <= most_unequal(2 * percent - 100)).select("a", "b"))
+    compared = tables.written(_with_texts(stars, docs).mapInArrow(
+        _comparer(size, percent), "a long, b long, linked boolean, n long, unlike array<long>"), "compared")
+    linked = compared.filter("linked").select("a", "b")
     # rows that repeat a doc_id with other texts make one node: their classes' holders are linked
     placed_rows = named.select("doc_id", "set_print").join(classes, "set_print")
     spread = (placed_rows.groupBy("doc_id").agg(F.min("holder").alias("low"), F.max("holder").alias("high"))
               .filter("low < high").select("doc_id", "low"))
     same_id = placed_rows.join(spread, "doc_id").select(F.col("low").alias("a"), F.col("holder").alias("b"))
-    grouped = components(links.union(same_id))
+    grouped = components(linked.union(_linked_to_core(compared, percent)).union(same_id))
 
-    # then every candidate pair whose ends are still apart
-    placed = (members.select("bucket", "doc_id").join(grouped, F.col("doc_id") == F.col("node"), "left")
+    # then the candidate pairs of classes that aren't linked to their bucket's leader and are still apart
+    strays = (led.join(linked.toDF("leader", "doc_id"), ["leader", "doc_id"], "left_anti").select("bucket", "doc_id")
+              .join(grouped, F.col("doc_id") == F.col("node"), "left")
               .select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component")))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
-    apart = tables.written(placed.join(mixed, "bucket").join(small, "doc_id"), "apart")
+    mixed = (strays.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+             .filter("low <> high").select("bucket"))
+    apart = tables.written(strays.join(mixed, "bucket").join(holders, "doc_id"), "apart")
     a = apart.toDF(*[f"{c}_a" for c in apart.columns])
     b = apart.toDF(*[f"{c}_b" for c in apart.columns])
+    first_bucket = F.coalesce(*[F.when(F.col("bands_a")[i] == F.col("bands_b")[i], F.col("bands_a")[i]) for i in range(BANDS)])
     across = (a.join(b, (F.col("bucket_a") == F.col("bucket_b")) & (F.col("doc_id_a") < F.col("doc_id_b"))
                      & (F.col("component_a") != F.col("component_b"))
-                     & _similar_sizes("n_shingles_a", "n_shingles_b", percent)
-                     & (unequal_places(F.col("small_a"), F.col("small_b")) <= most_unequal(percent)))
+                     & (100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b"))
+                     & (unequal_places(F.col("small_a"), F.col("small_b")) <= most_unequal(percent))
+                     & (first_bucket == F.col("bucket_a")))
               .select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct())
-    more = tables.written(confirmed(across, docs, size, percent), "links")
-    # a node of the second graph is a component of the first
+    more = _with_texts(across, docs).mapInArrow(_comparer(size, percent), "a long, b long, linked boolean, n long, unlike array<long>")
+    more = tables.written(more.filter("linked").select("a", "b"), "links")
     joined = components(more.union(grouped.toDF("a", "b")))
 
     of_class = (classes.join(joined, F.col("holder") == F.col("node"), "left")
@@ -266,15 +331,5 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
                        F.when(F.col("doc_id").isNull(), True).otherwise(F.col("doc_id") == component).alias("kept"))
 
 
-def _similar_sizes(a: str, b: str, percent: int) -> Column:
-    """Sets so unlike in size can't reach the threshold."""
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-
-def _similar(pairs: DataFrame, percent: int) -> DataFrame:
-    return pairs.filter(_similar_sizes("n_a", "n_b", percent)
-                        & (unequal_places(F.col("small_a"), F.col("small_b")) <= most_unequal(percent)))
-
-
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(tables.documents(spark, sf_dir), size=3, percent=85)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ddlscope.llm import fingerprints, html_extract, line_dedup, minhash, nearest, suffix_dedup, token_files, toxicity
+from ddlscope.llm import fingerprints, html_extract, line_dedup, minhash, nearest, sentencepieces, suffix_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_html_extraction": html_extract.op1_html_extraction,
     "op2_suffix_array_dedup": suffix_dedup.op2_suffix_array_dedup,
     "op3_block_nearest": nearest.op3_block_nearest,
+    "op4_shared_prefix_pieces": sentencepieces.op4_shared_prefix_pieces,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_wavelet_tokens": token_files.op6_wavelet_tokens,
     "op7_weighted_fingerprints": fingerprints.op7_weighted_fingerprints,

@@ -26,15 +26,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class WordHasher:
-    """Hashes of the words of texts, A-Z in lower case; ``separator`` marks the bytes between words."""
+    """Hashes of the words of texts, A-Z in lower case unless ``fold`` is false; ``separator`` marks the bytes between words."""
 
-    def __init__(self, separator: np.ndarray | None = None):
+    def __init__(self, separator: np.ndarray | None = None, fold: bool = True):
         if separator is None:
             separator = np.zeros(256, bool)
             separator[list(WHITE)] = True
         self.separator = separator
         folded = np.arange(256, dtype=np.uint64)
-        folded[65:91] += np.uint64(32)
+        if fold:
+            folded[65:91] += np.uint64(32)
         self.value = mix64(folded + np.uint64(1))
         self._grow(BLOCK + 1)
 
@@ -103,8 +104,9 @@ def blocks(texts: list[bytes], separator: np.ndarray):
         buf, at = np.frombuffer(text, np.uint8), 0
         while at < len(buf):
             to = min(len(buf), at + BLOCK)
-            while to < len(buf):  # go on to the next separator
-                gap = np.flatnonzero(separator[buf[to:to + BLOCK]])
+            while to < len(buf):  # go on to the next separator after a word
+                gap = separator[buf[to - 1:to + BLOCK]]
+                gap = np.flatnonzero(gap[1:] & ~gap[:-1])
                 if len(gap):
                     to += int(gap[0])
                     break
