@@ -1,11 +1,79 @@
-"""Corpus pipeline over documents: stages are added as their operators land."""
+"""Corpus pipeline over ``documents``: filter, deduplicate at three grains, pack.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
+every stage's result to the shared checkpoint folder as Parquet and the next one
+reads it, so a lost executor costs one stage's tasks at most.  All stages but the
+last return the columns of ``documents``; where a text changes, ``n_chars`` follows.
+Null texts stay null and are kept; a document that loses all its text stays as an
+empty one.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ddlscope.llm import line_dedup, minhash, packing, suffix_dedup, tables, toxicity
+
+#: Near duplicates: words of a shingle, least similarity in percent.
+SHINGLE, PERCENT = 5, 80
+#: Repeated passages: bytes of a repeated string (about 35 words) and of its anchor.
+REPEAT, GRAM = 200, 32
+
+
+def _same_columns(found: DataFrame, docs: DataFrame, text) -> DataFrame:
+    """``found`` with the columns of ``docs``, its text replaced and ``n_chars`` with it."""
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return found.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, taught by ``labels``, doesn't take for toxic."""
+    labels = tables.table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.train(docs, labels)
+    return toxicity.scored(docs, model).filter(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that many documents share stay in one document only."""
+    found = line_dedup.with_kept_lines(docs, line_dedup.MIN_CHARS, line_dedup.MIN_DOCS)
+    return _same_columns(found, docs, F.when(F.col("text").isNotNull(), F.array_join("kept_lines", "\n")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates; of rows that repeat a doc_id the one with the smallest text."""
+    kept = minhash.near_duplicates(docs, SHINGLE, PERCENT).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    named = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    named = named.withColumn("kept_row", first).filter(F.col("kept_row") == 1).select(*docs.columns)
+    return named.unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that occur more than once."""
+    found = suffix_dedup.remove_repeats(docs, REPEAT, GRAM)
+    return _same_columns(found, docs, F.col("text"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document: its bin, the bin's length and its place there."""
+    return packing.packed(docs.select("doc_id", "text"))
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("line_dedup", drop_shared_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("suffix_dedup", drop_repeated_passages),
+    ("packing", pack_sequences),
+]
+
+#: SQL can't express the classifier, the suffix arrays or the packing; tests/llm holds every stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables.documents(spark, sf_dir)
+    for name, stage in STAGES:
+        docs = tables.written(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs

@@ -60,20 +60,22 @@ def shared_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
             .groupBy("doc").agg(F.collect_set("line").alias("drop")))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, text, n_lines, n_dropped): every document without its shared lines."""
-    docs = docs.select("doc_id", "text")
-    drops = shared_lines(docs, min_chars, min_docs)
-    joined = docs.join(drops, docs["doc_id"].eqNullSafe(drops["doc"]), "left")
-    lines = lines_of(F.col("text"))
-    gone = F.col("drop")
+def with_kept_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
+    """``docs`` with a column kept_lines: the lines of each text that stay."""
+    drops = shared_lines(docs, min_chars, min_docs).toDF("dropped_doc", "dropped_lines")
+    joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("dropped_doc")), "left")
+    lines, gone = lines_of(F.col("text")), F.col("dropped_lines")
     stays = F.filter(lines, lambda x: (F.length(F.btrim(x, F.lit(BLANKS))) < min_chars)
                      | ~F.array_contains(gone, _digest(x)))
-    kept = F.when(gone.isNull(), lines).otherwise(stays)
-    return (joined.select("doc_id", lines.alias("lines"), kept.alias("kept"))
-            .select("doc_id", F.array_join("kept", "\n").alias("text"),
-                    F.size("lines").cast("long").alias("n_lines"),
-                    (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped")))
+    return joined.withColumn("kept_lines", F.when(gone.isNull(), lines).otherwise(stays)).drop("dropped_doc", "dropped_lines")
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(doc_id, text, n_lines, n_dropped): every document without its shared lines."""
+    n_lines = F.size(lines_of(F.col("text"))).cast("long")
+    return (with_kept_lines(docs.select("doc_id", "text"), min_chars, min_docs)
+            .select("doc_id", F.array_join("kept_lines", "\n").alias("text"), n_lines.alias("n_lines"),
+                    (n_lines - F.size("kept_lines")).alias("n_dropped")))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ddlscope.llm import fingerprints, html_extract, line_dedup, minhash, nearest, sentencepieces, suffix_dedup, token_files, toxicity
+from ddlscope.llm import fingerprints, html_extract, line_dedup, minhash, nearest, packing, sentencepieces, suffix_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_html_extraction": html_extract.op1_html_extraction,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_weighted_fingerprints": fingerprints.op7_weighted_fingerprints,
     "op8_counterfactual_toxicity": toxicity.op8_counterfactual_toxicity,
     "op9_minhash_dedup": minhash.op9_minhash_dedup,
+    "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
 #: Only where SQL can express the operator; tests/llm holds the others against brute force.

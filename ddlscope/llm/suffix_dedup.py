@@ -333,11 +333,10 @@ def _text_rows(length: int):
     return rows
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``docs`` (doc_id, text and others) with every repeated string taken out of the texts, in whole characters."""
-    schema = docs.schema
-    found = with_runs(keyed(docs.withColumn("doc_id", F.col("doc_id").cast("long"))), length)
-    return found.select(*docs.columns, "runs").mapInArrow(_text_rows(length), schema)
+    found = with_runs(keyed(docs), length, gram=gram)
+    return found.select(*docs.columns, "runs").mapInArrow(_text_rows(length), docs.schema)
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
