@@ -21,38 +21,33 @@ SHINGLE, PERCENT = 5, 80
 REPEAT, GRAM = 200, 32
 
 
-def _same_columns(found: DataFrame, docs: DataFrame, text) -> DataFrame:
-    """``found`` with the columns of ``docs``, its text replaced and ``n_chars`` with it."""
-    new = {"text": text, "n_chars": F.length(text).cast("long")}
-    return found.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
-
-
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, taught by ``labels``, doesn't take for toxic."""
     labels = tables.table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = toxicity.train(docs, labels)
-    return toxicity.scored(docs, model).filter(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    return tables.outer(toxicity.scored(tables.inner(docs), model).filter(F.col("score") < toxicity.THRESHOLD), docs)
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share stay in one document only."""
-    found = line_dedup.with_kept_lines(docs, line_dedup.MIN_CHARS, line_dedup.MIN_DOCS)
-    return _same_columns(found, docs, F.when(F.col("text").isNotNull(), F.array_join("kept_lines", "\n")))
+    found = line_dedup.with_kept_lines(tables.inner(docs), line_dedup.MIN_CHARS, line_dedup.MIN_DOCS)
+    text = F.when(F.col("text").isNotNull(), F.array_join("kept_lines", "\n"))
+    return tables.outer(found.withColumn("text", text), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates; of rows that repeat a doc_id the one with the smallest text."""
-    kept = minhash.near_duplicates(docs, SHINGLE, PERCENT).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    kept = minhash.near_duplicates(docs.select("doc_id", "text"), SHINGLE, PERCENT).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = tables.inner(docs)
+    named = rows.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    named = named.withColumn("kept_row", first).filter(F.col("kept_row") == 1).select(*docs.columns)
-    return named.unionByName(docs.filter(F.col("doc_id").isNull()))
+    named = named.withColumn("place", first).filter("place = 1").drop("place")
+    return tables.outer(named.unionByName(rows.filter(F.col("doc_id").isNull())), docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that occur more than once."""
-    found = suffix_dedup.remove_repeats(docs, REPEAT, GRAM)
-    return _same_columns(found, docs, F.col("text"))
+    return suffix_dedup.remove_repeats(docs, REPEAT, GRAM)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

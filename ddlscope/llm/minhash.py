@@ -117,7 +117,7 @@ def _sketcher(size: int, places: int, bands: int, rows: int):
     return sketch
 
 
-def _portions(stream, n_docs: int, words: int = 1 << 18):
+def _portions(stream, n_docs: int, words: int = 1 << 16):
     """Documents in portions of about so many words; those without any come last."""
     seen, held, size = set(), [], 0
     for doc, w in stream:

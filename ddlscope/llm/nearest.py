@@ -67,8 +67,8 @@ def tile(query_id: np.ndarray, queries: np.ndarray, vec_id: np.ndarray, vectors:
         alive = (rough + error >= least[:, None]) & ~own
         for i in range(len(low)):
             some = np.flatnonzero(alive[i])
-            # over the first axis numpy adds row by row: the order of the components, alike in every tile
-            score = (by_component[:, some] * queries[at + i][:, None]).sum(axis=0)
+            # accumulate adds in the order of the components, so that a pair's score is alike in every tile
+            score = np.add.accumulate(by_component[:, some] * queries[at + i][:, None], axis=0)[-1]
             best = heapq.nsmallest(k, zip((-score).tolist(), vec_id[some].tolist()))
             found.extend((int(query_id[at + i]), v, -s) for s, v in best)
     return found

@@ -335,8 +335,9 @@ def _text_rows(length: int):
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``docs`` (doc_id, text and others) with every repeated string taken out of the texts, in whole characters."""
-    found = with_runs(keyed(docs), length, gram=gram)
-    return found.select(*docs.columns, "runs").mapInArrow(_text_rows(length), docs.schema)
+    inner = tables.inner(docs)
+    found = with_runs(keyed(inner), length, gram=gram)
+    return tables.outer(found.select(*inner.columns, "runs").mapInArrow(_text_rows(length), inner.schema), docs)
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,3 +36,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def inner(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, others): other columns of any name, put together so that none can clash."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(F.lit(True).alias("_row"), *others).alias("others"))
+
+
+def outer(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` again from ``inner`` ones; ``n_chars`` is counted anew from the text."""
+    n_chars = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    return found.select(*(F.col(c) if c in ("doc_id", "text") else n_chars.alias(c) if c == "n_chars" else F.col(f"others.`{c}`").alias(c)
+                          for c in docs.columns))

@@ -1,6 +1,6 @@
 """Words and their 64-bit hashes from UTF-8 bytes, a few numpy passes per block.
 
-Works on blocks of whole documents of about two megabytes; a longer document
+Works on blocks of whole documents of about a megabyte; a longer document
 is cut at white space into several blocks, so memory does not grow with a text.
 """
 
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 #: Odd multipliers (fixed, arbitrary): of the polynomial over a word's bytes and of the mixing steps.
 BASE = 0x9E3779B97F4A7C15
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
