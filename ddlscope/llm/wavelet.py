@@ -6,7 +6,7 @@ rank and select on the planes one file answers: the id at a place, how often an
 id occurs before a place, and where its k-th occurrence is.
 
 File: an 8-byte mark, then little-endian u64: number of ids, documents and
-planes; then sections, each a u64 length and zlib data: document ids (i64),
+planes; then sections, each a u64 length and zstd data: document ids (i64),
 document starts (i64, one more than documents), and for each plane its bits
 (packed, first bit highest) and the number of ones before every 4,096th bit (u32).
 """
@@ -14,9 +14,9 @@ document starts (i64, one more than documents), and for each plane its bits
 from __future__ import annotations
 
 import struct
-import zlib
 
 import numpy as np
+import zstandard
 
 MARK = b"WAVELET1"
 EVERY = 4096
@@ -26,10 +26,11 @@ def encode(ids: np.ndarray, doc_ids: np.ndarray, starts: np.ndarray) -> bytes:
     """File content for the ids of documents; document i has ids[starts[i]:starts[i + 1]]."""
     ids = np.asarray(ids, np.uint32)
     planes = max(1, int(ids.max()).bit_length() if len(ids) else 1)
+    packer = zstandard.ZstdCompressor(level=1)
     out = [MARK, struct.pack("<3Q", len(ids), len(doc_ids), planes)]
 
     def section(a: np.ndarray) -> None:
-        data = zlib.compress(a.tobytes(), 1)
+        data = packer.compress(a.tobytes())
         out.extend((struct.pack("<Q", len(data)), data))
 
     section(np.asarray(doc_ids, "<i8"))
@@ -51,10 +52,11 @@ class WaveletMatrix:
         if content[:8] != MARK:
             raise ValueError("not a wavelet file")
         self.n, self.n_docs, self.planes = struct.unpack_from("<3Q", content, 8)
+        unpacker = zstandard.ZstdDecompressor()
         at, sections = 32, []
         while at < len(content):
             (size,) = struct.unpack_from("<Q", content, at)
-            sections.append(zlib.decompress(content[at + 8:at + 8 + size]))
+            sections.append(unpacker.decompress(content[at + 8:at + 8 + size]))
             at += 8 + size
         self.doc_ids = np.frombuffer(sections[0], "<i8")
         self.starts = np.frombuffer(sections[1], "<i8")
