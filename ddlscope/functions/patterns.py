@@ -8,10 +8,7 @@ Identifiers are ASCII ``\\w``.  Unsupported syntax falls through to
 
 from __future__ import annotations
 
-# A possibly schema-qualified, possibly quoted name; group = last name part.
-ID = r'(?:[\w"`\[\]]+\.)*["`\[]?(\w+)["`\]]?'
-# A name token: last part of a possibly qualified, possibly quoted name.
-NAME_TOKEN = r'^(?:[\w"`\[\]]+\.)*["`\[]?(\w+)'
+from ddlscope.functions.lexer import NAME
 
 # DDL classes are decided on the leading words of a statement (see
 # operators/extract.py), first match wins:
@@ -32,21 +29,21 @@ NAME_TOKEN = r'^(?:[\w"`\[\]]+\.)*["`\[]?(\w+)'
 #   CREATE [OR REPLACE] [TEMP|MATERIALIZED] VIEW v -> CREATE_VIEW
 #   DROP [MATERIALIZED] TABLE|INDEX|VIEW [CONCURRENTLY] [IF EXISTS] n [ON t] -> DROP_*
 #   TRUNCATE [TABLE] [ONLY] t -> TRUNCATE_TABLE
+# DROP TABLE|VIEW and TRUNCATE take a list of names: one operation each.
 #   other CREATE / ALTER / DROP -> UNKNOWN (object name as table); anything else is skipped.
 
-# Statement splitting: runs of text outside quotes up to ';'.
-STATEMENT = r"(?s)(?:'[^']*'|[^;'])+"
-# Whole-line comments (trimmed line starts with --).
-COMMENT_LINE = r"(?m)^[ \t\x0B\f]*--[^\r\n]*"
-# Block comments, and a trailing -- comment on a line with no quote before it.
-BLOCK_COMMENT = r"(?s)/\*.*?\*/"
-TRAILING_COMMENT = r"(?m)^([^'\r\n]*?)--[^\r\n]*"
-# The table list of a TRUNCATE statement.
-TRUNCATE_LIST = r"(?is)^\s*TRUNCATE\s+(?:TABLE\s+)?(?:ONLY\s+)?(.*)$"
+# Statement, action and comment splitting: functions/lexer.py.
+# The table list of a TRUNCATE or DROP statement.
+TABLE_LIST = (r"(?is)^\s*(?:TRUNCATE\s+(?:TABLE\s+)?(?:ONLY\s+)?|DROP\s+(?:MATERIALIZED\s+)?(?:TABLE|VIEW)\s+"
+              r"(?:IF\s+EXISTS\s+)?)(.*)$")
 # Compound ALTER TABLE: prefix (group 1) and action list (group 2).
-ALTER_PREFIX = r'(?is)^\s*(ALTER\s+TABLE\s+(?:IF\s+EXISTS\s+)?(?:ONLY\s+)?[\w"`\[\].]+\s+)(.*)$'
-# One action: quoted text, up to three levels of parentheses, anything but , ( '
-ACTION = r"(?s)(?:'[^']*'|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)|[^,('])+"
+ALTER_PREFIX = r"(?is)^\s*(ALTER\s+TABLE\s+(?:IF\s+EXISTS\s+)?(?:ONLY\s+)?" + NAME + r"\s+)(.*)$"
+# ADD (a INT, b INT): the definitions in the parentheses.
+ADD_LIST = r"(?is)^ADD\s*(?:COLUMNS?\s*)?\((.*)\)\s*$"
+# A statement whose names hold blanks, parentheses or marks inside quotes.
+SPACED_NAME = r"""["`\[][^"`\]]*[^\w."`\]]"""
+# Leading words of such a statement: names with their quotes, and single parentheses.
+SPACED_TOKEN = r"""(?:"[^"]*+"|`[^`]*+`|\[[^\]]*+\]|[^\s("`\[]++|[\["`])++|\("""
 
 NOT_NULL = r"(?is)\bNOT\s+NULL\b"
 DEFAULT = r"(?is)\bDEFAULT\b"

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ddlscope.operators.catalog import lookup_table
+from ddlscope.session import broadcast_if_small
 
 _COLUMN_CHANGE = {"ADD_COLUMN": "added", "DROP_COLUMN": "removed", "ALTER_COLUMN": "type_changed",
                   "RENAME_COLUMN": "renamed"}
@@ -31,23 +32,30 @@ def _case(col, mapping):
 
 
 def schema_changes(ops: DataFrame, catalog_columns: DataFrame, catalog_indexes: DataFrame) -> DataFrame:
-    """D1-D6 for a single catalogue (the before-snapshot of every migration)."""
-    tables = catalog_columns.select("table_name").distinct()
-    o = ops.select("migration_id", "stmt_pos", "action_pos", "op_class", "target_table", "target_column",
+    """D1-D6 against the before-snapshot of each row's schema (``schema_id``, where the operations name one)."""
+    by = ["schema_id"] if "schema_id" in ops.columns else []
+    tables = catalog_columns.select(*by, "table_name").distinct()
+    o = ops.select("migration_id", "stmt_pos", "action_pos", *by, "op_class", "target_table", "target_column",
                    "target_index", "parser_notes")
     o = o.filter(F.col("op_class").isin(*_COLUMN_CHANGE, *_TABLE_CHANGE, "CREATE_INDEX", "DROP_INDEX",
                                         "ADD_CONSTRAINT", "ADD_FOREIGN_KEY"))
     o = lookup_table(o, "target_table", tables, "before_table")
-    # D3: type of a dropped column, exact column name within the found table
-    cols = F.broadcast(catalog_columns).select(F.col("table_name").alias("_ct"), F.col("column_name").alias("_cc"),
-                                  F.col("data_type").alias("_ctype"))
+
+    def same_schema(key):
+        return F.col("schema_id") == F.col(key) if by else F.lit(True)
+
+    # D3: type of a dropped column, exact column name within the found table (unique in the catalogue)
+    cols = catalog_columns if by else catalog_columns.dropDuplicates(["table_name", "column_name"])
+    cols = broadcast_if_small(cols.select(F.col("schema_id").alias("_cs"), F.col("table_name").alias("_ct"),
+                                          F.col("column_name").alias("_cc"), F.col("data_type").alias("_ctype")))
     o = o.join(cols, (F.col("op_class") == "DROP_COLUMN") & (F.col("before_table") == F.col("_ct"))
-               & (F.col("target_column") == F.col("_cc")), "left")
+               & (F.col("target_column") == F.col("_cc")) & same_schema("_cs"), "left")
     # Columns of a dropped index, exact index name within the found table
-    idx = F.broadcast(catalog_indexes).select(F.col("table_name").alias("_it"), F.col("index_name").alias("_in"),
-                                 F.col("columns").alias("_icols"))
+    idx = catalog_indexes if by else catalog_indexes.dropDuplicates(["table_name", "index_name"])
+    idx = broadcast_if_small(idx.select(F.col("schema_id").alias("_is"), F.col("table_name").alias("_it"),
+                                        F.col("index_name").alias("_in"), F.col("columns").alias("_icols")))
     o = o.join(idx, (F.col("op_class") == "DROP_INDEX") & (F.col("before_table") == F.col("_it"))
-               & (F.col("target_index") == F.col("_in")), "left")
+               & (F.col("target_index") == F.col("_in")) & same_schema("_is"), "left")
 
     cls = F.col("op_class")
     col_or_empty = F.coalesce(F.col("target_column"), F.lit(""))

@@ -17,28 +17,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ddlscope.functions import fixed, patterns
+from ddlscope.functions import fixed, lexer, patterns
 from ddlscope.functions.text import py_strip, null_if_empty
+from ddlscope.session import broadcast_if_small
 from ddlscope.sources.files import infer_dialect
 
 
 def strip_comment_lines(text: Column) -> Column:
-    """Drop whole-line ``--`` comments, ``/* */`` blocks and trailing ``--``
-    comments (on lines without a quote before them); scans only run when the
-    markers occur."""
-    t = F.when(text.contains("/*"), F.regexp_replace(text, patterns.BLOCK_COMMENT, " ")).otherwise(text)
-    t = F.when(t.contains("--"), F.regexp_replace(t, patterns.COMMENT_LINE, "")).otherwise(t)
-    # most scripts have whole-line comments only: the trailing scan runs when "--" is left
-    return F.when(t.contains("--"), F.regexp_replace(t, patterns.TRAILING_COMMENT, "$1")).otherwise(t)
+    """Drop ``--`` and ``/* */`` comments outside quotes."""
+    return lexer.strip_comments(text)
 
 
 def split_statements(df: DataFrame, text_col: str = "sql") -> DataFrame:
-    """One row per non-blank statement; ``;`` inside quotes does not split."""
-    text = F.col(text_col)
-    # without quotes a plain split gives the same pieces as the quote-aware pattern
-    pieces = F.when(text.contains("'"), F.regexp_extract_all(text, F.lit(patterns.STATEMENT), 0)) \
-        .otherwise(F.array_remove(F.split(text, ";"), ""))
-    out = df.select("*", F.posexplode(pieces).alias("stmt_pos", "stmt_raw")).drop(text_col)
+    """One row per non-blank statement; ``;`` inside quotes or a dollar body does not split."""
+    out = df.select("*", F.posexplode(lexer.statements(F.col(text_col))).alias("stmt_pos", "stmt_raw")).drop(text_col)
     out = out.withColumn("stmt", py_strip(F.col("stmt_raw"))).drop("stmt_raw")
     return out.filter(F.length("stmt") > 0)
 
@@ -46,26 +38,34 @@ def split_statements(df: DataFrame, text_col: str = "sql") -> DataFrame:
 def split_compound_alter(df: DataFrame) -> DataFrame:
     """``ALTER TABLE t a1, a2`` -> one ``ALTER TABLE t ai`` row per action.
 
-    Commas inside quotes or up to three levels of parentheses do not split.
-    Other statements pass through as action 0.
+    Commas inside quotes or parentheses of any depth do not split; the
+    definitions of ``ADD (a INT, b INT)`` are actions of their own.  Other
+    statements pass through as action 0.
     """
-    # only an ALTER with a comma can hold several actions; everything else skips the regex
-    is_alter = (F.upper(F.substring("stmt", 1, 5)) == "ALTER") & F.col("stmt").contains(",")
-    prefix = F.when(is_alter, F.regexp_extract("stmt", patterns.ALTER_PREFIX, 1)).otherwise(F.lit(""))
-    actions = F.regexp_extract_all(
-        F.when(is_alter, F.regexp_extract("stmt", patterns.ALTER_PREFIX, 2)).otherwise(F.lit("")),
-        F.lit(patterns.ACTION), 0)
-    rebuilt = F.filter(
-        F.transform(actions, lambda a: F.concat(prefix, py_strip(a))),
-        lambda s: F.length(s) > F.length(prefix),
-    )
-    parts = F.when((F.length(prefix) > 0) & (F.size(rebuilt) > 0), rebuilt).otherwise(F.array(F.col("stmt")))
-    return df.select("*", F.posexplode(parts).alias("action_pos", "action_sql")).drop("stmt")
+    # only an ALTER with a comma or an ADD list can hold several actions; everything else skips the split
+    is_alter = (F.upper(F.substring("stmt", 1, 5)) == "ALTER") & (
+        F.col("stmt").contains(",") | F.col("stmt").rlike(r"(?i)\bADD\s*\("))
+    # a generator keeps the two parts evaluated once
+    parts = df.select("*", F.when(is_alter, F.regexp_extract("stmt", patterns.ALTER_PREFIX, 1)).otherwise(F.lit("")).alias("_prefix"),
+                      F.when(is_alter, F.regexp_extract("stmt", patterns.ALTER_PREFIX, 2)).otherwise(F.lit("")).alias("_list"))
+    single = F.array(F.struct(F.lit(0).alias("pos"), F.col("stmt").alias("sql")))
+    actions = F.filter(lexer.split_top(F.col("_list")), lambda x: F.length(x) > 0)
+    expanded = F.when(F.col("_list").rlike(r"(?i)\bADD\s*(?:COLUMNS?\s*)?\("), F.flatten(F.transform(actions, lambda a: F.when(
+        a.rlike(patterns.ADD_LIST),
+        F.transform(lexer.split_top(F.regexp_extract(a, patterns.ADD_LIST, 1)), lambda x: F.concat(F.lit("ADD "), x)))
+        .otherwise(F.array(a))))).otherwise(actions)
+    rebuilt = F.transform(expanded, lambda a, i: F.struct(i.alias("pos"), F.concat(F.col("_prefix"), a).alias("sql")))
+    found = F.when(F.col("_prefix") == "", single).otherwise(rebuilt)
+    out = parts.select("*", F.inline(F.when(F.size(found) > 0, found).otherwise(single)))
+    return out.withColumnsRenamed({"pos": "action_pos", "sql": "action_sql"}).drop("stmt", "_prefix", "_list")
 
 
 # Words that may stand between CREATE / DROP and the object keyword.
 _CREATE_MODIFIERS = ["OR", "REPLACE", "GLOBAL", "LOCAL", "TEMP", "TEMPORARY", "UNLOGGED", "UNIQUE", "MATERIALIZED"]
 _DROP_MODIFIERS = ["MATERIALIZED"]
+# The classes are decided by the leading words alone.  The longest lead of the grammar in
+# functions/patterns.py is CREATE + 6 modifiers + INDEX CONCURRENTLY IF NOT EXISTS i ON ONLY t = 15 words;
+# what follows (column types, bodies, predicates) is never looked at for the class.
 N_TOKENS = 16
 
 
@@ -73,14 +73,16 @@ def tokens(stmt: Column) -> Column:
     """First words of a statement (bounded split: cost does not grow with its length).
 
     '(' is set apart so ``users(email)`` gives ``users``; the last element holds
-    the unsplit rest.
+    the unsplit rest.  Names with blanks inside their quotes are one word.
     """
-    return F.split(F.replace(stmt, F.lit("("), F.lit(" ( ")), r"\s+", N_TOKENS)
+    words = F.split(F.replace(stmt, F.lit("("), F.lit(" ( ")), r"\s+", N_TOKENS)
+    spaced = F.slice(F.regexp_extract_all(stmt, F.lit(patterns.SPACED_TOKEN), 0), 1, N_TOKENS)
+    return F.when(stmt.rlike(patterns.SPACED_NAME), spaced).otherwise(words)
 
 
 def _name(tok: Column) -> Column:
     """Last part of a possibly qualified, possibly quoted name token."""
-    return F.regexp_extract(tok, patterns.NAME_TOKEN, 1)
+    return lexer.name_of(tok)
 
 
 def classify_tokens(df: DataFrame, toks_col: str = "_toks") -> DataFrame:
@@ -206,14 +208,15 @@ def classify_tokens(df: DataFrame, toks_col: str = "_toks") -> DataFrame:
         null_if_empty(_name(F.col("_ti"))).alias("target_index"),
         F.lit(0).alias("_sub"),
     ))))
-    # TRUNCATE a, b, c: one operation per table, numbered by action_pos (a
-    # TRUNCATE is never an ALTER action list, so its action_pos starts at 0)
-    names = F.split(F.regexp_extract(F.col("action_sql"), patterns.TRUNCATE_LIST, 1), ",")
+    # TRUNCATE a, b, c and DROP TABLE a, b, c: one operation per name, numbered by
+    # action_pos (neither is an ALTER action list, so its action_pos starts at 0)
+    names = lexer.split_top(F.regexp_extract(F.col("action_sql"), patterns.TABLE_LIST, 1))
     per_table = F.transform(names, lambda n, i: F.struct(
-        F.lit("TRUNCATE_TABLE").alias("op_class"), F.coalesce(_name(py_strip(n)), F.lit("")).alias("target_table"),
+        F.col("op_class").alias("op_class"), F.coalesce(_name(py_strip(n)), F.lit("")).alias("target_table"),
         F.lit(None).cast("string").alias("target_column"), F.lit(None).cast("string").alias("target_index"),
         i.alias("_sub")))
-    found = F.when((F.col("op_class") == "TRUNCATE_TABLE") & F.col("action_sql").contains(","), per_table) \
+    found = F.when(F.col("op_class").isin("TRUNCATE_TABLE", "DROP_TABLE", "DROP_VIEW") & F.col("action_sql").contains(",")
+                   & F.col("action_sql").rlike(patterns.TABLE_LIST), per_table) \
         .otherwise(found)
     out = d.select(*cols, "_up", F.inline(found))
     return out.withColumn("action_pos", F.col("action_pos") + F.col("_sub")).drop("_sub")
@@ -222,11 +225,13 @@ def classify_tokens(df: DataFrame, toks_col: str = "_toks") -> DataFrame:
 def parser_notes(op_class: Column, stmt: Column, up: Column) -> tuple[Column, Column, Column, Column]:
     """Clause flags and the notes the extraction attaches.
 
-    The NOT NULL / DEFAULT scans only run on ADD_COLUMN statements.
+    The NOT NULL / DEFAULT scans only run on ADD_COLUMN statements, and not
+    inside literals or parentheses (CHECK bodies, function arguments).
     """
     is_add = op_class == "ADD_COLUMN"
-    has_not_null = F.when(is_add, stmt.rlike(patterns.NOT_NULL)).otherwise(F.lit(False))
-    has_default = F.when(is_add, stmt.rlike(patterns.DEFAULT)).otherwise(F.lit(False))
+    visible = lexer.outside_parentheses(stmt)
+    has_not_null = F.when(is_add, visible.rlike(patterns.NOT_NULL)).otherwise(F.lit(False))
+    has_default = F.when(is_add, visible.rlike(patterns.DEFAULT)).otherwise(F.lit(False))
     is_concurrent = (op_class == "CREATE_INDEX") & F.array_contains(F.slice(up, 1, 4), "CONCURRENTLY")
     notes = F.array_compact(F.array(
         F.when(is_add & has_not_null & ~has_default, F.lit(fixed.NOTE_NOT_NULL_NO_DEFAULT)),
@@ -262,15 +267,15 @@ def extract_operations(scripts: DataFrame, keep: list[str] | None = None) -> Dat
 
 
 def resolve_index_tables(ops: DataFrame, catalog_indexes: DataFrame) -> DataFrame:
-    """Give a standalone ``DROP INDEX i`` the table that owns index ``i``.
+    """Give a standalone ``DROP INDEX i`` the table that owns index ``i`` in the operation's schema.
 
-    The catalogue has one row per index name and schema, so the left join
-    cannot fan out; it is pre-aggregated by name to make that explicit.
+    Owners are aggregated to one row per (schema, index name), so the left
+    join cannot fan out.
     """
-    # catalogue-sized (one row per index of the schema): broadcast
-    owners = F.broadcast(catalog_indexes.groupBy("index_name").agg(F.min("table_name").alias("_owner")))
-    joined = ops.join(owners, (ops.op_class == "DROP_INDEX") & (ops.target_table == "")
-                      & (ops.target_index == owners.index_name), "left")
-    return joined.withColumn(
-        "target_table", F.coalesce(F.col("_owner"), F.col("target_table"))
-    ).drop("_owner", "index_name")
+    by = ["schema_id"] if "schema_id" in ops.columns else []
+    owners = broadcast_if_small(catalog_indexes.groupBy(*by, "index_name").agg(F.min("table_name").alias("_owner")))
+    cond = (F.col("op_class") == "DROP_INDEX") & (F.col("target_table") == "") & (F.col("target_index") == F.col("_index"))
+    if by:
+        cond = cond & (F.col("schema_id") == F.col("_schema"))
+    joined = ops.join(owners.withColumnsRenamed({"index_name": "_index", "schema_id": "_schema"}), cond, "left")
+    return joined.withColumn("target_table", F.coalesce(F.col("_owner"), F.col("target_table"))).drop("_owner", "_index", "_schema")

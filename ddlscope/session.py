@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -81,3 +82,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str):
     if key not in _READS:
         _READS[key] = spark.read.parquet(table_path(sf_dir, name))
     return _READS[key]
+
+
+#: Rows of a lookup that may be broadcast; larger ones are joined by shuffling.
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(df):
+    """``df`` with a broadcast hint if it has at most BROADCAST_ROWS rows, which is counted first (to the limit only)."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
