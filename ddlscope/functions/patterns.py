@@ -56,14 +56,6 @@ TERMINATED_QUERY = r"(?is)(?:" + VERBS + r")\b.*?;"
 LINE_QUERY = r"(?i)^\s*(?:" + VERBS + r")\b"
 LINE_SPLIT = r"\r\n|[\n\r\x0B\f\x1c\x1d\x1e\u0085\u2028\u2029]"
 
-# ---- query references ------------------------------------------------------
-STRING_LITERAL = r"'[^']*'"
-TABLE_REF = r"(?i)\b(?:FROM|JOIN|UPDATE|INTO)\s+([A-Za-z_]\w*)"
-ALIAS_REF = r"(?i)\b(?:FROM|JOIN|UPDATE)\s+[A-Za-z_]\w*\s+(?:AS\s+)?([A-Za-z_]\w*)"
-QUALIFIED_REF = r"\b([A-Za-z_]\w*)\.([A-Za-z_]\w*)\b"
-COLUMN_ALIAS = r"(?i)\bAS\s+([A-Za-z_]\w*)"
-FUNCTION_CALL = r"\b[A-Za-z_]\w*\s*\("
-IDENTIFIER = r"\b([A-Za-z_]\w*)\b"
 # words that are never column names in the logged queries
 SQL_KEYWORDS = [
     "ALL", "AND", "ANY", "AS", "ASC", "BETWEEN", "BY", "CASE", "CROSS", "DELETE",
@@ -74,3 +66,24 @@ SQL_KEYWORDS = [
     "RETURNING", "RIGHT", "ROW", "ROWS", "SELECT", "SET", "THEN", "TRUE", "UNION",
     "UPDATE", "USING", "VALUES", "WHEN", "WHERE", "WITH",
 ]
+KEYWORDS = "|".join(SQL_KEYWORDS)
+
+# ---- query references ------------------------------------------------------
+STRING_LITERAL = r"'[^']*+'"
+# "users", `users` and [users] are the plain name
+QUOTED_NAME = r"""["`]([A-Za-z_]\w*)["`]|\[([A-Za-z_]\w*)\]"""
+# FROM inside a call or a comparison names no table
+EXTRACT_FROM = r"(?i)\bEXTRACT\s*\(\s*\w+\s+FROM\b"
+CALL_FROM = r"(?i)\b((?:SUBSTRING|TRIM|OVERLAY)\s*\([^()]*?)\bFROM\b"
+DISTINCT_FROM = r"(?i)\bIS\s+(?:NOT\s+)?DISTINCT\s+FROM\b"
+CAST_TYPE = r"::\s*\w+"
+_WORD = r"[A-Za-z_]\w*"
+_ITEM = rf"(?:{_WORD}\s*\.\s*)*{_WORD}(?:\s+(?:AS\s+)?(?!(?:{KEYWORDS})\b){_WORD})?"
+# tables after FROM, JOIN, UPDATE or INTO: possibly qualified, with aliases, in a comma list
+TABLE_LIST_REF = rf"(?i)\b(?:FROM|JOIN|UPDATE|INTO)\s+(?!(?:{KEYWORDS})\b)({_ITEM}(?:\s*,\s*{_ITEM})*)"
+ITEM_ALIAS = rf"(?i)\s(?:AS\s+)?({_WORD})$"
+SUBQUERY_ALIAS = rf"(?i)\)\s*(?:AS\s+)?({_WORD})"
+QUALIFIED_REF = rf"\b{_WORD}(?:\.{_WORD})+\b"
+COLUMN_ALIAS = r"(?i)\bAS\s+([A-Za-z_]\w*)"
+FUNCTION_CALL = r"\b[A-Za-z_]\w*\s*\("
+IDENTIFIER = r"\b([A-Za-z_]\w*)\b"

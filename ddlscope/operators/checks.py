@@ -1,7 +1,7 @@
 """Pre-flight data checks (V1-V4): what the lock notes only describe, run on the data.
 
-* V1 ``fk_orphans``: child rows whose foreign key has no parent — a left
-  join against the distinct parent keys (merge join).
+* V1 ``fk_orphans``: child rows whose foreign key has no parent — counted
+  per key, then a merge join of the distinct keys.
 * V2 ``constraint_violations``: primary-key duplicates (``groupBy(key)``
   with map-side combined counts, so a hot key is reduced before the
   shuffle) and NOT NULL violations (``count_if``), one scan per table.
@@ -38,18 +38,19 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def fk_orphans(spark: SparkSession, sf_dir: str, foreign_keys) -> DataFrame:
     """V1: (fk_name, child_table, child_column, parent_table, child_rows, orphan_rows) per foreign key.
 
-    A merge join against the distinct parent keys (an anti join in effect)
-    and one aggregate per key; a skewed child key is split by AQE.
+    Child rows are counted per key first (map-side combined, so a hot or null
+    key is one row per task), then the distinct keys meet the distinct parent keys.
     """
     parts = []
     for child, col, parent, pcol in foreign_keys:
-        c = read_table(spark, sf_dir, child).select(F.col(col).alias("_k"))
+        c = read_table(spark, sf_dir, child).groupBy(F.col(col).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
         # distinct parent keys: the join cannot fan out; a missing parent leaves _hit null
         p = read_table(spark, sf_dir, parent).select(F.col(pcol).alias("_k")).distinct() \
             .withColumn("_hit", F.lit(True))
         j = c.join(p.hint("merge"), "_k", "left")   # parent keys grow with the data
-        counts = j.groupBy().agg(F.count(F.lit(1)).alias("child_rows"),
-                                 F.count_if(F.col("_k").isNotNull() & F.col("_hit").isNull()).alias("orphan_rows"))
+        orphan = F.col("_k").isNotNull() & F.col("_hit").isNull()
+        counts = j.groupBy().agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("child_rows"),
+                                 F.coalesce(F.sum(F.when(orphan, F.col("_n"))), F.lit(0)).alias("orphan_rows"))
         parts.append(counts.select(F.lit(f"{child}.{col}->{parent}.{pcol}").alias("fk_name"),
                                    F.lit(child).alias("child_table"), F.lit(col).alias("child_column"),
                                    F.lit(parent).alias("parent_table"), "child_rows", "orphan_rows"))

@@ -4,10 +4,10 @@ Input logs are ``(log_id, chunk_id, text)``: a whole log file is one chunk;
 a long log may be stored as many chunks that each end at an entry
 boundary, so no log has to pass through one task.
 
-* Q1-Q3: both extraction modes run per chunk (one pass each); the mode of a
-  log (``;``-terminated if any line starts with a verb and reaches ``;`` and
-  that mode kept a query, else one query per line) is a per-log partial
-  aggregate.
+* Q1-Q3: both extraction modes run per chunk in one pass; the mode of a log
+  (``;``-terminated if any line starts with a verb and reaches ``;``, else one
+  query per line) is an aggregate of the deduplicated entries.  Every file is
+  a log of its own; ``db_id`` says which database it belongs to.
 * Q4: first-seen dedupe is ``groupBy(log_id, mode, query)`` with
   ``min(struct(chunk, pos))`` and ``count`` - map-side combined, so a query
   repeated a billion times is reduced before the shuffle.
@@ -20,68 +20,103 @@ boundary, so no log has to pass through one task.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ddlscope.functions import fixed, patterns
+from ddlscope.functions import fixed, lexer, patterns
 from ddlscope.functions.text import fill, py_strip
+from ddlscope.session import written
+
 
 def _empty():
     return F.array().cast("array<string>")
 
 
-def extract_queries(logs: DataFrame) -> DataFrame:
-    """Q1-Q4: distinct queries per log with first position and frequency.
+def log_entries(logs: DataFrame) -> DataFrame:
+    """Q1-Q2: every logged query of both modes: log_id[, db_id], chunk_id, terminated, probe, pos, query.
 
-    Output: log_id, query, first_chunk, first_pos, frequency.
+    Terminated entries are looked for in the text up to its last ``;`` only, so
+    every match ends there at the latest and the scan is linear.
     """
+    ids = [c for c in ("log_id", "db_id") if c in logs.columns]
     text = F.col("text")
-    q1 = F.filter(F.transform(F.regexp_extract_all(text, F.lit(patterns.TERMINATED_QUERY), 0), lambda x: py_strip(x)),
-                  lambda x: F.length(x) < fixed.TERMINATED_QUERY_LIMIT)
+    tail = F.substring_index(text, ";", -1)
+    heads = logs.select(*ids, "chunk_id", "text", F.substring(text, F.lit(1), F.length(text) - F.length(tail)).alias("_head"))
+    q1 = F.transform(F.regexp_extract_all(F.col("_head"), F.lit(patterns.TERMINATED_QUERY), 0), lambda x: py_strip(x))
     q2 = F.transform(F.filter(F.split(text, patterns.LINE_SPLIT), lambda ln: ln.rlike(patterns.LINE_QUERY)),
                      lambda ln: py_strip(ln))
-    chunks = logs.select("log_id", "chunk_id", text.rlike(patterns.TERMINATED_PROBE).alias("_probe"),
-                         q1.alias("_q1"), q2.alias("_q2"))
-    # per-log mode (Q3): one small row per log
-    mode = chunks.groupBy("log_id").agg(
-        (F.bool_or("_probe") & F.bool_or(F.size("_q1") > 0)).alias("_terminated"))
-    both = chunks.select("log_id", "chunk_id", F.explode(F.array(
-        F.struct(F.lit(True).alias("m"), F.col("_q1").alias("qs")),
-        F.struct(F.lit(False).alias("m"), F.col("_q2").alias("qs")),
-    )).alias("_b")).select("log_id", "chunk_id", F.col("_b.m").alias("_terminated"),
-                           F.posexplode("_b.qs").alias("pos", "query"))
-    # Q4: exact-text dedupe, first appearance and frequency (partial aggregation)
-    dedup = both.groupBy("log_id", "_terminated", "query").agg(
-        F.min(F.struct("chunk_id", "pos")).alias("_first"), F.count(F.lit(1)).alias("frequency"))
-    # one row per log, but the number of logs grows with the data: no broadcast on an estimate
-    kept = dedup.join(mode.hint("merge"), ["log_id", "_terminated"], "left_semi")
-    return kept.select("log_id", "query", F.col("_first.chunk_id").alias("first_chunk"),
+    modes = heads.select(*ids, "chunk_id", F.explode(F.array(
+        F.struct(F.lit(True).alias("terminated"), F.col("_head").rlike(patterns.TERMINATED_PROBE).alias("probe"), q1.alias("queries")),
+        F.struct(F.lit(False).alias("terminated"), F.lit(False).alias("probe"), q2.alias("queries")),
+    )).alias("_m"))
+    return modes.select(*ids, "chunk_id", "_m.terminated", "_m.probe", F.posexplode("_m.queries").alias("pos", "query"))
+
+
+def extract_queries(logs: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Q1-Q4: distinct queries per log with first position and frequency.
+
+    Output: log_id[, db_id], query, first_chunk, first_pos, frequency.  With
+    ``max_chars`` terminated queries of that length or more are left out
+    (``dropped_queries`` reports them); by default every query is kept.
+    """
+    ids = [c for c in ("log_id", "db_id") if c in logs.columns]
+    entries = log_entries(logs)
+    if max_chars is not None:
+        entries = entries.filter(~F.col("terminated") | (F.length("query") < max_chars))
+    # Q4: exact-text dedupe, first appearance and frequency (partial aggregation); written, so that
+    # the mode of a log and its queries come from one pass over the texts
+    dedup = written(entries.groupBy(*ids, "terminated", "query").agg(
+        F.min(F.struct("chunk_id", "pos")).alias("_first"), F.count(F.lit(1)).alias("frequency"),
+        F.bool_or("probe").alias("_probe")), "queries")
+    # Q3: one small row per log, but the number of logs grows with the data: no broadcast on an estimate
+    mode = dedup.groupBy("log_id").agg(F.bool_or("_probe").alias("_mode"))
+    kept = dedup.join(mode.hint("merge"), "log_id").filter(F.col("terminated") == F.col("_mode"))
+    return kept.select(*ids, "query", F.col("_first.chunk_id").alias("first_chunk"),
                        F.col("_first.pos").cast("long").alias("first_pos"), "frequency")
 
 
+def dropped_queries(logs: DataFrame, max_chars: int) -> DataFrame:
+    """(log_id, dropped): terminated queries per log that ``max_chars`` leaves out."""
+    return (log_entries(logs).filter(F.col("terminated") & (F.length("query") >= max_chars))
+            .groupBy("log_id").agg(F.count(F.lit(1)).alias("dropped")))
+
+
 def _not_keyword(x: Column) -> Column:
     return ~F.upper(x).isin(*patterns.SQL_KEYWORDS)
 
 
+def _plain(query: Column) -> Column:
+    """The query without comments, literals, casts and quotes around names; FROM only where it names tables."""
+    q = F.regexp_replace(lexer.strip_comments(query), patterns.STRING_LITERAL, "''")
+    q = F.regexp_replace(q, patterns.QUOTED_NAME, "$1$2")
+    q = F.regexp_replace(q, patterns.CAST_TYPE, " ")
+    q = F.regexp_replace(F.regexp_replace(q, patterns.EXTRACT_FROM, "EXTRACT("), patterns.CALL_FROM, "$1,")
+    return F.regexp_replace(q, patterns.DISTINCT_FROM, "=")
+
+
 def with_references(queries: DataFrame) -> DataFrame:
     """Q5: lexical table / column references of every query (row-local).
 
-    Adds ``ref_keys`` (table keys as written: tables and qualifiers; aliases
-    are not resolved), ``key_cols`` (array<struct<key, cols>>, the qualified
-    columns of each key) and ``star_cols`` (unqualified columns).
+    Adds ``ref_tables`` (tables as written, without their schema), ``ref_keys``
+    (tables and qualifiers; aliases are not resolved), ``key_cols``
+    (array<struct<key, cols>>, the qualified columns of each key) and
+    ``star_cols`` (unqualified columns).
     """
-    clean = F.regexp_replace("query", patterns.STRING_LITERAL, "''")
-    q = queries.select("*", clean.alias("_clean"))
-    tables = F.regexp_extract_all("_clean", F.lit(patterns.TABLE_REF), 1)
-    aliases = F.filter(F.regexp_extract_all("_clean", F.lit(patterns.ALIAS_REF), 1), _not_keyword)
-    qual = F.regexp_extract_all("_clean", F.lit(patterns.QUALIFIED_REF), 0)
-    rest = F.regexp_replace(F.regexp_replace("_clean", patterns.QUALIFIED_REF, " "), patterns.FUNCTION_CALL, " ")
-    idents = F.filter(F.regexp_extract_all(rest, F.lit(patterns.IDENTIFIER), 1), _not_keyword)
-    col_aliases = F.regexp_extract_all("_clean", F.lit(patterns.COLUMN_ALIAS), 1)
-    q = q.select("*", F.filter(tables, _not_keyword).alias("_tables"), aliases.alias("_aliases"),
+    q = queries.select("*", _plain(F.col("query")).alias("_clean"))
+    items = F.flatten(F.transform(F.regexp_extract_all("_clean", F.lit(patterns.TABLE_LIST_REF), 1),
+                                  lambda x: F.transform(F.split(x, ","), lambda y: py_strip(y))))
+    # what is left names columns, functions and aliases
+    q = q.select("*", items.alias("_items"), F.regexp_replace("_clean", patterns.TABLE_LIST_REF, " ").alias("_rest"))
+    tables = F.transform("_items", lambda x: F.regexp_extract(x, r"^(?:\w+\s*\.\s*)*(\w+)", 1))
+    aliases = F.concat(F.filter(F.transform("_items", lambda x: F.regexp_extract(x, patterns.ITEM_ALIAS, 1)), lambda x: x != ""),
+                       F.regexp_extract_all("_clean", F.lit(patterns.SUBQUERY_ALIAS), 1))
+    qual = F.regexp_extract_all("_rest", F.lit(patterns.QUALIFIED_REF), 0)
+    bare = F.regexp_replace(F.regexp_replace("_rest", patterns.QUALIFIED_REF, " "), patterns.FUNCTION_CALL, " ")
+    idents = F.filter(F.regexp_extract_all(bare, F.lit(patterns.IDENTIFIER), 1), _not_keyword)
+    col_aliases = F.regexp_extract_all("_rest", F.lit(patterns.COLUMN_ALIAS), 1)
+    q = q.select("*", tables.alias("_tables"), aliases.alias("_aliases"),
                  F.transform(F.array_distinct(qual), lambda s: F.struct(
-                     F.substring_index(s, ".", 1).alias("k"), F.substring_index(s, ".", -1).alias("c"))).alias("_qual"),
+                     F.element_at(F.split(s, "[.]"), -2).alias("k"), F.element_at(F.split(s, "[.]"), -1).alias("c"))).alias("_qual"),
                  idents.alias("_idents"), col_aliases.alias("_col_aliases"))
     keys = F.array_distinct(F.concat(F.col("_tables"), F.transform("_qual", lambda p: p["k"])))
     star = F.array_except(F.col("_idents"), F.concat(F.col("_tables"), F.col("_aliases"), F.col("_col_aliases")))
@@ -131,23 +166,37 @@ def column_change_keys(changes: DataFrame, migrations: DataFrame) -> DataFrame:
     return c.join(migrations.select("migration_id", "db_id"), "migration_id")
 
 
+def _database(refs: DataFrame) -> DataFrame:
+    """References with ``_db``: the database of the log, which is the log itself where no db_id is given."""
+    return refs.withColumn("_db", F.col("db_id") if "db_id" in refs.columns else F.col("log_id"))
+
+
+def _dropped_indexes(changes: DataFrame, migrations: DataFrame) -> DataFrame:
+    return changes.filter((F.col("object_kind") == "index") & (F.col("change_type") == "removed")).select(
+        "migration_id", F.lower("table_name").alias("itable"), "index_name",
+        F.transform(F.coalesce("index_columns", _empty()), lambda c: F.lower(c)).alias("icols"),
+    ).join(migrations.select("migration_id", "db_id"), "migration_id")
+
+
+def _uses_index(cols: Column, icols: Column) -> Column:
+    return (F.size(icols) == 0) | F.arrays_overlap(cols, icols) | (F.size(cols) == 0)
+
+
 def match_impacts(refs: DataFrame, changes: DataFrame, migrations: DataFrame) -> DataFrame:
-    """Q7-Q11: impacts of each migration on the queries of its database's log.
+    """Q7-Q11: impacts of each migration on the queries of its database's logs, with the whole query text.
 
-    ``refs`` is the output of ``with_references`` on ``extract_queries``
-    (log_id = db_id); ``changes`` the long schema changes; ``migrations``
-    gives each migration its db_id.  Output: migration_id, log_id, query,
-    impact_type, severity, description, affected_table, affected_column.
+    ``refs`` is the output of ``with_references`` on ``extract_queries``;
+    ``changes`` the long schema changes; ``migrations`` gives each migration its
+    db_id.  Output: migration_id, log_id, query, impact_type, severity,
+    description, affected_table, affected_column.
     """
-    qid = ["log_id", "query"]
-    # column and index matching both read the changes: keep them once for the
-    # job (spillable; lost blocks are recomputed from lineage)
-    changes = changes.filter(F.col("object_kind").isin("column", "index")).persist(StorageLevel.MEMORY_AND_DISK)
+    refs = _database(refs)
+    qid = ["log_id", "query", "_db"]
     cols = expanded_column_refs(refs, qid)
     ck = column_change_keys(changes, migrations)
     # both sides grow with the data (queries per log, changes per migration): merge join on
     # (db, table, column); AQE splits a skewed key
-    j = cols.join(ck.hint("merge"), (cols.log_id == ck.db_id) & (cols.tkey == ck.ctable)
+    j = cols.join(ck.hint("merge"), (cols._db == ck.db_id) & (cols.tkey == ck.ctable)
                   & (F.lower(cols.col) == ck.ccol))
     ctype = F.col("change_type")
     impact_type = (F.when(ctype == "removed", "column_missing").when(ctype == "renamed", "column_renamed")
@@ -157,22 +206,18 @@ def match_impacts(refs: DataFrame, changes: DataFrame, migrations: DataFrame) ->
             .when(ctype == "renamed", fill(fixed.IMPACT_COLUMN_RENAMED, col=F.col("col"), table=F.col("tkey")))
             .otherwise(fill(fixed.IMPACT_TYPE_MISMATCH, col=F.col("col"), table=F.col("tkey"))))
     col_impacts = j.select(
-        "migration_id", "log_id", F.substring("query", 1, fixed.QUERY_TEXT_LIMIT).alias("query"),
+        "migration_id", "log_id", "query",
         impact_type.alias("impact_type"), severity.alias("severity"), desc.alias("description"),
         F.col("tkey").alias("affected_table"), F.col("col").alias("affected_column"),
     )
     # Q10: dropped indexes, joined on (db, lower(table)) with the overlap predicate
     keys = refs.select(*qid, F.explode("key_cols").alias("_kc")).select(
         *qid, F.col("_kc.key").alias("key"), F.col("_kc.cols").alias("cols"))
-    idx = changes.filter((F.col("object_kind") == "index") & (F.col("change_type") == "removed")).select(
-        "migration_id", F.lower("table_name").alias("itable"), "index_name",
-        F.transform(F.coalesce("index_columns", _empty()), lambda c: F.lower(c)).alias("icols"),
-    ).join(migrations.select("migration_id", "db_id"), "migration_id")
-    cond = ((keys.log_id == idx.db_id) & (F.lower(keys.key) == idx.itable)
-            & ((F.size(idx.icols) == 0) | F.arrays_overlap(keys.cols, idx.icols) | (F.size(keys.cols) == 0)))
+    idx = _dropped_indexes(changes, migrations)
+    cond = (keys._db == idx.db_id) & (F.lower(keys.key) == idx.itable) & _uses_index(keys.cols, idx.icols)
     ij = keys.join(idx.hint("merge"), cond)
     idx_impacts = ij.select(
-        "migration_id", "log_id", F.substring("query", 1, fixed.QUERY_TEXT_LIMIT).alias("query"),
+        "migration_id", "log_id", "query",
         F.lit("index_missing").alias("impact_type"), F.lit("medium").alias("severity"),
         fill(fixed.IMPACT_INDEX_MISSING, index=F.col("index_name"), table=F.col("key")).alias("description"),
         F.col("key").alias("affected_table"), F.lit(None).cast("string").alias("affected_column"),
@@ -180,21 +225,33 @@ def match_impacts(refs: DataFrame, changes: DataFrame, migrations: DataFrame) ->
     return col_impacts.unionByName(idx_impacts)
 
 
-def impact_summary(impacts: DataFrame, migrations: DataFrame) -> DataFrame:
-    """Per migration: impact counts by type and the worst severity (partial aggregates)."""
-    sev_rank = (F.when(F.col("severity") == "critical", 4).when(F.col("severity") == "high", 3)
-                .when(F.col("severity") == "medium", 2).when(F.col("severity") == "low", 1).otherwise(0))
-    agg = impacts.groupBy("migration_id").agg(
-        F.count(F.lit(1)).alias("n_impacts"),
-        F.count_if(F.col("impact_type") == "column_missing").alias("column_missing"),
-        F.count_if(F.col("impact_type") == "column_renamed").alias("column_renamed"),
-        F.count_if(F.col("impact_type") == "type_mismatch").alias("type_mismatch"),
-        F.count_if(F.col("impact_type") == "index_missing").alias("index_missing"),
-        F.max(sev_rank).alias("_worst"),
-    )
+_COUNTS = {"removed": "column_missing", "renamed": "column_renamed", "type_changed": "type_mismatch"}
+
+
+def impact_summary(refs: DataFrame, changes: DataFrame, migrations: DataFrame) -> DataFrame:
+    """Per migration: number of impacts by type and the worst severity.
+
+    Counts what ``match_impacts`` would list without building the pairs:
+    references are counted per (db, table, column), and per (db, table, set of
+    columns) for indexes, and joined to the distinct changes with their counts.
+    """
+    refs = _database(refs)
+    cols = (expanded_column_refs(refs, ["_db"]).groupBy("_db", "tkey", F.lower("col").alias("lcol"))
+            .agg(F.count(F.lit(1)).alias("n")))
+    ck = column_change_keys(changes, migrations)
+    by_column = cols.join(ck.hint("merge"), (cols._db == ck.db_id) & (cols.tkey == ck.ctable) & (cols.lcol == ck.ccol)).select(
+        "migration_id", F.create_map(*[F.lit(x) for kv in _COUNTS.items() for x in kv])[F.col("change_type")].alias("kind"), "n")
+    keys = refs.select("_db", F.explode("key_cols").alias("_kc")).select(
+        "_db", F.lower("_kc.key").alias("key"), F.array_sort("_kc.cols").alias("cols")) \
+        .groupBy("_db", "key", "cols").agg(F.count(F.lit(1)).alias("n"))
+    idx = _dropped_indexes(changes, migrations)
+    by_index = keys.join(idx.hint("merge"), (keys._db == idx.db_id) & (keys.key == idx.itable) & _uses_index(keys.cols, idx.icols)) \
+        .select("migration_id", F.lit("index_missing").alias("kind"), "n")
+    names = [*_COUNTS.values(), "index_missing"]
+    agg = by_column.unionByName(by_index).groupBy("migration_id").agg(
+        F.sum("n").alias("n_impacts"), *[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k) for k in names])
     m = migrations.select("migration_id").join(agg, "migration_id", "left")
-    names = ["n_impacts", "column_missing", "column_renamed", "type_mismatch", "index_missing"]
-    worst = (F.when(F.col("_worst") == 4, "critical").when(F.col("_worst") == 3, "high")
-             .when(F.col("_worst") == 2, "medium").when(F.col("_worst") == 1, "low"))
-    return m.select("migration_id", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in names],
+    worst = (F.when(F.col("column_missing") > 0, "critical").when(F.col("column_renamed") > 0, "high")
+             .when(F.col("n_impacts") > 0, "medium"))
+    return m.select("migration_id", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ["n_impacts", *names]],
                     worst.alias("worst_impact"))

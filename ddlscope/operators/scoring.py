@@ -65,15 +65,19 @@ def migration_scores(ops: DataFrame, migrations: DataFrame) -> DataFrame:
     return out.withColumn("blocked", F.col("overall_level").isin(*fixed.BLOCKING_LEVELS))
 
 
-def rewrite_worklist(ops: DataFrame) -> DataFrame:
-    """K7: high/critical ops with the reason and SQL excerpt handed to a rewriter."""
-    reason = F.when(F.size("notes") > 0, F.array_join(F.slice("notes", 1, fixed.REWRITE_NOTES), "; ")) \
-        .otherwise(F.col("risk_level"))
+def rewrite_worklist(ops: DataFrame, max_notes: int | None = None, max_sql: int | None = None) -> DataFrame:
+    """K7: high/critical ops with the reason and SQL handed to a rewriter.
+
+    Whole by default; a renderer may ask for the first ``max_notes`` notes and
+    ``max_sql`` characters.
+    """
+    notes = F.col("notes") if max_notes is None else F.slice("notes", 1, max_notes)
+    reason = F.when(F.size("notes") > 0, F.array_join(notes, "; ")).otherwise(F.col("risk_level"))
+    sql = F.col("raw_sql") if max_sql is None else F.substring("raw_sql", 1, max_sql)
     return ops.filter(F.col("risk_level").isin(*fixed.BLOCKING_LEVELS)).select(
         "migration_id", "stmt_pos", "action_pos", "op_class", "target_table",
         F.coalesce("target_column", F.lit("N/A")).alias("target_column"),
-        F.substring("raw_sql", 1, fixed.REWRITE_SQL_LIMIT).alias("raw_sql"),
-        reason.alias("risk_reason"),
+        sql.alias("raw_sql"), reason.alias("risk_reason"),
     )
 
 

