@@ -119,3 +119,51 @@ def test_diff_summary_and_breaking_flag(spark):
     s = {r.migration_id: r for r in diff.diff_summary(ch, m).collect()}
     assert (s[0].column_changes, s[0].index_changes, s[0].removed_indexes, s[0].has_breaking_changes) == (1, 1, 1, True)
     assert (s[1].column_changes, s[1].has_breaking_changes) == (0, False)
+
+
+def test_comments_quotes_and_options_in_dumps(spark):
+    text = ("CREATE TABLE \"Main Bin\" (\n  id INT, -- key, surrogate\n  email VARCHAR(9) /* a, b */ NOT NULL,\n"
+            "  note TEXT DEFAULT 'a, (b', total NUMERIC(8, 2) CHECK (total IS NOT NULL)\n) ENGINE=InnoDB;")
+    rows = {r.column_name: r for r in catalog.catalog_columns(dumps(spark, text)).collect()}
+    assert set(rows) == {"id", "email", "note", "total"} and {r.table_name for r in rows.values()} == {"Main Bin"}
+    assert not rows["email"].nullable and rows["total"].nullable and rows["total"].data_type == "NUMERIC(8, 2)"
+
+
+def test_wide_table_and_last_definition_wins(spark):
+    wide = ", ".join(f"c{i} VARCHAR({i}) DEFAULT 'x'" for i in range(1, 401))
+    text = f"CREATE TABLE w ({wide}); CREATE TABLE u (a INT); CREATE TABLE u (a BIGINT, b INT, b TEXT);"
+    cols = catalog.catalog_columns(dumps(spark, text))
+    assert cols.filter("table_name = 'w'").count() == 400
+    assert sorted((r.column_name, r.data_type) for r in cols.filter("table_name = 'u'").collect()) == [("a", "BIGINT"), ("b", "TEXT")]
+    parts = spark.createDataFrame([("s", "2.sql", "CREATE TABLE u (z INT);"), ("s", "1.sql", "CREATE TABLE u (a INT);")],
+                                  "schema_id string, part string, text string")
+    assert [r.column_name for r in catalog.catalog_columns(parts).collect()] == ["z"]
+
+
+def test_changes_look_up_their_own_schema(spark):
+    two = spark.createDataFrame([("p", "CREATE TABLE users (email VARCHAR(10)); CREATE INDEX i ON users (email);"),
+                                 ("q", "CREATE TABLE users (email TEXT); CREATE TABLE users (email TEXT);")], "schema_id string, text string")
+    sql = scripts(spark, "ALTER TABLE users DROP COLUMN email; DROP INDEX i;", "ALTER TABLE Users DROP COLUMN email;")
+    from pyspark.sql import functions as F
+    sql = sql.withColumn("schema_id", F.when(F.col("migration_id") == 0, "p").otherwise("q"))
+    cols, idx = catalog.catalog_columns(two), catalog.catalog_indexes(two)
+    ops = extract.resolve_index_tables(extract.extract_operations(sql, keep=["schema_id"]), idx)
+    got = [(r.migration_id, r.change_type, r.before, r.index_columns)
+           for r in diff.schema_changes(ops, cols, idx).orderBy("migration_id", "stmt_pos").collect()]
+    assert got == [(0, "removed", "email VARCHAR(10)", None), (0, "removed", None, ["email"]), (1, "removed", "email TEXT", None)]
+
+
+def test_has_column_keeps_every_row(spark):
+    cols = catalog.catalog_columns(dumps(spark, "CREATE TABLE users (email INT, \"Name\" INT);"))
+    rows = [("users", "EMAIL", None), ("users", "email", "x"), ("users", "email", "x"), ("users", "Name", None), ("users", "name", None),
+            (None, "email", None), ("users", None, None)]
+    df = spark.createDataFrame(rows, "t string, c string, other string")
+    got = catalog.has_column(df, "t", "c", cols)
+    assert sorted((r.t or "", r.c or "", r.column_present) for r in got.collect()) == sorted([
+        ("users", "EMAIL", True), ("users", "email", True), ("users", "email", True), ("users", "Name", True), ("users", "name", False),
+        ("", "email", False), ("users", "", False)])
+
+
+def test_narrower_type_is_a_change(spark):
+    a, b = (catalog.catalog_columns(dumps(spark, f"CREATE TABLE t (c VARCHAR({n}));")) for n in (10, 5))
+    assert [(r.change_type, r.before, r.after) for r in catalog.snapshot_diff(a, b).collect()] == [("type_changed", "VARCHAR(10)", "VARCHAR(5)")]

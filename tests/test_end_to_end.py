@@ -102,6 +102,15 @@ def test_streamed_logs(spark, analysis, tmp_path):
     assert [(r.impact_type, r.affected_table) for r in rows] == [("index_missing", "users")]
 
 
+def test_logs_of_both_modes_together(spark, tmp_path):
+    (tmp_path / "m.sql").write_text("ALTER TABLE users DROP COLUMN email;")
+    (tmp_path / "schema.sql").write_text(SCHEMA)
+    (tmp_path / "a.log").write_text("SELECT id FROM invoices;\n")
+    (tmp_path / "b.log").write_text("SELECT email FROM users\nSELECT id FROM invoices\n")
+    a = Analysis.from_files(spark, str(tmp_path / "m.sql"), str(tmp_path / "schema.sql"), [str(tmp_path / "a.log"), str(tmp_path / "b.log")])
+    assert [(i.impact_type, i.query) for i in a.impacts.collect()] == [("column_missing", "SELECT email FROM users")]
+
+
 def test_write_reports(spark, analysis, tmp_path):
     import glob
 
