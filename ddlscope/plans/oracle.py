@@ -10,7 +10,7 @@ the rule join the Spark side uses.  Lists are compared as joined strings.
 from __future__ import annotations
 
 from ddlscope.functions import fixed
-from ddlscope.sources import corpus
+from ddlscope.sources import corpus, databases
 
 
 def _q(s) -> str:
@@ -507,3 +507,35 @@ SELECT f.migration_id, f.file_name, f.dialect, f.db_version, h.overall_score, h.
        r.data_loss_risk, d.breaking_changes, i.n_impacts, i.worst_impact
 FROM f JOIN h USING (migration_id) JOIN r USING (migration_id) JOIN d USING (migration_id)
 JOIN i USING (migration_id)"""
+
+
+def catalog_columns_sql() -> str:
+    return f"WITH {databases.DATABASES_SQL} {databases.COLUMNS_SQL}"
+
+
+def catalog_lookup_sql() -> str:
+    tables, columns = ("[" + ", ".join(map(_q, names)) + "]" for names in (databases.LOOKUP_TABLES, databases.LOOKUP_COLUMNS))
+    return f"""WITH wanted AS (
+  SELECT o_orderkey AS migration_id, o_custkey // {corpus.DB_PER_CUSTOMER_DIV} AS schema_id,
+         {tables}[o_orderkey % {len(databases.LOOKUP_TABLES)} + 1] AS table_name,
+         {columns}[o_orderkey % {len(databases.LOOKUP_COLUMNS)} + 1] AS column_name
+  FROM orders),
+found AS (SELECT *, CASE WHEN table_name IN ('account', 'ACCOUNT') THEN 'account' WHEN table_name = 'Order Line' THEN table_name END
+          AS catalog_table FROM wanted)
+SELECT *, coalesce(catalog_table = 'account' AND (column_name = 'name' OR column_name = 'balance' AND schema_id % 4 <> 0)
+                   OR catalog_table = 'Order Line' AND column_name = 'QTY', FALSE) AS column_present
+FROM found"""
+
+
+def snapshot_diff_sql() -> str:
+    return f"WITH {databases.DATABASES_SQL} {databases.CHANGES_SQL}"
+
+
+def custom_rules_sql() -> str:
+    return f"""WITH {base_ctes()}
+SELECT migration_id, stmt_pos, action_pos, op_class, target_table, 'no-drop' AS rule, 'critical' AS rule_risk_level,
+       'Removes data' AS message, 'Archive it first' AS suggestion
+FROM lk WHERE op_class IN ('DROP_TABLE', 'DROP_COLUMN')
+UNION ALL
+SELECT migration_id, stmt_pos, action_pos, op_class, target_table, 'large-rewrite', 'high', 'Rewrites a large table', 'Use a shadow column'
+FROM lk WHERE op_class = 'ALTER_COLUMN' AND row_count >= 1000"""

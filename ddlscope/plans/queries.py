@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ddlscope.operators import catalog, scoring
 from ddlscope.plans.analysis import Analysis
-from ddlscope.operators import scoring
+from ddlscope.sources import databases
 
 
 
@@ -198,6 +199,42 @@ def q_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("migration_id", "overall_score", "overall_level", "n_ops", "blocked")
 
 
+def q_catalog_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C1 + C2: columns, defaults and keys of every database's dump."""
+    cols = catalog.catalog_columns(databases.dumps_before(spark, sf_dir))
+    return cols.withColumn("column_pos", F.col("column_pos").cast("int"))
+
+
+def q_catalog_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4 + C5: a table and column name per order, looked up in its database."""
+    cols = catalog.catalog_columns(databases.dumps_before(spark, sf_dir))
+    found = catalog.lookup_table(databases.lookups(spark, sf_dir), "table_name", cols.select("schema_id", "table_name").distinct())
+    return catalog.has_column(found, "catalog_table", "column_name", cols)
+
+
+def q_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C7 + C6: what a release changes in every database, and whether changed types are of one family."""
+    before, after = (catalog.catalog_columns(f(spark, sf_dir)) for f in (databases.dumps_before, databases.dumps_after))
+    ch = catalog.snapshot_diff(before, after)
+    same = F.when(F.col("change_type") == "type_changed", catalog.type_compatible(F.col("before"), F.col("after")))
+    return ch.withColumn("same_family", same)
+
+
+def custom_rule_list() -> list[tuple]:
+    """K9: (name, predicate, level, message, suggestion)."""
+    return [
+        ("no-drop", F.col("op_class").isin("DROP_TABLE", "DROP_COLUMN"), "critical", "Removes data", "Archive it first"),
+        ("large-rewrite", (F.col("op_class") == "ALTER_COLUMN") & (F.col("row_count") >= 1000), "high", "Rewrites a large table",
+         "Use a shadow column"),
+    ]
+
+
+def q_custom_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K9: a caller's rules over every operation."""
+    hits = scoring.custom_rules(_a(spark, sf_dir).ops, custom_rule_list())
+    return hits.select(*_key(), "op_class", "target_table", "rule", "rule_risk_level", "message", "suggestion")
+
+
 QUERIES = {
     "q_extract_ops": q_extract_ops,
     "q_lock_lookup": q_lock_lookup,
@@ -223,6 +260,10 @@ QUERIES = {
     "q_json_report": q_json_report,
     "q_report_header": q_report_header,
     "q_analysis_payload": q_analysis_payload,
+    "q_catalog_columns": q_catalog_columns,
+    "q_catalog_lookup": q_catalog_lookup,
+    "q_snapshot_diff": q_snapshot_diff,
+    "q_custom_rules": q_custom_rules,
 }
 
 
@@ -251,4 +292,8 @@ def oracle_sql() -> dict[str, str]:
         "q_file_names": oracle.file_names_sql(),
         "q_report_columns": oracle.report_columns_sql(),
         "q_report_header": oracle.report_header_sql(),
+        "q_catalog_columns": oracle.catalog_columns_sql(),
+        "q_catalog_lookup": oracle.catalog_lookup_sql(),
+        "q_snapshot_diff": oracle.snapshot_diff_sql(),
+        "q_custom_rules": oracle.custom_rules_sql(),
     }
