@@ -10,19 +10,8 @@ operators.
 from __future__ import annotations
 
 # --------------------------------------------------------------------------
-# Operation classes, risk levels, lock types, rollback classes
+# Rollback classes
 # --------------------------------------------------------------------------
-OPERATION_CLASSES = [
-    "ADD_COLUMN", "DROP_COLUMN", "ALTER_COLUMN", "RENAME_COLUMN", "RENAME_TABLE",
-    "CREATE_TABLE", "DROP_TABLE", "TRUNCATE_TABLE", "CREATE_INDEX", "DROP_INDEX",
-    "ADD_CONSTRAINT", "DROP_CONSTRAINT", "ADD_FOREIGN_KEY", "DROP_FOREIGN_KEY",
-    "CREATE_VIEW", "DROP_VIEW", "UNKNOWN",
-]
-RISK_LEVELS = ["safe", "low", "medium", "high", "critical"]
-LOCK_TYPES = [
-    "none", "row_share", "row_exclusive", "share_update_exclusive", "share",
-    "share_row_exclusive", "exclusive", "access_exclusive",
-]
 ROLLBACK_RANK = {"safe": 0, "manual": 1, "complex": 2, "none": 3}
 
 # --------------------------------------------------------------------------
@@ -221,9 +210,6 @@ IMPACT_INDEX_MISSING = (
     "Index `{index}` on `{table}` is being dropped. "
     "Queries using these columns may experience 10–200× slowdowns."
 )
-QUERY_TEXT_LIMIT = 300
-TERMINATED_QUERY_LIMIT = 2000
-SQL_VERBS = ["SELECT", "INSERT", "UPDATE", "DELETE", "WITH"]
 
 # --------------------------------------------------------------------------
 # Report rendering
@@ -237,8 +223,6 @@ SCORE_BAR_FULL = "█"
 SCORE_BAR_EMPTY = "░"
 SCORE_BAR_WIDTH = 20
 IMPACT_DESCRIPTION_LIMIT = 120
-REWRITE_SQL_LIMIT = 500
-REWRITE_NOTES = 2
 DATA_LOSS_LINE = "- 🚨 **DATA LOSS RISK** — ensure you have a verified backup before running this migration"
 
 # --------------------------------------------------------------------------

@@ -539,3 +539,59 @@ FROM lk WHERE op_class IN ('DROP_TABLE', 'DROP_COLUMN')
 UNION ALL
 SELECT migration_id, stmt_pos, action_pos, op_class, target_table, 'large-rewrite', 'high', 'Rewrites a large table', 'Use a shadow column'
 FROM lk WHERE op_class = 'ALTER_COLUMN' AND row_count >= 1000"""
+
+
+def markdown_report_sql() -> str:
+    """Every line of every report, spelled out from the header, operation, impact and rollback rows."""
+    def pick(col, table):
+        return f"(CASE {col} " + " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in table.items()) + f" ELSE {_q(fixed.UNKNOWN_EMOJI)} END)"
+
+    risk, back = lambda c: pick(c, fixed.RISK_EMOJI), lambda c: pick(c, fixed.ROLLBACK_EMOJI)
+    duration = (f"CASE WHEN dmax < {fixed.INSTANT_BELOW_MINUTES} THEN {_q(fixed.INSTANT_DURATION)} "
+                "ELSE printf('%.1f–%.1f minutes', dmin, dmax) END")
+    return f"""WITH {base_ctes()},
+h AS ({report_header_sql()}), rs AS ({rollback_summary_sql()}), im AS ({query_impacts_sql()}),
+texts AS (
+  SELECT h.migration_id, 0 AS section, 0 AS k1, 0 AS k2, '' AS k4, [
+    '## Migration Risk Report — `' || file_name || '`', '',
+    '**Risk Score:** ' || {risk('overall_level')} || ' **' || upper(overall_level) || '** (' || overall_score || '/100)  |  **Dialect:** '
+      || dialect || ' ' || db_version || '  |  **Operations:** ' || n_ops, '', '### Operations Detected', ''] AS lines FROM h
+  UNION ALL
+  SELECT migration_id, 1, stmt_pos, action_pos, '', list_filter([
+    '<details><summary>' || {risk('risk_level')} || ' **' || op_class || '** on `' || target_table || '`'
+      || coalesce('.`' || target_column || '`', '') || ' — ' || upper(risk_level) || '</summary>', '',
+    '**Lock type:** `' || lock_type || '`',
+    CASE WHEN dmin IS NOT NULL AND dmax IS NOT NULL THEN '  ' || chr(10) || '**Estimated duration:** ' || {duration} END,
+    '  ' || chr(10) || '**Rollback:** ' || {back('rollback_complexity')} || ' `' || upper(rollback_complexity) || '`',
+    CASE WHEN rollback_description <> '' THEN ' — ' || rollback_description END]
+    || CASE WHEN all_notes = '' THEN [] ELSE ['', '**Notes:**'] || list_transform(string_split(all_notes, ' | '), lambda n: '- ' || n) END
+    || ['', '</details>', ''], lambda x: x IS NOT NULL) FROM sc
+  UNION ALL
+  SELECT migration_id, 2, 0, 0, '', ['### ⚡ Affected Queries (' || n_impacts || ')', '',
+    '| Severity | Impact Type | Affected Table | Description |', '|----------|-------------|----------------|-------------|']
+  FROM h WHERE n_impacts > 0
+  UNION ALL
+  SELECT migration_id, 3, 0, 0,
+    concat_ws(chr(1), impact_type, affected_table, coalesce(affected_column, ''), description, query),
+    ['| ' || {risk('severity')} || ' ' || upper(severity) || ' | `' || impact_type || '` | `' || affected_table || '` | '
+      || left(description, {fixed.IMPACT_DESCRIPTION_LIMIT}) || ' |'] FROM im
+  UNION ALL
+  SELECT migration_id, 4, 0, 0, '', [''] FROM h WHERE n_impacts > 0
+  UNION ALL
+  SELECT migration_id, 5, 0, 0, '', list_filter([
+    '### Rollback Complexity: ' || {back('rollback_complexity')} || ' ' || upper(rollback_complexity),
+    CASE WHEN rollback_minutes <> 0 THEN '- Estimated rollback window: **~' || rollback_minutes || ' minutes**' END,
+    CASE WHEN data_loss_risk THEN {_q(fixed.DATA_LOSS_LINE)} END,
+    CASE WHEN rollback_notes <> '' THEN '- ' || rollback_notes END,
+    '', '---', '*Generated • 1970-01-01 00:00 UTC*'], lambda x: x IS NOT NULL) FROM rs)
+SELECT migration_id, section, k1, k2, generate_subscripts(lines, 1) - 1 AS k3, k4, unnest(lines) AS line FROM texts"""
+
+
+def report_counts_sql() -> str:
+    return f"""WITH h AS ({report_header_sql()}), im AS (SELECT migration_id, count(*) AS n FROM ({query_impacts_sql()}) GROUP BY migration_id),
+ops AS (SELECT migration_id, count(*) AS n FROM ({op_scores_sql()}) GROUP BY migration_id),
+md AS (SELECT migration_id, 'markdown.' || section AS part, count(*) AS n FROM ({markdown_report_sql()}) GROUP BY migration_id, section)
+SELECT migration_id, part, n FROM md
+UNION ALL SELECT migration_id, unnest(['json.report', 'payload.summary']), 1 FROM h
+UNION ALL SELECT migration_id, unnest(['json.operation', 'json.rollback_step', 'payload.operation']), n FROM ops
+UNION ALL SELECT migration_id, unnest(['json.impact', 'payload.impact']), n FROM im"""

@@ -193,6 +193,13 @@ def q_analysis_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis_payload(_a(spark, sf_dir))
 
 
+def q_report_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S6 + S7 + K8: records and lines per migration and kind."""
+    from ddlscope.plans.report import report_counts
+
+    return report_counts(_a(spark, sf_dir))
+
+
 def q_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every migration (the minimum end-to-end slice)."""
     s = _a(spark, sf_dir).scores
@@ -260,6 +267,7 @@ QUERIES = {
     "q_json_report": q_json_report,
     "q_report_header": q_report_header,
     "q_analysis_payload": q_analysis_payload,
+    "q_report_counts": q_report_counts,
     "q_catalog_columns": q_catalog_columns,
     "q_catalog_lookup": q_catalog_lookup,
     "q_snapshot_diff": q_snapshot_diff,
@@ -292,6 +300,8 @@ def oracle_sql() -> dict[str, str]:
         "q_file_names": oracle.file_names_sql(),
         "q_report_columns": oracle.report_columns_sql(),
         "q_report_header": oracle.report_header_sql(),
+        "q_markdown_report": oracle.markdown_report_sql(),
+        "q_report_counts": oracle.report_counts_sql(),
         "q_catalog_columns": oracle.catalog_columns_sql(),
         "q_catalog_lookup": oracle.catalog_lookup_sql(),
         "q_snapshot_diff": oracle.snapshot_diff_sql(),

@@ -49,4 +49,4 @@ def test_query_matches_oracle(spark, duck, name):
 
 def test_every_query_has_rows_or_oracle():
     missing = {n for n in E.queries() if n.startswith("q_")} - set(E.oracle_sql())
-    assert missing <= {"q_markdown_report", "q_json_report", "q_analysis_payload"}
+    assert missing <= {"q_json_report", "q_analysis_payload"}
