@@ -36,14 +36,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from ddlscope.llm import tables
-from ddlscope.llm.textbytes import WordHasher, blocks
+from ddlscope.llm.textbytes import WordHasher, blocks, small_batches
 
 #: Bounds of the fit: labelled rows of each kind, features kept.
 SAMPLE, FEATURES = 6000, 4096
 #: A feature needs so many toxic texts and so many times the rate of other texts.
-LEAST_TEXTS, LEAST_LIFT = 4, 5.0
+LEAST_TEXTS, LEAST_LIFT = 3, 20.0
 STEMS = (4, 5, 6)
-L1, COUNTERFACTUAL, ROUNDS = 2e-4, 1.0, 400
+L1, COUNTERFACTUAL, ROUNDS = 5e-5, 1.0, 400
 THRESHOLD = 0.5
 
 #: Names of groups by kind; a mention is swapped for the next name of its row.
@@ -239,7 +239,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, counterfactu
 def _scorer(features: np.ndarray, weights: np.ndarray, bias: float):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, model = WordHasher(letters()), Model(features, weights, bias)
-        for batch in batches:
+        for batch in small_batches(batches):
             at = batch.schema.get_field_index("text")
             scores = model.scores(batch.column(at).to_pylist(), hasher)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, "score"])
