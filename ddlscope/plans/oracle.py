@@ -49,8 +49,16 @@ def _pyfloat(x: str) -> str:
     return f"CASE WHEN {x} = floor({x}) THEN printf('%.1f', {x}) ELSE CAST({x} AS VARCHAR) END"
 
 
-def base_ctes() -> str:
-    """CTEs: stm (statements), eops (expected ops), mig (migrations), stats, lk (locks), rb, sc."""
+def base_ctes(clause: bool = False, scaled: bool = False) -> str:
+    """CTEs: stm (statements), eops (expected ops), mig (migrations), stats, lk (locks), rb, sc.
+
+    ``clause``: NOT NULL and DEFAULT as the templates have them instead of the
+    notes; ``scaled``: row counts times 1,000, and an empty region.
+    """
+    notes = "lower(parser_notes) LIKE '%default%' AS d, parser_notes LIKE '%NOT NULL%' AS n"
+    clauses = ("(tid = 2 OR tid = 15 AND action_pos = 0 OR tid = 16 AND variant = 9 AND action_pos = 1) AS d, "
+               "(tid IN (1, 2) OR tid = 16 AND variant = 9 AND action_pos = 0) AS n")
+    stats = "SELECT table_name, CASE WHEN table_name = 'region' THEN 0 ELSE row_count * 1000 END AS row_count FROM (" if scaled else "SELECT * FROM ("
     rb_vals = ", ".join(f"({_q(c)}, {_q(x)}, {_q(d)}, {_q(l)})" for c, x, d, l in fixed.ROLLBACK_RULES)
     rank = " ".join(f"WHEN {_q(k)} THEN {v}" for k, v in fixed.ROLLBACK_RANK.items())
     base = " ".join(f"WHEN {_q(k)} THEN {v}" for k, v in fixed.RISK_BASE_SCORE.items())
@@ -92,9 +100,9 @@ mig AS (
 eops AS (
   SELECT s.migration_id, s.stmt_pos, CAST(x.action_pos AS BIGINT) AS action_pos, x.op_class,
          {_render('x.tbl')} AS target_table, {_render('x.col')} AS target_column,
-         {_render('x.idx')} AS target_index, x.notes AS parser_notes
+         {_render('x.idx')} AS target_index, x.notes AS parser_notes, s.tid, s.variant
   FROM stm s JOIN xo x ON x.tid = s.tid AND (x.tid < 16 OR x.variant = s.variant)),
-stats AS ({_stats_sql()}),
+stats AS ({stats}{_stats_sql()})),
 lk0 AS (
   SELECT e.*, m.dialect, m.db_version, st.row_count,
     CASE
@@ -116,7 +124,7 @@ lk0 AS (
       WHEN e.op_class = 'TRUNCATE_TABLE' THEN 16
       WHEN e.op_class = 'ADD_CONSTRAINT' THEN 17
       ELSE 18 END AS rule_no
-  FROM (SELECT *, lower(parser_notes) LIKE '%default%' AS d, parser_notes LIKE '%NOT NULL%' AS n,
+  FROM (SELECT *, {clauses if clause else notes},
                upper(parser_notes) LIKE '%CONCURRENTLY FLAG%' AS c FROM eops) e
   JOIN (SELECT *, dialect IN ('postgres', 'postgresql') AS pg FROM mig) m USING (migration_id)
   LEFT JOIN stats st ON st.table_name = e.target_table),
@@ -179,6 +187,12 @@ SELECT migration_id, stmt_pos, action_pos, op_class, row_count, lock_type, risk_
        dmin AS duration_min, dmax AS duration_max, all_notes AS notes FROM lk"""
 
 
+def lock_scaled_sql() -> str:
+    return f"""WITH {base_ctes(clause=True, scaled=True)}
+SELECT migration_id, stmt_pos, action_pos, op_class, row_count, lock_type, risk_level,
+       dmin AS duration_min, dmax AS duration_max, all_notes AS notes, risk_score FROM sc"""
+
+
 def rollback_ops_sql() -> str:
     return f"""WITH {base_ctes()}
 SELECT migration_id, stmt_pos, action_pos, op_class, rollback_complexity, rollback_description, data_loss FROM rb"""

@@ -40,6 +40,14 @@ def q_lock_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.array_join("notes", " | ").alias("notes"))
 
 
+def q_lock_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1-L4 + K1 by the clauses themselves, with 1,000 times the rows and an unknown size: the rules that notes and small tables don't reach."""
+    a = Analysis.from_tables(spark, sf_dir, flags="clause")
+    a.table_stats = a.table_stats.withColumn("row_count", F.when(F.col("table_name") == "region", 0).otherwise(F.col("row_count") * 1000))
+    return a.ops.select(*_key(), "op_class", "row_count", "lock_type", "risk_level", "duration_min", "duration_max",
+                        F.array_join("notes", " | ").alias("notes"), "risk_score")
+
+
 def q_rollback_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rollback class of every operation."""
     o = _a(spark, sf_dir).ops
@@ -245,6 +253,7 @@ def q_custom_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "q_extract_ops": q_extract_ops,
     "q_lock_lookup": q_lock_lookup,
+    "q_lock_scaled": q_lock_scaled,
     "q_rollback_ops": q_rollback_ops,
     "q_op_scores": q_op_scores,
     "q_migration_scores": q_migration_scores,
@@ -281,6 +290,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "q_extract_ops": oracle.extract_ops_sql(),
         "q_lock_lookup": oracle.lock_lookup_sql(),
+        "q_lock_scaled": oracle.lock_scaled_sql(),
         "q_rollback_ops": oracle.rollback_ops_sql(),
         "q_op_scores": oracle.op_scores_sql(),
         "q_migration_scores": oracle.migration_scores_sql(),
