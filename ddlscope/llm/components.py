@@ -35,17 +35,17 @@ def _print(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame, name: str = "component") -> DataFrame:
+def components(edges: DataFrame, name: str = "component", rows: int | None = None) -> DataFrame:
     """(node, component) of the nodes in ``edges`` (two columns of ids, none null); component: its smallest node.
 
-    Loops and repeated edges are allowed; nodes without a link to another have no row.
+    ``rows``: a bound on the number of edges, if known.  Loops and repeated edges are allowed; nodes without a link to another have no row.
     """
     a, b = edges.columns[:2]
     edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    edges = tables.written(edges, name)
+    edges = tables.written(edges, name, rows)
     before = _print(edges)
     while before[0]:
-        edges = tables.written(_small_star(_large_star(edges).distinct()), name)
+        edges = tables.written(_small_star(_large_star(edges).distinct()), name, before[0])
         now = _print(edges)
         if now == before:
             break

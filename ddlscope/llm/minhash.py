@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from ddlscope.llm import tables
 from ddlscope.llm.components import components
-from ddlscope.llm.textbytes import WordHasher, mix64, word_stream
+from ddlscope.llm.textbytes import WordHasher, mix64, small_batches, word_stream
 
 PLACES, BANDS, ROWS = 128, 24, 5
 STEP = 0x9E3779B97F4A7C15
@@ -95,7 +95,7 @@ def signatures(sets: list[np.ndarray], places: int = PLACES) -> np.ndarray:
 def _sketcher(size: int, places: int, bands: int, rows: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
-        for batch in batches:
+        for batch in small_batches(batches):
             ids = batch.column(0)
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
             for some in _portions(word_stream(texts, hasher), len(texts)):
@@ -271,22 +271,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         docs.mapInArrow(_sketcher(size, PLACES, BANDS, ROWS),
                         "doc_id long, n_shingles long, set_print binary, bands array<long>, small array<long>"),
         "sketches")
+    n_rows = sketches.count()
     named = sketches.filter(F.col("doc_id").isNotNull() & F.col("set_print").isNotNull())
-    classes = named.groupBy("set_print").agg(F.min("doc_id").alias("holder"))
+    # written, so that joins with it are of two tables and adaptive execution can split a large class
+    classes = tables.written(named.groupBy("set_print").agg(F.min("doc_id").alias("holder")), "holders", n_rows)
     # one row per class: the holder's own sketch (rows that repeat a doc_id may differ, so the print must match)
     holders = tables.written(
         named.join(classes.select(F.col("set_print").alias("p"), "holder"),
                    (F.col("doc_id") == F.col("holder")) & (F.col("set_print") == F.col("p")), "left_semi")
-        .dropDuplicates(["doc_id", "set_print"]).select("doc_id", "n_shingles", "bands", "small"), "classes")
+        .dropDuplicates(["doc_id", "set_print"]).select("doc_id", "n_shingles", "bands", "small"), "classes", n_rows)
+    n_bands = BANDS * holders.count()
 
     banded = holders.select("doc_id", F.explode("bands").alias("bucket"))
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    members = tables.written(banded.join(sizes, "bucket"), "buckets")
+    members = tables.written(banded.join(sizes, "bucket"), "buckets", n_bands)
     popular = members.groupBy("doc_id").agg(F.sum("n").alias("met"))
     leaders = (members.join(popular, "doc_id").groupBy("bucket")
                .agg(F.max(F.struct("met", (-F.col("doc_id")).alias("neg"))).alias("top"))
                .select("bucket", (-F.col("top.neg")).alias("leader")))
-    led = tables.written(members.select("bucket", "doc_id").join(leaders, "bucket").filter("leader <> doc_id"), "led")
+    led = tables.written(members.select("bucket", "doc_id").join(leaders, "bucket").filter("leader <> doc_id"), "led", n_bands)
     small = holders.select("doc_id", "small", "n_shingles")
 
     # every class with the leaders of its buckets: links, and differences of those near enough to matter
@@ -309,7 +312,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
               .select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component")))
     mixed = (strays.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
              .filter("low <> high").select("bucket"))
-    apart = tables.written(strays.join(mixed, "bucket").join(holders, "doc_id"), "apart")
+    apart = tables.written(strays.join(mixed, "bucket").join(holders, "doc_id"), "apart", n_bands)
     a = apart.toDF(*[f"{c}_a" for c in apart.columns])
     b = apart.toDF(*[f"{c}_b" for c in apart.columns])
     first_bucket = F.coalesce(*[F.when(F.col("bands_a")[i] == F.col("bands_b")[i], F.col("bands_a")[i]) for i in range(BANDS)])
@@ -320,11 +323,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
                      & (first_bucket == F.col("bucket_a")))
               .select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct())
     more = _with_texts(across, docs).mapInArrow(_comparer(size, percent), "a long, b long, linked boolean, n long, unlike array<long>")
-    more = tables.written(more.filter("linked").select("a", "b"), "links")
-    joined = components(more.union(grouped.toDF("a", "b")))
+    joined = components(more.filter("linked").select("a", "b").union(grouped.toDF("a", "b")))
 
-    of_class = (classes.join(joined, F.col("holder") == F.col("node"), "left")
-                .select("set_print", F.coalesce("component", "holder").alias("component")))
+    of_class = tables.written(classes.join(joined, F.col("holder") == F.col("node"), "left")
+                              .select("set_print", F.coalesce("component", "holder").alias("component")), "of-class", n_rows)
     rows = sketches.select("doc_id", "n_shingles", "set_print").join(of_class, "set_print", "left")
     component = F.coalesce("component", "doc_id")
     return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),

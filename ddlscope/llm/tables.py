@@ -18,12 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Rows of a narrow table that make one file.
+ROWS_PER_FILE = 50_000
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared checkpoint folder.
 
     Cuts the lineage: what follows restarts from the table when an executor
-    is lost, and a result that several branches read is computed once.
+    is lost, and a result that several branches read is computed once.  Where a
+    bound on the number of rows is known, a narrow table gets no more files than
+    it needs.
     """
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)

@@ -86,6 +86,13 @@ class WordHasher:
             return mix64(h + np.uint64(length))
 
 
+def small_batches(batches, rows: int = 256):
+    """Arrow batches cut to so many rows: texts become Python strings a block or so at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def blocks(texts: list[bytes], separator: np.ndarray):
     """Yield (buf, doc_start, doc_no): whole documents together, or one piece of a long one.
 
