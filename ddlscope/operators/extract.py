@@ -14,7 +14,7 @@ input.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ddlscope.functions import fixed, lexer, patterns
@@ -243,15 +243,32 @@ def parser_notes(op_class: Column, stmt: Column, up: Column) -> tuple[Column, Co
     return notes, has_not_null, has_default, is_concurrent
 
 
+def chunk_offsets(scripts: DataFrame) -> DataFrame:
+    """(migration_id, chunk_id, _offset): statements in the earlier chunks of a script.
+
+    Only counts move: the running sum is over one narrow row per chunk.
+    """
+    counts = scripts.select("migration_id", "chunk_id",
+                            F.size(lexer.statements(strip_comment_lines(F.col("text")))).alias("n"))
+    before = Window.partitionBy("migration_id").orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select("migration_id", "chunk_id", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int").alias("_offset"))
+
+
 def extract_operations(scripts: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Scripts -> operations.
 
     ``keep`` names extra script columns carried onto every operation
-    (e.g. ``db_id``, ``db_version``).
+    (e.g. ``db_id``, ``db_version``).  A long script may come in chunks
+    (``chunk_id``) that end after a statement, as logs do; statements are
+    numbered over all chunks, and no script has to pass through one task.
     """
     keep = list(keep or [])
     dialect = F.col("dialect") if "dialect" in scripts.columns else infer_dialect(F.col("file_name"))
-    base = scripts.select("migration_id", *keep, dialect.alias("dialect"),
+    offset = F.lit(0)
+    if "chunk_id" in scripts.columns:
+        scripts = scripts.join(chunk_offsets(scripts).hint("merge"), ["migration_id", "chunk_id"])
+        offset = F.col("_offset")
+    base = scripts.select("migration_id", *keep, dialect.alias("dialect"), offset.alias("_offset"),
                           strip_comment_lines(F.col("text")).alias("sql"))
     stmts = split_compound_alter(split_statements(base, "sql"))
     # tokens are computed once (a separate projection is not re-inlined)
@@ -260,7 +277,7 @@ def extract_operations(scripts: DataFrame, keep: list[str] | None = None) -> Dat
     classified = classify_tokens(tok, "_toks")
     notes, nn, dflt, conc = parser_notes(F.col("op_class"), F.col("action_sql"), F.col("_up"))
     return classified.select(
-        "migration_id", *keep, "stmt_pos", "action_pos", "op_class", "target_table", "target_column",
+        "migration_id", *keep, (F.col("stmt_pos") + F.col("_offset")).alias("stmt_pos"), "action_pos", "op_class", "target_table", "target_column",
         "target_index", "dialect", F.col("action_sql").alias("raw_sql"), notes.alias("parser_notes"),
         nn.alias("has_not_null"), dflt.alias("has_default"), conc.alias("is_concurrent"),
     )

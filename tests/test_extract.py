@@ -106,3 +106,20 @@ def test_statements_of_any_length_and_depth(spark):
     assert [(o.op_class, o.target_column) for o in ops] == [
         ("ADD_COLUMN", "a"), ("DROP_COLUMN", "b"), ("ADD_COLUMN", "c"), ("DROP_COLUMN", "d"), ("CREATE_TABLE", None)]
     assert ops[0].raw_sql.endswith("9999))")
+
+
+def test_script_in_chunks_equals_the_whole(spark):
+    from ddlscope.operators import extract
+
+    parts = ["-- first\nDROP TABLE a; INSERT INTO b VALUES ('x;y');\n", "ALTER TABLE c ADD d INT, DROP e;\n", "\n-- none\n", "TRUNCATE f, g;"]
+    whole = spark.createDataFrame([(1, "".join(parts), "postgres")], "migration_id long, text string, dialect string")
+    chunks = spark.createDataFrame([(1, i, t, "postgres") for i, t in enumerate(parts)],
+                                   "migration_id long, chunk_id long, text string, dialect string")
+
+    def rows(df):
+        order = ["stmt_pos", "action_pos"]
+        return [(r.action_pos, r.op_class, r.target_table, r.target_column) for r in extract.extract_operations(df).orderBy(*order).collect()]
+
+    assert rows(chunks) == rows(whole) and len(rows(whole)) == 5
+    positions = [r.stmt_pos for r in extract.extract_operations(chunks).orderBy("stmt_pos", "action_pos").collect()]
+    assert positions == sorted(positions) and len(set(positions)) == 3
