@@ -17,14 +17,14 @@ import numpy as np
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Start positions of the suffixes of ``text`` (non-negative integers) in sorted order."""
-    t = np.ascontiguousarray(text, np.int64)
-    n = len(t)
+    n = len(text)
     if n <= 1:
         return np.arange(n)
+    t = np.ascontiguousarray(text, np.min_scalar_type(int(text.max())))  # small symbols: fast gathers and radix sorts
     small = _is_small(t)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    counts = np.bincount(t)
-    ends = np.cumsum(counts)
+    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(_index(n))
+    counts = np.bincount(t).astype(_index(n))
+    ends = np.cumsum(counts, dtype=_index(n))
     if len(lms) > 1:
         # substrings in order, then names in text order
         order = _induce(t, small, ends - counts, ends, lms)
@@ -39,6 +39,11 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     return _induce(t, small, ends - counts, ends, lms)
 
 
+def _index(n: int) -> type:
+    """Type of positions in a text of ``n`` symbols."""
+    return np.int32 if n < 1 << 31 else np.int64
+
+
 def _is_small(t: np.ndarray) -> np.ndarray:
     """S suffixes; equal neighbours take the class of the run's end, the last run is L."""
     step = np.flatnonzero(t[1:] != t[:-1])
@@ -50,7 +55,7 @@ def _named(t: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Rank of each leftmost-S substring, equal ones alike, in text order."""
     n = len(t)
     upto = np.append(lms[1:], n)  # the last one ends with the text's end, which no other has
-    size = np.zeros(n, np.int64)
+    size = np.zeros(n, _index(n))
     size[lms] = upto - lms + 1
     a, b = order[:-1], order[1:]
     same = (size[a] == size[b]) & (a != lms[-1]) & (b != lms[-1])
@@ -67,26 +72,30 @@ def _named(t: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
         at += 1
         live = live[equal & (size[x] > at)]
     rank = np.concatenate([[0], np.cumsum(~same)])
-    names = np.zeros(n, np.int64)
+    names = np.zeros(n, _index(n))
     names[order] = rank
     return names[lms]
 
 
-def _ranks(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(order, symbols, number of each, rank among its own in that order)."""
-    order = np.argsort(c, kind="stable")
+def _grouped(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order, symbols, number of each, first place of each in that order)."""
+    order = c.argsort(kind="stable")
     s = c[order]
-    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-    number = np.diff(np.append(first, len(s)))
-    return order, s[first], number, np.arange(len(s)) - np.repeat(first, number)
+    edge = (s[1:] != s[:-1]).nonzero()[0]
+    first = np.zeros(len(edge) + 1, np.int64)
+    first[1:] = edge + 1
+    number = np.empty_like(first)
+    number[:-1] = first[1:] - first[:-1]
+    number[-1] = len(s) - first[-1]
+    return order, s[first], number, first
 
 
 def _induce(t, small, starts, ends, lms) -> np.ndarray:
     n = len(t)
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, _index(n))
     if len(lms):
-        order, symbol, number, rank = _ranks(t[lms])
-        sa[np.repeat(ends[symbol] - number, number) + rank] = lms[order]
+        order, symbol, number, first = _grouped(t[lms])
+        sa[(ends[symbol] - number - first).repeat(number) + np.arange(len(lms))] = lms[order]
     placed = sa.copy()
 
     heads = starts.copy()
@@ -105,8 +114,8 @@ def _induce(t, small, starts, ends, lms) -> np.ndarray:
                 break
             to = land
         if len(p):
-            order, symbol, number, rank = _ranks(c)
-            sa[np.repeat(heads[symbol], number) + rank] = p[order]
+            order, symbol, number, first = _grouped(c)
+            sa[(heads[symbol] - first).repeat(number) + np.arange(len(c))] = p[order]
             heads[symbol] += number
         block = min(1 << 16, max(64, 2 * (to - at)))
         at = to
@@ -126,8 +135,8 @@ def _induce(t, small, starts, ends, lms) -> np.ndarray:
                 break
             to = land + 1
         if len(p):
-            order, symbol, number, rank = _ranks(c)
-            sa[np.repeat(tails[symbol], number) - 1 - rank] = p[order]
+            order, symbol, number, first = _grouped(c)
+            sa[(tails[symbol] - 1 + first).repeat(number) - np.arange(len(c))] = p[order]
             tails[symbol] -= number
         block = min(1 << 16, max(64, 2 * (at - to)))
         at = to
@@ -142,37 +151,56 @@ def permuted_lcp(text: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     compared symbol by symbol.
     """
     n = len(text)
-    phi = np.full(n, -1, np.int64)
+    phi = np.full(n, -1, _index(n))
     phi[sa[1:]] = sa[:-1]
     i = np.arange(n)
     own = (phi <= 0) | (i == 0)
     own[~own] = text[i[~own] - 1] != text[phi[~own] - 1]
     at = np.flatnonzero(own)
     value = np.zeros(len(at), np.int64)
-    live = np.flatnonzero(phi[at] >= 0)
-    done = 0
-    # irreducible values must not be cut before they are carried on, so a run may go on to the text's end;
-    # a carried value is cut at ``most`` only where it is read, so comparing to most + distance is enough
+    # irreducible values must not be cut before they are carried on; a carried value is cut at ``most`` only
+    # where it is read, so comparing to most + distance is enough
     reach = np.append(at[1:], n) - at + most
-    while len(live):
-        x, y = at[live] + done, phi[at[live]] + done
-        ok = (y < n) & (x < n) & (done < reach[live])
-        live, x, y = live[ok], x[ok], y[ok]
-        equal = text[x] == text[y]
+    wide = 8 // text.itemsize
+    words = _words(text, wide)
+    live = np.flatnonzero(phi[at] >= 0)
+    parted = [live[:0]]
+    while len(live):  # several symbols at a time, as long as they are equal
+        x, y = at[live] + value[live], phi[at[live]] + value[live]
+        inside = (np.maximum(x, y) < len(words)) & (value[live] < reach[live])
+        equal = np.zeros(len(live), bool)
+        equal[inside] = words[x[inside]] == words[y[inside]]
+        parted.append(live[~equal & (value[live] < reach[live])])
         live = live[equal]
+        value[live] += wide
+    live = np.concatenate(parted)
+    while len(live):
+        x, y = at[live] + value[live], phi[at[live]] + value[live]
+        live, x, y = (z[np.maximum(x, y) < n] for z in (live, x, y))
+        live = live[text[x] == text[y]]
         value[live] += 1
-        done += 1
+        live = live[value[live] < reach[live]]
     base = np.zeros(n, np.int64)
     base[at] = value + at
     carried = np.repeat(base[at], np.diff(np.append(at, n))) if len(at) else base
     return np.minimum(np.maximum(carried - i, 0), most)
 
 
+def _words(text: np.ndarray, wide: int) -> np.ndarray:
+    """At each position the next ``wide`` symbols in one 64-bit number."""
+    n = max(0, len(text) - wide + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(wide):
+        out |= text[k:k + n].astype(np.uint64) << np.uint64(k * 64 // wide)
+    return out
+
+
 def repeated_starts(text: np.ndarray, length: int) -> np.ndarray:
     """For each position: does its string of ``length`` symbols start at another position too?"""
     n = len(text)
     if n == 0:
         return np.zeros(0, bool)
+    text = text.astype(np.min_scalar_type(int(text.max())))
     sa = suffix_array(text)
     with_previous = permuted_lcp(text, sa, length) >= length
     found = with_previous.copy()

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ddlscope.llm import tables
 from ddlscope.llm.suffix_array import repeated_starts
-from ddlscope.llm.textbytes import BASE, BLOCK, mix64
+from ddlscope.llm.textbytes import BASE, BLOCK, mix64, small_batches
 
 LENGTH, GRAM = 400, 64
 SHARD_BYTES = 4 << 20
@@ -127,7 +127,7 @@ def _utf8(column) -> list[bytes]:
 def _segment_rows(length: int, gram: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Segmenter(length, gram)
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = _utf8(batch.column(2))
             for docs, base, buf, bounds in _byte_blocks(texts, length):
                 start, number, at, anchor, digest = cutter.segments(buf, bounds)
@@ -167,7 +167,7 @@ def _shard_rows(length: int):
         keys = sorted(variant)
         sizes = np.array([len(variant[k][1]) for k in keys], np.int64)
         # byte values from 1, and 0 after each variant: a string within one holds no 0
-        buf = np.frombuffer(b"".join(variant[k][1] + b"\0" for k in keys), np.uint8).astype(np.int64) + 1
+        buf = np.frombuffer(b"".join(variant[k][1] + b"\0" for k in keys), np.uint8) + np.uint16(1)
         first = np.cumsum(sizes + 1) - sizes - 1
         buf[first + sizes] = 0
         found = repeated_starts(buf, length)
@@ -214,12 +214,14 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard
     """(doc, print, runs): byte positions [from, to) of a document whose strings of ``length`` bytes repeat."""
     segments = tables.written(
         docs.select("doc_id", "print", "text").mapInArrow(_segment_rows(length, gram), SEGMENT), "segments")
-    often = segments.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor")
-    shared = tables.written(segments.join(often, "anchor"), "shared")
+    n_segments = segments.count()
+    # written, so that the join below is one of two tables and adaptive execution can split a frequent anchor
+    often = tables.written(segments.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor"), "often", n_segments)
+    shared = tables.written(segments.join(often, "anchor"), "shared", n_segments)
     variants = tables.written(
         shared.groupBy("anchor", "digest")
         .agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "print", "start", "n_starts", "anchor_at")).alias("held"))
-        .select("anchor", "digest", "n", "held.*"), "variants")
+        .select("anchor", "digest", "n", "held.*"), "variants", n_segments)
     n_bytes = F.col("n_starts") + (length - 1)
     by_anchor = (variants.groupBy("anchor").agg(F.count("*").alias("variants"), F.sum(n_bytes).alias("bytes"))
                  .filter("variants > 1").select("anchor", "bytes"))
@@ -317,7 +319,7 @@ def _digest_rows(length: int):
 
 def _text_rows(length: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             at = batch.schema.get_field_index("text")
             texts = batch.column(at).to_pylist()
             for i, runs in enumerate(batch.column(batch.schema.get_field_index("runs")).to_pylist()):

@@ -257,3 +257,17 @@ def test_words_of_long_texts_in_blocks(monkeypatch):
             assert len(found.get(i, ())) == len(t.split())
             for w, h in zip(t.split(), found.get(i, ())):
                 assert names.setdefault(w, h) == h
+
+
+def test_long_texts_come_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(textbytes, "BLOCK", 700)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 700)
+    rng = random.Random(4)
+    passage = prose(rng, 60)
+    rows = [(1, prose(rng, 300) + passage + prose(rng, 200)), (2, passage), (3, "ab" * 1500), (4, prose(rng, 500) + " " + passage[20:200])]
+    got = suffix_dedup.with_runs(suffix_dedup.keyed(frame(spark, rows).select("doc_id", "text")), 60, gram=16).select("doc_id", "text", "runs").mapInArrow(
+        suffix_dedup._digest_rows(60), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").collect()
+    assert Counter(map(tuple, got)) == Counter((d, n, r, s, hashlib.sha256(k).hexdigest()) for d, n, r, s, k in brute.repeated_bytes(rows, 60))
+    near = minhash.near_duplicates(frame(spark, [*rows, (5, rows[0][1])]), 3, 85).collect()
+    assert {r.doc_id: r.component_id for r in near} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+    assert all(r.n_shingles == len(brute.shingle_set(dict([*rows, (5, rows[0][1])])[r.doc_id], 3)) for r in near)
