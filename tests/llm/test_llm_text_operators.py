@@ -8,7 +8,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 import brute
 from ddlscope.llm import fingerprints, line_dedup, minhash, packing, suffix_dedup, textbytes
