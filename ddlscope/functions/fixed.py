@@ -217,6 +217,7 @@ IMPACT_INDEX_MISSING = (
 RISK_EMOJI = {"safe": "✅", "low": "🟢", "medium": "🟡", "high": "🔴", "critical": "🚨"}
 ROLLBACK_EMOJI = {"safe": "✅", "manual": "⚠️", "complex": "🔧", "none": "🚫"}
 UNKNOWN_EMOJI = "❓"
+RISK_SYMBOL = {"safe": "✓", "low": "✓", "medium": "⚠", "high": "✗", "critical": "✗✗"}
 INSTANT_DURATION = "instant (<1 second)"
 INSTANT_BELOW_MINUTES = 0.1
 SCORE_BAR_FULL = "█"

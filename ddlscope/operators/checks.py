@@ -16,7 +16,9 @@ metadata, not data); every check reads whole tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ddlscope.functions import fixed
@@ -79,6 +81,46 @@ def constraint_violations(spark: SparkSession, sf_dir: str, primary_keys: dict,
     return _union(parts)
 
 
+def lossy(value: Column, source: str, target: str) -> Column:
+    """Does a non-null value change when its column becomes ``target``?
+
+    VARCHAR(n) and CHAR(n): longer than n (a Spark cast would not truncate).
+    Any other type: the cast fails, or casting back gives another value.
+    """
+    length = re.fullmatch(r"(?i)(?:VAR)?CHAR(?:ACTER)?(?: VARYING)?\((\d+)\)", target.strip())
+    if length:
+        return F.length(value.cast("string")) > int(length[1])
+    name = re.sub(r"(?i)^NUMERIC", "DECIMAL", target.strip())
+    there = value.try_cast(name)
+    return value.isNotNull() & (there.isNull() | ~there.try_cast(source).eqNullSafe(value))
+
+
+def cast_audit_to(df: DataFrame, targets: dict[str, str]) -> DataFrame:
+    """V3 with the caller's targets: (column_name, target_type, non_null_rows, lossy_rows, first_lossy) of ``{column: type}``."""
+    types = dict(df.dtypes)
+    aggs = []
+    for i, (c, target) in enumerate(targets.items()):
+        bad = lossy(F.col(c), types[c], target)
+        aggs += [F.count(c).alias(f"n{i}"), F.count_if(bad).alias(f"l{i}"), F.min(F.when(bad, F.col(c))).cast("string").alias(f"f{i}")]
+    rows = [F.struct(F.lit(c).alias("column_name"), F.lit(target).alias("target_type"), F.col(f"n{i}").alias("non_null_rows"),
+                     F.col(f"l{i}").alias("lossy_rows"), F.col(f"f{i}").alias("first_lossy")) for i, (c, target) in enumerate(targets.items())]
+    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+
+
+def check_violations(df: DataFrame, checks: dict[str, str]) -> DataFrame:
+    """V2 for CHECK predicates: (check_name, violating_rows) of ``{name: SQL predicate}``; a null result does not violate."""
+    aggs = [F.count_if(~F.coalesce(F.expr(p), F.lit(True))).alias(f"v{i}") for i, p in enumerate(checks.values())]
+    rows = [F.struct(F.lit(name).alias("check_name"), F.col(f"v{i}").alias("violating_rows")) for i, name in enumerate(checks)]
+    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+
+
+def orphan_keys(child: DataFrame, column: str, parent: DataFrame, parent_column: str, limit: int = 10) -> DataFrame:
+    """V1 sample: the ``limit`` most frequent foreign keys without a parent (key, child_rows); ties to the smaller key."""
+    keys = child.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("key")).agg(F.count(F.lit(1)).alias("child_rows"))
+    known = parent.select(F.col(parent_column).alias("key")).distinct()
+    return keys.join(known.hint("merge"), "key", "left_anti").orderBy(F.col("child_rows").desc(), "key").limit(limit)
+
+
 def cast_audit(spark: SparkSession, sf_dir: str, tables: dict) -> DataFrame:
     """V3: (table_name, column_name, target_type, non_null_rows, lossy_rows).
 

@@ -496,6 +496,7 @@ SELECT sc.migration_id, stmt_pos, action_pos,
     CASE WHEN dmax < {fixed.INSTANT_BELOW_MINUTES} THEN {_q(fixed.INSTANT_DURATION)}
          ELSE printf('%.1f–%.1f minutes', dmin, dmax) END END AS duration_label,
   CASE risk_level {risk} ELSE {_q(fixed.UNKNOWN_EMOJI)} END AS risk_badge,
+  CASE risk_level WHEN 'safe' THEN '✓' WHEN 'low' THEN '✓' WHEN 'medium' THEN '⚠' WHEN 'high' THEN '✗' WHEN 'critical' THEN '✗✗' END AS risk_symbol,
   CASE rollback_complexity {rbk} ELSE {_q(fixed.UNKNOWN_EMOJI)} END AS rollback_badge,
   '[' || repeat({_q(fixed.SCORE_BAR_FULL)}, greatest({full}, 0))
       || repeat({_q(fixed.SCORE_BAR_EMPTY)}, greatest({fixed.SCORE_BAR_WIDTH} - {full}, 0))
