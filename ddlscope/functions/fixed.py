@@ -224,6 +224,10 @@ SCORE_BAR_FULL = "█"
 SCORE_BAR_EMPTY = "░"
 SCORE_BAR_WIDTH = 20
 IMPACT_DESCRIPTION_LIMIT = 120
+REWRITE_HEADING = "**💡 Suggested safe rewrite:**"
+REWRITE_LIMIT = 800
+SUMMARY_BLOCK = "<details><summary>🤖 AI Risk Analysis (click to expand)</summary>"
+STAKEHOLDER_BLOCK = "<details><summary>📊 Stakeholder Summary</summary>"
 DATA_LOSS_LINE = "- 🚨 **DATA LOSS RISK** — ensure you have a verified backup before running this migration"
 
 # --------------------------------------------------------------------------

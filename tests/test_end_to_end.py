@@ -71,10 +71,24 @@ def test_markdown_lines(analysis):
     assert "- Estimated rollback window: **~5 minutes**" in text
 
 
+def test_markdown_with_rewrites_and_summaries(spark, analysis):
+    mid = analysis.scores.collect()[0].migration_id
+    rewrites = spark.createDataFrame([(mid, 1, 0, "DROP INDEX CONCURRENTLY idx_users_email;")],
+                                     "migration_id string, stmt_pos int, action_pos int, safe_rewrite string")
+    summaries = spark.createDataFrame([(mid, "Low risk.", "All fine.")], "migration_id string, plain_english_summary string, stakeholder_summary string")
+    df = report.markdown_lines(analysis, rewrites=rewrites, summaries=summaries)
+    lines = [r.line for r in df.orderBy("migration_id", "section", "k1", "k2", "k3", "k4").collect()]
+    at = lines.index("**💡 Suggested safe rewrite:**")
+    assert lines[at - 1:at + 5] == ["", "**💡 Suggested safe rewrite:**", "```sql", "DROP INDEX CONCURRENTLY idx_users_email;", "```", ""]
+    assert lines.count("```sql") == 1
+    assert lines[-14:-2] == ["<details><summary>🤖 AI Risk Analysis (click to expand)</summary>", "", "Low risk.", "", "</details>", "",
+                             "<details><summary>📊 Stakeholder Summary</summary>", "", "All fine.", "", "</details>", ""]
+
+
 def test_json_records(analysis):
     recs = [json.loads(r.json) for r in report.json_records(analysis).collect()]
     kinds = sorted(r["record"] for r in recs)
-    assert kinds == ["impact", "operation", "operation", "operation", "report"]
+    assert kinds == ["impact", "operation", "operation", "operation", "report", "rollback_step", "rollback_step", "rollback_step"]
     rep = next(r for r in recs if r["record"] == "report")
     assert (rep["overall_risk_score"], rep["overall_risk_level"], rep["rollback"]["estimated_minutes"]) == (20, "low", 5)
     assert rep["impact_summary"]["index_missing"] == 1
