@@ -145,7 +145,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def packed(sig: np.ndarray) -> np.ndarray:
     """Four bits of each place, sixteen places to a 64-bit integer."""
-    four = (mix64(sig.astype(np.uint64)) & np.uint64(15)).reshape(len(sig), -1, 16)
+    four = (mix64(sig.astype(np.uint64)) & np.uint64(15)).reshape(len(sig), sig.shape[1] // 16, 16)
     return (four << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64).view(np.int64)
 
 

@@ -270,3 +270,13 @@ def test_long_texts_come_in_pieces(spark, monkeypatch):
     near = minhash.near_duplicates(frame(spark, [*rows, (5, rows[0][1])]), 3, 85).collect()
     assert {r.doc_id: r.component_id for r in near} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
     assert all(r.n_shingles == len(brute.shingle_set(dict([*rows, (5, rows[0][1])])[r.doc_id], 3)) for r in near)
+
+
+def test_tables_of_empty_texts(spark):
+    rows = [(d, t) for d, t in enumerate(["", None, " \n", "", None] * 60)]
+    near = minhash.near_duplicates(frame(spark, rows), 5, 80).collect()
+    assert len(near) == 300 and all(r.kept and r.component_id == r.doc_id and r.n_shingles == 0 for r in near)
+    assert suffix_dedup.remove_repeats(frame(spark, rows)).count() == 300
+    assert line_dedup.dedup_lines(frame(spark, rows)).filter("n_dropped = 0").count() == 300
+    assert {(r.fingerprint, r.near_next) for r in fingerprints.fingerprinted(frame(spark, rows)).collect()} == {("", 1.0)}
+    assert packing.packed(frame(spark, rows)).groupBy().sum("n_tokens").first()[0] == 300 + 60 * 2
