@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ddlscope.llm import tables
+from ddlscope.llm.idstore import IdStore, room
 from ddlscope.llm.textbytes import WordHasher, blocks
 from ddlscope.llm.wavelet import WaveletMatrix, encode
 
@@ -40,6 +41,8 @@ END_ID = 1
 FILE_IDS = 1 << 20
 #: Distinct units a worker remembers (about 50 bytes each); beyond it the memory starts anew.
 REMEMBERED = 1 << 21
+#: Slots of the table of units seen last.
+SLOT_BITS = 21
 NO_ID = -(1 << 63)
 
 
@@ -71,24 +74,30 @@ class UnitEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, their unit
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.size, self.flag = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.uint8)
-
-    def _learn(self, hashes: np.ndarray, units: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        first, n, total = len(self.known), len(units), int(sizes.sum())
-        self.ids = _room(self.ids, self.used + total)
-        self.ids[self.used:self.used + total] = np.fromiter((x for ids in found for x in ids), np.uint32, total)
-        self.start, self.size, self.flag = (_room(x, first + n) for x in (self.start, self.size, self.flag))
-        self.start[first:first + n] = self.used + np.cumsum(sizes) - sizes
-        self.size[first:first + n] = sizes
-        self.flag[first:first + n] = [_flag(u) for u in units]
-        self.used += total
-        at = np.searchsorted(self.known, hashes)
-        self.known = np.insert(self.known, at, hashes)
-        self.number = np.insert(self.number, at, np.arange(first, first + n))
+        self.store = IdStore()
+        self.flag = np.zeros(1 << 16, np.uint8)
+        # the last unit seen of each slot: most units are found here without a sort
+        self.slot_hash, self.slot_unit = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.int32)
+
+    def _numbers(self, hashes: np.ndarray, raw, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The unit of each hash; new ones are encoded by the library."""
+        slot = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        number = self.slot_unit[slot].astype(np.int64)
+        rest = np.flatnonzero((self.slot_hash[slot] != hashes) | (hashes == 0))
+        if len(rest):
+            unit, where, inverse = np.unique(hashes[rest], return_index=True, return_inverse=True)
+            new = self.store.missing(unit)
+            if new.any():
+                at = rest[where[new]]
+                units = [bytes(raw[a:b]).decode("utf-8", "replace") for a, b in zip(start[at].tolist(), end[at].tolist())]
+                first = self.store.learn(unit[new], [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)])
+                self.flag = room(self.flag, len(self.store))
+                self.flag[first:first + len(units)] = [_flag(u) for u in units]
+            found = self.store.numbers(unit)
+            number[rest] = found[inverse]
+            slot = (unit >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+            self.slot_hash[slot], self.slot_unit[slot] = unit, found
+        return number
 
     def _block(self, buf: np.ndarray, doc_start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, number of ids of each document, documents that need the library) of a block."""
@@ -99,19 +108,8 @@ class UnitEncoder:
         end = np.append(start[1:], len(buf))
         solid = kind[start] > 0
         start, end = start[solid], end[solid]
-        unit, inverse = np.unique(self.hasher.between(buf, start, end), return_inverse=True)
-        at = np.minimum(np.searchsorted(self.known, unit), max(0, len(self.known) - 1))
-        new = np.ones(len(unit), bool) if not len(self.known) else self.known[at] != unit
-        if new.any():
-            one = np.zeros(len(unit), np.int64)
-            one[inverse] = np.arange(len(inverse))
-            raw = buf.tobytes()
-            self._learn(unit[new], [raw[start[i]:end[i]].decode("utf-8", "replace") for i in one[new]])
-            at = np.searchsorted(self.known, unit)
-        number = self.number[at][inverse] if len(unit) else inverse
-        size = self.size[number]
-        upto = np.cumsum(size)
-        ids = self.ids[np.repeat(self.start[number] - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)]
+        number = self._numbers(self.hasher.between(buf, start, end), memoryview(buf), start, end)
+        ids, upto = self.store.joined(number)
         first = np.searchsorted(start, np.append(doc_start, len(buf)))
         per_doc = np.diff(np.concatenate([[0], upto])[first])
         touch = np.concatenate([[False], start[1:] == end[:-1]])
@@ -123,7 +121,7 @@ class UnitEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         raw = [t.encode("utf-8", "replace") for t in texts]
-        if len(self.known) > REMEMBERED:
+        if len(self.store) > REMEMBERED:
             self._forget()
         parts: list[list[np.ndarray]] = [[] for _ in texts]
         library = set()
@@ -158,12 +156,6 @@ def worker_encoder(path: str) -> UnitEncoder:
     return held[path]
 
 
-def _room(a: np.ndarray, n: int) -> np.ndarray:
-    if n <= len(a):
-        return a
-    return np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
-
-
 def _portions(batches: Iterator[pa.RecordBatch], chars: int = 4 << 20):
     """(doc ids, texts) of about so many characters."""
     ids, texts, size = [], [], 0
