@@ -30,4 +30,15 @@ LABELLED = (
     <p>+story of a river town and its bridge that people built long ago while waiting</p><div><a>-for boats</a> <a>to come</a></div><p>+back from sea the quick story of a river town and its bridge that people built long ago</p></body>""",
     """<body><p><a>-while waiting for boats to come back from</a></p><p>+sea the quick story of a river town and its bridge that people built long ago while waiting for boats to come back</p>
     <p><a>-from sea the quick story of a river town and</a></p><p>+its bridge that people built long ago while waiting for boats to come back from sea</p><p><a>-the quick</a></p></body>""",
+    """<body><p>+the quick story of a river town and its bridge that people built long ago while waiting</p><p>+for boats to come back from sea the quick story of a river town</p>
+    <div><a>-and its bridge that people built long ago while waiting for boats to come back from sea</a></div>
+    <div><a>-the quick story of a river town and its bridge that people built long ago while waiting</a> <a>for boats</a></div>
+    <div><a>-to come back from sea the quick story of a river town and its bridge</a></div></body>""",
+    """<body><div><a>-that people built long ago while waiting for boats to come back from sea the quick story</a></div>
+    <p>+of a <a>river town</a> and its bridge that people built long ago while waiting for boats to come back</p><p>+from sea the quick story of a river town and its bridge that people built</p></body>""",
+    """<body><div>-posted by a town clerk at noon</div><div>-long ago</div><p>+the quick story of a river town and its bridge that people built long ago while waiting for boats</p>
+    <p>+to come back from sea</p><p>+the quick story of a river town and its bridge that people built long ago while waiting for boats to come back from sea</p>
+    <div>-all words kept by the river town</div><div>-built long ago by quick people</div><div>-a town at sea</div></body>""",
+    """<body><div>-waiting for boats to come back</div><div>-its bridge and the town clerk</div><p>+story of a river town and its bridge that people built long ago while waiting for boats to come back from sea</p>
+    <p>+the quick story of a river</p><p>+town and its bridge that people built long ago while waiting for boats to come back from sea</p><div>-the town and its people</div><div>-quick boats</div></body>""",
 )
