@@ -57,7 +57,7 @@ def shared_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
             .agg(F.count("*").alias("n_docs"), F.max("doc").alias("keeper"))
             .filter(F.col("n_docs") >= min_docs).select("line", "keeper"))
     # written, so that the join is one of two tables and adaptive execution can split a frequent line
-    many = tables.written(many, "shared-lines")
+    many = tables.written(many, "shared-lines", docs.count())
     return (held.join(many, "line").filter(~F.col("doc").eqNullSafe(F.col("keeper")))
             .groupBy("doc").agg(F.collect_set("line").alias("drop")))
 

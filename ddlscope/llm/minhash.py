@@ -290,6 +290,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
                .agg(F.max(F.struct("met", (-F.col("doc_id")).alias("neg"))).alias("top"))
                .select("bucket", (-F.col("top.neg")).alias("leader")))
     led = tables.written(members.select("bucket", "doc_id").join(leaders, "bucket").filter("leader <> doc_id"), "led", n_bands)
+    n_led = led.count()
     small = holders.select("doc_id", "small", "n_shingles")
 
     # every class with the leaders of its buckets: links, and differences of those near enough to matter
@@ -297,14 +298,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
              .join(small.toDF("b", "small_b", "n_b"), "b").join(small.toDF("a", "small_a", "n_a"), "a")
              .filter(unequal_places(F.col("small_a"), F.col("small_b")) <= most_unequal(2 * percent - 100)).select("a", "b"))
     compared = tables.written(_with_texts(stars, docs).mapInArrow(
-        _comparer(size, percent), "a long, b long, linked boolean, n long, unlike array<long>"), "compared")
+        _comparer(size, percent), "a long, b long, linked boolean, n long, unlike array<long>"), "compared", 5 * n_led)
+    n_compared = compared.count()
     linked = compared.filter("linked").select("a", "b")
     # rows that repeat a doc_id with other texts make one node: their classes' holders are linked
     placed_rows = named.select("doc_id", "set_print").join(classes, "set_print")
     spread = (placed_rows.groupBy("doc_id").agg(F.min("holder").alias("low"), F.max("holder").alias("high"))
               .filter("low < high").select("doc_id", "low"))
     same_id = placed_rows.join(spread, "doc_id").select(F.col("low").alias("a"), F.col("holder").alias("b"))
-    grouped = components(linked.union(_linked_to_core(compared, percent)).union(same_id))
+    grouped = components(linked.union(_linked_to_core(compared, percent)).union(same_id), rows=5 * n_compared)
 
     # then the candidate pairs of classes that aren't linked to their bucket's leader and are still apart
     strays = (led.join(linked.toDF("leader", "doc_id"), ["leader", "doc_id"], "left_anti").select("bucket", "doc_id")
@@ -323,7 +325,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
                      & (first_bucket == F.col("bucket_a")))
               .select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct())
     more = _with_texts(across, docs).mapInArrow(_comparer(size, percent), "a long, b long, linked boolean, n long, unlike array<long>")
-    joined = components(more.filter("linked").select("a", "b").union(grouped.toDF("a", "b")))
+    joined = components(more.filter("linked").select("a", "b").union(grouped.toDF("a", "b")), rows=5 * n_led)
 
     of_class = tables.written(classes.join(joined, F.col("holder") == F.col("node"), "left")
                               .select("set_print", F.coalesce("component", "holder").alias("component")), "of-class", n_rows)

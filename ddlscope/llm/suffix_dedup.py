@@ -213,7 +213,7 @@ def _string_rows(length: int):
 def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc, print, runs): byte positions [from, to) of a document whose strings of ``length`` bytes repeat."""
     segments = tables.written(
-        docs.select("doc_id", "print", "text").mapInArrow(_segment_rows(length, gram), SEGMENT), "segments")
+        docs.select("doc_id", "print", "text").mapInArrow(_segment_rows(length, gram), SEGMENT), "segments", 25 * docs.count())
     n_segments = segments.count()
     # written, so that the join below is one of two tables and adaptive execution can split a frequent anchor
     often = tables.written(segments.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor"), "often", n_segments)
@@ -246,7 +246,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard
     # anchors whose segments are all alike
     alike = (variants.join(by_anchor, "anchor", "left_anti")
              .select("anchor", "digest", F.array(F.struct(F.lit(0).cast("long").alias("from"), F.col("n_starts").cast("long").alias("to"))).alias("runs")))
-    results = tables.written(settled.union(alike), "runs")
+    results = tables.written(settled.union(alike), "runs", 10 * variants.count())
     marks = shared.select("doc_id", "print", "start", "anchor", "digest").join(results, ["anchor", "digest"])
     moved = F.transform("runs", lambda r: F.struct((r["from"] + F.col("start")).alias("from"), (r["to"] + F.col("start")).alias("to")))
     return (marks.select(F.col("doc_id").alias("doc"), F.col("print").alias("of"), moved.alias("runs"))

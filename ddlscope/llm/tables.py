@@ -26,9 +26,9 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared checkpoint folder.
 
     Cuts the lineage: what follows restarts from the table when an executor
-    is lost, and a result that several branches read is computed once.  Where a
-    bound on the number of rows is known, a narrow table gets no more files than
-    it needs.
+    is lost, and a result that several branches read is computed once.  Where the
+    number of rows is known within a factor, a table gets no more files than it
+    needs; ``rows`` may be given larger, for rows that are wide or dear to make.
     """
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
