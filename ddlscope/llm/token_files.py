@@ -22,6 +22,7 @@ from __future__ import annotations
 import os
 import sys
 import types
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -44,6 +45,8 @@ REMEMBERED = 1 << 21
 #: Slots of the table of units seen last.
 SLOT_BITS = 21
 NO_ID = -(1 << 63)
+#: Other characters of ASCII that a unit of letters holds.
+PLAIN = frozenset("0123456789'")
 
 
 class UnitEncoder:
@@ -55,9 +58,9 @@ class UnitEncoder:
     passes, a sort, and the library's encoding of the units not seen before.
 
     Cutting at a mark is exact beside a letter or digit.  Where a unit touches
-    another with an apostrophe or a sign beyond ASCII, or holds a control
-    character or a special token's bracket, the whole document goes to the
-    library instead.
+    another with an apostrophe or a sign beyond ASCII, also one that only the
+    tokenizer's normal form has, or holds a control character or a special
+    token's bracket, the whole document goes to the library instead.
     """
 
     def __init__(self, path: str):
@@ -143,11 +146,16 @@ def _flag(unit: str) -> int:
     """1: its document needs the library; 2: does so if it touches another unit."""
     if "<|" in unit or "|>" in unit or any(c < " " or c == "\x7f" for c in unit):
         return 1
-    if unit[0] == "'" or unit[-1] == "'" or not unit.isascii() and any(c > "\x7f" and not c.isalpha() for c in unit):
+    if unit[0] == "'" or unit[-1] == "'" or not unit.isascii() and any(not c.isalpha() and c not in PLAIN for c in unit + _normal(unit)):
         return 2
     return 0
 
 
+def _normal(unit: str) -> str:
+    """As the tokenizer sees it: some letters become a letter and a combining mark there."""
+    return unicodedata.normalize("NFC", unit).lower()
+
+
 def worker_encoder(path: str) -> UnitEncoder:
     """The encoder of this Python worker: later tasks in the same worker know the units of earlier ones."""
     held = sys.modules.setdefault("_llm_unit_encoders", types.ModuleType("_llm_unit_encoders")).__dict__

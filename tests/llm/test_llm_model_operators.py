@@ -98,6 +98,18 @@ def test_token_files(spark):
     assert token_files.read_documents(token_files.write_token_files(frame(spark, []), path)).count() == 0
 
 
+def test_units_of_every_letter_before_and_after_marks():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    # among them the letters that the tokenizer turns into a letter and a combining mark
+    letters = [c for c in map(chr, range(128, 0x110000)) if c.isalpha()]
+    texts = ["GAZETESİ.", "क़,", ".བྷ-"] + [t for c in letters for t in (f"a{c}.", f".{c}-", f"({c}b")]
+    want = Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)
+    got = token_files.UnitEncoder(path).encode(texts)
+    assert [t for t, g, w in zip(texts, got, want) if g.tolist() != w.ids] == []
+
+
 def test_sentence_pieces(spark):
     import sentencepiece
 
