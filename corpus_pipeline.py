@@ -10,7 +10,7 @@ empty one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ddlscope.llm import line_dedup, minhash, packing, suffix_dedup, tables, toxicity
@@ -36,13 +36,23 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates; of rows that repeat a doc_id the one with the smallest text."""
-    kept = minhash.near_duplicates(docs.select("doc_id", "text"), SHINGLE, PERCENT).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = tables.inner(docs)
-    named = rows.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    named = named.withColumn("place", first).filter("place = 1").drop("place")
-    return tables.outer(named.unionByName(rows.filter(F.col("doc_id").isNull())), docs)
+    """One row of each group of near duplicates: that of the smallest doc_id, of rows that repeat it the one with the smallest text.
+
+    Each row is a node of its own, also where a doc_id stands for several texts; a null doc_id is linked with nothing.
+    """
+    # written, so that a row has the same number wherever it is read again
+    rows = tables.written(tables.inner(docs).withColumn("row", F.monotonically_increasing_id()), "rows")
+    named = rows.filter(F.col("doc_id").isNotNull())
+    found = minhash.near_duplicates(named.select(F.col("row").alias("doc_id"), "text"), SHINGLE, PERCENT, unique_ids=True)
+    groups = found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
+    nodes = tables.written(groups.join(named.select("row", "doc_id"), "row"), "nodes")
+    of_id = nodes.groupBy("component", "doc_id").agg(F.min("row").alias("row"), F.count("*").alias("n"))
+    first = tables.written(of_id.groupBy("component").agg(F.min(F.struct("doc_id", "row", "n")).alias("first")).select("component", "first.*"), "firsts")
+    # only where the smallest doc_id of a group is repeated in it are texts compared; the rows are shuffled once for both
+    alone = rows.join(first.filter("n = 1").select("row", "component"), "row").select("doc_id", "text", "others")
+    tied = rows.join(nodes.join(first.filter("n > 1").select("component", "doc_id"), ["component", "doc_id"]).select("row", "component"), "row")
+    smallest = tied.groupBy("component").agg(F.min_by(F.struct("doc_id", "text", "others"), F.struct("text", "row")).alias("least")).select("least.*")
+    return tables.outer(alone.union(smallest).union(rows.filter(F.col("doc_id").isNull()).select("doc_id", "text", "others")), docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

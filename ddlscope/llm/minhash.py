@@ -261,10 +261,11 @@ def _linked_to_core(compared: DataFrame, percent: int, block: int = 4096) -> Dat
     return strays.groupBy(*keys).cogroup(core.groupBy(*keys)).applyInArrow(_tile(percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, unique_ids: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs`` (doc_id, text).
 
     Links: 100 * |intersection| >= percent * |union| of the distinct ``size``-word shingles.
+    ``unique_ids``: no doc_id is repeated, so none links rows with other texts.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = tables.written(
@@ -301,12 +302,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         _comparer(size, percent), "a long, b long, linked boolean, n long, unlike array<long>"), "compared", 5 * n_led)
     n_compared = compared.count()
     linked = compared.filter("linked").select("a", "b")
-    # rows that repeat a doc_id with other texts make one node: their classes' holders are linked
-    placed_rows = named.select("doc_id", "set_print").join(classes, "set_print")
-    spread = (placed_rows.groupBy("doc_id").agg(F.min("holder").alias("low"), F.max("holder").alias("high"))
-              .filter("low < high").select("doc_id", "low"))
-    same_id = placed_rows.join(spread, "doc_id").select(F.col("low").alias("a"), F.col("holder").alias("b"))
-    grouped = components(linked.union(_linked_to_core(compared, percent)).union(same_id), rows=5 * n_compared)
+    links = linked.union(_linked_to_core(compared, percent))
+    if not unique_ids:
+        # rows that repeat a doc_id with other texts make one node: their classes' holders are linked
+        placed_rows = named.select("doc_id", "set_print").join(classes, "set_print")
+        spread = (placed_rows.groupBy("doc_id").agg(F.min("holder").alias("low"), F.max("holder").alias("high"))
+                  .filter("low < high").select("doc_id", "low"))
+        links = links.union(placed_rows.join(spread, "doc_id").select(F.col("low").alias("a"), F.col("holder").alias("b")))
+    grouped = components(links, rows=5 * n_compared)
 
     # then the candidate pairs of classes that aren't linked to their bucket's leader and are still apart
     strays = (led.join(linked.toDF("leader", "doc_id"), ["leader", "doc_id"], "left_anti").select("bucket", "doc_id")

@@ -78,6 +78,20 @@ def test_stages_in_turn(spark, world):
     assert packed == {d: len((t or "").encode()) + 1 for d, t in text["suffix_dedup"].items()}
 
 
+def test_near_duplicates_of_rows_that_share_an_id(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"{rng.choice('abcdefgh')}{rng.randrange(5000)}" for _ in range(60)) for _ in range(46)]
+    # a placeholder id of 40 texts; near copies of six of them and six other texts under ids of their own
+    rows = [(-1, t) for t in texts[:40]] + [(10 + i, t + " more") for i, t in enumerate(texts[:6])] + [(20 + i, t) for i, t in enumerate(texts[40:])]
+    # the same id and group twice; a group whose smallest id is repeated with another text; rows without words or id
+    rows += [(-1, texts[7]), (-1, texts[8] + " zz"), (5, texts[45] + " b"), (5, texts[45] + " a"), (30, ""), (30, ""), (30, None), (None, texts[9])]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or ""), 0.5, "r", 1, 2) for d, t in rows], COLUMNS).repartition(5)
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    want = Counter([(-1, t) for t in texts[:40]] + [(20 + i, t) for i, t in enumerate(texts[40:45])])
+    want.update([(5, texts[45] + " a"), (30, ""), (30, ""), (30, None), (None, texts[9])])
+    assert got == want
+
+
 def test_run_matches_the_stages_and_takes_an_empty_table(spark, world, tmp_path):
     folder = world[0]
     assert corpus_pipeline.run(spark, folder).count() > 200
