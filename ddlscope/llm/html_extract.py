@@ -4,8 +4,9 @@ A page is cut into its text blocks in page order; block-level tags end a block,
 inline tags don't.  Each block has its number of words and link density, those
 of the blocks before and after it, whether it is a heading or list item, and
 what it lies in: an article, or a part whose tag, role, class or id marks
-menus, headers, footers, sidebars, notices, adverts, forms or comments.  A
-decision tree over these features, grown on the labelled pages of
+menus, headers, footers, sidebars, notices, adverts, forms or comments (class
+and id of html, body, main and article describe the page and mark nothing, nor
+do names like has-sidebar or comments-open).  A decision tree over these features, grown on the labelled pages of
 html_labels.py, tells main text from the rest.
 
 Scripts, styles, comments and other parts without readable text yield no
@@ -54,6 +55,10 @@ BESIDE_WORDS = set("ad ads adv menu nav navbar breadcrumb breadcrumbs toc pagina
                    "related footer foot cookie cookies consent gdpr notice notices alert banner popup modal overlay login signin signup "
                    "search social share sharing tags disqus respond replies masthead topbar toolbar hidden print skip legal copyright".split())
 BESIDE_STARTS = ("advert", "sponsor", "promo", "comment", "newsletter", "subscri", "recommend", "navig")
+#: Words in a name after which it tells what a page or wrapper has, and words that end the name of a state.
+MODIFIERS, STATES = {"has", "with", "no", "left", "right", "category", "tag"}, {"open", "closed"}
+#: Tags around the main text, whose class and id describe the page or its subject.
+AROUND_TAGS = {"html", "body", "main", "article"}
 _NAMES = re.compile(r"\b(class|id|role|style|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -69,6 +74,16 @@ class Block:
     item: bool
 
 
+def _own_words(names: str) -> list[str]:
+    """The words of a class or id that say what a part itself is."""
+    found = []
+    for name in names.split():
+        words = [w.lower() for w in _WORDS.findall(name)]
+        if words and words[-1] not in STATES:
+            found += words[:next((i for i, w in enumerate(words) if w in MODIFIERS), len(words))]
+    return found
+
+
 def _marks(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
     """(beside the main text, article) of an opening tag."""
     beside = tag in BESIDE_TAGS or tag == "header" and not in_article
@@ -83,8 +98,8 @@ def _marks(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
                 beside |= re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) is not None
             elif name == "hidden":
                 beside = True
-            else:
-                words = [w.lower() for w in _WORDS.findall(value)]
+            elif tag not in AROUND_TAGS:
+                words = _own_words(value)
                 beside |= any(w in BESIDE_WORDS or w.startswith(BESIDE_STARTS) for w in words)
                 beside |= "header" in words and not in_article
     return beside, article

@@ -41,4 +41,9 @@ LABELLED = (
     <div>-all words kept by the river town</div><div>-built long ago by quick people</div><div>-a town at sea</div></body>""",
     """<body><div>-waiting for boats to come back</div><div>-its bridge and the town clerk</div><p>+story of a river town and its bridge that people built long ago while waiting for boats to come back from sea</p>
     <p>+the quick story of a river</p><p>+town and its bridge that people built long ago while waiting for boats to come back from sea</p><div>-the town and its people</div><div>-quick boats</div></body>""",
+    """<body class="single has-sidebar comments-open"><nav><a>-the quick</a></nav><div class="content with-sidebar"><article class="post category-social tag-legal">
+    <h1>+story of a river</h1><p>+town and its bridge that people built long ago while waiting for boats to come back from sea</p></article></div>
+    <div class="sidebar"><p>-the quick story of a river town and its bridge that people built long ago</p></div></body>""",
+    """<body class="right-sidebar"><main class="main no-print"><h1>+the quick story</h1><p>+of a river town and its bridge that people built long ago while waiting</p>
+    <p>+for boats</p></main></body>""",
 )

@@ -146,6 +146,17 @@ def test_html_extraction(spark):
     assert html_extract.extracted(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("opening", [
+    "<body class='single has-sidebar'>", "<body class='right-sidebar'>", "<body class='no-sidebar'>", "<body class='comments-open'>",
+    "<html class='menu-closed'><body id='print'>", "<div class='content with-sidebar'>", "<div class='layout right-sidebar comments-open'>",
+    "<main class='search social'>", "<div class='pageHasSidebar'>", ""])
+def test_html_wrappers_named_after_side_parts(opening):
+    tree = html_extract.trained()
+    page = (opening + "<article class='post category-social tag-legal'><h1>A title</h1><p>First line of the text.</p><p>End.</p>"
+            "<div class='comments'><p>Nice words of a reader!</p></div></article><div class='sidebar widget'><p>Side words here.</p></div>")
+    assert html_extract.main_text(page, tree).split("\n\n") == ["A title", "First line of the text.", "End."]
+
+
 def test_decision_tree_fits_its_table():
     tree = html_extract.trained()
     x, y = [], []
