@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from ddlscope.llm import fingerprints, html_extract, line_dedup, minhash, nearest, packing, sentencepieces, suffix_dedup, token_files, toxicity
+from ddlscope.llm import (
+    alignment, centroids, fingerprints, html_extract, licenses, line_dedup, minhash, nearest, packing, sentencepieces, suffix_dedup, token_files, toxicity,
+)
 
 QUERIES = {
     "op1_html_extraction": html_extract.op1_html_extraction,
@@ -15,10 +17,15 @@ QUERIES = {
     "op8_counterfactual_toxicity": toxicity.op8_counterfactual_toxicity,
     "op9_minhash_dedup": minhash.op9_minhash_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op11_token_alignment": alignment.op11_token_alignment,
+    "op12_centroid_clusters": centroids.op12_centroid_clusters,
+    "op13_license_scan": licenses.op13_license_scan,
 }
 
 #: Only where SQL can express the operator; tests/llm holds the others against brute force.
 ORACLE_SQL = {
     "op3_block_nearest": nearest.ORACLE_SQL,
     "op5_line_dedup": line_dedup.ORACLE_SQL,
+    "op12_centroid_clusters": centroids.ORACLE_SQL,
+    "op13_license_scan": licenses.ORACLE_SQL,
 }

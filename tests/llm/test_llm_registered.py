@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 import brute
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["op1_", "op2_", "op3_", "op4_", "op5_", "op6_", "op7_", "op8_", "op9_", "op10_"]
+NAMES = [f"op{n}_" for n in range(1, 14)]
 
 
 def query(prefix):
@@ -23,13 +23,13 @@ def query(prefix):
 def test_every_row_of_the_table_has_its_result(spark, prefix):
     _, run = query(prefix)
     rows = run(spark, SF).collect()
-    table, key, least = {"op1_": ("pages", "page_id", 1), "op3_": ("embeddings", "query_id", 20)}.get(prefix, ("documents", "doc_id", 1))
+    table, key, least = {"op1_": ("pages", "page_id", 1), "op3_": ("embeddings", "query_id", 20), "op12_": ("embeddings", "vec_id", 1)}.get(prefix, ("documents", "doc_id", 1))
     n = spark.read.parquet(f"{SF}/{table}.parquet").count()
     assert len(rows) == n if prefix not in ("op3_", "op10_") else len(rows) >= n * least // 20
     assert len({r[key] for r in rows}) in (n, -(-n // 20))
 
 
-@pytest.mark.parametrize("prefix", ["op3_", "op5_"])
+@pytest.mark.parametrize("prefix", ["op3_", "op5_", "op12_", "op13_"])
 def test_sql_gives_the_same_rows(spark, prefix):
     name, run = query(prefix)
     found = run(spark, SF)
