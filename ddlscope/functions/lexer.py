@@ -1,10 +1,24 @@
-"""Lexical helpers: quotes, dollar bodies, comments and parentheses of SQL text.
+"""Lexical helpers by dialect: quotes, dollar bodies, comments and parentheses of SQL text.
 
 One token grammar drives comment removal, statement split, action split and
 clause scans.  A quoted token is '..', "..", `..` or $tag$..$tag$ (a doubled
 quote is two tokens side by side); a quote that is never closed counts as an
-ordinary character.  All loops are possessive, so they run without recursion
-and texts of any length and nesting depth are fine.
+ordinary character.  Per dialect:
+
+* MySQL: a backslash takes the next character into the string; ``#`` opens a line comment;
+* PostgreSQL: the same backslash in E'..' strings; block comments nest;
+* T-SQL: [..] names; block comments nest; a line with GO alone ends a statement;
+* SQLite: [..] names.
+
+All loops are possessive, so they run without recursion and texts of any length are
+fine.  Parentheses are matched as a pattern of ``DEPTH`` levels, in one pass; rows
+that go deeper are found by counting and folded token by token instead.  Comments
+in comments are matched to ``COMMENT_DEPTH`` levels.
+
+The functions take and give SQL text (``dialect``: an expression, None for plain SQL):
+the expressions are long, and Spark reads them from text in a fraction of the time
+that building them column by column from Python takes.  Which grammar a row needs is
+a CASE over patterns, so there is one expression for all dialects.
 """
 
 from __future__ import annotations
@@ -12,79 +26,168 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ddlscope.functions.text import py_strip
+from ddlscope.functions.text import WHITESPACE
 
-QUOTED = r"""'[^']*+'|"[^"]*+"|`[^`]*+`|\$(?<tag>\w*+)\$.*?\$\k<tag>\$"""
-LONE = r"""['"`$]"""
-STATEMENT = r"(?s)(?:" + QUOTED + "|" + LONE + r"""|[^;'"`$]++)++"""
-COMMENTS = r"(?s)((?:" + QUOTED + r")++)|--[^\r\n]*+|/\*.*?(?:\*/|\z)"
-TOKENS = r"(?s)" + QUOTED + "|" + LONE + r"""|[(),]|[^'"`$(),]++"""
+#: Levels of parentheses, and of comments in comments, that a pattern covers.
+DEPTH, COMMENT_DEPTH = 16, 48
 # a name part, quoted or plain, and a possibly qualified name
 PART = r"""(?:"[^"]*+"|`[^`]*+`|\[[^\]]*+\]|\w++)"""
 NAME = r"(?:" + PART + r"\s*+\.\s*+)*+" + PART
 LAST_PART = r"^(?:" + PART + r"\s*+\.\s*+)*+(" + PART + ")"
 HAS_QUOTE = r"""['"`$]"""
+LONE = r"""['"`$]"""
 
 _MARK = "\u0001"
+#: Characters that may open a token, by kind of grammar (inside a character class).
+_OPENERS = {"plain": "'\"`$", "backslash": "'\"`$", "escape": "'\"`$Ee", "bracket": "'\"`$\\["}
+
+
+def _quoted(kind: str, tag: str = "tag") -> str:
+    """A quoted token; ``tag`` names the group of a dollar tag, once in a pattern."""
+    dollar = rf"\$(?<{tag}>\w*+)\$.*?\$\k<{tag}>\$"
+    plain = rf"""'[^']*+'|"[^"]*+"|`[^`]*+`|{dollar}"""
+    return {
+        "plain": plain,
+        "backslash": rf"""'(?:[^'\\]++|\\.)*+'|"(?:[^"\\]++|\\.)*+"|`[^`]*+`|{dollar}""",
+        "escape": rf"(?<!\w)[Ee]'(?:[^'\\]++|\\.)*+'|{plain}",
+        "bracket": rf"{plain}|\[[^\]]*+\]",
+    }[kind]
+
+
+def _parentheses(kind: str, depth: int = DEPTH) -> str:
+    """(..) of at most ``depth`` levels; one that is never closed goes on to the end."""
+    inner = "|" + _parentheses(kind, depth - 1) if depth > 1 else ""
+    lone = _OPENERS[kind]
+    return rf"\((?:{_quoted(kind, f'tag{depth}')}|[{lone}]|[^(){lone}]++{inner})*+(?:\)|\z)"
+
+
+def _block_comment(depth: int) -> str:
+    inner = "|" + _block_comment(depth - 1) if depth > 1 else ""
+    return rf"/\*(?:[^*/]++|\*(?!/)|/(?!\*){inner})*+(?:\*/|\z)"
+
+
+STATEMENT = {k: rf"(?s)(?:{_quoted(k)}|[{o}]|[^;{o}]++)++" for k, o in _OPENERS.items()}
+PIECE = {k: rf"(?s)(?:{_quoted(k)}|{_parentheses(k)}|[{o}]|[^,({o}]++)++" for k, o in _OPENERS.items()}
+HIDDEN = {k: rf"(?s){_quoted(k)}|{_parentheses(k)}|{LONE}" for k in _OPENERS}
+TOKENS = {k: rf"(?s){_quoted(k)}|[{o}]|[(),]|[^(),{o}]++" for k, o in _OPENERS.items()}
+#: A line with GO alone, and a number of times.
+GO_LINE = r"(?mi:^[ \t]*+GO(?:[ \t]++\d++)?[ \t]*+(?=\r?$))"
+GO = {k: rf"(?s)((?:{_quoted(k)})++)|{GO_LINE}" for k in _OPENERS}
+COMMENTS = {n: {k: rf"(?s)((?:{_quoted(k)})++)|--[^\r\n]*+|{block}{more}" for k in _OPENERS} for n, block, more in (
+    ("plain", r"/\*.*?(?:\*/|\z)", ""), ("nested", _block_comment(COMMENT_DEPTH), ""), ("hashes", r"/\*.*?(?:\*/|\z)", r"|#[^\r\n]*+"))}
+AFTER_QUOTE = r"""(?<=['"`$\]])"""
+
+
+def lit(s: str) -> str:
+    """A string as a SQL literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def strip(text: str) -> str:
+    """Without white space at both ends (Java's \\s)."""
+    return f"trim(BOTH {lit(WHITESPACE)} FROM {text})"
+
+
+def _is(dialect: str, *names: str) -> str:
+    return f"coalesce(lower({dialect}) IN ({', '.join(map(lit, names))}), false)"
+
 
+def _pattern(text: str, dialect: str | None, patterns: dict[str, str]) -> str:
+    """The pattern of the grammar that a row needs: special ones only where their characters occur."""
+    if dialect is None:
+        return lit(patterns["plain"])
+    backslash = f"contains({text}, {lit(chr(92))})"
+    return (f"CASE WHEN {_is(dialect, 'mysql')} AND {backslash} THEN {lit(patterns['backslash'])} "
+            f"WHEN {_is(dialect, 'postgres', 'postgresql')} AND {backslash} AND {text} RLIKE {lit('[Ee]' + chr(39))} THEN {lit(patterns['escape'])} "
+            f"WHEN {_is(dialect, 'tsql', 'mssql', 'sqlite')} AND contains({text}, '[') THEN {lit(patterns['bracket'])} ELSE {lit(patterns['plain'])} END")
 
-def strip_comments(text: Column) -> Column:
+
+def _unmarked(text: str, pattern: str, instead: str) -> str:
+    """What ``pattern`` finds besides quoted text (its group 1) replaced by one character.
+
+    Every match leaves a mark; those right behind a closing quote stand for the quoted text itself.
+    """
+    marked = f"regexp_replace({text}, {pattern}, {lit('$1' + _MARK)})"
+    return f"translate(regexp_replace({marked}, {lit(AFTER_QUOTE + _MARK)}, ''), {lit(_MARK)}, {lit(instead)})"
+
+
+def strip_comments(text: str, dialect: str | None = None) -> str:
     """Line and block comments outside quotes, each replaced by a blank."""
-    # every match leaves a mark; those right behind a closing quote stand for the quoted text itself
-    marked = F.regexp_replace(text, COMMENTS, "$1" + _MARK)
-    kept = F.regexp_replace(marked, r"""(?<=['"`$])""" + _MARK, "")
-    return F.when(text.contains("--") | text.contains("/*"), F.translate(kept, _MARK, " ")).otherwise(text)
+    some = f"(contains({text}, '--') OR contains({text}, '/*'))"
+    pattern = lit(COMMENTS["plain"]["plain"])
+    if dialect is not None:
+        mysql = _is(dialect, "mysql")
+        some = f"({some} OR {mysql} AND contains({text}, '#'))"
+        pattern = (f"CASE WHEN {mysql} THEN {_pattern(text, dialect, COMMENTS['hashes'])} WHEN {_is(dialect, 'sqlite')} "
+                   f"THEN {_pattern(text, dialect, COMMENTS['plain'])} ELSE {_pattern(text, dialect, COMMENTS['nested'])} END")
+    return f"CASE WHEN {some} THEN {_unmarked(text, pattern, ' ')} ELSE {text} END"
 
 
-def statements(text: Column) -> Column:
+def batch_ends(text: str, dialect: str | None) -> str:
+    """T-SQL: a line with GO alone, outside quotes and comments (which are gone by now), becomes a ``;``."""
+    if dialect is None:
+        return text
+    return (f"CASE WHEN {_is(dialect, 'tsql', 'mssql')} AND {text} RLIKE {lit(GO_LINE)} "
+            f"THEN {_unmarked(text, _pattern(text, dialect, GO), ';')} ELSE {text} END")
+
+
+def statements(text: str, dialect: str | None = None) -> str:
     """Pieces between ``;`` outside quotes, untrimmed."""
-    return F.regexp_extract_all(text, F.lit(STATEMENT), 0)
+    return f"regexp_extract_all({text}, {_pattern(text, dialect, STATEMENT)}, 0)"
+
+
+def _depth(acc: str, t: str) -> str:
+    return f"CASE WHEN {t} = '(' THEN {acc} + 1 WHEN {t} = ')' THEN greatest({acc} - 1, 0) ELSE {acc} END"
 
 
-def _tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(TOKENS), 0)
+def _too_deep(text: str, tokens: str) -> str:
+    """Do parentheses go deeper than the patterns?  Counted only where there are as many."""
+    now = _depth("d.now", "t")
+    most = (f"aggregate({tokens}, named_struct('now', 0, 'most', 0), (d, t) -> named_struct('now', {now}, 'most', greatest(d.most, {now})), "
+            "d -> d.most)")
+    return f"(length({text}) - length(replace({text}, '(', '')) > {DEPTH} AND {most} > {DEPTH})"
 
 
-def split_top(text: Column) -> Column:
+def _marked(text: str) -> str:
+    return f"(contains({text}, '(') OR {text} RLIKE {lit(HAS_QUOTE)} OR contains({text}, '['))"
+
+
+def split_top(text: str, dialect: str | None = None) -> str:
     """Trimmed pieces between commas outside quotes and parentheses of any depth."""
-    tokens = _tokens(text)
-    marks = F.filter(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"))),
-                     lambda x: x["t"].isin("(", ")", ","))
-    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<int>").alias("cuts"))
-
-    def step(acc, x):
-        depth = (F.when(x["t"] == "(", acc["depth"] + 1).when(x["t"] == ")", F.greatest(acc["depth"] - 1, F.lit(0)))
-                 .otherwise(acc["depth"]))
-        cuts = F.when((x["t"] == ",") & (acc["depth"] == 0), F.array_append(acc["cuts"], x["i"])).otherwise(acc["cuts"])
-        return F.struct(depth.alias("depth"), cuts.alias("cuts"))
-
-    cuts = F.aggregate(marks, start, step, lambda acc: acc["cuts"])
-    # F.struct keeps tokens and cuts evaluated once per row
-    both = F.transform(F.array(F.struct(tokens.alias("tokens"), F.concat(
-        F.array(F.lit(-1)), cuts, F.array(F.size(tokens))).alias("edges"))), lambda s: F.transform(
-            F.sequence(F.lit(0), F.size(s["edges"]) - 2),
-            lambda k: py_strip(F.array_join(F.slice(s["tokens"], F.get(s["edges"], k) + 2,
-                                                    F.get(s["edges"], k + 1) - F.get(s["edges"], k) - 1), ""))))
-    plain = F.transform(F.split(text, ","), lambda x: py_strip(x))
-    return F.when(text.contains("(") | text.rlike(HAS_QUOTE), F.get(both, 0)).otherwise(plain)
-
-
-def outside_parentheses(text: Column) -> Column:
+    tokens = f"regexp_extract_all({text}, {_pattern(text, dialect, TOKENS)}, 0)"
+    found = f"transform(regexp_extract_all({text}, {_pattern(text, dialect, PIECE)}, 0), p -> {strip('p')})"
+    return (f"CASE WHEN {_marked(text)} THEN CASE WHEN {_too_deep(text, tokens)} THEN {_split_deep(tokens)} ELSE {found} END "
+            f"ELSE transform(split({text}, ','), p -> {strip('p')}) END")
+
+
+def _split_deep(tokens: str) -> str:
+    """The same by a fold over tokens: a piece grows until a comma at depth 0."""
+    step = (f"named_struct('depth', {_depth('d.depth', 't')}, 'now', CASE WHEN t = ',' AND d.depth = 0 THEN '' ELSE concat(d.now, t) END, "
+            "'done', CASE WHEN t = ',' AND d.depth = 0 THEN array_append(d.done, d.now) ELSE d.done END)")
+    return (f"transform(aggregate({tokens}, named_struct('depth', 0, 'now', '', 'done', cast(array() AS array<string>)), (d, t) -> {step}, "
+            f"d -> array_append(d.done, d.now)), p -> {strip('p')})")
+
+
+def outside_parentheses(text: str, dialect: str | None = None) -> str:
     """The text with quoted tokens and everything in parentheses blanked out."""
-    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("kept"))
+    tokens = f"regexp_extract_all({text}, {_pattern(text, dialect, TOKENS)}, 0)"
+    depth = _depth("d.depth", "t")
+    shown = f"d.depth = 0 AND ({depth}) = 0 AND NOT (t RLIKE {lit('^' + LONE)})"
+    deep = (f"aggregate({tokens}, named_struct('depth', 0, 'kept', ''), (d, t) -> named_struct('depth', {depth}, "
+            f"'kept', concat(d.kept, CASE WHEN {shown} THEN t ELSE ' ' END)), d -> d.kept)")
+    return (f"CASE WHEN {_marked(text)} THEN CASE WHEN {_too_deep(text, tokens)} THEN {deep} "
+            f"ELSE regexp_replace({text}, {_pattern(text, dialect, HIDDEN)}, ' ') END ELSE {text} END")
 
-    def step(acc, t):
-        depth = (F.when(t == "(", acc["depth"] + 1).when(t == ")", F.greatest(acc["depth"] - 1, F.lit(0)))
-                 .otherwise(acc["depth"]))
-        visible = (depth == 0) & (acc["depth"] == 0) & ~t.rlike(r"^['\"`$]")
-        return F.struct(depth.alias("depth"), F.concat(acc["kept"], F.when(visible, t).otherwise(F.lit(" "))).alias("kept"))
 
-    folded = F.aggregate(_tokens(text), start, step, lambda acc: acc["kept"])
-    return F.when(text.contains("(") | text.rlike(HAS_QUOTE), folded).otherwise(text)
+def name_sql(token: str) -> str:
+    """Last part of a possibly qualified, possibly quoted name at the start of a token; '' if there is none."""
+    part = f"regexp_extract({token}, {lit(LAST_PART)}, 1)"
+    quotes = lit('"`[')
+    return f"CASE WHEN contains({quotes}, substring({part}, 1, 1)) AND {part} <> '' THEN substring({part}, 2, length({part}) - 2) ELSE {part} END"
 
 
 def name_of(token: Column) -> Column:
-    """Last part of a possibly qualified, possibly quoted name at the start of a token; '' if there is none."""
+    """``name_sql`` of a column."""
     part = F.regexp_extract(token, LAST_PART, 1)
     quoted = part.rlike(r"^[\"`\[]")
     return F.when(quoted, F.substring(part, F.lit(2), F.length(part) - 2)).otherwise(part)

@@ -29,17 +29,21 @@ from ddlscope.functions.lexer import NAME
 #   CREATE [OR REPLACE] [TEMP|MATERIALIZED] VIEW v -> CREATE_VIEW
 #   DROP [MATERIALIZED] TABLE|INDEX|VIEW [CONCURRENTLY] [IF EXISTS] n [ON t] -> DROP_*
 #   TRUNCATE [TABLE] [ONLY] t -> TRUNCATE_TABLE
-# DROP TABLE|VIEW and TRUNCATE take a list of names: one operation each.
+#   RENAME TABLE t TO t2 -> RENAME_TABLE
+# DROP TABLE|VIEW|INDEX, TRUNCATE and RENAME TABLE take a list of names: one operation each.
 #   other CREATE / ALTER / DROP -> UNKNOWN (object name as table); anything else is skipped.
 
 # Statement, action and comment splitting: functions/lexer.py.
-# The table list of a TRUNCATE or DROP statement.
-TABLE_LIST = (r"(?is)^\s*(?:TRUNCATE\s+(?:TABLE\s+)?(?:ONLY\s+)?|DROP\s+(?:MATERIALIZED\s+)?(?:TABLE|VIEW)\s+"
-              r"(?:IF\s+EXISTS\s+)?)(.*)$")
+# The list of names of a TRUNCATE, DROP or RENAME TABLE statement.
+TABLE_LIST = (r"(?is)^\s*(?:TRUNCATE\s+(?:TABLE\s+)?(?:ONLY\s+)?|RENAME\s+TABLE\s+|DROP\s+(?:MATERIALIZED\s+|TEMP(?:ORARY)?\s+)?"
+              r"(?:TABLE|VIEW|INDEX)\s+(?:CONCURRENTLY\s+)?(?:IF\s+EXISTS\s+)?)(.*)$")
+# The table of one index in such a list.
+INDEX_OWNER = r"(?i)\sON\s+(" + NAME + ")"
 # Compound ALTER TABLE: prefix (group 1) and action list (group 2).
 ALTER_PREFIX = r"(?is)^\s*(ALTER\s+TABLE\s+(?:IF\s+EXISTS\s+)?(?:ONLY\s+)?" + NAME + r"\s+)(.*)$"
 # ADD (a INT, b INT): the definitions in the parentheses.
 ADD_LIST = r"(?is)^ADD\s*(?:COLUMNS?\s*)?\((.*)\)\s*$"
+HAS_ADD_LIST = r"(?i)\bADD\s*(?:COLUMNS?\s*)?\("
 # A statement whose names hold blanks, parentheses or marks inside quotes.
 SPACED_NAME = r"""["`\[][^"`\]]*[^\w."`\]]"""
 # Leading words of such a statement: names with their quotes, and single parentheses.

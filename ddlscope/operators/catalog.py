@@ -39,7 +39,7 @@ def _dump_statements(dumps: DataFrame) -> DataFrame:
     """(schema_id, stmt_pos, stmt); a schema may come in several dumps, ordered by a column ``part``."""
     part = F.col("part").cast("string") if "part" in dumps.columns else F.lit("")
     s = dumps.select("schema_id", part.alias("part"),
-                     F.posexplode(lexer.statements(lexer.strip_comments(F.col("text")))).alias("pos", "stmt"))
+                     F.posexplode(F.expr(lexer.statements(lexer.strip_comments("text")))).alias("pos", "stmt"))
     return s.select("schema_id", F.struct("part", "pos").alias("stmt_pos"), py_strip(F.col("stmt")).alias("stmt")) \
         .filter(F.length("stmt") > 0)
 
@@ -58,7 +58,7 @@ def _created(stmts: DataFrame) -> DataFrame:
 
 
 def _table_items(stmts: DataFrame) -> DataFrame:
-    return _created(stmts).select("schema_id", "table_name", F.posexplode(lexer.split_top(F.col("body"))).alias("item_pos", "item")) \
+    return _created(stmts).select("schema_id", "table_name", F.posexplode(F.expr(lexer.split_top("body"))).alias("item_pos", "item")) \
         .filter(F.length("item") > 0)
 
 
@@ -75,8 +75,8 @@ def catalog_columns(dumps: DataFrame) -> DataFrame:
         "schema_id", "table_name", F.col("item_pos").alias("column_pos"),
         lexer.name_of(F.regexp_extract("item", _COLUMN_DEF, 1)).alias("column_name"),
         F.upper(F.regexp_replace(F.regexp_extract("item", _COLUMN_DEF, 2), r"\s+", " ")).alias("data_type"),
-        (~lexer.outside_parentheses(F.col("item")).rlike(patterns.NOT_NULL)).alias("nullable"),
-        F.when(lexer.outside_parentheses(F.col("item")).rlike(patterns.DEFAULT), F.regexp_extract("item", _DEFAULT, 1)).alias("default_value"),
+        (~F.expr(lexer.outside_parentheses("item")).rlike(patterns.NOT_NULL)).alias("nullable"),
+        F.when(F.expr(lexer.outside_parentheses("item")).rlike(patterns.DEFAULT), F.regexp_extract("item", _DEFAULT, 1)).alias("default_value"),
     ).filter(F.col("column_name") != "")
     # a column named twice keeps its last definition
     rest = ["column_pos", "data_type", "nullable", "default_value"]

@@ -14,25 +14,29 @@ input.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ddlscope.functions import fixed, lexer, patterns
-from ddlscope.functions.text import py_strip, null_if_empty
+from ddlscope.functions.lexer import lit
 from ddlscope.session import broadcast_if_small
 from ddlscope.sources.files import infer_dialect
 
 
-def strip_comment_lines(text: Column) -> Column:
-    """Drop ``--`` and ``/* */`` comments outside quotes."""
-    return lexer.strip_comments(text)
+def strip_comment_lines(text: str, dialect: str | None = None) -> str:
+    """P1 as SQL: drop ``--``, ``/* */`` and (MySQL) ``#`` comments outside quotes."""
+    return lexer.strip_comments(text, dialect)
+
+
+def _dialect_of(df: DataFrame) -> str | None:
+    return "dialect" if "dialect" in df.columns else None
 
 
 def split_statements(df: DataFrame, text_col: str = "sql") -> DataFrame:
     """One row per non-blank statement; ``;`` inside quotes or a dollar body does not split."""
-    out = df.select("*", F.posexplode(lexer.statements(F.col(text_col))).alias("stmt_pos", "stmt_raw")).drop(text_col)
-    out = out.withColumn("stmt", py_strip(F.col("stmt_raw"))).drop("stmt_raw")
-    return out.filter(F.length("stmt") > 0)
+    rest = [f"`{c}`" for c in df.columns if c != text_col]
+    out = df.selectExpr(*rest, f"posexplode({lexer.statements(text_col, _dialect_of(df))}) AS (stmt_pos, _raw)")
+    return out.selectExpr(*rest, "stmt_pos", f"{lexer.strip('_raw')} AS stmt").filter("length(stmt) > 0")
 
 
 def split_compound_alter(df: DataFrame) -> DataFrame:
@@ -40,49 +44,53 @@ def split_compound_alter(df: DataFrame) -> DataFrame:
 
     Commas inside quotes or parentheses of any depth do not split; the
     definitions of ``ADD (a INT, b INT)`` are actions of their own.  Other
-    statements pass through as action 0.
+    statements pass through as action 0.  A list is cut by one pattern, in time
+    that grows as its length.
     """
+    rest, dialect = [f"`{c}`" for c in df.columns if c != "stmt"], _dialect_of(df)
+    prefix, add_list = lit(patterns.ALTER_PREFIX), lit(patterns.ADD_LIST)
     # only an ALTER with a comma or an ADD list can hold several actions; everything else skips the split
-    is_alter = (F.upper(F.substring("stmt", 1, 5)) == "ALTER") & (
-        F.col("stmt").contains(",") | F.col("stmt").rlike(r"(?i)\bADD\s*\("))
-    # a generator keeps the two parts evaluated once
-    parts = df.select("*", F.when(is_alter, F.regexp_extract("stmt", patterns.ALTER_PREFIX, 1)).otherwise(F.lit("")).alias("_prefix"),
-                      F.when(is_alter, F.regexp_extract("stmt", patterns.ALTER_PREFIX, 2)).otherwise(F.lit("")).alias("_list"))
-    single = F.array(F.struct(F.lit(0).alias("pos"), F.col("stmt").alias("sql")))
-    actions = F.filter(lexer.split_top(F.col("_list")), lambda x: F.length(x) > 0)
-    expanded = F.when(F.col("_list").rlike(r"(?i)\bADD\s*(?:COLUMNS?\s*)?\("), F.flatten(F.transform(actions, lambda a: F.when(
-        a.rlike(patterns.ADD_LIST),
-        F.transform(lexer.split_top(F.regexp_extract(a, patterns.ADD_LIST, 1)), lambda x: F.concat(F.lit("ADD "), x)))
-        .otherwise(F.array(a))))).otherwise(actions)
-    rebuilt = F.transform(expanded, lambda a, i: F.struct(i.alias("pos"), F.concat(F.col("_prefix"), a).alias("sql")))
-    found = F.when(F.col("_prefix") == "", single).otherwise(rebuilt)
-    out = parts.select("*", F.inline(F.when(F.size(found) > 0, found).otherwise(single)))
-    return out.withColumnsRenamed({"pos": "action_pos", "sql": "action_sql"}).drop("stmt", "_prefix", "_list")
+    is_alter = rf"upper(substring(stmt, 1, 5)) = 'ALTER' AND (contains(stmt, ',') OR stmt RLIKE {lit('(?i)' + chr(92) + 'bADD' + chr(92) + 's*[(]')})"
+    parts = df.selectExpr("*", f"CASE WHEN {is_alter} THEN regexp_extract(stmt, {prefix}, 1) ELSE '' END AS _prefix",
+                          f"CASE WHEN {is_alter} THEN regexp_extract(stmt, {prefix}, 2) ELSE '' END AS _list")
+    actions = f"filter({lexer.split_top('_list', dialect)}, x -> length(x) > 0)"
+    definitions = lexer.split_top(f"regexp_extract(a, {add_list}, 1)", dialect)
+    expanded = (f"CASE WHEN _list RLIKE {lit(patterns.HAS_ADD_LIST)} THEN flatten(transform({actions}, a -> CASE WHEN a RLIKE {add_list} "
+                f"THEN transform({definitions}, y -> concat('ADD ', y)) ELSE array(a) END)) ELSE {actions} END")
+    # generators keep what several expressions read evaluated once
+    found = parts.selectExpr("*", f"explode(array(CASE WHEN _prefix = '' THEN array() ELSE {expanded} END)) AS _found")
+    actions = ("CASE WHEN size(_found) > 0 THEN transform(_found, (x, i) -> named_struct('pos', i, 'sql', concat(_prefix, x))) "
+               "ELSE array(named_struct('pos', 0, 'sql', stmt)) END")
+    return found.selectExpr(*rest, f"inline({actions}) AS (action_pos, action_sql)")
 
 
 # Words that may stand between CREATE / DROP and the object keyword.
-_CREATE_MODIFIERS = ["OR", "REPLACE", "GLOBAL", "LOCAL", "TEMP", "TEMPORARY", "UNLOGGED", "UNIQUE", "MATERIALIZED"]
-_DROP_MODIFIERS = ["MATERIALIZED"]
+_CREATE_MODIFIERS = ["OR", "REPLACE", "GLOBAL", "LOCAL", "TEMP", "TEMPORARY", "UNLOGGED", "UNIQUE", "MATERIALIZED",
+                     "FULLTEXT", "SPATIAL", "CLUSTERED", "NONCLUSTERED", "COLUMNSTORE"]
+_DROP_MODIFIERS = ["MATERIALIZED", "TEMP", "TEMPORARY"]
 # The classes are decided by the leading words alone.  The longest lead of the grammar in
 # functions/patterns.py is CREATE + 6 modifiers + INDEX CONCURRENTLY IF NOT EXISTS i ON ONLY t = 15 words;
 # what follows (column types, bodies, predicates) is never looked at for the class.
 N_TOKENS = 16
 
 
-def tokens(stmt: Column) -> Column:
+def tokens(stmt: str) -> str:
     """First words of a statement (bounded split: cost does not grow with its length).
 
     '(' is set apart so ``users(email)`` gives ``users``; the last element holds
     the unsplit rest.  Names with blanks inside their quotes are one word.
     """
-    words = F.split(F.replace(stmt, F.lit("("), F.lit(" ( ")), r"\s+", N_TOKENS)
-    spaced = F.slice(F.regexp_extract_all(stmt, F.lit(patterns.SPACED_TOKEN), 0), 1, N_TOKENS)
-    return F.when(stmt.rlike(patterns.SPACED_NAME), spaced).otherwise(words)
+    words = f"split(replace({stmt}, '(', ' ( '), {lit(chr(92) + 's+')}, {N_TOKENS})"
+    spaced = f"slice(regexp_extract_all({stmt}, {lit(patterns.SPACED_TOKEN)}, 0), 1, {N_TOKENS})"
+    return f"CASE WHEN {stmt} RLIKE {lit(patterns.SPACED_NAME)} THEN {spaced} ELSE {words} END"
+
 
+def _case(*whens: tuple[str, str], otherwise: str | None = None) -> str:
+    return "CASE " + " ".join(f"WHEN {cond} THEN {value}" for cond, value in whens) + (f" ELSE {otherwise}" if otherwise else "") + " END"
 
-def _name(tok: Column) -> Column:
-    """Last part of a possibly qualified, possibly quoted name token."""
-    return lexer.name_of(tok)
+
+def _in(word: str, names: list[str]) -> str:
+    return f"{word} IN ({', '.join(map(lit, names))})"
 
 
 def classify_tokens(df: DataFrame, toks_col: str = "_toks") -> DataFrame:
@@ -90,157 +98,122 @@ def classify_tokens(df: DataFrame, toks_col: str = "_toks") -> DataFrame:
 
     Follows the keyword grammar documented in ``functions/patterns.py``
     (first match wins); statements that are not CREATE / ALTER / DROP /
-    TRUNCATE get a null class (P7).
+    TRUNCATE / RENAME TABLE get a null class (P7).
     Work is staged in successive projections (positions, then tokens, then
     classes, then names) so no expression is inlined many times over.
     """
-    toks = F.col(toks_col)
-    cols = [c for c in df.columns if c != "_up"]
-    up = F.col("_up")
-    d = df
-
-    def T(i):
-        return F.get(up, i)
-
-    # ---- stage 1: positions ------------------------------------------------
-    p0 = F.when((T(2) == "IF") & (T(3) == "EXISTS"), F.lit(4)).otherwise(F.lit(2))
-    first_obj = F.get(F.array_except(F.slice(up, 2, 6), F.array(*[F.lit(m) for m in _CREATE_MODIFIERS])), 0)
-    k = (F.array_position(up, first_obj) - 1).cast("int")
-    dk = F.when(T(1).isin(*_DROP_MODIFIERS), F.lit(2)).otherwise(F.lit(1))
-    t0 = F.when(T(1) == "TABLE", F.lit(2)).otherwise(F.lit(1))
-    o0 = F.when((T(1) == "OR") & (T(2) == "REPLACE"), F.lit(3)).otherwise(F.lit(1))
-    d = d.select("*", p0.alias("_p0"), k.alias("_k"), dk.alias("_dk"), t0.alias("_t0"), o0.alias("_o0"),
-                 (F.array_position(up, F.lit("ON")) - 1).cast("int").alias("_on"))
-    p0, k, dk, t0, o0, on = (F.col(c) for c in ("_p0", "_k", "_dk", "_t0", "_o0", "_on"))
-    p = F.when(F.get(up, p0) == "ONLY", p0 + 1).otherwise(p0)
-    n0 = F.when((F.get(up, k + 1) == "IF") & (F.get(up, k + 2) == "NOT") & (F.get(up, k + 3) == "EXISTS"),
-                k + 4).otherwise(k + 1)
-    dd0 = F.when(F.get(up, dk + 1) == "CONCURRENTLY", dk + 2).otherwise(dk + 1)
-    t1 = F.when(F.get(up, t0) == "ONLY", t0 + 1).otherwise(t0)
-    o1 = (F.when((F.get(up, o0 + 1) == "IF") & (F.get(up, o0 + 2) == "EXISTS"), o0 + 3)
-          .when((F.get(up, o0 + 1) == "IF") & (F.get(up, o0 + 2) == "NOT") & (F.get(up, o0 + 3) == "EXISTS"), o0 + 4)
-          .otherwise(o0 + 1))
-    d = d.select("*", p.alias("_p"), n0.alias("_n0"), dd0.alias("_d0"), t1.alias("_t1"), o1.alias("_o1"))
-    p, n0, d0 = F.col("_p"), F.col("_n0"), F.col("_d0")
-    d1 = F.when((F.get(up, d0) == "IF") & (F.get(up, d0 + 1) == "EXISTS"), d0 + 2).otherwise(d0)
-    d = d.select("*", d1.alias("_d1"))
-    d1 = F.col("_d1")
+    cols = [f"`{c}`" for c in df.columns if c != "_up"]
+
+    def up(i):
+        return f"get(_up, {i})"
+
+    def tok(i):
+        return f"get({toks_col}, {i})"
+
+    def add(d, **exprs):
+        return d.selectExpr("*", *(f"{e} AS `{name}`" for name, e in exprs.items()))
+
+    # ---- stage 1: positions (p table of ALTER, k object of CREATE, dk of DROP, t of TRUNCATE, o of others) ----
+    first_obj = f"get(array_except(slice(_up, 2, 6), array({', '.join(map(lit, _CREATE_MODIFIERS))})), 0)"
+    d = add(df,
+            _p0=f"CASE WHEN {up(2)} = 'IF' AND {up(3)} = 'EXISTS' THEN 4 ELSE 2 END",
+            _k=f"cast(array_position(_up, {first_obj}) - 1 AS int)",
+            _dk=f"CASE WHEN {_in(up(1), _DROP_MODIFIERS)} THEN 2 ELSE 1 END",
+            _t0=f"CASE WHEN {up(1)} = 'TABLE' THEN 2 ELSE 1 END",
+            _o0=f"CASE WHEN {up(1)} = 'OR' AND {up(2)} = 'REPLACE' THEN 3 ELSE 1 END",
+            _on="cast(array_position(_up, 'ON') - 1 AS int)")
+    if_not_exists = "get(_up, {0} + 1) = 'IF' AND get(_up, {0} + 2) = 'NOT' AND get(_up, {0} + 3) = 'EXISTS'"
+    d = add(d,
+            _p=f"CASE WHEN {up('_p0')} = 'ONLY' THEN _p0 + 1 ELSE _p0 END",
+            _n0=f"CASE WHEN {if_not_exists.format('_k')} THEN _k + 4 ELSE _k + 1 END",
+            _d0=f"CASE WHEN {up('_dk + 1')} = 'CONCURRENTLY' THEN _dk + 2 ELSE _dk + 1 END",
+            _t1=f"CASE WHEN {up('_t0')} = 'ONLY' THEN _t0 + 1 ELSE _t0 END",
+            _o1=_case((f"{up('_o0 + 1')} = 'IF' AND {up('_o0 + 2')} = 'EXISTS'", "_o0 + 3"),
+                      (if_not_exists.format("_o0"), "_o0 + 4"), otherwise="_o0 + 1"))
+    d = add(d, _d1=f"CASE WHEN {up('_d0')} = 'IF' AND {up('_d0 + 1')} = 'EXISTS' THEN _d0 + 2 ELSE _d0 END")
 
     # ---- stage 2: the tokens that decide ------------------------------------
-    d = d.select(
-        "*", T(0).alias("_head"), T(1).alias("_w1"),
-        *[F.get(up, p + i).alias(f"_a{i}") for i in range(1, 6)],
-        *[F.get(toks, p + i).alias(f"_r{i}") for i in range(0, 7)],
-        F.get(up, k).alias("_obj"), F.get(toks, n0).alias("_cname"),
-        F.get(up, F.col("_dk")).alias("_dobj"), F.get(toks, d1).alias("_dname"),
-        F.get(up, d1 + 1).alias("_don"), F.get(toks, d1 + 2).alias("_dontbl"),
-        F.get(toks, F.col("_t1")).alias("_tname"), F.get(toks, F.col("_o1")).alias("_oname"),
-        F.when(F.get(up, on + 1) == "ONLY", F.get(toks, on + 2)).otherwise(F.get(toks, on + 1)).alias("_ontbl"),
-        F.when((on > k + 1) & ~F.get(up, on - 1).isin("INDEX", "CONCURRENTLY", "EXISTS"),
-               F.get(toks, on - 1)).alias("_idxname"),
-    )
-    a1, a2, a3, a4, a5 = (F.col(f"_a{i}") for i in range(1, 6))
-    r0, r1, r2, r3, r4, r5, r6 = (F.col(f"_r{i}") for i in range(0, 7))
-    head = F.col("_head")
+    d = add(d, _head=up(0), _w1=up(1), **{f"_a{i}": up(f"_p + {i}") for i in range(1, 6)}, **{f"_r{i}": tok(f"_p + {i}") for i in range(0, 7)},
+            _obj=up("_k"), _cname=tok("_n0"), _dobj=up("_dk"), _dname=tok("_d1"), _don=up("_d1 + 1"), _dontbl=tok("_d1 + 2"),
+            _renamed=tok(2), _tname=tok("_t1"), _oname=tok("_o1"),
+            _ontbl=f"CASE WHEN {up('_on + 1')} = 'ONLY' THEN {tok('_on + 2')} ELSE {tok('_on + 1')} END",
+            _idxname=f"CASE WHEN _on > _k + 1 AND NOT {_in(up('_on - 1'), ['INDEX', 'CONCURRENTLY', 'EXISTS'])} THEN {tok('_on - 1')} END")
 
     # ---- stage 3: classes ---------------------------------------------------
-    is_alter_table = (head == "ALTER") & (F.col("_w1") == "TABLE") & r0.isNotNull() & a1.isNotNull()
-    alter_cls = (
-        F.when((a1 == "DROP") & (a2 == "FOREIGN") & (a3 == "KEY"), "DROP_FOREIGN_KEY")
-        .when((a1 == "DROP") & a2.isin("CONSTRAINT", "PRIMARY"), "DROP_CONSTRAINT")
-        .when((a1 == "DROP") & a2.isin("INDEX", "KEY") & a3.isNotNull(), "DROP_INDEX")
-        .when((a1 == "DROP") & a2.isNotNull(), "DROP_COLUMN")
-        .when((a1 == "RENAME") & (a2 == "TO") & a3.isNotNull(), "RENAME_TABLE")
-        .when((a1 == "RENAME") & (((a2 == "COLUMN") & (a4 == "TO")) | ((a2 != "COLUMN") & (a3 == "TO"))),
-              "RENAME_COLUMN")
-        .when(a1.isin("ALTER", "MODIFY", "CHANGE") & a2.isNotNull(), "ALTER_COLUMN")
-        .when((a1 == "ADD") & (((a2 == "FOREIGN") & (a3 == "KEY"))
-                               | ((a2 == "CONSTRAINT") & (a4 == "FOREIGN") & (a5 == "KEY"))), "ADD_FOREIGN_KEY")
-        .when((a1 == "ADD") & a2.isin("CONSTRAINT", "PRIMARY", "UNIQUE", "CHECK", "EXCLUDE"), "ADD_CONSTRAINT")
-        .when((a1 == "ADD") & a2.isin("INDEX", "KEY", "FULLTEXT", "SPATIAL"), "UNKNOWN")
-        .when((a1 == "ADD") & a2.isNotNull(), "ADD_COLUMN")
-        .otherwise("UNKNOWN")
-    )
-    obj, cname = F.col("_obj"), F.col("_cname")
-    create_cls = (F.when((obj == "TABLE") & cname.isNotNull(), "CREATE_TABLE")
-                  .when((obj == "INDEX") & (F.col("_on") > F.col("_k")), "CREATE_INDEX")
-                  .when((obj == "VIEW") & cname.isNotNull(), "CREATE_VIEW")
-                  .otherwise("UNKNOWN"))
-    dobj, dname = F.col("_dobj"), F.col("_dname")
-    drop_cls = (F.when((dobj == "TABLE") & dname.isNotNull(), "DROP_TABLE")
-                .when((dobj == "INDEX") & dname.isNotNull(), "DROP_INDEX")
-                .when((dobj == "VIEW") & dname.isNotNull(), "DROP_VIEW")
-                .otherwise("UNKNOWN"))
-    op_class = (F.when(is_alter_table, alter_cls)
-                .when(head == "CREATE", create_cls)
-                .when(head == "DROP", drop_cls)
-                .when((head == "TRUNCATE") & F.col("_tname").isNotNull(), "TRUNCATE_TABLE")
-                .when(head == "ALTER", "UNKNOWN"))
-    d = d.select("*", is_alter_table.alias("_is_at"), op_class.alias("op_class"))
-    cls, is_at = F.col("op_class"), F.col("_is_at")
+    alter_table = "_head = 'ALTER' AND _w1 = 'TABLE' AND _r0 IS NOT NULL AND _a1 IS NOT NULL"
+    alter_class = _case(
+        ("_a1 = 'DROP' AND _a2 = 'FOREIGN' AND _a3 = 'KEY'", "'DROP_FOREIGN_KEY'"),
+        ("_a1 = 'DROP' AND _a2 IN ('CONSTRAINT', 'PRIMARY')", "'DROP_CONSTRAINT'"),
+        ("_a1 = 'DROP' AND _a2 IN ('INDEX', 'KEY') AND _a3 IS NOT NULL", "'DROP_INDEX'"),
+        ("_a1 = 'DROP' AND _a2 IS NOT NULL", "'DROP_COLUMN'"),
+        ("_a1 = 'RENAME' AND _a2 = 'TO' AND _a3 IS NOT NULL", "'RENAME_TABLE'"),
+        ("_a1 = 'RENAME' AND (_a2 = 'COLUMN' AND _a4 = 'TO' OR _a2 <> 'COLUMN' AND _a3 = 'TO')", "'RENAME_COLUMN'"),
+        ("_a1 IN ('ALTER', 'MODIFY', 'CHANGE') AND _a2 IS NOT NULL", "'ALTER_COLUMN'"),
+        ("_a1 = 'ADD' AND (_a2 = 'FOREIGN' AND _a3 = 'KEY' OR _a2 = 'CONSTRAINT' AND _a4 = 'FOREIGN' AND _a5 = 'KEY')", "'ADD_FOREIGN_KEY'"),
+        ("_a1 = 'ADD' AND _a2 IN ('CONSTRAINT', 'PRIMARY', 'UNIQUE', 'CHECK', 'EXCLUDE')", "'ADD_CONSTRAINT'"),
+        ("_a1 = 'ADD' AND _a2 IN ('INDEX', 'KEY', 'FULLTEXT', 'SPATIAL')", "'UNKNOWN'"),
+        ("_a1 = 'ADD' AND _a2 IS NOT NULL", "'ADD_COLUMN'"), otherwise="'UNKNOWN'")
+    create_class = _case(("_obj = 'TABLE' AND _cname IS NOT NULL", "'CREATE_TABLE'"), ("_obj = 'INDEX' AND _on > _k", "'CREATE_INDEX'"),
+                         ("_obj = 'VIEW' AND _cname IS NOT NULL", "'CREATE_VIEW'"), otherwise="'UNKNOWN'")
+    drop_class = _case(*((f"_dobj = '{x}' AND _dname IS NOT NULL", f"'DROP_{x}'") for x in ("TABLE", "INDEX", "VIEW")), otherwise="'UNKNOWN'")
+    d = add(d, _is_at=f"({alter_table})", op_class=_case(
+        (alter_table, alter_class), ("_head = 'CREATE'", create_class), ("_head = 'DROP'", drop_class),
+        ("_head = 'TRUNCATE' AND _tname IS NOT NULL", "'TRUNCATE_TABLE'"),
+        ("_head = 'RENAME' AND _w1 = 'TABLE' AND _renamed IS NOT NULL", "'RENAME_TABLE'"), ("_head = 'ALTER'", "'UNKNOWN'")))
 
     # ---- stage 4: target tokens, then names ----------------------------------
-    drop_col = F.when(a2 == "COLUMN", F.when((a3 == "IF") & (a4 == "EXISTS"), r5).otherwise(r3)) \
-        .otherwise(F.when((a2 == "IF") & (a3 == "EXISTS"), r4).otherwise(r2))
-    add_col = F.when(a2 == "COLUMN", F.when((a3 == "IF") & (a4 == "NOT") & (a5 == "EXISTS"), r6).otherwise(r3)) \
-        .otherwise(F.when((a2 == "IF") & (a3 == "NOT") & (a4 == "EXISTS"), r5).otherwise(r2))
-    column = (F.when(is_at & (cls == "DROP_COLUMN"), drop_col)
-              .when(is_at & cls.isin("RENAME_COLUMN", "ALTER_COLUMN"), F.when(a2 == "COLUMN", r3).otherwise(r2))
-              .when(is_at & (cls == "ADD_COLUMN"), add_col))
-    table = (F.when(is_at, r0)
-             .when((head == "CREATE") & (cls == "CREATE_INDEX"), F.col("_ontbl"))
-             .when((head == "CREATE") & (cls != "UNKNOWN"), cname)
-             .when((head == "DROP") & (cls == "DROP_INDEX"), F.when(F.col("_don") == "ON", F.col("_dontbl")))
-             .when((head == "DROP") & (cls != "UNKNOWN"), dname)
-             .when(head == "TRUNCATE", F.col("_tname"))
-             .otherwise(F.col("_oname")))
-    index = (F.when(is_at & (cls == "DROP_INDEX"), r3)
-             .when(cls == "CREATE_INDEX", F.col("_idxname"))
-             .when((head == "DROP") & (cls == "DROP_INDEX"), dname))
-    d = d.select(*cols, "_up", "op_class", table.alias("_tt"), column.alias("_tc"), index.alias("_ti"))
+    drop_column = _case(("_a2 = 'COLUMN' AND _a3 = 'IF' AND _a4 = 'EXISTS'", "_r5"), ("_a2 = 'COLUMN'", "_r3"),
+                        ("_a2 = 'IF' AND _a3 = 'EXISTS'", "_r4"), otherwise="_r2")
+    add_column = _case(("_a2 = 'COLUMN' AND _a3 = 'IF' AND _a4 = 'NOT' AND _a5 = 'EXISTS'", "_r6"), ("_a2 = 'COLUMN'", "_r3"),
+                       ("_a2 = 'IF' AND _a3 = 'NOT' AND _a4 = 'EXISTS'", "_r5"), otherwise="_r2")
+    column = _case(("_is_at AND op_class = 'DROP_COLUMN'", drop_column),
+                   ("_is_at AND op_class IN ('RENAME_COLUMN', 'ALTER_COLUMN')", "CASE WHEN _a2 = 'COLUMN' THEN _r3 ELSE _r2 END"),
+                   ("_is_at AND op_class = 'ADD_COLUMN'", add_column))
+    table = _case(("_is_at", "_r0"), ("_head = 'CREATE' AND op_class = 'CREATE_INDEX'", "_ontbl"), ("_head = 'CREATE' AND op_class <> 'UNKNOWN'", "_cname"),
+                  ("_head = 'DROP' AND op_class = 'DROP_INDEX'", "CASE WHEN _don = 'ON' THEN _dontbl END"),
+                  ("_head = 'DROP' AND op_class <> 'UNKNOWN'", "_dname"), ("_head = 'TRUNCATE'", "_tname"), ("_head = 'RENAME'", "_renamed"),
+                  otherwise="_oname")
+    index = _case(("_is_at AND op_class = 'DROP_INDEX'", "_r3"), ("op_class = 'CREATE_INDEX'", "_idxname"),
+                  ("_head = 'DROP' AND op_class = 'DROP_INDEX'", "_dname"))
+    d = d.selectExpr(*cols, "_up", "op_class", f"{table} AS _tt", f"{column} AS _tc", f"{index} AS _ti")
+
+    def operation(table, column, index, sub):
+        return (f"named_struct('op_class', op_class, 'target_table', coalesce({table}, ''), 'target_column', nullif({column}, ''), "
+                f"'target_index', nullif({index}, ''), '_sub', {sub})")
+
+    one = operation(lexer.name_sql("_tt"), lexer.name_sql("_tc"), lexer.name_sql("_ti"), "0")
+    # TRUNCATE a, b, c, DROP TABLE | VIEW | INDEX a, b, c and RENAME TABLE a TO x, b TO y: one operation
+    # per name, numbered by action_pos (none is an ALTER action list, so its action_pos starts at 0)
+    listed = lexer.split_top(f"regexp_extract(action_sql, {lit(patterns.TABLE_LIST)}, 1)", _dialect_of(df))
+    name = lexer.name_sql(f"regexp_replace(n, {lit('(?i)^ONLY' + chr(92) + 's+')}, '')")
+    owner = lexer.name_sql(f"regexp_extract(n, {lit(patterns.INDEX_OWNER)}, 1)")  # DROP INDEX i ON t, j ON u
+    many = (f"CASE WHEN op_class = 'DROP_INDEX' THEN transform({listed}, (n, i) -> {operation(owner, 'cast(NULL AS string)', name, 'i')}) "
+            f"ELSE transform({listed}, (n, i) -> {operation(name, 'cast(NULL AS string)', 'cast(NULL AS string)', 'i')}) END")
+    several = (f"op_class IN ('TRUNCATE_TABLE', 'DROP_TABLE', 'DROP_VIEW', 'DROP_INDEX', 'RENAME_TABLE') AND contains(action_sql, ',') "
+               f"AND action_sql RLIKE {lit(patterns.TABLE_LIST)}")
     # Emit through a generator: predicates on the class (here and in every
     # later stage) cannot be pushed below it, so the optimizer never inlines
     # the classification into a filter again.
-    found = F.array_compact(F.array(F.when(F.col("op_class").isNotNull(), F.struct(
-        F.col("op_class").alias("op_class"),
-        F.coalesce(_name(F.col("_tt")), F.lit("")).alias("target_table"),
-        null_if_empty(_name(F.col("_tc"))).alias("target_column"),
-        null_if_empty(_name(F.col("_ti"))).alias("target_index"),
-        F.lit(0).alias("_sub"),
-    ))))
-    # TRUNCATE a, b, c and DROP TABLE a, b, c: one operation per name, numbered by
-    # action_pos (neither is an ALTER action list, so its action_pos starts at 0)
-    names = lexer.split_top(F.regexp_extract(F.col("action_sql"), patterns.TABLE_LIST, 1))
-    per_table = F.transform(names, lambda n, i: F.struct(
-        F.col("op_class").alias("op_class"), F.coalesce(_name(py_strip(n)), F.lit("")).alias("target_table"),
-        F.lit(None).cast("string").alias("target_column"), F.lit(None).cast("string").alias("target_index"),
-        i.alias("_sub")))
-    found = F.when(F.col("op_class").isin("TRUNCATE_TABLE", "DROP_TABLE", "DROP_VIEW") & F.col("action_sql").contains(",")
-                   & F.col("action_sql").rlike(patterns.TABLE_LIST), per_table) \
-        .otherwise(found)
-    out = d.select(*cols, "_up", F.inline(found))
-    return out.withColumn("action_pos", F.col("action_pos") + F.col("_sub")).drop("_sub")
-
-
-def parser_notes(op_class: Column, stmt: Column, up: Column) -> tuple[Column, Column, Column, Column]:
+    out = d.selectExpr(*cols, "_up", f"inline(CASE WHEN op_class IS NULL THEN array() WHEN {several} THEN {many} ELSE array({one}) END)")
+    return out.selectExpr(*[c for c in cols if c != "`action_pos`"], "_up", "op_class", "target_table", "target_column", "target_index",
+                          "action_pos + _sub AS action_pos")
+
+
+def with_parser_notes(df: DataFrame) -> DataFrame:
     """Clause flags and the notes the extraction attaches.
 
     The NOT NULL / DEFAULT scans only run on ADD_COLUMN statements, and not
     inside literals or parentheses (CHECK bodies, function arguments).
     """
-    is_add = op_class == "ADD_COLUMN"
-    visible = lexer.outside_parentheses(stmt)
-    has_not_null = F.when(is_add, visible.rlike(patterns.NOT_NULL)).otherwise(F.lit(False))
-    has_default = F.when(is_add, visible.rlike(patterns.DEFAULT)).otherwise(F.lit(False))
-    is_concurrent = (op_class == "CREATE_INDEX") & F.array_contains(F.slice(up, 1, 4), "CONCURRENTLY")
-    notes = F.array_compact(F.array(
-        F.when(is_add & has_not_null & ~has_default, F.lit(fixed.NOTE_NOT_NULL_NO_DEFAULT)),
-        F.when(op_class == "CREATE_INDEX",
-               F.when(is_concurrent, F.lit(fixed.NOTE_INDEX_CONCURRENT)).otherwise(F.lit(fixed.NOTE_INDEX_BLOCKING))),
-        F.when(op_class == "DROP_TABLE", F.lit(fixed.NOTE_DROP_TABLE)),
-        F.when(op_class == "TRUNCATE_TABLE", F.lit(fixed.NOTE_TRUNCATE)),
-    ))
-    return notes, has_not_null, has_default, is_concurrent
+    seen = df.selectExpr("*", f"explode(array(CASE WHEN op_class = 'ADD_COLUMN' THEN {lexer.outside_parentheses('action_sql', _dialect_of(df))} END)) AS _seen")
+    flags = seen.selectExpr("*", f"coalesce(_seen RLIKE {lit(patterns.NOT_NULL)}, false) AS has_not_null",
+                            f"coalesce(_seen RLIKE {lit(patterns.DEFAULT)}, false) AS has_default",
+                            "(op_class = 'CREATE_INDEX' AND array_contains(slice(_up, 1, 4), 'CONCURRENTLY')) AS is_concurrent")
+    note = _case(("op_class = 'ADD_COLUMN' AND has_not_null AND NOT has_default", lit(fixed.NOTE_NOT_NULL_NO_DEFAULT)),
+                 ("op_class = 'CREATE_INDEX' AND is_concurrent", lit(fixed.NOTE_INDEX_CONCURRENT)),
+                 ("op_class = 'CREATE_INDEX'", lit(fixed.NOTE_INDEX_BLOCKING)), ("op_class = 'DROP_TABLE'", lit(fixed.NOTE_DROP_TABLE)),
+                 ("op_class = 'TRUNCATE_TABLE'", lit(fixed.NOTE_TRUNCATE)))
+    return flags.selectExpr("*", f"array_compact(array({note})) AS parser_notes").drop("_seen")
 
 
 def chunk_offsets(scripts: DataFrame) -> DataFrame:
@@ -248,39 +221,42 @@ def chunk_offsets(scripts: DataFrame) -> DataFrame:
 
     Only counts move: the running sum is over one narrow row per chunk.
     """
-    counts = scripts.select("migration_id", "chunk_id",
-                            F.size(lexer.statements(strip_comment_lines(F.col("text")))).alias("n"))
+    counts = _statement_texts(scripts, ["migration_id", "chunk_id"]).selectExpr("migration_id", "chunk_id", f"size({lexer.statements('sql', 'dialect')}) AS n")
     before = Window.partitionBy("migration_id").orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, -1)
     return counts.select("migration_id", "chunk_id", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int").alias("_offset"))
 
 
+def _statement_texts(scripts: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep, dialect, sql): texts without comments, T-SQL batches ended by a ``;``."""
+    dialect = F.col("dialect") if "dialect" in scripts.columns else infer_dialect(F.col("file_name"))
+    # generators keep the dialect, which every rule asks for, and the text without comments evaluated once
+    base = scripts.select(*keep, F.explode(F.array(F.struct(dialect.alias("dialect"), F.col("text")))).alias("_s")).select(*keep, "_s.*")
+    bare = base.selectExpr(*keep, "dialect", f"explode(array({strip_comment_lines('text', 'dialect')})) AS sql")
+    return bare.selectExpr(*keep, "dialect", f"explode(array({lexer.batch_ends('sql', 'dialect')})) AS sql")
+
+
 def extract_operations(scripts: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Scripts -> operations.
 
     ``keep`` names extra script columns carried onto every operation
     (e.g. ``db_id``, ``db_version``).  A long script may come in chunks
     (``chunk_id``) that end after a statement, as logs do; statements are
-    numbered over all chunks, and no script has to pass through one task.
+    numbered over all chunks, and no script has to pass through one task
+    (``sources/ranges.py`` reads files that way).
     """
     keep = list(keep or [])
-    dialect = F.col("dialect") if "dialect" in scripts.columns else infer_dialect(F.col("file_name"))
-    offset = F.lit(0)
     if "chunk_id" in scripts.columns:
         scripts = scripts.join(chunk_offsets(scripts).hint("merge"), ["migration_id", "chunk_id"])
-        offset = F.col("_offset")
-    base = scripts.select("migration_id", *keep, dialect.alias("dialect"), offset.alias("_offset"),
-                          strip_comment_lines(F.col("text")).alias("sql"))
+    else:
+        scripts = scripts.withColumn("_offset", F.lit(0))
+    base = _statement_texts(scripts, ["migration_id", *keep, "_offset"])
     stmts = split_compound_alter(split_statements(base, "sql"))
     # tokens are computed once (a separate projection is not re-inlined)
-    tok = stmts.select("*", tokens(F.col("action_sql")).alias("_toks"),
-                       tokens(F.upper(F.col("action_sql"))).alias("_up"))
-    classified = classify_tokens(tok, "_toks")
-    notes, nn, dflt, conc = parser_notes(F.col("op_class"), F.col("action_sql"), F.col("_up"))
-    return classified.select(
-        "migration_id", *keep, (F.col("stmt_pos") + F.col("_offset")).alias("stmt_pos"), "action_pos", "op_class", "target_table", "target_column",
-        "target_index", "dialect", F.col("action_sql").alias("raw_sql"), notes.alias("parser_notes"),
-        nn.alias("has_not_null"), dflt.alias("has_default"), conc.alias("is_concurrent"),
-    )
+    tok = stmts.selectExpr("*", f"{tokens('action_sql')} AS _toks", f"{tokens('upper(action_sql)')} AS _up")
+    found = with_parser_notes(classify_tokens(tok, "_toks"))
+    return found.selectExpr(
+        "migration_id", *(f"`{c}`" for c in keep), "stmt_pos + _offset AS stmt_pos", "action_pos", "op_class", "target_table", "target_column",
+        "target_index", "dialect", "action_sql AS raw_sql", "parser_notes", "has_not_null", "has_default", "is_concurrent")
 
 
 def resolve_index_tables(ops: DataFrame, catalog_indexes: DataFrame) -> DataFrame:

@@ -85,9 +85,9 @@ def _not_keyword(x: Column) -> Column:
     return ~F.upper(x).isin(*patterns.SQL_KEYWORDS)
 
 
-def _plain(query: Column) -> Column:
+def _plain(query: str) -> Column:
     """The query without comments, literals, casts and quotes around names; FROM only where it names tables."""
-    q = F.regexp_replace(lexer.strip_comments(query), patterns.STRING_LITERAL, "''")
+    q = F.regexp_replace(F.expr(lexer.strip_comments(query)), patterns.STRING_LITERAL, "''")
     q = F.regexp_replace(q, patterns.QUOTED_NAME, "$1$2")
     q = F.regexp_replace(q, patterns.CAST_TYPE, " ")
     q = F.regexp_replace(F.regexp_replace(q, patterns.EXTRACT_FROM, "EXTRACT("), patterns.CALL_FROM, "$1,")
@@ -102,7 +102,7 @@ def with_references(queries: DataFrame) -> DataFrame:
     (array<struct<key, cols>>, the qualified columns of each key) and
     ``star_cols`` (unqualified columns).
     """
-    q = queries.select("*", _plain(F.col("query")).alias("_clean"))
+    q = queries.select("*", _plain("query").alias("_clean"))
     items = F.flatten(F.transform(F.regexp_extract_all("_clean", F.lit(patterns.TABLE_LIST_REF), 1),
                                   lambda x: F.transform(F.split(x, ","), lambda y: py_strip(y))))
     # what is left names columns, functions and aliases

@@ -56,7 +56,8 @@ def base_ctes(clause: bool = False, scaled: bool = False) -> str:
     notes; ``scaled``: row counts times 1,000, and an empty region.
     """
     notes = "lower(parser_notes) LIKE '%default%' AS d, parser_notes LIKE '%NOT NULL%' AS n"
-    clauses = ("(tid = 2 OR tid = 15 AND action_pos = 0 OR tid = 16 AND variant = 9 AND action_pos = 1) AS d, "
+    clauses = ("(tid = 2 OR tid = 15 AND action_pos = 0 OR tid = 16 AND (variant = 9 AND action_pos = 1 "
+               "OR variant IN (10, 16) AND action_pos = 0)) AS d, "
                "(tid IN (1, 2) OR tid = 16 AND variant = 9 AND action_pos = 0) AS n")
     stats = "SELECT table_name, CASE WHEN table_name = 'region' THEN 0 ELSE row_count * 1000 END AS row_count FROM (" if scaled else "SELECT * FROM ("
     rb_vals = ", ".join(f"({_q(c)}, {_q(x)}, {_q(d)}, {_q(l)})" for c, x, d, l in fixed.ROLLBACK_RULES)
@@ -98,7 +99,7 @@ mig AS (
          list_extract({_dialects_sql()}, CAST(o_orderkey % {len(corpus.DIALECT_FILES)} AS INTEGER) + 1) AS dialect
   FROM orders),
 eops AS (
-  SELECT s.migration_id, s.stmt_pos, CAST(x.action_pos AS BIGINT) AS action_pos, x.op_class,
+  SELECT s.migration_id, s.stmt_pos + x.stmt_off AS stmt_pos, CAST(x.action_pos AS BIGINT) AS action_pos, x.op_class,
          {_render('x.tbl')} AS target_table, {_render('x.col')} AS target_column,
          {_render('x.idx')} AS target_index, x.notes AS parser_notes, s.tid, s.variant
   FROM stm s JOIN xo x ON x.tid = s.tid AND (x.tid < 16 OR x.variant = s.variant)),

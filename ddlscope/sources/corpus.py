@@ -6,7 +6,7 @@ only (no Python per row):
 
 * ``scripts``: one migration script per ``orders`` row; one statement per
   ``lineitem`` row of that order.  The statement template is
-  ``l_partkey % 17``; the table, column and index it touches are picked from
+  ``l_partkey % 17`` (the last has variants by ``l_suppkey % 17``); the table, column and index it touches are picked from
   the catalogue by ``l_suppkey``.  Statements are ordered by
   ``(l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate)``,
   which is unique per order.  Orders without line items give op-less
@@ -98,7 +98,7 @@ FK_PARENT = {"orders": "customer", "lineitem": "orders", "customer": "nation", "
              "supplier": "nation", "nation": "region", "region": "nation", "events": "customer"}
 
 N_TEMPLATES = 17
-N_VARIANTS = 10
+N_VARIANTS = 17
 DIALECT_FILES = ["migration", "mysql_migration", "sqlite_changes", "mssql_migration"]
 DB_PER_CUSTOMER_DIV = 10
 LOG_CHUNK = 4096
@@ -146,8 +146,10 @@ TEMPLATES = {
          [(0, "ADD_COLUMN", "{t}", "x_{c}", None, []),
           (1, "DROP_COLUMN", "{t}", "{c}", None, [])]),
 }
-# template 16 has ten variants chosen by l_suppkey % 10; the last five are hard to cut:
-# nested parentheses and comments, a dollar body, a long literal and list, name lists, quoted names
+# template 16 has variants chosen by l_suppkey; those from 5 on are hard to cut: nested
+# parentheses and comments, a dollar body, a long literal and list, name lists, quoted names;
+# 10 and 11 are written in the script's dialect (by DIALECT_FILES) and mean the same in each.
+# An operation's seventh item is the number of its statement in the text.
 VARIANTS = {
     0: ("INSERT INTO {t}_log (note) VALUES ('x, y; z');", []),
     1: ("CREATE OR REPLACE VIEW v_{t} AS SELECT * FROM {t};",
@@ -171,6 +173,31 @@ VARIANTS = {
     9: ('ALTER TABLE "public"."{t}" ADD ("n 1" INTEGER NOT NULL, n2 NUMERIC(4,2) DEFAULT 0);',
         [(0, "ADD_COLUMN", "{t}", "n 1", None, [N_]),
          (1, "ADD_COLUMN", "{t}", "n2", None, [])]),
+    10: ({0: "/* a /* b */ DROP TABLE ghost; */ ALTER TABLE {t} ADD COLUMN z_{c} TEXT DEFAULT E'it\\'s; DROP TABLE {t}';",
+          1: "ALTER TABLE {t} ADD COLUMN z_{c} TEXT DEFAULT 'it\\'s; DROP TABLE {t}; x';",
+          2: "ALTER TABLE [{t}] ADD COLUMN [z_{c}] TEXT DEFAULT 'a\\'; /* a /* b */",
+          3: "/* a /* b */ DROP TABLE ghost; */ ALTER TABLE [dbo].[{t}] ADD [z_{c}] TEXT DEFAULT 'a\\';"},
+         [(0, "ADD_COLUMN", "{t}", "z_{c}", None, [])]),
+    11: ({0: "DROP TABLE {t}_tmp;\nDROP VIEW v_{t};",
+          1: "# old; DROP TABLE {t}\nDROP TEMPORARY TABLE IF EXISTS {t}_tmp;\nDROP VIEW v_{t};",
+          2: "DROP TABLE {t}_tmp;\nDROP VIEW v_{t};",
+          3: "DROP TABLE {t}_tmp\nGO\nDROP VIEW v_{t}\nGO 2"},
+         [(0, "DROP_TABLE", "{t}_tmp", None, None, [fixed.NOTE_DROP_TABLE], 0),
+          (0, "DROP_VIEW", "v_{t}", None, None, [], 1)]),
+    12: ("DROP INDEX IF EXISTS {i}, idx_{t}_unknown;",
+         [(0, "DROP_INDEX", "{t}", None, "{i}", []),
+          (1, "DROP_INDEX", "", None, "idx_{t}_unknown", [])]),
+    13: ("TRUNCATE TABLE {t}, ONLY {t}_b;",
+         [(0, "TRUNCATE_TABLE", "{t}", None, None, [fixed.NOTE_TRUNCATE]),
+          (1, "TRUNCATE_TABLE", "{t}_b", None, None, [fixed.NOTE_TRUNCATE])]),
+    14: ("CREATE FULLTEXT INDEX ft_{t}_{c} ON {t} ({c});",
+         [(0, "CREATE_INDEX", "{t}", None, "ft_{t}_{c}", [fixed.NOTE_INDEX_BLOCKING])]),
+    15: ("RENAME TABLE {t}_x TO {t}_y, {t}_z TO {t}_w;",
+         [(0, "RENAME_TABLE", "{t}_x", None, None, []),
+          (1, "RENAME_TABLE", "{t}_z", None, None, [])]),
+    16: ("ALTER TABLE {t} ADD COLUMN w_{c} INTEGER DEFAULT " + "(" * 20 + "1, 2" + ")" * 20 + ", ADD COLUMN w2_{c} TEXT;",
+         [(0, "ADD_COLUMN", "{t}", "w_{c}", None, []),
+          (1, "ADD_COLUMN", "{t}", "w2_{c}", None, [])]),
 }
 
 # ---------------------------------------------------------------------------
@@ -230,7 +257,7 @@ def fmt_sql(template: str | None, dialect: str = "spark") -> str:
         if re.fullmatch(r"\{[tcipn]\}", tok):
             parts.append(f"CAST({tok[1]} AS VARCHAR)" if dialect == "duckdb" else f"CAST({tok[1]} AS STRING)")
         else:
-            parts.append(_q(tok))
+            parts.append(_q(tok.replace("\\", "\\\\") if dialect == "spark" else tok))
     return "(" + " || ".join(parts) + ")" if len(parts) > 1 else parts[0]
 
 
@@ -247,6 +274,7 @@ def param_columns_sql(dialect: str) -> dict[str, str]:
     return {
         "tid": f"CAST(l_partkey % {N_TEMPLATES} AS INT)",
         "variant": f"CAST(l_suppkey % {N_VARIANTS} AS INT)",
+        "did": f"CAST(l_orderkey % {len(DIALECT_FILES)} AS INT)",
         "t": _at(tables, f"{tix} + 1", dialect),
         "c": _at(_at(cols, f"{tix} + 1", dialect), f"({sel} % {_at(ncols, f'{tix} + 1', dialect)}) + 1", dialect),
         "i": _at(_at(idxs, f"{tix} + 1", dialect), f"({sel} % {_at(nidx, f'{tix} + 1', dialect)}) + 1", dialect),
@@ -260,7 +288,12 @@ def statement_sql(dialect: str = "spark") -> str:
     whens = []
     for tid, (text, _) in TEMPLATES.items():
         whens.append(f"WHEN tid = {tid} THEN {fmt_sql(text, dialect)}")
-    inner = " ".join(f"WHEN variant = {v} THEN {fmt_sql(text, dialect)}" for v, (text, _) in VARIANTS.items())
+    def of_variant(text):
+        if isinstance(text, str):
+            return fmt_sql(text, dialect)
+        return "CASE did " + " ".join(f"WHEN {d} THEN {fmt_sql(x, dialect)}" for d, x in text.items()) + " END"
+
+    inner = " ".join(f"WHEN variant = {v} THEN {of_variant(text)}" for v, (text, _) in VARIANTS.items())
     whens.append(f"ELSE CASE {inner} END")
     return "CASE " + " ".join(whens) + " END"
 
@@ -417,13 +450,14 @@ def table_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Expected values as DuckDB SQL (used by the oracle)
 # ---------------------------------------------------------------------------
 def expected_statements_sql() -> str:
-    """One row per line item: migration, statement position and parameters."""
+    """One row per line item: migration, position of its first statement and parameters."""
     params = param_columns_sql("duckdb")
     cols = ", ".join(f"{v} AS {k}" for k, v in params.items())
+    two = ", ".join(str(v) for v, (_, ops) in VARIANTS.items() if any(op[6:] == (1,) for op in ops))
+    n = f"CASE WHEN {params['tid']} = 16 AND {params['variant']} IN ({two}) THEN 2 ELSE 1 END"
     return (
-        "SELECT l_orderkey AS migration_id, "
-        "CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, "
-        "l_extendedprice, l_shipdate) - 1 AS BIGINT) AS stmt_pos, "
+        f"SELECT l_orderkey AS migration_id, CAST(sum({n}) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, "
+        f"l_extendedprice, l_shipdate ROWS UNBOUNDED PRECEDING) - {n} AS BIGINT) AS stmt_pos, "
         f"{cols} FROM lineitem"
     )
 
@@ -432,20 +466,20 @@ def expected_ops_values_sql() -> str:
     """VALUES table (tid, variant, action_pos, op_class, tbl, col, idx, notes) of expected ops."""
     rows = []
     for tid, (_, ops) in TEMPLATES.items():
-        for (ap, cls, tb, co, ix, notes) in ops:
-            rows.append((tid, -1, ap, cls, tb, co, ix, notes))
+        for op in ops:
+            rows.append((tid, -1, *op, *(() if op[6:] else (0,))))
     for v, (_, ops) in VARIANTS.items():
-        for (ap, cls, tb, co, ix, notes) in ops:
-            rows.append((16, v, ap, cls, tb, co, ix, notes))
+        for op in ops:
+            rows.append((16, v, *op, *(() if op[6:] else (0,))))
 
     def lit(x):
         return "NULL" if x is None else _q(x)
 
     vals = ", ".join(
-        f"({tid}, {v}, {ap}, {_q(cls)}, {lit(tb)}, {lit(co)}, {lit(ix)}, {_q(' | '.join(notes))})"
-        for (tid, v, ap, cls, tb, co, ix, notes) in rows
+        f"({tid}, {v}, {ap}, {_q(cls)}, {lit(tb)}, {lit(co)}, {lit(ix)}, {_q(' | '.join(notes))}, {at})"
+        for (tid, v, ap, cls, tb, co, ix, notes, at) in rows
     )
-    return f"(VALUES {vals}) AS x(tid, variant, action_pos, op_class, tbl, col, idx, notes)"
+    return f"(VALUES {vals}) AS x(tid, variant, action_pos, op_class, tbl, col, idx, notes, stmt_off)"
 
 
 def expected_render(col: str) -> str:
