@@ -116,10 +116,12 @@ def strip_comments(text: str, dialect: str | None = None) -> str:
     some = f"(contains({text}, '--') OR contains({text}, '/*'))"
     pattern = lit(COMMENTS["plain"]["plain"])
     if dialect is not None:
-        mysql = _is(dialect, "mysql")
-        some = f"({some} OR {mysql} AND contains({text}, '#'))"
-        pattern = (f"CASE WHEN {mysql} THEN {_pattern(text, dialect, COMMENTS['hashes'])} WHEN {_is(dialect, 'sqlite')} "
-                   f"THEN {_pattern(text, dialect, COMMENTS['plain'])} ELSE {_pattern(text, dialect, COMMENTS['nested'])} END")
+        # the special patterns only where their marks occur: a pattern is compiled anew when it differs from the row before
+        hashes = f"({_is(dialect, 'mysql')} AND contains({text}, '#'))"
+        some = f"({some} OR {hashes})"
+        pattern = (f"CASE WHEN {hashes} THEN {_pattern(text, dialect, COMMENTS['hashes'])} WHEN contains({text}, '/*') AND NOT "
+                   f"{_is(dialect, 'mysql', 'sqlite')} THEN {_pattern(text, dialect, COMMENTS['nested'])} "
+                   f"ELSE {_pattern(text, dialect, COMMENTS['plain'])} END")
     return f"CASE WHEN {some} THEN {_unmarked(text, pattern, ' ')} ELSE {text} END"
 
 

@@ -13,9 +13,9 @@ boundary, so no log has to pass through one task.
   repeated a billion times is reduced before the shuffle.
 * Q5-Q6: references and the wildcard expansion are array expressions on the
   (deduplicated) query row: no join, no shuffle.
-* Q7-Q10: one equi-join on (db, table, column) for removed / renamed /
-  type-changed columns and one join on (db, table) with the overlap
-  predicate for dropped indexes; Q11 unions them.
+* Q7-Q9: one equi-join on (db, table, column) for removed / renamed /
+  type-changed columns; Q10: an inverted index of the dropped indexes'
+  columns, joined on the same keys; Q11 unions them.
 """
 
 from __future__ import annotations
@@ -172,14 +172,40 @@ def _database(refs: DataFrame) -> DataFrame:
 
 
 def _dropped_indexes(changes: DataFrame, migrations: DataFrame) -> DataFrame:
-    return changes.filter((F.col("object_kind") == "index") & (F.col("change_type") == "removed")).select(
+    """(migration_id, db_id, itable, index_name, icols, m): each dropped index once, with the number of times it is dropped."""
+    dropped = changes.filter((F.col("object_kind") == "index") & (F.col("change_type") == "removed")).select(
         "migration_id", F.lower("table_name").alias("itable"), "index_name",
-        F.transform(F.coalesce("index_columns", _empty()), lambda c: F.lower(c)).alias("icols"),
-    ).join(migrations.select("migration_id", "db_id"), "migration_id")
+        F.transform(F.coalesce("index_columns", _empty()), lambda c: F.lower(c)).alias("icols"))
+    dropped = dropped.groupBy("migration_id", "itable", "index_name", "icols").agg(F.count(F.lit(1)).alias("m"))
+    return dropped.join(migrations.select("migration_id", "db_id"), "migration_id")
 
 
-def _uses_index(cols: Column, icols: Column) -> Column:
-    return (F.size(icols) == 0) | F.arrays_overlap(cols, icols) | (F.size(cols) == 0)
+#: Keys besides columns: a query that names none meets every index of its table, and an index of unknown columns every query.
+NO_COLUMNS, ALL_QUERIES = "\u0001none", "\u0001all"
+
+
+def _index_keys(icols: Column) -> Column:
+    """What an index is posted under: its columns, and the keys that queries without columns and indexes without columns look up."""
+    return F.concat(F.array_distinct(icols), F.array(F.lit(NO_COLUMNS)), F.when(F.size(icols) == 0, F.array(F.lit(ALL_QUERIES))).otherwise(_empty()))
+
+
+def _query_keys(cols: Column) -> Column:
+    return F.concat(F.array_distinct(cols), F.array(F.lit(ALL_QUERIES)), F.when(F.size(cols) == 0, F.array(F.lit(NO_COLUMNS))).otherwise(_empty()))
+
+
+def _met_indexes(queries: DataFrame, ids: list[str], indexes: DataFrame) -> DataFrame:
+    """Q10: each pair of a query's table and a dropped index that it uses, once.
+
+    An inverted index: both sides are posted under (db, table, column), so only pairs
+    that share a column (or have none to compare) ever meet, and a table with many
+    queries and many indexes is spread over its columns.  ``queries``: ids, _db, key,
+    cols; ``indexes``: migration_id, db_id, itable, index_name, icols, m.
+    """
+    q = queries.select(*ids, "_db", "key", F.lower("key").alias("_table"), F.explode(_query_keys(F.col("cols"))).alias("_col"))
+    i = indexes.select("migration_id", "db_id", "itable", "index_name", "m", F.explode(_index_keys(F.col("icols"))).alias("icol"), "icols")
+    met = q.join(i.hint("merge"), (q._db == i.db_id) & (q._table == i.itable) & (q._col == i.icol))
+    # a pair that shares several columns is met under each of them
+    return met.select(*ids, "_db", "key", "migration_id", "index_name", "icols", "m").distinct()
 
 
 def match_impacts(refs: DataFrame, changes: DataFrame, migrations: DataFrame) -> DataFrame:
@@ -210,12 +236,10 @@ def match_impacts(refs: DataFrame, changes: DataFrame, migrations: DataFrame) ->
         impact_type.alias("impact_type"), severity.alias("severity"), desc.alias("description"),
         F.col("tkey").alias("affected_table"), F.col("col").alias("affected_column"),
     )
-    # Q10: dropped indexes, joined on (db, lower(table)) with the overlap predicate
     keys = refs.select(*qid, F.explode("key_cols").alias("_kc")).select(
         *qid, F.col("_kc.key").alias("key"), F.col("_kc.cols").alias("cols"))
-    idx = _dropped_indexes(changes, migrations)
-    cond = (keys._db == idx.db_id) & (F.lower(keys.key) == idx.itable) & _uses_index(keys.cols, idx.icols)
-    ij = keys.join(idx.hint("merge"), cond)
+    met = _met_indexes(keys, ["log_id", "query"], _dropped_indexes(changes, migrations))
+    ij = met.select("*", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))).alias("_copy"))   # an index dropped twice counts twice
     idx_impacts = ij.select(
         "migration_id", "log_id", "query",
         F.lit("index_missing").alias("impact_type"), F.lit("medium").alias("severity"),
@@ -244,9 +268,8 @@ def impact_summary(refs: DataFrame, changes: DataFrame, migrations: DataFrame) -
     keys = refs.select("_db", F.explode("key_cols").alias("_kc")).select(
         "_db", F.lower("_kc.key").alias("key"), F.array_sort("_kc.cols").alias("cols")) \
         .groupBy("_db", "key", "cols").agg(F.count(F.lit(1)).alias("n"))
-    idx = _dropped_indexes(changes, migrations)
-    by_index = keys.join(idx.hint("merge"), (keys._db == idx.db_id) & (keys.key == idx.itable) & _uses_index(keys.cols, idx.icols)) \
-        .select("migration_id", F.lit("index_missing").alias("kind"), "n")
+    met = _met_indexes(keys, ["cols", "n"], _dropped_indexes(changes, migrations))
+    by_index = met.select("migration_id", F.lit("index_missing").alias("kind"), (F.col("n") * F.col("m")).alias("n"))
     names = [*_COUNTS.values(), "index_missing"]
     agg = by_column.unionByName(by_index).groupBy("migration_id").agg(
         F.sum("n").alias("n_impacts"), *[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k) for k in names])

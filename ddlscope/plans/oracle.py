@@ -101,7 +101,7 @@ mig AS (
 eops AS (
   SELECT s.migration_id, s.stmt_pos + x.stmt_off AS stmt_pos, CAST(x.action_pos AS BIGINT) AS action_pos, x.op_class,
          {_render('x.tbl')} AS target_table, {_render('x.col')} AS target_column,
-         {_render('x.idx')} AS target_index, x.notes AS parser_notes, s.tid, s.variant
+         {_render('x.idx')} AS target_index, x.notes AS parser_notes, s.tid, s.variant, s.t AS base_t, s.c AS base_c, s.did
   FROM stm s JOIN xo x ON x.tid = s.tid AND (x.tid < 16 OR x.variant = s.variant)),
 stats AS ({stats}{_stats_sql()})),
 lk0 AS (
@@ -237,7 +237,7 @@ def rewrite_worklist_sql() -> str:
 SELECT migration_id, stmt_pos, action_pos, op_class, target_table, coalesce(target_column, 'N/A') AS target_column,
        CASE WHEN all_notes = '' THEN risk_level
             ELSE array_to_string(string_split(all_notes, ' | '), '; ')
-       END AS risk_reason
+       END AS risk_reason, {corpus.expected_raw_sql('base_t', 'base_c', 'did')} AS raw_sql
 FROM lk WHERE risk_level IN ({', '.join(_q(x) for x in fixed.BLOCKING_LEVELS)})"""
 
 
@@ -468,6 +468,38 @@ SELECT migration_id, stmt_pos, action_pos, target_table, target_column, row_coun
 FROM lk WHERE op_class = 'ADD_COLUMN' AND parser_notes = {_q(fixed.NOTE_NOT_NULL_NO_DEFAULT)}"""
 
 
+def planned_checks_sql() -> str:
+    """Facts of every column (type, CHECK) and of every column against its table's parent, met by the templates that ask for them."""
+    facts, keys = [], []
+    for t, cols in corpus.CATALOG_COLUMNS.items():
+        p = corpus.FK_PARENT[t]
+        k = corpus.PRIMARY_KEYS[p][0]
+        for c, kind in zip(cols, corpus.TYPE_CLASS[t]):
+            there = f"TRY_CAST({c} AS DECIMAL(18, 4))"
+            back = f"CAST({there} AS VARCHAR) <> {c}" if kind == "str" else f"CAST({there} AS DOUBLE) <> CAST({c} AS DOUBLE)"
+            lossy = "NULL" if kind == "ts" else f"count(*) FILTER (WHERE {c} IS NOT NULL AND ({there} IS NULL OR {back}))"
+            facts.append(f"SELECT '{t}' AS t, '{c}' AS c, '{kind}' AS kind, count(*) AS n, count({c}) AS filled, {lossy} AS lossy FROM {t}")
+            if kind == "num":
+                keys.append(f"SELECT '{t}' AS t, '{c}' AS c, count(*) FILTER (WHERE x.{c} IS NOT NULL AND y.k IS NULL) AS orphans "
+                            f"FROM {t} x LEFT JOIN (SELECT DISTINCT CAST({k} AS DOUBLE) AS k FROM {p}) y ON y.k = CAST(x.{c} AS DOUBLE)")
+    return f"""WITH stm AS ({corpus.expected_statements_sql()}),
+f AS ({' UNION ALL '.join(facts)}), o AS ({' UNION ALL '.join(keys)}),
+d AS (
+  SELECT s.migration_id, s.stmt_pos, CAST(0 AS BIGINT) AS action_pos, s.tid, s.t AS table_name, s.c, s.p || '.' || s.k AS parent,
+         f.kind, f.n, f.filled, f.lossy, o.orphans
+  FROM stm s JOIN f ON f.t = s.t AND f.c = s.c LEFT JOIN o ON o.t = s.t AND o.c = s.c WHERE s.tid IN (4, 13, 14)),
+r AS (
+  SELECT *, CASE tid WHEN 4 THEN CASE WHEN kind = 'ts' THEN NULL ELSE filled END WHEN 13 THEN CASE WHEN kind = 'num' THEN n END ELSE n END AS checked_rows,
+         CASE tid WHEN 4 THEN lossy WHEN 13 THEN orphans ELSE n - filled END AS violating_rows FROM d)
+SELECT migration_id, stmt_pos, action_pos, CASE tid WHEN 4 THEN 'ALTER_COLUMN' WHEN 13 THEN 'ADD_FOREIGN_KEY' ELSE 'ADD_CONSTRAINT' END AS op_class,
+       CASE tid WHEN 4 THEN 'type' WHEN 13 THEN 'foreign_key' ELSE 'check' END AS check_kind, table_name,
+       CASE WHEN tid = 14 THEN '' ELSE c END AS column_name,
+       CASE tid WHEN 4 THEN 'NUMERIC(18,4)' WHEN 13 THEN parent ELSE c || ' IS NOT NULL' END AS argument,
+       CASE WHEN checked_rows IS NULL THEN 'type_mismatch' WHEN violating_rows > 0 THEN 'violated' ELSE 'ok' END AS status,
+       CAST(checked_rows AS BIGINT) AS checked_rows, CAST(violating_rows AS BIGINT) AS violating_rows
+FROM r"""
+
+
 def file_names_sql() -> str:
     names = "[" + ", ".join(_q(n) for n in corpus.DIALECT_FILES) + "]"
     hints = " OR ".join(f"contains(lower(file_name), {_q(h)})" for h in fixed.MIGRATION_NAME_HINTS)

@@ -81,7 +81,7 @@ def q_rollback_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_rewrite_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K7: high/critical operations with their reason."""
     w = scoring.rewrite_worklist(_a(spark, sf_dir).ops)
-    return w.select(*_key(), "op_class", "target_table", "target_column", "risk_reason")
+    return w.select(*_key(), "op_class", "target_table", "target_column", "risk_reason", "raw_sql")
 
 
 def q_schema_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,6 +150,17 @@ def q_not_null_nonempty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return not_null_nonempty(_a(spark, sf_dir).ops)
 
 
+def q_planned_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1-V3 as the scripts demand them: what every foreign key, CHECK and new type meets in the data."""
+    from ddlscope.operators.planned import planned_checks, settle_checks
+    from ddlscope.session import read_table
+    from ddlscope.sources.corpus import CATALOG_TABLES
+
+    a = _a(spark, sf_dir).shared()
+    found = settle_checks(planned_checks(a.extracted), lambda t: read_table(spark, sf_dir, t) if t in CATALOG_TABLES else None)
+    return found.select(*_key(), "op_class", "check_kind", "table_name", "column_name", "argument", "status", "checked_rows", "violating_rows")
+
+
 def q_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S2 + S3: dialect from the base name and from the whole path; migration-file test."""
     from ddlscope.sources.files import infer_dialect, is_migration_file
@@ -270,6 +281,7 @@ QUERIES = {
     "q_constraint_violations": q_constraint_violations,
     "q_cast_audit": q_cast_audit,
     "q_not_null_nonempty": q_not_null_nonempty,
+    "q_planned_checks": q_planned_checks,
     "q_file_names": q_file_names,
     "q_report_columns": q_report_columns,
     "q_markdown_report": q_markdown_report,
@@ -307,6 +319,7 @@ def oracle_sql() -> dict[str, str]:
         "q_constraint_violations": oracle.constraint_violations_sql(),
         "q_cast_audit": oracle.cast_audit_sql(),
         "q_not_null_nonempty": oracle.not_null_nonempty_sql(),
+        "q_planned_checks": oracle.planned_checks_sql(),
         "q_file_names": oracle.file_names_sql(),
         "q_report_columns": oracle.report_columns_sql(),
         "q_report_header": oracle.report_header_sql(),

@@ -105,7 +105,7 @@ LOG_CHUNK = 4096
 
 # ---------------------------------------------------------------------------
 # Statement templates.  Placeholders: {t} table, {c} column of {t}, {i} index
-# of {t}, {p} parent table of {t}, {n} line number.
+# of {t}, {p} parent table of {t}, {k} its key, {n} line number.
 # ``ops`` lists what the statement must be classified as:
 # (action_pos, class, table, column, index, notes)
 # ---------------------------------------------------------------------------
@@ -138,7 +138,7 @@ TEMPLATES = {
          [(0, "CREATE_INDEX", "{t}", None, "uq_{t}_{c}", [fixed.NOTE_INDEX_CONCURRENT])]),
     12: ("DROP INDEX {i};",
          [(0, "DROP_INDEX", "{t}", None, "{i}", [])]),
-    13: ("ALTER TABLE {t} ADD CONSTRAINT fk_{t}_{c} FOREIGN KEY ({c}) REFERENCES {p} (id);",
+    13: ("ALTER TABLE {t} ADD CONSTRAINT fk_{t}_{c} FOREIGN KEY ({c}) REFERENCES {p} ({k});",
          [(0, "ADD_FOREIGN_KEY", "{t}", None, None, [])]),
     14: ("ALTER TABLE {t} ADD CONSTRAINT chk_{t}_{c} CHECK ({c} IS NOT NULL);",
          [(0, "ADD_CONSTRAINT", "{t}", None, None, [])]),
@@ -200,6 +200,14 @@ VARIANTS = {
           (1, "ADD_COLUMN", "{t}", "w2_{c}", None, [])]),
 }
 
+# SQL text of the risky operations where it isn't the whole statement: (template, variant, action) -> text, or texts by dialect
+RAW = {
+    (15, -1, 1): "ALTER TABLE {t}\n    DROP COLUMN {c}",
+    (16, 5, 1): "ALTER TABLE {t} DROP COLUMN {c}",
+    (16, 9, 0): 'ALTER TABLE "public"."{t}" ADD "n 1" INTEGER NOT NULL',
+    (16, 11, 0): {0: "DROP TABLE {t}_tmp", 1: "DROP TEMPORARY TABLE IF EXISTS {t}_tmp", 2: "DROP TABLE {t}_tmp", 3: "DROP TABLE {t}_tmp"},
+}
+
 # ---------------------------------------------------------------------------
 # Logged query templates by event_type; {p} = floor(value) % 4.
 # ``refs`` are the (table key, column) references a parser reports for the
@@ -247,14 +255,14 @@ def _div(a: str, b: int, dialect: str) -> str:
 
 
 def fmt_sql(template: str | None, dialect: str = "spark") -> str:
-    """Render a '{x}' template as a SQL string expression over columns t, c, i, p, n."""
+    """Render a '{x}' template as a SQL string expression over columns t, c, i, p, k, n."""
     if template is None:
         return "CAST(NULL AS VARCHAR)" if dialect == "duckdb" else "CAST(NULL AS STRING)"
     parts = []
-    for tok in re.split(r"(\{[tcipn]\})", template):
+    for tok in re.split(r"(\{[tcipnk]\})", template):
         if not tok:
             continue
-        if re.fullmatch(r"\{[tcipn]\}", tok):
+        if re.fullmatch(r"\{[tcipnk]\}", tok):
             parts.append(f"CAST({tok[1]} AS VARCHAR)" if dialect == "duckdb" else f"CAST({tok[1]} AS STRING)")
         else:
             parts.append(_q(tok.replace("\\", "\\\\") if dialect == "spark" else tok))
@@ -271,6 +279,7 @@ def param_columns_sql(dialect: str) -> dict[str, str]:
     idxs = _array([_array([_q(n) for n, _ in INDEXES[t]], dialect) for t in CATALOG_TABLES], dialect)
     nidx = _array([str(len(INDEXES[t])) for t in CATALOG_TABLES], dialect)
     parents = _array([_q(FK_PARENT[t]) for t in CATALOG_TABLES], dialect)
+    keys = _array([_q(PRIMARY_KEYS[FK_PARENT[t]][0]) for t in CATALOG_TABLES], dialect)
     return {
         "tid": f"CAST(l_partkey % {N_TEMPLATES} AS INT)",
         "variant": f"CAST(l_suppkey % {N_VARIANTS} AS INT)",
@@ -279,6 +288,7 @@ def param_columns_sql(dialect: str) -> dict[str, str]:
         "c": _at(_at(cols, f"{tix} + 1", dialect), f"({sel} % {_at(ncols, f'{tix} + 1', dialect)}) + 1", dialect),
         "i": _at(_at(idxs, f"{tix} + 1", dialect), f"({sel} % {_at(nidx, f'{tix} + 1', dialect)}) + 1", dialect),
         "p": _at(parents, f"{tix} + 1", dialect),
+        "k": _at(keys, f"{tix} + 1", dialect),
         "n": "l_linenumber",
     }
 
@@ -488,6 +498,20 @@ def expected_render(col: str) -> str:
             f"'{{p}}', p)")
 
 
+def expected_raw_sql(t: str, c: str, did: str) -> str:
+    """SQL text of an operation from tid, variant and action_pos: the whole statement unless ``RAW`` has another."""
+    def text(x):
+        if isinstance(x, dict):
+            return f"CASE {did} " + " ".join(f"WHEN {d} THEN {text(y)}" for d, y in x.items()) + " END"
+        return f"replace(replace({_q(x)}, '{{t}}', {t}), '{{c}}', {c})"
+
+    whens = [f"WHEN tid = {a} AND variant = {b} AND action_pos = {p} THEN {text(x)}" if a == 16 else f"WHEN tid = {a} AND action_pos = {p} THEN {text(x)}"
+             for (a, b, p), x in RAW.items()]
+    whens += [f"WHEN tid = {a} THEN {text(x.rstrip(';'))}" for a, (x, _) in TEMPLATES.items()]
+    whens += [f"WHEN variant = {b} THEN {text(x.rstrip(';'))}" for b, (x, _) in VARIANTS.items() if isinstance(x, str)]
+    return "CASE " + " ".join(whens) + " END"
+
+
 def expected_queries_sql() -> str:
     """One row per event: log, chunk, position in chunk, query text as logged."""
     return (
