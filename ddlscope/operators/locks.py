@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ddlscope.functions import fixed
 from ddlscope.functions.text import fill
+from ddlscope.session import broadcast_if_small, written
 
 LOCK_RULE_SCHEMA = (
     "rule_id int, rule_class string, dialects array<string>, min_v int, max_v int, "
@@ -72,16 +73,22 @@ def apply_lock_analysis(ops: DataFrame, table_stats: DataFrame, spark: SparkSess
 
     ``ops`` needs op_class, target_table, dialect, parser_notes and either a
     ``db_version`` column or the ``db_version`` argument (default 14).
+    ``table_stats`` has (table_name, row_count), or with a ``schema_id`` where
+    databases hold tables of one name; operations then need theirs.
     Adds: row_count, lock_type, risk_level, duration_min, duration_max,
     lock_notes, notes (parser notes followed by lock notes).
     """
     spark = spark or ops.sparkSession
     if "db_version" not in ops.columns:
         ops = ops.withColumn("db_version", F.lit(14 if db_version is None else db_version).cast("int"))
-    # table_stats has one row per table name: the left join cannot fan out
-    # one row per catalogue table: bounded by the schema, not by the data
-    stats = F.broadcast(table_stats.select(F.col("table_name").alias("_tn"), F.col("row_count").alias("row_count")))
-    o = ops.join(stats, ops.target_table == stats._tn, "left").drop("_tn")
+    # one row per (schema and) table: the left join cannot fan out; counted once, and broadcast if there are few
+    by = ["schema_id"] if "schema_id" in ops.columns and "schema_id" in table_stats.columns else []
+    stats = table_stats.groupBy(*(F.col(k).alias(f"_{k}") for k in by), F.col("table_name").alias("_tn")).agg(F.max("row_count").alias("row_count"))
+    stats = broadcast_if_small(written(stats, "table-stats"))
+    same = ops.target_table == stats._tn
+    for k in by:
+        same = same & (ops[k] == stats[f"_{k}"])
+    o = ops.join(stats, same, "left").drop("_tn", *(f"_{k}" for k in by))
     o = clause_flags(o, flags).withColumn("_dg", dialect_group(F.col("dialect")))
     rules = F.broadcast(lock_rules(spark))   # fixed 20-row table
     cond = (

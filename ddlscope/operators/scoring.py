@@ -7,10 +7,13 @@ operations is still reduced on the map side before the shuffle.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ddlscope.functions import fixed
+from ddlscope.session import broadcast_if_small
 
 
 def op_score(risk_level: Column, duration_max: Column, rollback_complexity: Column) -> Column:
@@ -106,6 +109,43 @@ def badge(c: Column, table: dict[str, str]) -> Column:
     return F.coalesce(m[c], F.lit(fixed.UNKNOWN_EMOJI))
 
 
+@dataclass(frozen=True)
+class CatalogRule:
+    """A rule that asks the catalogue: ``when`` an operation's keys are (or aren't) in ``lookup``.
+
+    ``keys`` gives an expression over the operations for each column of the lookup;
+    nulls are in no lookup.  Rules of the same lookup and keys share one join.
+    """
+
+    name: str
+    when: Column
+    lookup: DataFrame
+    keys: dict[str, str]
+    exists: bool
+    level: str
+    message: str
+    suggestion: str
+
+
+def catalog_rules(ops: DataFrame, rules: list[CatalogRule]) -> DataFrame:
+    """K9 with the catalogue: one row per operation and rule it matches, as ``custom_rules`` gives them."""
+    joined, flags = ops, {}
+    for r in rules:
+        key = id(r.lookup), tuple(r.keys.items())
+        if key in flags:
+            continue
+        flag = flags[key] = f"_in{len(flags)}"
+        # distinct keys: the join cannot fan out; a catalogue of many schemas is joined by shuffling
+        known = r.lookup.select(*(F.col(c).alias(f"{flag}_{c}") for c in r.keys)).distinct().withColumn(flag, F.lit(True))
+        same = F.lit(True)
+        for c, expr in r.keys.items():
+            same = same & (F.expr(expr) == F.col(f"{flag}_{c}"))
+        joined = joined.join(broadcast_if_small(known), same, "left").drop(*(f"{flag}_{c}" for c in r.keys))
+    found = [(r.name, r.when & (F.coalesce(F.col(flags[id(r.lookup), tuple(r.keys.items())]), F.lit(False)) == r.exists), r.level, r.message, r.suggestion)
+             for r in rules]
+    return custom_rules(joined, found).drop(*flags.values())
+
+
 def custom_rules(ops: DataFrame, rules) -> DataFrame:
     """K9: user rules as data.
 

@@ -31,7 +31,7 @@ from ddlscope.sources.files import infer_dialect
 class Analysis:
     spark: SparkSession
     scripts: DataFrame            # migration_id, db_id, db_version, path, file_name, text[, schema_id]
-    table_stats: DataFrame        # table_name, row_count
+    table_stats: DataFrame        # table_name, row_count[, schema_id]
     schema_dumps: DataFrame       # schema_id, text
     query_logs: DataFrame | None = None   # log_id, chunk_id, text[, db_id]
     flags: str = "notes"
@@ -152,15 +152,19 @@ class Analysis:
         return querylog.impact_summary(self.query_refs, self.impact_changes, self.migrations)
 
     def shared(self, texts: bool = True) -> "Analysis":
-        """The same analysis over extracted operations that are written once to the shared folder.
+        """The same analysis over operations (with locks, rollback and scores) that are written once to the shared folder.
 
         For outputs that read the operations in several branches (reports join
         scores, rollback, diff and impacts).  ``texts=False`` leaves the
-        statements' text out.  This analysis itself stays as it is.
+        statements' text out.  This analysis itself stays as it is; one that
+        is shared already is returned, with what it has written.
         """
-        ops = self.extracted if texts else self.extracted.withColumn("raw_sql", F.lit(None).cast("string"))
+        if self.__dict__.get("_is_shared"):
+            return self
+        ops = self.ops if texts else self.ops.withColumn("raw_sql", F.lit(None).cast("string"))
         other = replace(self)
-        other.__dict__["extracted"] = written(ops, "operations")
+        other.__dict__.update(_is_shared=True, ops=written(ops, "operations"))
+        other.__dict__["extracted"] = other.ops.select(*self.extracted.columns)
         return other
 
     def summary(self) -> DataFrame:

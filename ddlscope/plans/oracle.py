@@ -580,7 +580,16 @@ def snapshot_diff_sql() -> str:
 
 
 def custom_rules_sql() -> str:
+    led = ", ".join(f"({_q(t)}, {_q(cols[0])})" for t, some in corpus.INDEXES.items() for _, cols in some)
+    referred = ", ".join(f"({_q(p)}, {_q(k)})" for _, _, p, k in corpus.FOREIGN_KEYS)
     return f"""WITH {base_ctes()}
+SELECT migration_id, stmt_pos, action_pos, op_class, target_table, 'fk-without-index' AS rule, 'medium' AS rule_risk_level,
+       'No index leads with the foreign key''s column' AS message, 'Create the index first' AS suggestion
+FROM lk WHERE op_class = 'ADD_FOREIGN_KEY' AND (base_t, base_c) NOT IN (VALUES {led})
+UNION ALL
+SELECT migration_id, stmt_pos, action_pos, op_class, target_table, 'referenced-column', 'critical', 'Another table refers to this column', 'Drop the reference first'
+FROM lk WHERE op_class = 'DROP_COLUMN' AND (target_table, target_column) IN (VALUES {referred})
+UNION ALL
 SELECT migration_id, stmt_pos, action_pos, op_class, target_table, 'no-drop' AS rule, 'critical' AS rule_risk_level,
        'Removes data' AS message, 'Archive it first' AS suggestion
 FROM lk WHERE op_class IN ('DROP_TABLE', 'DROP_COLUMN')

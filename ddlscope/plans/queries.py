@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ddlscope.functions.lexer import lit
 from ddlscope.operators import catalog, scoring
 from ddlscope.plans.analysis import Analysis
 from ddlscope.sources import databases
@@ -255,9 +256,25 @@ def custom_rule_list() -> list[tuple]:
     ]
 
 
+def catalog_rule_list(a: Analysis) -> list[scoring.CatalogRule]:
+    """K9 with the catalogue: foreign keys without an index, and dropped columns that another table refers to."""
+    from ddlscope.operators.planned import FOREIGN_KEY
+
+    led = a.catalog_indexes.select("table_name", F.col("columns")[0].alias("column_name"))
+    referred = a.catalog_columns.filter("references IS NOT NULL").select(F.col("references").alias("name"))
+    column = f"regexp_extract(raw_sql, {lit(FOREIGN_KEY)}, 1)"
+    return [
+        scoring.CatalogRule("fk-without-index", F.col("op_class") == "ADD_FOREIGN_KEY", led, {"table_name": "target_table", "column_name": column},
+                            False, "medium", "No index leads with the foreign key's column", "Create the index first"),
+        scoring.CatalogRule("referenced-column", F.col("op_class") == "DROP_COLUMN", referred, {"name": "concat(target_table, '.', target_column)"},
+                            True, "critical", "Another table refers to this column", "Drop the reference first"),
+    ]
+
+
 def q_custom_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K9: a caller's rules over every operation."""
-    hits = scoring.custom_rules(_a(spark, sf_dir).ops, custom_rule_list())
+    """K9: a caller's rules over every operation, by its own columns and by the catalogue."""
+    a = _a(spark, sf_dir).shared()
+    hits = scoring.custom_rules(a.ops, custom_rule_list()).unionByName(scoring.catalog_rules(a.ops, catalog_rule_list(a)))
     return hits.select(*_key(), "op_class", "target_table", "rule", "rule_risk_level", "message", "suggestion")
 
 
