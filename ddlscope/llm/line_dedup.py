@@ -6,11 +6,12 @@ case.  Keys of at least ``min_chars`` code points that occur in at least
 ``min_docs`` documents lose all their lines except those in the document with
 the largest id among their holders (its repeats of the line stay as well).
 
-Plan: only digests of long keys are exploded, once per document; documents are
+Plan: the digests of long keys are exploded with their places; documents are
 counted per digest with map-side aggregation, so a line that a third of all
-documents share costs one partial row per task.  The digests to drop go back
-to their documents through a join that adaptive execution may split, and each
-text is taken apart and put together again inside its own row.
+documents share costs one partial row per task.  The places to drop go back
+to their texts through a join that adaptive execution may split, and each
+text is taken apart and put together again by position inside its own row, in
+time that grows as its lines: a very long text costs no more per line.
 
 Defined results: a null or empty text is one empty line; rows that repeat a
 doc_id are the same document when documents are counted, and each row is
@@ -45,31 +46,38 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def _print(text: Column) -> Column:
+    """Names a text: rows of one doc_id may hold several."""
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
 def shared_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
-    """(doc, drop): per document the digests of the lines that it loses."""
-    long_keys = F.filter(lines_of(F.col("text")), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) >= min_chars)
-    held = docs.select(
-        F.col("doc_id").alias("doc"),
-        F.explode(F.array_distinct(F.transform(long_keys, _digest))).alias("line"),
-    )
+    """(doc, print, drop): per text the places of the lines that it loses."""
+    long_key = F.transform(lines_of(F.col("text")), lambda x: F.when(F.length(F.btrim(x, F.lit(BLANKS))) >= min_chars, _digest(x)))
+    # a generator first, so that the print of a text isn't taken again for each of its lines
+    texts = docs.select(F.col("doc_id").alias("doc"), F.inline(F.array(F.struct(_print(F.col("text")).alias("print"), long_key.alias("keys")))))
+    held = texts.select("doc", "print", F.posexplode("keys").alias("pos", "line")).filter(F.col("line").isNotNull())
     # rows that repeat a doc_id count once: distinct (line, doc) first, then documents per line
-    many = (held.distinct().groupBy("line")
+    many = (held.select("line", "doc").distinct().groupBy("line")
             .agg(F.count("*").alias("n_docs"), F.max("doc").alias("keeper"))
             .filter(F.col("n_docs") >= min_docs).select("line", "keeper"))
     # written, so that the join is one of two tables and adaptive execution can split a frequent line
     many = tables.written(many, "shared-lines", docs.count())
     return (held.join(many, "line").filter(~F.col("doc").eqNullSafe(F.col("keeper")))
-            .groupBy("doc").agg(F.collect_set("line").alias("drop")))
+            .groupBy("doc", "print").agg(F.collect_set("pos").alias("drop")))
 
 
 def with_kept_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     """``docs`` with a column kept_lines: the lines of each text that stay."""
-    drops = shared_lines(docs, min_chars, min_docs).toDF("dropped_doc", "dropped_lines")
-    joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("dropped_doc")), "left")
-    lines, gone = lines_of(F.col("text")), F.col("dropped_lines")
-    stays = F.filter(lines, lambda x: (F.length(F.btrim(x, F.lit(BLANKS))) < min_chars)
-                     | ~F.array_contains(gone, _digest(x)))
-    return joined.withColumn("kept_lines", F.when(gone.isNull(), lines).otherwise(stays)).drop("dropped_doc", "dropped_lines")
+    drops = shared_lines(docs, min_chars, min_docs).toDF("dropped_doc", "dropped_print", "dropped_lines")
+    joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("dropped_doc")) & (_print(F.col("text")) == F.col("dropped_print")), "left")
+    # a generator, so that the text is split once and not for each line put back
+    split = joined.withColumn("all_lines", F.explode(F.array(lines_of(F.col("text")))))
+    lines, gone = F.col("all_lines"), F.col("dropped_lines")
+    # places left by a set difference (hashed, in order), then the line at each: time in proportion to the lines
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    stays = F.transform(places, lambda p: F.get(lines, p))
+    return split.withColumn("kept_lines", F.when(gone.isNull(), lines).otherwise(stays)).drop("dropped_doc", "dropped_print", "dropped_lines", "all_lines")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:

@@ -15,9 +15,12 @@ The tiles' heaps of a query are merged by rank.  Nothing is lost by the bounds,
 so the result is exact.  A tile holds two blocks at most, whatever the input.
 
 Defined results: vectors that are null, all zero, empty, or hold null or
-non-finite components take no part, nor does a null vec_id; of rows that repeat a
-vec_id the smallest vector (in array order) counts; ties go to the smaller
-vec_id; a query meets all other vectors of its own length.
+non-finite components take no part, nor does a null vec_id; rows that repeat id
+and vector count once, different vectors of one id are rows of their own: each is
+a candidate, and a query where its id says so, and a query's list names an id once,
+with its best score; ties go to the smaller vec_id; a query meets all other rows of
+its own length.  Where bounds overflow (components around 1e150) nothing is dropped
+by them.  An empty table gives an empty result; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 from ddlscope.llm import tables
 
 BLOCK_ROWS = 4096
-FOUND = "query_id long, vec_id long, score double"
+FOUND = "query_row long, query_id long, vec_id long, score double"
 
 
 def quantised(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -44,8 +47,11 @@ def quantised(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q, scale, residual * (1 + 1e-9) + 1e-300
 
 
-def tile(query_id: np.ndarray, queries: np.ndarray, vec_id: np.ndarray, vectors: np.ndarray, k: int):
-    """(query_id, vec_id, score) of each query's k nearest in the tile, its own id left out."""
+def tile(query_row: np.ndarray, queries: np.ndarray, row: np.ndarray, vec_id: np.ndarray, vectors: np.ndarray, k: int):
+    """(place of the query, vec_id, score) of each query's k nearest ids in the tile, its own row left out."""
+    by_id = np.argsort(vec_id, kind="stable")
+    row, vec_id, vectors = row[by_id], vec_id[by_id], vectors[by_id]
+    first = np.flatnonzero(np.concatenate([[True], vec_id[1:] != vec_id[:-1]]))  # of the rows of each id
     q8, q_scale, q_rest = quantised(queries)
     c8, c_scale, c_rest = quantised(vectors)
     q_norm = np.linalg.norm(queries, axis=1)
@@ -58,19 +64,25 @@ def tile(query_id: np.ndarray, queries: np.ndarray, vec_id: np.ndarray, vectors:
         rough = (q8[rows].astype(exact) @ c8.astype(exact).T).astype(np.float64) * q_scale[rows, None] * c_scale
         error = q_norm[rows, None] * c_rest + q_rest[rows, None] * c_part
         error = error * (1 + 1e-9) + 1e-12 * (1 + np.abs(rough))
-        own = vec_id[None, :] == query_id[rows, None]
-        low = np.where(own, -np.inf, rough - error)
-        if len(vec_id) > k:
-            least = np.partition(low, len(vec_id) - k, axis=1)[:, len(vec_id) - k]
+        own = row[None, :] == query_row[rows, None]
+        sure = np.isfinite(rough) & np.isfinite(error)  # a bound that overflows drops nothing
+        low = np.where(own | ~sure, -np.inf, rough - error)
+        if len(first) > k:
+            of_id = np.maximum.reduceat(low, first, axis=1)
+            least = np.partition(of_id, len(first) - k, axis=1)[:, len(first) - k]
         else:
             least = np.full(len(low), -np.inf)
-        alive = (rough + error >= least[:, None]) & ~own
+        alive = (~sure | (rough + error >= least[:, None])) & ~own
         for i in range(len(low)):
             some = np.flatnonzero(alive[i])
             # accumulate adds in the order of the components, so that a pair's score is alike in every tile
             score = np.add.accumulate(by_component[:, some] * queries[at + i][:, None], axis=0)[-1]
-            best = heapq.nsmallest(k, zip((-score).tolist(), vec_id[some].tolist()))
-            found.extend((int(query_id[at + i]), v, -s) for s, v in best)
+            if not len(some):
+                continue
+            start = np.flatnonzero(np.concatenate([[True], vec_id[some][1:] != vec_id[some][:-1]]))
+            score = np.maximum.reduceat(score, start)
+            best = heapq.nsmallest(k, zip((-score).tolist(), vec_id[some][start].tolist()))
+            found.extend((at + i, v, -s) for s, v in best)
     return found
 
 
@@ -79,11 +91,11 @@ def _settle(k: int):
         found = []
         if queries.num_rows and vectors.num_rows:
             q, v = (_matrix(x.column("embedding")) for x in (queries, vectors))
-            ids = [x.column("vec_id").to_numpy() for x in (queries, vectors)]
-            found = tile(ids[0], q, ids[1], v, k)
-        columns = list(zip(*found)) or [(), (), ()]
-        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())],
-                        names=["query_id", "vec_id", "score"])
+            rows, ids = ([x.column(c).to_numpy() for x in (queries, vectors)] for c in ("row", "vec_id"))
+            found = [(rows[0][i], ids[0][i], c, s) for i, c, s in tile(rows[0], q, rows[1], ids[1], v, k)]
+        columns = list(zip(*found)) or [(), (), (), ()]
+        return pa.table([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.float64())],
+                        names=["query_row", "query_id", "vec_id", "score"])
     return settle
 
 
@@ -93,31 +105,34 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
-    """(vec_id, embedding): one row per id, only vectors that take part."""
+    """(vec_id, embedding): only vectors that take part, repeated rows once."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     some = F.exists("embedding", lambda x: x != 0)
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(finite).filter(some)
-    return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    return rows.distinct()
 
 
 def nearest(embeddings: DataFrame, is_query, k: int = 20, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products of each query with all other vectors."""
-    vectors = tables.written(usable(embeddings).withColumn("length", F.size("embedding")), "vectors")
+    # written, so that a row keeps its number
+    vectors = tables.written(usable(embeddings).withColumn("length", F.size("embedding")).withColumn("row", F.monotonically_increasing_id()), "vectors")
     queries = vectors.filter(is_query)
     n_vectors, n_queries = vectors.count(), queries.count()
     blocks, query_blocks = (max(1, -(-n // block_rows)) for n in (n_vectors, n_queries))
 
     def dealt(df, own, own_n, other, other_n):
-        return (df.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.lit(own_n)))
+        return (df.withColumn(own, F.pmod(F.xxhash64("row"), F.lit(own_n)))
                 .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_n - 1)).cast("array<long>"))))
 
-    # a third of all rows with one vector only adds to blocks dealt by id
+    # dealt by row: a third of all rows with one vector or one id is spread over all blocks
     q = dealt(queries, "qb", query_blocks, "vb", blocks)
     v = dealt(vectors, "vb", blocks, "qb", query_blocks)
     keys = ["length", "qb", "vb"]
     found = q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInArrow(_settle(k), FOUND)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
+    # rows of one id may lie in several tiles
+    found = found.groupBy("query_row", "query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), F.col("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -127,15 +142,15 @@ def op3_block_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = """
 WITH v AS (
-  SELECT vec_id, min(embedding::DOUBLE[]) AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
-  GROUP BY vec_id
+  SELECT row_number() OVER () AS r, vec_id, e FROM (
+    SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, max(list_inner_product(q.e, c.e)) AS score
+  FROM v q JOIN v c ON q.r <> c.r AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0 GROUP BY q.r, q.vec_id, c.vec_id
 )
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
-FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
+SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) <= 20
 """

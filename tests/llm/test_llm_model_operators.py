@@ -26,19 +26,20 @@ def frame(spark, rows):
     return spark.createDataFrame([(d, t, 1, 0.5, "x") for d, t in rows], DOCS)
 
 
-def plain_nearest(vectors, k):
-    ids = sorted(vectors)
+def plain_nearest(rows, k):
+    """Every row but the query's own; an id once, with its best score; repeated rows count once."""
+    rows = sorted({(i, tuple(v)) for i, v in rows})
     out = []
-    for q in ids:
+    for n, (q, query) in enumerate(rows):
         if q % 20 == 0:
-            scored = []
-            for c in ids:
-                if c != q and len(vectors[c]) == len(vectors[q]):
+            best = {}
+            for m, (c, v) in enumerate(rows):
+                if m != n and len(v) == len(query):
                     s = 0.0
-                    for a, b in zip(vectors[q], vectors[c]):
-                        s += a * b
-                    scored.append((-s, c))
-            out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(sorted(scored)[:k])]
+                    for x, y in zip(query, v):
+                        s += x * y
+                    best[c] = max(s, best.get(c, -math.inf))
+            out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(sorted((-s, c) for c, s in best.items())[:k])]
     return sorted(out)
 
 
@@ -48,14 +49,22 @@ def test_nearest_vectors(spark):
     rows += [(300 + i, rows[7][1]) for i in range(90)]  # one very common vector
     rows += [(400, [0.0] * 16), (420, None), (440, [float("nan")] + [1.0] * 15), (460, [None] + [1.0] * 15), (480, []),
              (500, [float("inf")] + [1.0] * 15), (None, [1.0] * 16), (20, rows[20][1]), (520, [3.0, 4.0]), (521, [1.0, 1.0]), (540, [-1e30] * 16)]
-    usable = {i: v for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)}
+    rows += [(600, [float(i % 7)] * 16) for i in range(60)] + [(601 + i % 5, rng.normal(size=16).tolist()) for i in range(80)]  # ids of many rows
+    usable = [(i, v) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     df = spark.createDataFrame([(i, v, 1, 2.0) for i, v in rows], "vec_id long, embedding array<float>, length int, score double")
-    usable = {i: [float(np.float32(x)) for x in v] for i, v in usable.items()}
+    usable = [(i, [float(np.float32(x)) for x in v]) for i, v in usable]
     got = sorted(map(tuple, nearest.nearest(df, F.col("vec_id") % 20 == 0, 20, block_rows=64).collect()))
     assert got == plain_nearest(usable, 20)
     assert nearest.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_all_rows_of_an_id_are_candidates(spark):
+    df = spark.createDataFrame([(20, [1.0, 0.0]), (1, [5.0, 0.0]), (1, [9.0, 0.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, nearest.nearest(df, F.col("vec_id") % 20 == 0).collect())) == [(20, 1, 1, 9.0), (20, 2, 2, 1.0)]
+    large = spark.createDataFrame([(20 * i, [1e160 * (i + 1), 1.0]) for i in range(30)], "vec_id long, embedding array<double>")
+    assert nearest.nearest(large, F.col("vec_id") % 20 == 0, 5).count() == 150
+
+
 def test_error_bounds_hold():
     rng = np.random.default_rng(8)
     a, b = rng.normal(size=(30, 24)), rng.normal(size=(200, 24)) * rng.exponential(size=(200, 1))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -70,6 +71,19 @@ def test_line_dedup(spark, docs):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_of_long_texts_takes_time_as_their_lines(spark):
+    def seconds(n):
+        lines = [f"a line that every document holds, number {i:09d}" for i in range(n)]
+        rows = [(d, "\n".join([*lines, f"own line of document {d} {d}"])) for d in range(6)] + [(3, "other text of the id\n" + lines[0])]
+        began = time.perf_counter()
+        got = sorted((r.doc_id, r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(frame(spark, rows)).collect())
+        assert got == sorted([(d, n + 1, n if d < 5 else 0) for d in range(6)] + [(3, 2, 1)])
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(32_000) < 2.2 * seconds(16_000) + 1
+
+
 def test_line_dedup_plan_is_native(spark, docs):
     plan = line_dedup.dedup_lines(frame(spark, docs))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
