@@ -53,7 +53,7 @@ def planned_checks(ops: DataFrame) -> DataFrame:
     check = F.struct(F.lit("check").alias("check_kind"), F.lit("").alias("column_name"), F.trim(F.regexp_extract("raw_sql", CHECK, 1)).alias("argument"))
     not_null = F.struct(F.lit("not_null").alias("check_kind"), F.col("target_column").alias("column_name"), F.lit("").alias("argument"))
     new_type = F.struct(F.lit("type").alias("check_kind"), F.col("target_column").alias("column_name"),
-                        F.upper(F.regexp_replace(F.regexp_extract("raw_sql", NEW_TYPE, 1), r"\s+", " ")).alias("argument"))
+                        F.upper(F.trim(F.regexp_replace(F.regexp_extract("raw_sql", NEW_TYPE, 1), r"\s+", " "))).alias("argument"))
     of = F.col("op_class")
     found = (F.when((of == "ADD_FOREIGN_KEY") & sql.rlike(FOREIGN_KEY), foreign)
              .when((of == "ADD_CONSTRAINT") & sql.rlike(CHECK), check)
