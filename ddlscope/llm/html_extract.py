@@ -4,11 +4,15 @@ A page is cut into its text blocks in page order; block-level tags end a block,
 inline tags don't.  Each block has its number of words and link density, those
 of the blocks before and after it, whether it is a heading or list item, and
 what it lies in: an article, or a part whose tag, role, class or id marks
-menus, headers, footers, sidebars, notices, adverts, forms or comments (class
-and id of html, body, main and article describe the page and mark nothing, nor
-do names like has-sidebar or comments-open).  A decision tree over these features, grown on the labelled pages of
+menus, headers, footers, sidebars, notices, adverts, forms or comments.  A
+decision tree over these features, grown on the labelled pages of
 html_labels.py, tells main text from the rest.
 
+A name says little about a wrapper: class and id of html, body, main and article
+mark nothing, nor do names like has-sidebar, layout--sidebar or comments-open.
+A form or a part marked by its name alone loses the mark where it, and nothing
+outside such parts, holds the page's article (see ``_lifted``).
+
 Scripts, styles, comments and other parts without readable text yield no
 blocks.  Character references are decoded after the markup is cut, once.
 
@@ -48,76 +52,95 @@ PARTS = set("html body head div section article main nav header footer aside for
 BLOCKS = PARTS | set("p h1 h2 h3 h4 h5 h6 li dt dd td th caption figcaption pre hr summary legend label option".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Tags and roles of parts beside the main text.
-BESIDE_TAGS = {"head", "nav", "footer", "aside", "form", "menu", "dialog"}
+BESIDE_TAGS = {"head", "nav", "footer", "aside", "menu", "dialog"}
 BESIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar"}
 #: Words in a class or id that mark such parts, whole words and beginnings.
 BESIDE_WORDS = set("ad ads adv menu nav navbar breadcrumb breadcrumbs toc pagination pager sidebar side aside widget widgets "
                    "related footer foot cookie cookies consent gdpr notice notices alert banner popup modal overlay login signin signup "
-                   "search social share sharing tags disqus respond replies masthead topbar toolbar hidden print skip legal copyright".split())
-BESIDE_STARTS = ("advert", "sponsor", "promo", "comment", "newsletter", "subscri", "recommend", "navig")
+                   "search social share sharing tags masthead topbar toolbar print skip legal copyright".split())
+BESIDE_STARTS = ("advert", "sponsor", "promo", "newsletter", "subscri", "recommend", "navig")
+#: Words of parts with readers' comments, which stay beside the main text however long they are.
+COMMENT_WORDS = set("comment comments commentlist disqus respond replies".split())
 #: Words in a name after which it tells what a page or wrapper has, and words that end the name of a state.
 MODIFIERS, STATES = {"has", "with", "no", "left", "right", "category", "tag"}, {"open", "closed"}
+#: Words outside links from which a block is running text, where marked parts are weighed.
+RUNNING = 8
 #: Tags around the main text, whose class and id describe the page or its subject.
 AROUND_TAGS = {"html", "body", "main", "article"}
 _NAMES = re.compile(r"\b(class|id|role|style|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+#: Marks of a part: none, one that can be lifted (forms, names), one that can't (tags, roles, hidden parts, comments).
+UNMARKED, SOFT, HARD = 0, 1, 2
+
+
 @dataclass
 class Block:
     text: str
     words: int
     link_words: int
-    beside: bool   # lies in a part beside the main text
+    mark: int      # innermost marked part around it (a number, -1 for none)
     article: bool  # lies in an article or main part
-    heading: bool
+    heading: int   # 1 to 6, 0 for none
     item: bool
+    beside: bool = False  # lies in a part beside the main text
 
 
 def _own_words(names: str) -> list[str]:
     """The words of a class or id that say what a part itself is."""
     found = []
     for name in names.split():
-        words = [w.lower() for w in _WORDS.findall(name)]
+        words = [w.lower() for w in _WORDS.findall(name.split("--")[0])]
         if words and words[-1] not in STATES:
             found += words[:next((i for i, w in enumerate(words) if w in MODIFIERS), len(words))]
     return found
 
 
-def _marks(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
-    """(beside the main text, article) of an opening tag."""
-    beside = tag in BESIDE_TAGS or tag == "header" and not in_article
+def _marks(tag: str, attrs: str, in_article: bool) -> tuple[int, bool]:
+    """(mark, article) of an opening tag."""
+    mark = HARD if tag in BESIDE_TAGS or tag == "header" and not in_article else SOFT if tag == "form" else UNMARKED
     article = tag in ("article", "main")
     if attrs:
         for m in _NAMES.finditer(attrs):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name == "role":
-                beside |= value.lower() in BESIDE_ROLES
+                mark = HARD if value.lower() in BESIDE_ROLES else mark
                 article |= value.lower() in ("main", "article")
             elif name == "style":
-                beside |= re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) is not None
+                mark = HARD if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) else mark
             elif name == "hidden":
-                beside = True
+                mark = HARD
             elif tag not in AROUND_TAGS:
                 words = _own_words(value)
-                beside |= any(w in BESIDE_WORDS or w.startswith(BESIDE_STARTS) for w in words)
-                beside |= "header" in words and not in_article
-    return beside, article
+                if "hidden" in value.lower().split() or not COMMENT_WORDS.isdisjoint(words):
+                    mark = HARD
+                elif any(w in BESIDE_WORDS or w.startswith(BESIDE_STARTS) for w in words) or "header" in words and not in_article:
+                    mark = max(mark, SOFT)
+    return mark, article
 
 
 def text_blocks(page: str) -> list[Block]:
     """The non-empty text blocks of a page in page order."""
     found: list[Block] = []
-    open_parts: list[tuple[str, bool, bool]] = []  # tag, beside, article (with those around it)
-    pieces: list[tuple[str, bool]] = []            # text, in a link
-    tag_now, own_beside, link = "", False, False
+    marked: list[tuple[int, int, bool]] = []      # mark, the marked part around it, whether it is a form
+    open_parts: list[tuple[str, int, bool]] = []  # tag, innermost marked part, article (with those around it)
+    pieces: list[tuple[str, bool]] = []           # text, in a link
+    tag_now, own_mark, link = "", -1, False
+
+    def marked_part(mark: int, around: int, tag: str) -> int:
+        if mark == UNMARKED:
+            return around
+        marked.append((mark, around, tag == "form"))
+        return len(marked) - 1
 
     def end_block() -> None:
         text = " ".join(html.unescape("".join(t for t, _ in pieces)).split()) if pieces else ""
         if text:
-            _, beside, article = open_parts[-1] if open_parts else ("", False, False)
+            _, mark, article = open_parts[-1] if open_parts else ("", -1, False)
             linked = sum(len(t.split()) for t, in_link in pieces if in_link)
-            found.append(Block(text, len(text.split()), linked, beside or own_beside, article, tag_now in HEADINGS, tag_now in ("li", "dt", "dd")))
+            heading = int(tag_now[1]) if tag_now in HEADINGS else 0
+            found.append(Block(text, len(text.split()), linked, max(mark, own_mark), article, heading, tag_now in ("li", "dt", "dd")))
         pieces.clear()
 
     at = 0
@@ -136,7 +159,8 @@ def text_blocks(page: str) -> list[Block]:
         elif tag in BLOCKS:
             end_block()
             link = False
-            _, beside, article = open_parts[-1] if open_parts else ("", False, False)
+            _, around, article = open_parts[-1] if open_parts else ("", -1, False)
+            attrs = m["attrs"] or m["attrs2"] or ""
             if tag in PARTS:
                 if close:
                     for i in range(len(open_parts) - 1, -1, -1):
@@ -144,20 +168,71 @@ def text_blocks(page: str) -> list[Block]:
                             del open_parts[i:]
                             break
                 else:
-                    more = _marks(tag, m["attrs"] or m["attrs2"] or "", article)
-                    open_parts.append((tag, beside or more[0], article or more[1]))
-                tag_now, own_beside = "", False
-            elif close:
-                tag_now, own_beside = "", False
+                    mark, is_article = _marks(tag, attrs, article)
+                    open_parts.append((tag, marked_part(mark, around, tag), article or is_article))
+                tag_now, own_mark = "", -1
+            elif close or not attrs.strip(" /"):
+                tag_now, own_mark = "" if close else tag, -1
             else:
-                attrs = m["attrs"] or m["attrs2"] or ""
-                tag_now, own_beside = tag, bool(attrs.strip(" /")) and _marks(tag, attrs, article)[0]
+                tag_now, own_mark = tag, marked_part(_marks(tag, attrs, article)[0], around, tag)
     if at < len(page):
         pieces.append((page[at:], link))
     end_block()
+    if marked:
+        lifted, silent = _lifted(found, marked), []
+        for i, (_, around, _) in enumerate(marked):
+            silent.append(i not in lifted or around >= 0 and silent[around])
+        for b in found:
+            b.beside = b.mark >= 0 and silent[b.mark]
     return found
 
 
+def _lifted(blocks: list[Block], marked: list[tuple[int, int, bool]]) -> set[int]:
+    """The marked parts that hold the page's article, from the outermost inwards.
+
+    Of the soft parts at one depth it is the one with the most plain words, those in
+    article or main parts first, if nothing outside has any such words and
+    it has more of them than there are words of running text outside; or if it has the page's first
+    heading and more running text than is outside; or if it is a form with most
+    of the page's running text.  What lies in hard parts doesn't count.
+    """
+    # of a soft part with the soft parts in it, of the page (last) without them: words in articles, running text, best heading
+    sums = [[0, 0, 7] for _ in range(len(marked) + 1)]
+
+    def add(to: list[int], more: list[int]) -> None:
+        to[0], to[1], to[2] = to[0] + more[0], to[1] + more[1], min(to[2], more[2])
+
+    direct: list[list[int]] = [[0, 0, 7] for _ in range(len(marked) + 1)]  # without the soft parts in it
+    for b in blocks:
+        plain = max(0, b.words - b.link_words)
+        running = plain if plain >= RUNNING and not b.heading else 0
+        add(direct[b.mark], [plain if b.article else 0, running, b.heading or 7])
+    inner: dict[int, list[int]] = {}
+    for i in range(len(marked) - 1, -1, -1):
+        mark, around, _ = marked[i]
+        if mark == SOFT:
+            add(sums[i], direct[i])
+            if around < 0 or marked[around][0] == SOFT:
+                inner.setdefault(around, []).append(i)
+                if around >= 0:
+                    add(sums[around], sums[i])
+    lifted: set[int] = set()
+    outside, at = direct[-1], -1
+    whole = list(outside)
+    for i in inner.get(-1, ()):
+        add(whole, sums[i])
+    while at in inner and not outside[0]:
+        best = max(inner[at], key=lambda i: (sums[i][0], sums[i][1], -i))
+        in_articles, running, heading = sums[best]
+        if not (in_articles > outside[1] or heading <= 2 and heading == whole[2] < outside[2] and running > outside[1]
+                or marked[best][2] and 2 * running > whole[1] and running > outside[1]):
+            break
+        lifted.add(best)
+        add(outside, direct[best])
+        at = best
+    return lifted
+
+
 #: words, link density of a block, the one before, the one after; then what it is and lies in.
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "beside", "article", "heading", "item")
 
@@ -165,7 +240,7 @@ FEATURES = ("words", "links", "words_before", "links_before", "words_after", "li
 def features(blocks: list[Block]) -> list[list[float]]:
     size = [(b.words, min(1.0, b.link_words / b.words)) for b in blocks]
     around = [(0, 0.0), *size, (0, 0.0)]
-    return [[*around[i + 1], *around[i], *around[i + 2], b.beside, b.article, b.heading, b.item] for i, b in enumerate(blocks)]
+    return [[*around[i + 1], *around[i], *around[i + 2], b.beside, b.article, b.heading > 0, b.item] for i, b in enumerate(blocks)]
 
 
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> tuple:

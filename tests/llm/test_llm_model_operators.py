@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from ddlscope.llm import html_extract, nearest, sentencepieces, token_files, toxicity
+from ddlscope.llm import html_extract, html_labels, nearest, sentencepieces, token_files, toxicity
 from ddlscope.llm.textbytes import WordHasher
 from ddlscope.llm.wavelet import WaveletMatrix, encode
 
@@ -166,6 +166,52 @@ def test_html_wrappers_named_after_side_parts(opening):
     assert html_extract.main_text(page, tree).split("\n\n") == ["A title", "First line of the text.", "End."]
 
 
+PARAGRAPHS = "".join(f"<p>{'some words of an article about boats ' * n}</p>" for n in (4, 6, 5))
+
+
+@pytest.mark.parametrize("opening, closing", [
+    ("<form id='aspnetForm'><div class='menu'><a href=x>Home</a></div><h1>A title</h1>", "<input type=text></form>"),
+    ("<div class='fixed-header'><h1>A title</h1>", "</div>"),
+    ("<div class='layout layout--sidebar'><article><h1>A title</h1>", "</article></div>"),
+    ("<div class='page hidden-print'><article><h1>A title</h1>", "</article></div>"),
+    ("<div class='section-social'><main><h1>A title</h1>", "</main></div>"),
+    ("<div class='post legal-news'><h2>A title</h2>", "</div>"),
+    ("<div id='promoted-story'><h1>A title</h1>", "</div>"),
+    ("<section class='commentary'><article><h1>A title</h1>", "</article></section>"),
+    ("<form><div class='fixed-header'><div id='promo'><article><h1>A title</h1>", "</article></div></div></form>")])
+def test_html_wrappers_that_hold_the_article(opening, closing):
+    tree = html_extract.trained()
+    page = ("<body><nav><a href=x>Home</a></nav>" + opening + PARAGRAPHS + closing + "<div class='comments'><h3>Comments</h3>" + PARAGRAPHS * 4 +
+            "</div><div class='sidebar'><h3>Most read</h3><p>Side words here.</p></div><footer>foot</footer>")
+    found = html_extract.main_text(page, tree).split("\n\n")
+    assert found[0] == "A title" and len(found) == 4
+
+
+def test_html_side_parts_beside_a_found_article_stay_out():
+    tree = html_extract.trained()
+    side = "".join(f"<div class='{c}'><article><h1>Other</h1>{PARAGRAPHS * 3}</article></div>" for c in ("related", "sidebar", "promo"))
+    assert html_extract.main_text("<article><h1>A title</h1><p>Short.</p></article>" + side, tree) == "A title\n\nShort."
+    assert html_extract.main_text("<div class='comments'><article><h1>Reply</h1>" + PARAGRAPHS + "</article></div>", tree) == ""
+    nested = "<div class='promo'>" * 3000 + "<article><p>deep</p></article>"
+    assert html_extract.main_text(nested, tree) == "deep"
+
+
+def test_html_blocks_without_articles_held_out():
+    """Pages of other shapes than those labelled, told by words, link density and the blocks around alone."""
+    tree, rng = html_extract.trained(), random.Random(5)
+    hits = found = wanted = 0
+    for _ in range(200):
+        n = rng.randint(1, 5)
+        shape = [f"-{rng.choice('dl')}{w}/{w}" for w in (rng.randint(1, 3) for _ in range(n))] + [f"+h{rng.randint(3, 12)}"]
+        shape += [f"+p{rng.randint(20, 120)}" for _ in range(rng.randint(2, 6))]
+        shape += [f"-{rng.choice('dl')}{w}/{w}" for w in (rng.randint(2, 14) for _ in range(rng.randint(2, 4)))] + [f"-d{rng.randint(2, 8)}"]
+        blocks = html_extract.text_blocks(html_labels._page(" ".join(shape)))
+        kept = html_extract.classify(tree, np.array(html_extract.features(blocks), float))
+        truth = np.array([b.text[0] == "+" for b in blocks])
+        hits, found, wanted = hits + (kept & truth).sum(), found + kept.sum(), wanted + truth.sum()
+    assert hits / found > 0.95 and hits / wanted > 0.95
+
+
 def test_decision_tree_fits_its_table():
     tree = html_extract.trained()
     x, y = [], []
