@@ -3,7 +3,8 @@
 A page is cut into its text blocks in page order; block-level tags end a block,
 inline tags don't.  Each block has its number of words and link density, those
 of the blocks before and after it, whether it is a heading or list item, and
-what it lies in: an article, or a part whose tag, role, class or id marks
+what it lies in: an article, a place outside the articles that hold most of
+the page, or a part whose tag, role, class or id marks
 menus, headers, footers, sidebars, notices, adverts, forms or comments.  A
 decision tree over these features, grown on the labelled pages of
 html_labels.py, tells main text from the rest.
@@ -85,6 +86,7 @@ class Block:
     heading: int   # 1 to 6, 0 for none
     item: bool
     beside: bool = False  # lies in a part beside the main text
+    apart: bool = False   # lies in no article, though articles hold most of the page's plain words
 
 
 def _own_words(names: str) -> list[str]:
@@ -184,6 +186,12 @@ def text_blocks(page: str) -> list[Block]:
             silent.append(i not in lifted or around >= 0 and silent[around])
         for b in found:
             b.beside = b.mark >= 0 and silent[b.mark]
+    plain = [0, 0]
+    for b in found:
+        if not b.beside:
+            plain[b.article] += b.words - min(b.words, b.link_words)
+    for b in found:
+        b.apart = not b.article and plain[1] > plain[0]
     return found
 
 
@@ -234,13 +242,13 @@ def _lifted(blocks: list[Block], marked: list[tuple[int, int, bool]]) -> set[int
 
 
 #: words, link density of a block, the one before, the one after; then what it is and lies in.
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "beside", "article", "heading", "item")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "beside", "article", "apart", "heading", "item")
 
 
 def features(blocks: list[Block]) -> list[list[float]]:
     size = [(b.words, min(1.0, b.link_words / b.words)) for b in blocks]
     around = [(0, 0.0), *size, (0, 0.0)]
-    return [[*around[i + 1], *around[i], *around[i + 2], b.beside, b.article, b.heading > 0, b.item] for i, b in enumerate(blocks)]
+    return [[*around[i + 1], *around[i], *around[i + 2], b.beside, b.article, b.apart, b.heading > 0, b.item] for i, b in enumerate(blocks)]
 
 
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> tuple:
