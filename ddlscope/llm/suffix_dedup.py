@@ -38,10 +38,12 @@ from pyspark.sql import functions as F
 
 from ddlscope.llm import tables
 from ddlscope.llm.suffix_array import repeated_starts
-from ddlscope.llm.textbytes import BASE, BLOCK, mix64, small_batches
+from ddlscope.llm.textbytes import BLOCK, WordHasher, mix64, small_batches
 
 LENGTH, GRAM = 400, 64
 SHARD_BYTES = 4 << 20
+#: Odd multiplier (fixed, arbitrary) of the grams' hash; it only chooses anchors, so grams that it takes for one do no harm.
+BASE = 0x9E3779B97F4A7C15
 SEGMENT = ("doc_id long, print long, start long, n_starts int, anchor_at int, anchor long, digest long")
 
 
@@ -57,6 +59,7 @@ class Segmenter:
             np.multiply.accumulate(self.up, out=self.up)
             np.multiply.accumulate(self.down, out=self.down)
         self.value = mix64(np.arange(1, 257, dtype=np.uint64))
+        self.hasher = WordHasher(fold=False)
 
     def segments(self, buf: np.ndarray, bounds: np.ndarray):
         """(start, number of starts, anchor place, anchor hash, segment hash); documents lie between ``bounds``."""
@@ -80,7 +83,7 @@ class Segmenter:
             at = anchor[cut]
             cut, number, at = cut[at >= 0], number[at >= 0], at[at >= 0]
             end = cut + number - 1 + self.length
-            digest = mix64((total[end] - total[cut]) * self.down[cut] + ((at - cut) << 32 | (end - cut)).astype(np.uint64))
+            digest = mix64(self.hasher.between(buf, cut, end) + (at - cut).astype(np.uint64))
         return cut, number, at - cut, gram[at].view(np.int64), digest.view(np.int64)
 
 

@@ -9,8 +9,11 @@ from __future__ import annotations
 import numpy as np
 
 BLOCK = 1 << 20
-#: Odd multipliers (fixed, arbitrary): of the polynomial over a word's bytes and of the mixing steps.
-BASE = 0x9E3779B97F4A7C15
+#: A word's hash is two polynomials over its bytes modulo a prime (a power of two would let patterns such as
+#: Thue-Morse words cancel out); the bases are fixed and arbitrary.
+PRIME = (1 << 31) - 1
+BASES = (0x3779B97F, 0x1CE4E5B9)
+#: Odd multipliers of the mixing steps (fixed, arbitrary).
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 #: Fixed value: [\x20\x09-\x0D]
 WHITE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -25,6 +28,22 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def fold(x: np.ndarray) -> np.ndarray:
+    """A number alike modulo PRIME: below 2^32 for ``x`` below 2^62, at most a few above PRIME if done twice."""
+    return (x & np.uint64(PRIME)) + (x >> np.uint64(31))
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 to base ** (n - 1) modulo PRIME, by doubling."""
+    out = np.ones(n, np.uint64)
+    done = 1
+    while done < n:
+        more = min(done, n - done)
+        out[done:done + more] = out[:more] * np.uint64(pow(base, done, PRIME)) % np.uint64(PRIME)
+        done += more
+    return out
+
+
 class WordHasher:
     """Hashes of the words of texts, A-Z in lower case unless ``fold`` is false; ``separator`` marks the bytes between words."""
 
@@ -36,17 +55,12 @@ class WordHasher:
         folded = np.arange(256, dtype=np.uint64)
         if fold:
             folded[65:91] += np.uint64(32)
-        self.value = mix64(folded + np.uint64(1))
+        self.value = mix64(folded + np.uint64(1)) % np.uint64(PRIME)
         self._grow(BLOCK + 1)
 
     def _grow(self, n: int) -> None:
-        with np.errstate(over="ignore"):
-            self.up = np.ones(n, np.uint64)
-            self.up[1:] = np.uint64(BASE)
-            np.multiply.accumulate(self.up, out=self.up)
-            self.down = np.ones(n, np.uint64)
-            self.down[1:] = np.uint64(pow(BASE, -1, 1 << 64))
-            np.multiply.accumulate(self.down, out=self.down)
+        self.up = [powers(base, n) for base in BASES]
+        self.down = [powers(pow(base, -1, PRIME), n) for base in BASES]
 
     def words(self, buf: np.ndarray, doc_start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, hash) of the words in ``buf``; a document starts at each of ``doc_start``."""
@@ -67,23 +81,31 @@ class WordHasher:
     def between(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of the bytes between each start and end."""
         n = len(buf)
-        if n >= len(self.up):
+        if n >= len(self.up[0]):
             self._grow(n + 1)
-        with np.errstate(over="ignore"):
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum(self.value[buf] * self.up[:n], out=total[1:])
-            h = (total[end] - total[start]) * self.down[start]
-            return mix64(h + (end - start).astype(np.uint64))
+        parts, total, values = [], np.zeros(n + 1, np.uint64), self.value[buf]
+        for up, down in zip(self.up, self.down):
+            np.cumsum(fold(values * up[:n]), out=total[1:])  # below 2^63 for texts under 2 GB
+            parts.append(fold(fold(total[end] - total[start])) * down[start] % np.uint64(PRIME))
+        return self._mixed(parts, end - start)
 
     def prefix_hash(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, length: int) -> np.ndarray:
         """Hashes of the first ``length`` bytes of each word (of the whole word where it is shorter)."""
-        with np.errstate(over="ignore"):
+        parts = []
+        for base in BASES:
             h = np.zeros(len(start), np.uint64)
             for j in range(length):
                 at = start + j
                 ok = at < end
-                h[ok] = h[ok] * np.uint64(BASE) + self.value[buf[at[ok]]]
-            return mix64(h + np.uint64(length))
+                h[ok] = (h[ok] * np.uint64(base) + self.value[buf[at[ok]]]) % np.uint64(PRIME)
+            parts.append(h)
+        return self._mixed(parts, length)
+
+    @staticmethod
+    def _mixed(parts: list[np.ndarray], length: np.ndarray | int) -> np.ndarray:
+        """One 64-bit hash; the length goes in last, so that words of one sum but other lengths differ."""
+        with np.errstate(over="ignore"):
+            return mix64(mix64(parts[0] << np.uint64(31) | parts[1]) + np.asarray(length).astype(np.uint64))
 
 
 def small_batches(batches, rows: int = 256):

@@ -11,6 +11,12 @@ def lower_az(text: str) -> str:
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
 
 
+def twin_words(n: int = 1024) -> tuple[str, str]:
+    """A Thue-Morse word and its complement: alike under every polynomial hash modulo a power of two."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
 def shingle_set(text: str | None, size: int) -> set:
     words = WORD.findall(lower_az(text or ""))
     if not words:

@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+import brute
 from ddlscope.llm import html_extract, html_labels, nearest, sentencepieces, token_files, toxicity
 from ddlscope.llm.textbytes import WordHasher
 from ddlscope.llm.wavelet import WaveletMatrix, encode
@@ -119,6 +120,20 @@ def test_units_of_every_letter_before_and_after_marks():
     assert [t for t, g, w in zip(texts, got, want) if g.tolist() != w.ids] == []
 
 
+def test_words_that_cancel_out_modulo_a_power_of_two_have_their_own_ids(spark):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    texts = [*brute.twin_words(), " ".join(brute.twin_words())]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    want = Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)
+    assert [x.tolist() for x in token_files.UnitEncoder(path).encode(texts)] == [w.ids for w in want]
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    got = sentencepieces.encoded(frame(spark, list(enumerate(texts))), path).collect()
+    assert {r.doc_id: list(r.ids) for r in got} == {i: library.encode(t) for i, t in enumerate(texts)}
+
+
 def test_sentence_pieces(spark):
     import sentencepiece
 

@@ -272,6 +272,25 @@ def test_words_of_long_texts_in_blocks(monkeypatch):
                 assert names.setdefault(w, h) == h
 
 
+def test_words_that_cancel_out_modulo_a_power_of_two(spark):
+    a, b = brute.twin_words()
+    hasher = textbytes.WordHasher()
+    assert len(np.unique(textbytes.WordHasher(fold=False).value)) == 256
+    (_, first), (_, second) = textbytes.word_stream([f"{a} {b}".encode(), b.encode()], hasher)
+    assert first[0] != first[1] == second[0]
+    buf = np.frombuffer((a + b).encode(), np.uint8)
+    assert len(set(hasher.prefix_hash(buf, np.array([0, len(a)]), np.array([len(a), len(buf)]), len(a)).tolist())) == 2
+    tail = " ".join(f"w{i}" for i in range(9))
+    found = minhash.near_duplicates(frame(spark, [(1, f"{a} {tail}"), (2, f"{b} {tail}"), (3, a), (4, b)]), 3, 85).collect()
+    assert all(r.component_id == r.doc_id for r in found)
+    rows = [(1, a), (2, b), (3, a[:700]), (4, b + a)]
+    got = suffix_dedup.with_runs(suffix_dedup.keyed(frame(spark, rows).select("doc_id", "text")), 400).select("doc_id", "text", "runs").mapInArrow(
+        suffix_dedup._digest_rows(400), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").collect()
+    assert Counter(map(tuple, got)) == Counter((d, n, r, s, hashlib.sha256(k).hexdigest()) for d, n, r, s, k in brute.repeated_bytes(rows, 400))
+    prints = fingerprints.fingerprinted(frame(spark, [(1, a), (2, b)])).collect()
+    assert len({r.fingerprint for r in prints}) == 2
+
+
 def test_long_texts_come_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(textbytes, "BLOCK", 700)
     monkeypatch.setattr(suffix_dedup, "BLOCK", 700)
