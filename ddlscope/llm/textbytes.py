@@ -9,6 +9,8 @@ from __future__ import annotations
 import numpy as np
 
 BLOCK = 1 << 20
+#: Bytes whose hashes are summed up at once, so that their numbers stay in a processor's cache.
+STRETCH = 1 << 14
 #: A word's hash is two polynomials over its bytes modulo a prime (a power of two would let patterns such as
 #: Thue-Morse words cancel out); the bases are fixed and arbitrary.
 PRIME = (1 << 31) - 1
@@ -83,23 +85,26 @@ class WordHasher:
         n = len(buf)
         if n >= len(self.up[0]):
             self._grow(n + 1)
-        parts, total, values = [], np.zeros(n + 1, np.uint64), self.value[buf]
-        for up, down in zip(self.up, self.down):
-            np.cumsum(fold(values * up[:n]), out=total[1:])  # below 2^63 for texts under 2 GB
-            parts.append(fold(fold(total[end] - total[start])) * down[start] % np.uint64(PRIME))
+        totals = [np.zeros(n + 1, np.uint64) for _ in BASES]
+        for a in range(0, n, STRETCH):
+            values = self.value[buf[a:a + STRETCH]]
+            for total, up in zip(totals, self.up):
+                upto = total[a + 1:a + 1 + len(values)]
+                np.cumsum(fold(values * up[a:a + len(values)]), out=upto)
+                upto += total[a]  # below 2^63 for texts under 2 GB
+        parts = [fold(fold(total[end] - total[start])) * down[start] % np.uint64(PRIME) for total, down in zip(totals, self.down)]
         return self._mixed(parts, end - start)
 
     def prefix_hash(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, length: int) -> np.ndarray:
         """Hashes of the first ``length`` bytes of each word (of the whole word where it is shorter)."""
-        parts = []
-        for base in BASES:
-            h = np.zeros(len(start), np.uint64)
-            for j in range(length):
-                at = start + j
-                ok = at < end
-                h[ok] = (h[ok] * np.uint64(base) + self.value[buf[at[ok]]]) % np.uint64(PRIME)
-            parts.append(h)
-        return self._mixed(parts, length)
+        parts = [np.zeros(len(start), np.uint64) for _ in BASES]
+        for j in range(length):
+            at = start + j
+            ok = np.flatnonzero(at < end)
+            values = self.value[buf[at[ok]]]
+            for h, base in zip(parts, BASES):
+                h[ok] = fold(fold(h[ok] * np.uint64(base) + values))
+        return self._mixed([h % np.uint64(PRIME) for h in parts], length)
 
     @staticmethod
     def _mixed(parts: list[np.ndarray], length: np.ndarray | int) -> np.ndarray:
