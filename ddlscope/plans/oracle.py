@@ -101,7 +101,8 @@ mig AS (
 eops AS (
   SELECT s.migration_id, s.stmt_pos + x.stmt_off AS stmt_pos, CAST(x.action_pos AS BIGINT) AS action_pos, x.op_class,
          {_render('x.tbl')} AS target_table, {_render('x.col')} AS target_column,
-         {_render('x.idx')} AS target_index, x.notes AS parser_notes, s.tid, s.variant, s.t AS base_t, s.c AS base_c, s.did
+         {_render('x.idx')} AS target_index, x.notes AS parser_notes, s.tid, s.variant, s.t AS base_t, s.c AS base_c,
+         s.i AS base_i, s.p AS base_p, s.k AS base_k, s.did AS base_did, x.stmt_off
   FROM stm s JOIN xo x ON x.tid = s.tid AND (x.tid < 16 OR x.variant = s.variant)),
 stats AS ({stats}{_stats_sql()})),
 lk0 AS (
@@ -237,7 +238,7 @@ def rewrite_worklist_sql() -> str:
 SELECT migration_id, stmt_pos, action_pos, op_class, target_table, coalesce(target_column, 'N/A') AS target_column,
        CASE WHEN all_notes = '' THEN risk_level
             ELSE array_to_string(string_split(all_notes, ' | '), '; ')
-       END AS risk_reason, {corpus.expected_raw_sql('base_t', 'base_c', 'did')} AS raw_sql
+       END AS risk_reason, {corpus.expected_raw_sql()} AS raw_sql
 FROM lk WHERE risk_level IN ({', '.join(_q(x) for x in fixed.BLOCKING_LEVELS)})"""
 
 
@@ -644,6 +645,118 @@ texts AS (
 SELECT migration_id, section, k1, k2, generate_subscripts(lines, 1) - 1 AS k3, k4, unnest(lines) AS line FROM texts"""
 
 
+def _array(text: str, separator: str) -> str:
+    return f"CASE WHEN {text} = '' THEN [] ELSE string_split({text}, {_q(separator)}) END"
+
+
+def _json(**fields) -> str:
+    """The text of an object with these fields, in order."""
+    return "CAST(json_object(" + ", ".join(f"{_q(k)}, {v}" for k, v in fields.items()) + ") AS VARCHAR)"
+
+
+_IMPACT_KEY = "concat_ws(chr(1), impact_type, affected_table, coalesce(affected_column, ''), description, query)"
+
+
+def _report_ctes() -> str:
+    """h (one row per migration), o (operations with their text), im (impacts), st (rollback steps)."""
+    return f"""{base_ctes()},
+h AS (SELECT * FROM ({report_header_sql()}) JOIN (SELECT migration_id, rollback_notes, n_steps FROM ({rollback_summary_sql()})) USING (migration_id)),
+o AS (SELECT *, {corpus.expected_raw_sql()} AS raw_sql, {_array('all_notes', ' | ')} AS notes FROM sc),
+im AS (SELECT *, {_IMPACT_KEY} AS k FROM ({query_impacts_sql()})), st AS ({rollback_steps_sql()})"""
+
+
+def json_report_sql() -> str:
+    report = _json(
+        record="'report'", migration_id="migration_id", migration_file="file_name", generated_at="'1970-01-01T00:00:00Z'", dialect="dialect",
+        db_version="db_version", overall_risk_score="overall_score", overall_risk_level="overall_level", n_ops="n_ops",
+        affected_tables=_array("affected_tables", ","), blocked="blocked",
+        rollback="json_object('complexity', rollback_complexity, 'estimated_minutes', rollback_minutes, 'data_loss_risk', data_loss_risk, "
+                 "'notes', rollback_notes, 'n_steps', n_steps)",
+        diff_summary="json_object('table_changes', table_changes, 'column_changes', column_changes, 'index_changes', index_changes, "
+                     "'constraint_changes', constraint_changes, 'breaking_changes', breaking_changes)",
+        impact_summary="json_object('n_impacts', n_impacts, 'column_missing', column_missing, 'column_renamed', column_renamed, "
+                       "'type_mismatch', type_mismatch, 'index_missing', index_missing, 'worst_impact', worst_impact)")
+    operation = _json(
+        record="'operation'", migration_id="migration_id", stmt_pos="stmt_pos", action_pos="action_pos", operation_class="op_class",
+        target_table="target_table", target_column="target_column", target_index="target_index", dialect="dialect", raw_sql="raw_sql",
+        risk_level="risk_level", lock_type="lock_type", estimated_duration_min="dmin", estimated_duration_max="dmax",
+        rollback_complexity="rollback_complexity", rollback_description="rollback_description", risk_score="risk_score", notes="notes")
+    impact = _json(record="'impact'", migration_id="migration_id", query="query", impact_type="impact_type", severity="severity",
+                   description="description", affected_table="affected_table", affected_column="affected_column")
+    step = _json(record="'rollback_step'", migration_id="migration_id", stmt_pos="stmt_pos", action_pos="action_pos", step="step")
+    return f"""WITH {_report_ctes()},
+d AS (SELECT migration_id, table_changes, column_changes, index_changes, constraint_changes FROM ({diff_summary_sql()})),
+i AS (SELECT migration_id, column_missing, column_renamed, type_mismatch, index_missing FROM ({impact_summary_sql()}))
+SELECT migration_id, 0 AS section, 0 AS k1, 0 AS k2, 0 AS k3, '' AS k4, {report} AS json FROM h JOIN d USING (migration_id) JOIN i USING (migration_id)
+UNION ALL SELECT migration_id, 1, stmt_pos, action_pos, 0, '', {operation} FROM o
+UNION ALL SELECT migration_id, 2, 0, 0, 0, k, {impact} FROM im
+UNION ALL SELECT migration_id, 3, stmt_pos, action_pos, 0, '', {step} FROM st"""
+
+
+def analysis_payload_sql() -> str:
+    summary = _json(
+        record="'summary'", migration_file="file_name", dialect="dialect", db_version="db_version", overall_risk_score="overall_score",
+        overall_risk_level="overall_level",
+        rollback="json_object('complexity', rollback_complexity, 'estimated_minutes', rollback_minutes, 'data_loss_risk', data_loss_risk, 'notes', rollback_notes)")
+    operation = _json(
+        record="'operation'", stmt_pos="stmt_pos", action_pos="action_pos", op="op_class", table="target_table", column="target_column",
+        index="target_index", risk_level="risk_level", risk_score="risk_score", lock_type="lock_type", duration_min="dmin", duration_max="dmax",
+        rollback_complexity="rollback_complexity", rollback_description="rollback_description", notes="notes", raw_sql="raw_sql")
+    impact = _json(record="'impact'", impact_type="impact_type", severity="severity", affected_table="affected_table",
+                   affected_column="affected_column", description="description", query="query")
+    return f"""WITH {_report_ctes()}
+SELECT migration_id, 0 AS section, {summary} AS json FROM h
+UNION ALL SELECT migration_id, 1, {operation} FROM o
+UNION ALL SELECT migration_id, 2, {impact} FROM im"""
+
+
+def report_documents_sql() -> str:
+    """Nested documents: every list aggregated in its order, then the objects around them."""
+    def listed(name, source, order, value):
+        return f"{name} AS (SELECT migration_id, list({value} ORDER BY {order}) AS items FROM {source} GROUP BY migration_id)"
+
+    def obj(**fields):
+        return "json_object(" + ", ".join(f"{_q(k)}, {v}" for k, v in fields.items()) + ")"
+
+    nothing = "CAST([] AS VARCHAR[])"
+    operation = obj(
+        operation_class="op_class", target_table="target_table", target_column="target_column", target_index="target_index", dialect="dialect",
+        raw_sql="raw_sql", risk_level="risk_level", lock_type="lock_type", estimated_duration_min="dmin", estimated_duration_max="dmax",
+        rollback_complexity="rollback_complexity", rollback_description="rollback_description", affected_queries=nothing, notes="notes",
+        llm_summary="NULL", safe_rewrite="NULL")
+    told = obj(operation="op_class", table="target_table", column="target_column", risk_level="risk_level", lock_type="lock_type",
+               duration_min_minutes="dmin", duration_max_minutes="dmax", rollback_complexity="rollback_complexity",
+               rollback_description="rollback_description", notes="notes", affected_queries=nothing)
+    impact = obj(query="query", impact_type="impact_type", severity="severity", description="description", affected_table="affected_table",
+                 affected_column="affected_column")
+    met = obj(query="query", impact_type="impact_type", severity="severity", description="description")
+
+    def items(name):
+        return f"coalesce({name}.items, [])"
+
+    report = _json(
+        migration_file="file_name", schema_file="NULL", query_log_file="NULL", generated_at="'1970-01-01T00:00:00Z'", dialect="dialect",
+        db_version="db_version", operations=items("op"), query_impacts=items("hit"),
+        rollback=obj(complexity="rollback_complexity", estimated_minutes="rollback_minutes", steps=items("todo"), data_loss_risk="data_loss_risk",
+                     notes="rollback_notes"),
+        plain_english_summary="NULL", stakeholder_summary="NULL", safe_rewrite_sql="NULL")
+    payload = _json(
+        migration_file="file_name", dialect="dialect", db_version="db_version", overall_risk_score="overall_score", overall_risk_level="overall_level",
+        operations=items("told"), query_impacts=items("met"),
+        rollback=obj(complexity="rollback_complexity", estimated_minutes="rollback_minutes", data_loss_risk="data_loss_risk", notes="rollback_notes"))
+    at = "stmt_pos, action_pos"
+    return f"""WITH {_report_ctes()},
+{listed('op', 'o', at, operation)}, {listed('told', 'o', at, told)},
+{listed('found', 'o', at, obj(op='op_class', table='target_table', notes='notes'))},
+{listed('hit', 'im', 'k', impact)}, {listed('met', 'im', 'k', met)}, {listed('todo', 'st', at, 'step')}
+SELECT migration_id, 'report' AS kind, {report} AS document
+FROM h LEFT JOIN op USING (migration_id) LEFT JOIN hit USING (migration_id) LEFT JOIN todo USING (migration_id)
+UNION ALL
+SELECT migration_id, 'payload', {payload} FROM h LEFT JOIN told USING (migration_id) LEFT JOIN met USING (migration_id)
+UNION ALL
+SELECT migration_id, 'findings', {_json(operations=items('found'))} FROM h LEFT JOIN found USING (migration_id)"""
+
+
 def report_counts_sql() -> str:
     return f"""WITH h AS ({report_header_sql()}), im AS (SELECT migration_id, count(*) AS n FROM ({query_impacts_sql()}) GROUP BY migration_id),
 ops AS (SELECT migration_id, count(*) AS n FROM ({op_scores_sql()}) GROUP BY migration_id),

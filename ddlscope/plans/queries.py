@@ -213,6 +213,16 @@ def q_analysis_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis_payload(_a(spark, sf_dir))
 
 
+def q_report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S6 + K6 + K8 nested: the JSON report, the narrator's payload and the findings of every migration, a document each."""
+    from ddlscope.plans import documents
+
+    a = _a(spark, sf_dir).shared()
+    kinds = {"report": documents.report_pieces, "payload": documents.payload_pieces, "findings": documents.finding_pieces}
+    found = [documents.whole(pieces(a)).select("migration_id", F.lit(kind).alias("kind"), "document") for kind, pieces in kinds.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 def q_report_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S6 + S7 + K8: records and lines per migration and kind."""
     from ddlscope.plans.report import report_counts
@@ -305,6 +315,7 @@ QUERIES = {
     "q_json_report": q_json_report,
     "q_report_header": q_report_header,
     "q_analysis_payload": q_analysis_payload,
+    "q_report_documents": q_report_documents,
     "q_report_counts": q_report_counts,
     "q_catalog_columns": q_catalog_columns,
     "q_catalog_lookup": q_catalog_lookup,
@@ -341,6 +352,9 @@ def oracle_sql() -> dict[str, str]:
         "q_report_columns": oracle.report_columns_sql(),
         "q_report_header": oracle.report_header_sql(),
         "q_markdown_report": oracle.markdown_report_sql(),
+        "q_json_report": oracle.json_report_sql(),
+        "q_analysis_payload": oracle.analysis_payload_sql(),
+        "q_report_documents": oracle.report_documents_sql(),
         "q_report_counts": oracle.report_counts_sql(),
         "q_catalog_columns": oracle.catalog_columns_sql(),
         "q_catalog_lookup": oracle.catalog_lookup_sql(),

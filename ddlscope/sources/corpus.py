@@ -200,8 +200,19 @@ VARIANTS = {
           (1, "ADD_COLUMN", "{t}", "w2_{c}", None, [])]),
 }
 
-# SQL text of the risky operations where it isn't the whole statement: (template, variant, action) -> text, or texts by dialect
+# SQL text of operations where it isn't the whole statement: (template, variant, action) -> text, or texts by dialect;
+# statements behind the first of a variant come with their number
 RAW = {
+    (15, -1, 0): "ALTER TABLE {t}\n    ADD COLUMN x_{c} NUMERIC(12,2) DEFAULT 0.00",
+    (16, 5, 0): "ALTER TABLE {t} ADD COLUMN y_{c} INTEGER CHECK (y_{c} IS NOT NULL AND y_{c} IN (1, (2), ((3), (((4)))))  )",
+    (16, 9, 1): 'ALTER TABLE "public"."{t}" ADD n2 NUMERIC(4,2) DEFAULT 0',
+    (16, 10, 0): {0: "ALTER TABLE {t} ADD COLUMN z_{c} TEXT DEFAULT E'it\\'s; DROP TABLE {t}'",
+                  1: "ALTER TABLE {t} ADD COLUMN z_{c} TEXT DEFAULT 'it\\'s; DROP TABLE {t}; x'",
+                  2: "ALTER TABLE [{t}] ADD COLUMN [z_{c}] TEXT DEFAULT 'a\\'",
+                  3: "ALTER TABLE [dbo].[{t}] ADD [z_{c}] TEXT DEFAULT 'a\\'"},
+    (16, 11, 0, 1): "DROP VIEW v_{t}",
+    (16, 16, 0): "ALTER TABLE {t} ADD COLUMN w_{c} INTEGER DEFAULT " + "(" * 20 + "1, 2" + ")" * 20,
+    (16, 16, 1): "ALTER TABLE {t} ADD COLUMN w2_{c} TEXT",
     (15, -1, 1): "ALTER TABLE {t}\n    DROP COLUMN {c}",
     (16, 5, 1): "ALTER TABLE {t} DROP COLUMN {c}",
     (16, 9, 0): 'ALTER TABLE "public"."{t}" ADD "n 1" INTEGER NOT NULL',
@@ -498,15 +509,18 @@ def expected_render(col: str) -> str:
             f"'{{p}}', p)")
 
 
-def expected_raw_sql(t: str, c: str, did: str) -> str:
-    """SQL text of an operation from tid, variant and action_pos: the whole statement unless ``RAW`` has another."""
+def expected_raw_sql(base: str = "base_") -> str:
+    """SQL text of an operation from tid, variant, stmt_off, action_pos and its template's parameters: the whole statement unless ``RAW`` has another."""
     def text(x):
         if isinstance(x, dict):
-            return f"CASE {did} " + " ".join(f"WHEN {d} THEN {text(y)}" for d, y in x.items()) + " END"
-        return f"replace(replace({_q(x)}, '{{t}}', {t}), '{{c}}', {c})"
-
-    whens = [f"WHEN tid = {a} AND variant = {b} AND action_pos = {p} THEN {text(x)}" if a == 16 else f"WHEN tid = {a} AND action_pos = {p} THEN {text(x)}"
-             for (a, b, p), x in RAW.items()]
+            return f"CASE {base}did " + " ".join(f"WHEN {d} THEN {text(y)}" for d, y in x.items()) + " END"
+        for name in "tcipk":
+            x = x if x.startswith("replace(") else _q(x)
+            x = f"replace({x}, '{{{name}}}', {base}{name})"
+        return x
+
+    whens = [f"WHEN tid = {key[0]} AND (tid < 16 OR variant = {key[1]}) AND action_pos = {key[2]} AND stmt_off = {(*key, 0)[3]} THEN {text(x)}"
+             for key, x in RAW.items()]
     whens += [f"WHEN tid = {a} THEN {text(x.rstrip(';'))}" for a, (x, _) in TEMPLATES.items()]
     whens += [f"WHEN variant = {b} THEN {text(x.rstrip(';'))}" for b, (x, _) in VARIANTS.items() if isinstance(x, str)]
     return "CASE " + " ".join(whens) + " END"
