@@ -74,20 +74,31 @@ KEYWORDS = "|".join(SQL_KEYWORDS)
 
 # ---- query references ------------------------------------------------------
 STRING_LITERAL = r"'[^']*+'"
-# "users", `users` and [users] are the plain name
-QUOTED_NAME = r"""["`]([A-Za-z_]\w*)["`]|\[([A-Za-z_]\w*)\]"""
+# "users", `users` and [users] are the plain name; names with blanks or marks, or that are keywords, stay quoted
+QUOTED_NAME = rf"""(?i)["`](?!(?:{KEYWORDS})["`])([A-Za-z_]\w*)["`]|\[(?!(?:{KEYWORDS})\])([A-Za-z_]\w*)\]"""
+NAME_QUOTES = r"""^["`\[]|["`\]]$"""
 # FROM inside a call or a comparison names no table
 EXTRACT_FROM = r"(?i)\bEXTRACT\s*\(\s*\w+\s+FROM\b"
 CALL_FROM = r"(?i)\b((?:SUBSTRING|TRIM|OVERLAY)\s*\([^()]*?)\bFROM\b"
 DISTINCT_FROM = r"(?i)\bIS\s+(?:NOT\s+)?DISTINCT\s+FROM\b"
+# USING in a call names a character set; what follows a locking clause or ON DUPLICATE KEY UPDATE is no table
+CALL_USING = r"(?i)\b(CONVERT\s*\([^()]*?)\bUSING\s+\w+"
+LOCKING = (r"(?i)\bFOR\s+(?:NO\s+KEY\s+|KEY\s+)?(?:UPDATE|SHARE)\b(?:\s+OF\s+[\w.]+(?:\s*,\s*[\w.]+)*)?"
+           r"(?:\s+(?:NOWAIT|SKIP\s+LOCKED)\b)?")
+DUPLICATE_KEY = r"(?i)\bON\s+DUPLICATE\s+KEY\s+UPDATE\b"
 CAST_TYPE = r"::\s*\w+"
-_WORD = r"[A-Za-z_]\w*"
-_ITEM = rf"(?:{_WORD}\s*\.\s*)*{_WORD}(?:\s+(?:AS\s+)?(?!(?:{KEYWORDS})\b){_WORD})?"
-# tables after FROM, JOIN, UPDATE or INTO: possibly qualified, with aliases, in a comma list
-TABLE_LIST_REF = rf"(?i)\b(?:FROM|JOIN|UPDATE|INTO)\s+(?!(?:{KEYWORDS})\b)({_ITEM}(?:\s*,\s*{_ITEM})*)"
-ITEM_ALIAS = rf"(?i)\s(?:AS\s+)?({_WORD})$"
-SUBQUERY_ALIAS = rf"(?i)\)\s*(?:AS\s+)?({_WORD})"
-QUALIFIED_REF = rf"\b{_WORD}(?:\.{_WORD})+\b"
-COLUMN_ALIAS = r"(?i)\bAS\s+([A-Za-z_]\w*)"
+_PLAIN_WORD = r"[A-Za-z_]\w*"
+_QUOTED_WORD = r"""\"[^\"]++\"|`[^`]++`|\[[A-Za-z_][^\]]*+\]"""
+WORD = rf"(?:{_PLAIN_WORD}|{_QUOTED_WORD})"
+_ITEM = rf"(?:{WORD}\s*\.\s*)*{WORD}(?:\s+(?:AS\s+)?(?!(?:{KEYWORDS})\b){WORD})?"
+LIST_ITEM = rf"(?i){_ITEM}"
+# tables after FROM, JOIN, UPDATE, INTO or USING: possibly qualified, with aliases, in a comma list
+TABLE_LIST_REF = (rf"(?i)\b(?:FROM|JOIN|UPDATE|INTO|USING)\s+(?:(?:ONLY|LATERAL)\s+)?(?!(?:{KEYWORDS})\b)"
+                  rf"({_ITEM}(?:\s*,\s*{_ITEM})*)")
+ITEM_TABLE = rf"^(?:{WORD}\s*\.\s*)*({WORD})"
+ITEM_ALIAS = rf"(?i)\s(?:AS\s+)?({WORD})$"
+SUBQUERY_ALIAS = rf"(?i)\)\s*(?:AS\s+)?({WORD})"
+QUALIFIED_REF = rf"(?<!\w){WORD}(?:\.{WORD})+(?!\w)"
+COLUMN_ALIAS = rf"(?i)\bAS\s+({WORD})"
 FUNCTION_CALL = r"\b[A-Za-z_]\w*\s*\("
-IDENTIFIER = r"\b([A-Za-z_]\w*)\b"
+IDENTIFIER = rf"(\b{_PLAIN_WORD}\b|{_QUOTED_WORD})"

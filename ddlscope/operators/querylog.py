@@ -85,11 +85,17 @@ def _not_keyword(x: Column) -> Column:
     return ~F.upper(x).isin(*patterns.SQL_KEYWORDS)
 
 
+def _bare(name: Column) -> Column:
+    return F.regexp_replace(name, patterns.NAME_QUOTES, "")
+
+
 def _plain(query: str) -> Column:
     """The query without comments, literals, casts and quotes around names; FROM only where it names tables."""
     q = F.regexp_replace(F.expr(lexer.strip_comments(query)), patterns.STRING_LITERAL, "''")
     q = F.regexp_replace(q, patterns.QUOTED_NAME, "$1$2")
     q = F.regexp_replace(q, patterns.CAST_TYPE, " ")
+    q = F.regexp_replace(F.regexp_replace(q, patterns.LOCKING, " "), patterns.DUPLICATE_KEY, " SET ")
+    q = F.regexp_replace(q, patterns.CALL_USING, "$1")
     q = F.regexp_replace(F.regexp_replace(q, patterns.EXTRACT_FROM, "EXTRACT("), patterns.CALL_FROM, "$1,")
     return F.regexp_replace(q, patterns.DISTINCT_FROM, "=")
 
@@ -104,19 +110,20 @@ def with_references(queries: DataFrame) -> DataFrame:
     """
     q = queries.select("*", _plain("query").alias("_clean"))
     items = F.flatten(F.transform(F.regexp_extract_all("_clean", F.lit(patterns.TABLE_LIST_REF), 1),
-                                  lambda x: F.transform(F.split(x, ","), lambda y: py_strip(y))))
+                                  lambda x: F.regexp_extract_all(x, F.lit(patterns.LIST_ITEM), 0)))
     # what is left names columns, functions and aliases
     q = q.select("*", items.alias("_items"), F.regexp_replace("_clean", patterns.TABLE_LIST_REF, " ").alias("_rest"))
-    tables = F.transform("_items", lambda x: F.regexp_extract(x, r"^(?:\w+\s*\.\s*)*(\w+)", 1))
+    tables = F.transform("_items", lambda x: _bare(F.regexp_extract(x, patterns.ITEM_TABLE, 1)))
     aliases = F.concat(F.filter(F.transform("_items", lambda x: F.regexp_extract(x, patterns.ITEM_ALIAS, 1)), lambda x: x != ""),
                        F.regexp_extract_all("_clean", F.lit(patterns.SUBQUERY_ALIAS), 1))
+    aliases = F.transform(aliases, _bare)
     qual = F.regexp_extract_all("_rest", F.lit(patterns.QUALIFIED_REF), 0)
     bare = F.regexp_replace(F.regexp_replace("_rest", patterns.QUALIFIED_REF, " "), patterns.FUNCTION_CALL, " ")
-    idents = F.filter(F.regexp_extract_all(bare, F.lit(patterns.IDENTIFIER), 1), _not_keyword)
-    col_aliases = F.regexp_extract_all("_rest", F.lit(patterns.COLUMN_ALIAS), 1)
+    idents = F.transform(F.filter(F.regexp_extract_all(bare, F.lit(patterns.IDENTIFIER), 1), _not_keyword), _bare)
+    col_aliases = F.transform(F.regexp_extract_all("_rest", F.lit(patterns.COLUMN_ALIAS), 1), _bare)
+    words = F.transform(F.array_distinct(qual), lambda s: F.transform(F.regexp_extract_all(s, F.lit(patterns.WORD), 0), _bare))
     q = q.select("*", tables.alias("_tables"), aliases.alias("_aliases"),
-                 F.transform(F.array_distinct(qual), lambda s: F.struct(
-                     F.element_at(F.split(s, "[.]"), -2).alias("k"), F.element_at(F.split(s, "[.]"), -1).alias("c"))).alias("_qual"),
+                 F.transform(words, lambda s: F.struct(F.element_at(s, -2).alias("k"), F.element_at(s, -1).alias("c"))).alias("_qual"),
                  idents.alias("_idents"), col_aliases.alias("_col_aliases"))
     keys = F.array_distinct(F.concat(F.col("_tables"), F.transform("_qual", lambda p: p["k"])))
     star = F.array_except(F.col("_idents"), F.concat(F.col("_tables"), F.col("_aliases"), F.col("_col_aliases")))

@@ -90,6 +90,27 @@ def test_select_star_has_no_column(spark):
     assert refs_of(spark, "SELECT * FROM users WHERE email = 'x@y.com'") == [("*", "email"), ("users", "")]
 
 
+def test_references_after_using_only_and_in_quotes(spark):
+    rows = [
+        ("DELETE FROM public.users USING orders o, items WHERE o.uid = users.id",
+         ["users", "orders", "items"], {"o.uid", "users.id"}, []),
+        ('SELECT "user name", "order" FROM "my table" WHERE "my table"."a,b" = 3', ["my table"], {"my table.a,b"}, ["order", "user name"]),
+        ("SELECT [user name] FROM [dbo].[my, table] AS [m t], `x y` z", ["my, table", "x y"], set(), ["user name"]),
+        ("MERGE INTO stock USING moves ON stock.id = moves.id", ["stock", "moves"], {"stock.id", "moves.id"}, None),
+        ("SELECT a FROM ONLY t JOIN u USING (id) FOR UPDATE OF t SKIP LOCKED", ["t", "u"], set(), ["a", "id"]),
+        ("INSERT INTO t (a) VALUES (1) ON DUPLICATE KEY UPDATE a = 2", ["t"], set(), ["a"]),
+        ("SELECT CONVERT(a USING utf8) FROM t", ["t"], set(), ["a"]),
+        ('SELECT a FROM "order"', ["order"], set(), ["a"]),
+    ]
+    df = spark.createDataFrame([(i, q) for i, (q, *_) in enumerate(rows)], "log_id int, query string")
+    found = {r.log_id: r for r in querylog.with_references(df).collect()}
+    for i, (q, tables, columns, star) in enumerate(rows):
+        r = found[i]
+        assert r.ref_tables == tables, q
+        assert {f"{k.key}.{c}" for k in r.key_cols for c in k.cols} == columns, q
+        assert star is None or sorted(r.star_cols) == star, q
+
+
 def test_references_of_qualified_listed_and_quoted_tables(spark):
     assert refs_of(spark, "SELECT id FROM wh.users WHERE wh.users.email = 'a'") == [("*", "id"), ("users", ""), ("users", "email")]
     assert refs_of(spark, "SELECT a.x FROM users a, wh.orders AS o WHERE a.id = o.uid") == sorted([
