@@ -131,8 +131,10 @@ def with_references(queries: DataFrame) -> DataFrame:
     key_cols = F.transform("ref_keys", lambda k: F.struct(
         k.alias("key"), F.array_distinct(F.transform(F.filter("_qual", lambda p: p["k"] == k),
                                                      lambda p: p["c"])).alias("cols")))
-    return q.select(*queries.columns, F.array_distinct("_tables").alias("ref_tables"), "ref_keys",
-                    key_cols.alias("key_cols"), "star_cols")
+    q = q.select(*queries.columns, F.array_distinct("_tables").alias("ref_tables"), "ref_keys", key_cols.alias("key_cols"), "star_cols")
+    # out of a generator: the size filters of later explodes stay above it, else each would evaluate all patterns once more
+    refs = ["ref_tables", "ref_keys", "key_cols", "star_cols"]
+    return q.select(*queries.columns, F.explode(F.array(F.struct(*refs))).alias("_r")).select(*queries.columns, *(f"_r.{c}" for c in refs))
 
 
 def references_long(refs: DataFrame, id_cols: list[str]) -> DataFrame:
@@ -208,11 +210,14 @@ def _met_indexes(queries: DataFrame, ids: list[str], indexes: DataFrame) -> Data
     queries and many indexes is spread over its columns.  ``queries``: ids, _db, key,
     cols; ``indexes``: migration_id, db_id, itable, index_name, icols, m.
     """
-    q = queries.select(*ids, "_db", "key", F.lower("key").alias("_table"), F.explode(_query_keys(F.col("cols"))).alias("_col"))
-    i = indexes.select("migration_id", "db_id", "itable", "index_name", "m", F.explode(_index_keys(F.col("icols"))).alias("icol"), "icols")
+    q = queries.select(*ids, "_db", "key", F.lower("key").alias("_table"), _query_keys(F.col("cols")).alias("_qkeys"))
+    q = q.select("*", F.explode("_qkeys").alias("_col"))
+    i = indexes.select("migration_id", "db_id", "itable", "index_name", "m", "icols", _index_keys(F.col("icols")).alias("_ikeys"))
+    i = i.select("*", F.explode("_ikeys").alias("icol"))
     met = q.join(i.hint("merge"), (q._db == i.db_id) & (q._table == i.itable) & (q._col == i.icol))
-    # a pair that shares several columns is met under each of them
-    return met.select(*ids, "_db", "key", "migration_id", "index_name", "icols", "m").distinct()
+    # a pair that shares several columns is met under each of them and counts under the first: no pair is shuffled
+    met = met.filter(F.get(F.array_intersect("_qkeys", "_ikeys"), F.lit(0)) == F.col("_col"))
+    return met.select(*ids, "_db", "key", "migration_id", "index_name", "icols", "m")
 
 
 def match_impacts(refs: DataFrame, changes: DataFrame, migrations: DataFrame) -> DataFrame:

@@ -140,6 +140,12 @@ class Analysis:
     def query_refs(self) -> DataFrame:
         return querylog.with_references(self.logged_queries)
 
+    @cached_property
+    def impact_refs(self) -> DataFrame:
+        """The references that changes can meet, worked out once for the column and the index join and for the counts."""
+        ids = [c for c in ("log_id", "db_id") if c in self.query_refs.columns]
+        return written(self.query_refs.select(*ids, "query", "ref_keys", "key_cols", "star_cols"), "references")
+
     @cached_property
     def impact_changes(self) -> DataFrame:
         """The changes that queries can meet, computed once for the column and the index join."""
@@ -148,11 +154,11 @@ class Analysis:
 
     @cached_property
     def impacts(self) -> DataFrame:
-        return querylog.match_impacts(self.query_refs, self.impact_changes, self.migrations)
+        return querylog.match_impacts(self.impact_refs, self.impact_changes, self.migrations)
 
     @cached_property
     def impact_summary(self) -> DataFrame:
-        return querylog.impact_summary(self.query_refs, self.impact_changes, self.migrations)
+        return querylog.impact_summary(self.impact_refs, self.impact_changes, self.migrations)
 
     def shared(self, texts: bool = True) -> "Analysis":
         """The same analysis over operations (with locks, rollback and scores) that are written once to the shared folder.
