@@ -53,7 +53,7 @@ def list_pieces(entries: DataFrame, separator: str, piece_bytes: int = PIECE_BYT
     w = Window.partitionBy("migration_id", "part", "place").orderBy("key")
     before = F.sum(F.octet_length("text")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.octet_length("text")
     cut = ranged.select("migration_id", "part", "place", "text", F.row_number().over(w).alias("n"), F.floor(before / piece_bytes).alias("piece"))
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"])
+    texts = F.sort_array(F.collect_list(F.struct("n", "text")))["text"]
     held = written(cut.groupBy(*_PLACE).agg(F.array_join(texts, separator).alias("text")), "pieces")
     first = held.groupBy("migration_id", "part").agg(F.min(F.struct("place", "piece")).alias("_at")) \
         .select("migration_id", "part", "_at.place", "_at.piece", F.lit(True).alias("_first"))
@@ -81,7 +81,7 @@ def _at(*impact: Column) -> Column:
 
 def whole(pieces: DataFrame) -> DataFrame:
     """(migration_id, document): each migration's pieces in order."""
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("part", "place", "piece", "text"))), lambda x: x["text"])
+    texts = F.sort_array(F.collect_list(F.struct("part", "place", "piece", "text")))["text"]
     return pieces.groupBy("migration_id").agg(F.array_join(texts, "").alias("document"))
 
 
