@@ -9,5 +9,10 @@ def _plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_report_columns_read_written_operations(spark):
+    plan = _plan(queries.q_report_columns(spark, SF))
+    assert "regexp_extract_all" not in plan and "RLIKE" not in plan
+
+
 def test_kinds_without_parsing(spark):
     assert "get_json_object" not in _plan(queries.q_report_counts(spark, SF))
