@@ -1,5 +1,7 @@
 """Reports extract the operations once, and read a record's kind without parsing the record."""
 
+from ddlscope.functions import patterns
+from ddlscope.operators import querylog
 from ddlscope.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -16,3 +18,15 @@ def test_report_columns_read_written_operations(spark):
 
 def test_kinds_without_parsing(spark):
     assert "get_json_object" not in _plan(queries.q_report_counts(spark, SF))
+
+
+def test_patterns_only_where_their_words_are(spark):
+    texts = ["SELECT a::int FROM t FOR UPDATE", "select b from u for no key update of u", "SELECT trim(both FROM x) FROM v", "SELECT c FROM w",
+             "SELECT extract(year from d) FROM y WHERE e IS NOT distinct from f", "SELECT convert(g USING utf8) FROM [z]",
+             "INSERT INTO s (h) VALUES ('FROM q') on duplicate key update h = 1"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "log_id long, query string")
+    plan = _plan(querylog.with_references(df))
+    # the words are looked for before the pattern runs
+    assert plan.count("Contains(upper(") >= 8 and plan.count(patterns.LOCKING[:30]) == 1
+    got = {r.log_id: sorted(r.ref_tables) for r in querylog.with_references(df).collect()}
+    assert got == {0: ["t"], 1: ["u"], 2: ["v"], 3: ["w"], 4: ["y"], 5: ["z"], 6: ["s"]}
