@@ -57,6 +57,17 @@ def test_small_pieces_give_the_same_documents(analysis):
     assert pieces.groupBy("migration_id", "part").count().agg({"count": "max"}).first()[0] > 20
 
 
+def test_small_migrations_are_not_ranged(analysis):
+    whole = documents.whole(documents.report_pieces(analysis))
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "RepartitionByExpression [migration_id" in plan and "key" not in plan.split("RepartitionByExpression", 1)[1].split("]")[0]
+    # one migration beyond a piece: only its lists are cut
+    pieces = documents.report_pieces(analysis, piece_bytes=20000)
+    counts = pieces.filter("part IN (1, 3, 5)").groupBy("migration_id").agg({"*": "count", "part": "max"}).collect()
+    assert sorted(r["count(1)"] for r in counts)[0] == 3 and max(r["count(1)"] for r in counts) > 5
+    assert _docs(pieces) == _docs(documents.report_pieces(analysis))
+
+
 def test_texts_written_elsewhere(spark, analysis):
     mid = [r.migration_id for r in analysis.migrations.filter("file_name = '1_first.sql'").collect()][0]
     rewrites = spark.createDataFrame([(mid, 0, 0, 'ALTER "a"\n;'), (mid, 1, 0, "DROP INDEX CONCURRENTLY i;"), (mid, 2, 0, "")],
