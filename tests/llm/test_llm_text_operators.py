@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -126,6 +127,19 @@ def test_suffix_arrays_of_random_strings():
             assert repeated_starts(t, most).tolist() == [starts[x[:most]] > 1 for x in s]
 
 
+def test_suffix_arrays_take_little_memory():
+    words = np.random.default_rng(5).integers(0, 26, (900, 6), dtype=np.uint8) + 98
+    words[:, 5] = 33
+    text = words[np.random.default_rng(6).integers(0, 900, 80_000)].ravel()
+    text[400_000:402_000] = text[:2000]
+    tracemalloc.start()
+    found = repeated_starts(text, 200)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 45 * len(text)     # four-byte places and prefixes; they were of eight bytes, with a number of eight for each place beside them
+    assert found[:1801].all() and found[400_000:401_801].all() and not found[2000:399_900].any()
+
+
 @pytest.mark.parametrize("size,percent", [(3, 85), (5, 80)])
 def test_near_duplicates(spark, docs, size, percent):
     got = minhash.near_duplicates(frame(spark, docs), size, percent).collect()
