@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import brute
 import corpus_pipeline
@@ -99,3 +101,21 @@ def test_run_matches_the_stages_and_takes_an_empty_table(spark, world, tmp_path)
     tables.documents(spark, folder).limit(0).write.parquet(f"{empty}/documents.parquet")
     tables.table(spark, folder, "labels").limit(0).write.parquet(f"{empty}/labels.parquet")
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.length()) if files.apply(i).getName().endswith(".data")}
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting, before = spark.conf.get(name), shuffled()
+    summed = spark.range(20_000).groupBy((F.col("id") % 977).alias("k")).agg(F.sum("id").alias("n"))
+    table = tables.written(summed.join(summed.select("k", (F.col("n") + 1).alias("m")).hint("merge"), "k"), "summed")
+    for _ in range(50):  # the executors are told to remove them and not waited for
+        if not shuffled() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert spark.conf.get(name) == setting
+    assert table.filter("m = n + 1").count() == 977
