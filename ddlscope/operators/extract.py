@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ddlscope.functions import fixed, lexer, patterns
 from ddlscope.functions.lexer import lit
+from ddlscope.functions.text import WHITESPACE
 from ddlscope.session import broadcast_if_small
 from ddlscope.sources.files import infer_dialect
 
@@ -50,12 +51,12 @@ def split_compound_alter(df: DataFrame) -> DataFrame:
     rest, dialect = [f"`{c}`" for c in df.columns if c != "stmt"], _dialect_of(df)
     prefix, add_list = lit(patterns.ALTER_PREFIX), lit(patterns.ADD_LIST)
     # only an ALTER with a comma or an ADD list can hold several actions; everything else skips the split
-    is_alter = rf"upper(substring(stmt, 1, 5)) = 'ALTER' AND (contains(stmt, ',') OR stmt RLIKE {lit('(?i)' + chr(92) + 'bADD' + chr(92) + 's*[(]')})"
+    is_alter = rf"upper(substring(stmt, 1, 5)) = 'ALTER' AND (contains(stmt, ',') OR contains(stmt, '(') AND stmt RLIKE {lit('(?i)' + chr(92) + 'bADD' + chr(92) + 's*[(]')})"
     parts = df.selectExpr("*", f"CASE WHEN {is_alter} THEN regexp_extract(stmt, {prefix}, 1) ELSE '' END AS _prefix",
                           f"CASE WHEN {is_alter} THEN regexp_extract(stmt, {prefix}, 2) ELSE '' END AS _list")
     actions = f"filter({lexer.split_top('_list', dialect)}, x -> length(x) > 0)"
     definitions = lexer.split_top(f"regexp_extract(a, {add_list}, 1)", dialect)
-    expanded = (f"CASE WHEN _list RLIKE {lit(patterns.HAS_ADD_LIST)} THEN flatten(transform({actions}, a -> CASE WHEN a RLIKE {add_list} "
+    expanded = (f"CASE WHEN contains(_list, '(') AND _list RLIKE {lit(patterns.HAS_ADD_LIST)} THEN flatten(transform({actions}, a -> CASE WHEN a RLIKE {add_list} "
                 f"THEN transform({definitions}, y -> concat('ADD ', y)) ELSE array(a) END)) ELSE {actions} END")
     # the lists are a column, so the generator over them is compiled; an ALTER without actions stays as it is
     found = parts.selectExpr("*", f"CASE WHEN _prefix <> '' THEN {expanded} END AS _found")
@@ -72,31 +73,32 @@ _DROP_MODIFIERS = ["MATERIALIZED", "TEMP", "TEMPORARY"]
 # functions/patterns.py is CREATE + 6 modifiers + INDEX CONCURRENTLY IF NOT EXISTS i ON ONLY t = 15 words;
 # what follows (column types, bodies, predicates) is never looked at for the class.
 N_TOKENS = 16
+QUOTES = '"`['
 
 
-def tokens(stmt: str) -> str:
-    """First words of a statement (bounded split: cost does not grow with its length).
+def with_tokens(df: DataFrame, stmt: str) -> DataFrame:
+    """Add ``_toks``, the first words of a statement (bounded split: cost does not grow with its length), and ``_up``, the same in upper case.
 
     '(' is set apart so ``users(email)`` gives ``users``; the last element holds
     the unsplit rest.  Names with blanks inside their quotes are one word.
+    A text whose only white space is single blanks is cut at these, without a pattern, which Spark would compile for every row.
+    Upper case changes no white space, bracket or quote, so both are cut alike.
     """
-    words = f"split(replace({stmt}, '(', ' ( '), {lit(chr(92) + 's+')}, {N_TOKENS})"
-    spaced = f"slice(regexp_extract_all({stmt}, {lit(patterns.SPACED_TOKEN)}, 0), 1, {N_TOKENS})"
-    quoted = " OR ".join(f"contains({stmt}, {lit(c)})" for c in '"`[')
-    return f"CASE WHEN ({quoted}) AND {stmt} RLIKE {lit(patterns.SPACED_NAME)} THEN {spaced} ELSE {words} END"
+    def has(text, characters):
+        return " OR ".join(f"contains({text}, {lit(c)})" for c in characters)
 
+    flat = f"CASE WHEN contains({stmt}, '(') THEN replace(replace({stmt}, ' (', '('), '(', ' ( ') ELSE {stmt} END"
+    spaced = f"({has(stmt, QUOTES)}) AND {stmt} RLIKE {lit(patterns.SPACED_NAME)}"
+    how = f"CASE WHEN {spaced} THEN 2 WHEN {has(stmt, WHITESPACE.replace(' ', ''))} THEN 1 ELSE 0 END"
+    # a projection of its own, which is not inlined again
+    seen = df.selectExpr("*", f"{flat} AS _flat", f"{how} AS _how")
 
-_BETWEEN = "\u0001"
+    def words(shown):
+        return (f"CASE WHEN _how = 2 THEN slice(regexp_extract_all({shown.format(stmt)}, {lit(patterns.SPACED_TOKEN)}, 0), 1, {N_TOKENS}) "
+                f"WHEN _how = 1 OR contains(_flat, '  ') THEN split({shown.format('_flat')}, {lit(chr(92) + 's+')}, {N_TOKENS}) "
+                f"ELSE split({shown.format('_flat')}, ' ', {N_TOKENS}) END")
 
-
-def upper_tokens(stmt: str, toks: str) -> str:
-    """The words of ``tokens`` in upper case, without cutting the statement a second time.
-
-    A word that holds the separator itself gives more words than there are; only then is the statement cut again.
-    ``toks`` stands in the first condition, so that Spark works it out once where the words themselves are asked for too.
-    """
-    words = f"split(upper(array_join({toks}, {lit(_BETWEEN)})), {lit(_BETWEEN)})"
-    return f"CASE WHEN size({words}) = size({toks}) THEN {words} ELSE {tokens(f'upper({stmt})')} END"
+    return seen.selectExpr(*(f"`{c}`" for c in df.columns), f"{words('{}')} AS _toks", f"{words('upper({})')} AS _up")
 
 
 def _case(*whens: tuple[str, str], otherwise: str | None = None) -> str:
@@ -272,10 +274,7 @@ def extract_operations(scripts: DataFrame, keep: list[str] | None = None) -> Dat
         scripts = scripts.withColumn("_offset", F.lit(0))
     base = _statement_texts(scripts, ["migration_id", *keep, "_offset"])
     stmts = split_compound_alter(split_statements(base, "sql"))
-    # tokens are computed once (a separate projection is not re-inlined, and equal expressions in one are shared)
-    words = tokens("action_sql")
-    tok = stmts.selectExpr("*", f"{words} AS _toks", f"{upper_tokens('action_sql', words)} AS _up")
-    found = with_parser_notes(classify_tokens(tok, "_toks"))
+    found = with_parser_notes(classify_tokens(with_tokens(stmts, "action_sql"), "_toks"))
     return found.selectExpr(
         "migration_id", *(f"`{c}`" for c in keep), "stmt_pos + _offset AS stmt_pos", "action_pos", "op_class", "target_table", "target_column",
         "target_index", "dialect", "action_sql AS raw_sql", "parser_notes", "has_not_null", "has_default", "is_concurrent")

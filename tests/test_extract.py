@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
 from ddlscope.functions import fixed
+from ddlscope.operators import extract
 from helpers import parse
 
 # statement -> [(class, table, column, index)]
@@ -123,3 +126,17 @@ def test_script_in_chunks_equals_the_whole(spark):
     assert rows(chunks) == rows(whole) and len(rows(whole)) == 5
     positions = [r.stmt_pos for r in extract.extract_operations(chunks).orderBy("stmt_pos", "action_pos").collect()]
     assert positions == sorted(positions) and len(set(positions)) == 3
+
+
+def test_words_are_the_same_however_a_statement_is_cut(spark):
+    stmts = ["ALTER TABLE users ADD COLUMN age INT", "CREATE INDEX i ON users (email)", "CREATE INDEX i ON users(email)", "create  table t\t(a int)",
+             "CREATE INDEX i ON t ((lower(a)), b )", "ALTER TABLE t\nADD\x0bc\x0cINT", "( a", "a (", "", "x", "RENAME TABLE a TO straße",
+             "DROP TABLE t " + " ".join(f"w{i} (" for i in range(20)), "CREATE TABLE a\u0001b (c INT)", "a b c"]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(stmts)], "n int, stmt string")
+    for r in extract.with_tokens(df, "stmt").collect():
+        text = stmts[r.n].replace("(", " ( ")
+        words = re.split(r"[ \t\n\r\x0b\x0c]+", text, maxsplit=extract.N_TOKENS - 1)
+        assert [w.split() for w in r._toks] == [w.split() for w in words], stmts[r.n]
+        assert r._toks[:15] == words[:15] and r._up == [w.upper() for w in r._toks]
+    quoted = spark.createDataFrame([('DROP TABLE "straße weg" (x)',)], "stmt string")
+    assert extract.with_tokens(quoted, "stmt").select("_up").first()[0] == ["DROP", "TABLE", '"STRASSE WEG"', "(", "X)"]
