@@ -65,13 +65,18 @@ def rollback_summary(ops: DataFrame, migrations: DataFrame) -> DataFrame:
 
     ``migrations`` has one row per migration_id.
     """
-    agg = ops.groupBy("migration_id").agg(
-        F.max("rollback_rank").alias("_worst"),
-        F.bool_or("data_loss").alias("_loss"),
-        F.count(F.lit(1)).alias("n_steps"),
-    )
     # both sides are partitioned by migration_id already: a merge join needs no exchange
-    m = migrations.select("migration_id").join(agg.hint("merge"), "migration_id", "left")
+    m = migrations.select("migration_id").join(ops.groupBy("migration_id").agg(*summary_parts()).hint("merge"), "migration_id", "left")
+    return m.select("migration_id", *summary_of_parts())
+
+
+def summary_parts() -> list[Column]:
+    """Aggregates over the operations of a migration that its summary is worked out from."""
+    return [F.max("rollback_rank").alias("_worst"), F.bool_or("data_loss").alias("_loss"), F.count(F.lit(1)).alias("n_steps")]
+
+
+def summary_of_parts() -> list[Column]:
+    """R2, R3, R5, R6 from ``summary_parts``, which are null for a migration without operations."""
     worst = rank_to_complexity(F.coalesce(F.col("_worst"), F.lit(0)))
     loss = F.coalesce(F.col("_loss"), F.lit(False))
     minutes = None
@@ -83,11 +88,5 @@ def rollback_summary(ops: DataFrame, migrations: DataFrame) -> DataFrame:
         F.when(loss, F.lit(fixed.ROLLBACK_NOTE_DATA_LOSS)).otherwise(F.lit("")),
         F.when(worst == "none", F.lit(fixed.ROLLBACK_NOTE_IRREVERSIBLE)).otherwise(F.lit("")),
     ), r"^\s+|\s+$", "")
-    return m.select(
-        "migration_id",
-        worst.alias("rollback_complexity"),
-        minutes.cast("int").alias("rollback_minutes"),
-        loss.alias("data_loss_risk"),
-        notes.alias("rollback_notes"),
-        F.coalesce(F.col("n_steps"), F.lit(0)).cast("long").alias("n_steps"),
-    )
+    return [worst.alias("rollback_complexity"), minutes.cast("int").alias("rollback_minutes"), loss.alias("data_loss_risk"),
+            notes.alias("rollback_notes"), F.coalesce(F.col("n_steps"), F.lit(0)).cast("long").alias("n_steps")]

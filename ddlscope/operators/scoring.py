@@ -47,25 +47,25 @@ def migration_scores(ops: DataFrame, migrations: DataFrame) -> DataFrame:
     Op-less migrations (left join) score 0 and are safe.  A migration whose
     ops all score 0 gets -5, as the tool computes it.
     """
-    agg = ops.groupBy("migration_id").agg(
-        F.max("risk_score").alias("_max"),
-        F.count_if(F.col("risk_score") > 0).alias("_pos"),
-        F.count(F.lit(1)).alias("_n"),
-        F.array_sort(F.collect_set(F.when(F.col("target_table") != "", F.col("target_table"))))
-        .alias("affected_tables"),
-    )
     # both sides are partitioned by migration_id already: a merge join needs no exchange
-    m = migrations.join(agg.hint("merge"), "migration_id", "left")
+    m = migrations.join(ops.groupBy("migration_id").agg(*score_parts()).hint("merge"), "migration_id", "left")
+    return m.select(*migrations.columns, *scores_of_parts())
+
+
+def score_parts() -> list[Column]:
+    """Aggregates over the operations of a migration that its scores are worked out from."""
+    return [F.max("risk_score").alias("_max"), F.count_if(F.col("risk_score") > 0).alias("_pos"), F.count(F.lit(1)).alias("_n"),
+            F.array_sort(F.collect_set(F.when(F.col("target_table") != "", F.col("target_table")))).alias("affected_tables")]
+
+
+def scores_of_parts() -> list[Column]:
+    """K2-K5 from ``score_parts``, which are null for a migration without operations."""
     score = F.when(F.col("_n").isNull(), F.lit(0)).otherwise(
         F.least(F.lit(100), F.col("_max") + (F.col("_pos") - 1) * fixed.EXTRA_OP_SCORE)).cast("int")
-    out = m.select(
-        *migrations.columns,
-        score.alias("overall_score"),
-        F.coalesce(F.col("_n"), F.lit(0)).cast("long").alias("n_ops"),
-        F.coalesce(F.col("affected_tables"), F.array().cast("array<string>")).alias("affected_tables"),
-    )
-    out = out.withColumn("overall_level", level_of(F.col("overall_score")))
-    return out.withColumn("blocked", F.col("overall_level").isin(*fixed.BLOCKING_LEVELS))
+    level = level_of(score)
+    return [score.alias("overall_score"), F.coalesce(F.col("_n"), F.lit(0)).cast("long").alias("n_ops"),
+            F.coalesce(F.col("affected_tables"), F.array().cast("array<string>")).alias("affected_tables"),
+            level.alias("overall_level"), level.isin(*fixed.BLOCKING_LEVELS).alias("blocked")]
 
 
 def rewrite_worklist(ops: DataFrame, max_notes: int | None = None, max_sql: int | None = None) -> DataFrame:

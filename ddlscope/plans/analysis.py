@@ -118,6 +118,13 @@ class Analysis:
     def rollback_summary(self) -> DataFrame:
         return rollback.rollback_summary(self.ops, self.migrations)
 
+    @cached_property
+    def heads(self) -> DataFrame:
+        """``scores`` with ``rollback_summary``, out of one aggregation."""
+        agg = self.ops.groupBy("migration_id").agg(*scoring.score_parts(), *rollback.summary_parts())
+        return self.migrations.join(agg.hint("merge"), "migration_id", "left") \
+            .select(*self.migrations.columns, *scoring.scores_of_parts(), *rollback.summary_of_parts())
+
     @cached_property
     def rollback_steps(self) -> DataFrame:
         return rollback.rollback_steps(self.ops)
@@ -144,7 +151,8 @@ class Analysis:
     def impact_refs(self) -> DataFrame:
         """The references that changes can meet, worked out once for the column and the index join and for the counts."""
         ids = [c for c in ("log_id", "db_id") if c in self.query_refs.columns]
-        return written(self.query_refs.select(*ids, "query", "ref_keys", "key_cols", "star_cols"), "references")
+        return written(self.query_refs.select(*ids, "query", "ref_keys", "key_cols", "star_cols",
+                                              F.monotonically_increasing_id().alias("query_id")), "references")
 
     @cached_property
     def impact_changes(self) -> DataFrame:
@@ -156,24 +164,38 @@ class Analysis:
     def impacts(self) -> DataFrame:
         return querylog.match_impacts(self.impact_refs, self.impact_changes, self.migrations)
 
+    @cached_property
+    def impact_hits(self) -> DataFrame:
+        """The impacts with ``query`` (its number in ``impact_refs``, its bytes and its database) in place of the text; written once."""
+        refs = self.impact_refs
+        database = F.col("db_id" if "db_id" in refs.columns else "log_id")
+        told = F.struct("query_id", F.octet_length("query").alias("bytes"), database.alias("db"))
+        return written(querylog.match_impacts(refs.withColumn("query", told), self.impact_changes, self.migrations), "impacts")
+
     @cached_property
     def impact_summary(self) -> DataFrame:
         return querylog.impact_summary(self.impact_refs, self.impact_changes, self.migrations)
 
     def shared(self, texts: bool = True) -> "Analysis":
-        """The same analysis over operations (with locks, rollback and scores) that are written once to the shared folder.
+        """The same analysis over operations that are extracted once and written to the shared folder.
 
         For outputs that read the operations in several branches (reports join
-        scores, rollback, diff and impacts).  ``texts=False`` leaves the
-        statements' text out.  This analysis itself stays as it is; one that
+        scores, rollback, diff and impacts).  Locks, rollback and scores come from
+        rule tables: working them out again for the columns that a branch reads
+        takes less than writing them.  ``texts=False`` leaves the statements' text out.  This analysis itself stays as it is; one that
         is shared already is returned, with what it has written.
         """
         if self.__dict__.get("_is_shared"):
             return self
-        ops = self.ops if texts else self.ops.withColumn("raw_sql", F.lit(None).cast("string"))
+        found = self.extracted if texts else self.extracted.withColumn("raw_sql", F.lit(None).cast("string"))
+        other = replace(self)
+        other.__dict__.update(_is_shared=True, extracted=written(found, "operations"))
+        return other
+
+    def over(self, **stages: DataFrame) -> "Analysis":
+        """This shared analysis with other rows of some stages."""
         other = replace(self)
-        other.__dict__.update(_is_shared=True, ops=written(ops, "operations"))
-        other.__dict__["extracted"] = other.ops.select(*self.extracted.columns)
+        other.__dict__.update(_is_shared=True, **stages)
         return other
 
     def summary(self) -> DataFrame:

@@ -217,10 +217,7 @@ def q_report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S6 + K6 + K8 nested: the JSON report, the narrator's payload and the findings of every migration, a document each."""
     from ddlscope.plans import documents
 
-    a = _a(spark, sf_dir).shared()
-    kinds = {"report": documents.report_pieces, "payload": documents.payload_pieces, "findings": documents.finding_pieces}
-    found = [documents.whole(pieces(a)).select("migration_id", F.lit(kind).alias("kind"), "document") for kind, pieces in kinds.items()]
-    return found[0].unionByName(found[1]).unionByName(found[2])
+    return documents.all_documents(_a(spark, sf_dir))
 
 
 def q_report_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

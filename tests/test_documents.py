@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import glob
 import json
+import time
 
 import pytest
 
@@ -107,3 +108,37 @@ def test_empty_corpus(spark, analysis):
     nothing = Analysis(spark=spark, scripts=analysis.scripts.limit(0), table_stats=analysis.table_stats, schema_dumps=analysis.schema_dumps,
                        query_logs=analysis.query_logs.limit(0))
     assert documents.whole(documents.report_pieces(nothing)).count() == 0
+
+
+@pytest.mark.parametrize("piece_bytes", [documents.PIECE_BYTES, 20000, 300])
+def test_all_documents_equal_their_pieces(analysis, piece_bytes):
+    # no migration, one, or all but the empty one go beyond a piece
+    got = {(r.kind, r.migration_id): r.document for r in documents.all_documents(analysis, piece_bytes).collect()}
+    want = {(kind, r.migration_id): r.document for kind, pieces in (("report", documents.report_pieces), ("payload", documents.payload_pieces),
+                                                                    ("findings", documents.finding_pieces)) for r in documents.whole(pieces(analysis)).collect()}
+    assert len(want) == 9 and got == want
+
+
+def test_operations_and_impacts_move_once(analysis):
+    plan = documents.all_documents(analysis)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert len([x for x in plan if "Relation [" in x and "raw_sql" in x]) == 1
+    assert len([x for x in plan if "Relation [" in x and "impact_type" in x]) == 1
+    assert len([x for x in plan if "RepartitionByExpression [migration_id" in x]) == 2
+
+
+def test_written_tables_leave_no_shuffle_files(spark, tmp_path):
+    from ddlscope.session import written
+
+    def files():
+        local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName() for f in (local.apply(i) for i in range(local.length())) if f.getName().startswith("shuffle_")}
+
+    before = files()
+    rows = spark.range(1000).repartition(5)
+    table = written(rows.groupBy((rows.id % 7).alias("k")).count(), "few")
+    left = files() - before
+    for _ in range(50):
+        if left:
+            time.sleep(0.1)
+            left = files() - before
+    assert not left and table.count() == 7
