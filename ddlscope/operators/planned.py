@@ -129,8 +129,8 @@ def _scans(df: DataFrame, demands: list[tuple], unsettled: list[tuple]) -> list[
 
 def _foreign_keys(demands: list[tuple], table: Callable[[str], DataFrame | None], unsettled: list[tuple]) -> list[DataFrame]:
     """All foreign keys in one join; a table is read once for all its columns, as child and as parent."""
-    children, parents = {}, {}
-    for d in demands:
+    children, parents, keys = {}, {}, {}
+    for at, d in enumerate(demands):
         _, child, column, argument = d
         parent, _, key = argument.rpartition(".")
         c, p = table(child), table(parent)
@@ -145,25 +145,30 @@ def _foreign_keys(demands: list[tuple], table: Callable[[str], DataFrame | None]
         elif _family(kinds[0][1]) != _family(kinds[1][1]):
             unsettled.append((*d, "type_mismatch", None, None))
         else:
-            children.setdefault(child, []).append((d, *kinds[0], f"{parent}.{kinds[1][0]}".lower()))
-            parents.setdefault(parent, {})[f"{parent}.{kinds[1][0]}".lower()] = kinds[1]
+            to = keys.setdefault(f"{parent}.{kinds[1][0]}".lower(), len(keys))
+            children.setdefault(child, []).append((at, *kinds[0], to))
+            parents.setdefault(parent, {})[to] = kinds[1]
 
-    def value(name: str, kind: str) -> Column:
-        return F.col(name).cast("double").cast("string") if _family(kind) == "number" else F.col(name).cast("string")
+    # demands and parents by number, a value as a number or as text: narrow keys to count, move and join by
+    def value(name: str, kind: str) -> list[Column]:
+        number = _family(kind) == "number"
+        return [(F.col(name) if number else F.lit(None)).cast("double").alias("kn"), (F.lit(None) if number else F.col(name)).cast("string").alias("kt")]
 
     if not children:
         return []
-    child_rows = [table(t).select(F.inline(F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(DEMAND, d)), F.lit(to).alias("to"), value(name, kind).alias("k"))
-                                                       for d, name, kind, to in some)))) for t, some in children.items()]
-    counted = [x.groupBy(*DEMAND, "to", "k").agg(F.count(F.lit(1)).alias("n")) for x in child_rows]  # a hot key is one row for each task
-    parent_rows = [table(t).select(F.inline(F.array(*(F.struct(F.lit(to).alias("to"), value(name, kind).alias("k")) for to, (name, kind) in keys.items()))))
-                   for t, keys in parents.items()]
-    known = _union(parent_rows).distinct().withColumn("_hit", F.lit(True))
-    j = _union(counted).join(known.hint("merge"), ["to", "k"], "left")
-    orphan = F.col("k").isNotNull() & F.col("_hit").isNull()
+    child_rows = [table(t).select(F.inline(F.array(*(F.struct(F.lit(at).alias("at"), F.lit(to).alias("to"), *value(name, kind))
+                                                       for at, name, kind, to in some)))) for t, some in children.items()]
+    counted = [x.groupBy("at", "to", "kn", "kt").agg(F.count(F.lit(1)).alias("n")) for x in child_rows]  # a hot key is one row for each task
+    parent_rows = [table(t).select(F.inline(F.array(*(F.struct(F.lit(to).alias("to"), *value(name, kind)) for to, (name, kind) in some.items()))))
+                   for t, some in parents.items()]
+    known = _union(parent_rows).distinct().select(*(F.col(c).alias(f"_{c}") for c in ("to", "kn", "kt")), F.lit(True).alias("_hit"))
+    same = (F.col("to") == F.col("_to")) & F.col("kn").eqNullSafe(F.col("_kn")) & F.col("kt").eqNullSafe(F.col("_kt"))
+    j = _union(counted).join(known.hint("merge"), same, "left")
+    orphan = (F.col("kn").isNotNull() | F.col("kt").isNotNull()) & F.col("_hit").isNull()
     bad = F.sum(F.when(orphan, F.col("n")).otherwise(0))
-    return [j.groupBy(*DEMAND).agg(F.when(bad > 0, "violated").otherwise("ok").alias("status"), F.sum("n").alias("checked_rows"),
-                                   bad.alias("violating_rows"))]
+    found = j.groupBy("at").agg(F.when(bad > 0, "violated").otherwise("ok").alias("status"), F.sum("n").alias("checked_rows"), bad.alias("violating_rows"))
+    named = found.sparkSession.createDataFrame([(at, *d) for at, d in enumerate(demands)], "at int, " + ", ".join(f"{c} string" for c in DEMAND))
+    return [found.join(F.broadcast(named), "at").select(*DEMAND, "status", "checked_rows", "violating_rows")]
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

@@ -96,3 +96,18 @@ def test_dropped_indexes_meet_queries_by_their_columns(spark):
     assert summary == {7: 8, 8: 0}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "arrays_overlap" not in plan
+
+
+def test_only_demands_are_written(spark):
+    from ddlscope.plans import queries
+
+    plan = queries.q_planned_checks(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "raw_sql" not in plan and "lock_type" not in plan
+
+
+def test_keys_are_compared_as_numbers(spark):
+    tables = {"a": spark.createDataFrame([(0.0, "x"), (-0.0, "y"), (2.0, None), (None, "x")], "k double, t string"),
+              "b": spark.createDataFrame([(0, "x"), (1, "z"), (None, None)], "id int, t string")}
+    sql = "ALTER TABLE a ADD FOREIGN KEY (k) REFERENCES b (id); ALTER TABLE a ADD FOREIGN KEY (t) REFERENCES b (t);"
+    rows = planned.settle_checks(planned.planned_checks(extract.extract_operations(scripts(spark, sql))), tables.get).collect()
+    assert sorted((r.column_name, r.status, r.checked_rows, r.violating_rows) for r in rows) == [("k", "violated", 4, 1), ("t", "violated", 4, 1)]
